@@ -4,12 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwork.llm import op7_wavelet, op9_packing
+from strandwork.llm import op1_ogg, op3_mixing, op4_language, op7_wavelet, op9_packing, op10_forest
 from strandwork.llm.common import Scratch, documents
 
 
+def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", op1_ogg.encode(F.col("text")).alias("media"))
+    rows = rows.withColumn("d", op1_ogg.decode(F.col("media")))
+    d = lambda f: F.col(f"d.{f}")
+    feature = F.format_string("pages=%d bad=%d lost=%d streams=%d packets=%d seconds=%.6f", d("pages"), d("bad_pages"), d("lost"), d("streams"), d("packets"), d("seconds"))
+    return rows.select(
+        "doc_id",
+        d("n_bytes").alias("n_bytes"),
+        F.octet_length(d("payload")).cast("long").alias("payload_bytes"),
+        F.sha2(d("payload"), 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(d.payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mixing.mix(spark, documents(spark, sf_dir), Scratch(spark, "op3")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_language.identify(spark, documents(spark, sf_dir))
+
+
 def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_wavelet.read_digests(op7_wavelet.write_shards(spark, documents(spark, sf_dir), Scratch(spark, "op7")))
 
@@ -18,9 +43,17 @@ def op9_packing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_packing.pack(documents(spark, sf_dir))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return op10_forest.judge(spark, documents(spark, sf_dir), labels, Scratch(spark, "op10"))
+
+
+QUERIES = (op1_ogg_media, op3_mixing_sources, op4_language_id, op7_wavelet_shards, op9_packing_windows, op10_quality_rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_wavelet_shards, op9_packing_windows)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing_sources": op3_mixing.ORACLE_SQL}
