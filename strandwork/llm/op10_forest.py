@@ -1,7 +1,8 @@
 """Quality rules: fixed limits on rule statistics, then an isolation forest over them.
 
-Trees split a small sample at random features and places; a document that few splits separate is an anomaly.
-The score above which one is dropped comes from labelled rows.
+Trees split the box that the corpus spans at random features and places, and count there a small sample of
+documents labelled good; where few splits leave none of these, a document is an anomaly. Junk is too common in
+a raw corpus to be isolated among itself. The score above which a document is dropped comes from labelled rows.
 """
 
 from __future__ import annotations
@@ -16,26 +17,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from strandwork.llm.common import Scratch
 from strandwork.llm.stats import FIELDS, rule_statistics
 
-#: Documents (about; a hash decides) from which trees draw, trees, and documents of a tree.
-SAMPLE_DOCS, TREES, TREE_DOCS = 8192, 100, 256
+#: Documents (about; a hash decides) that span the box and, labelled good, from which trees draw; trees, documents of a tree, levels.
+SAMPLE_DOCS, TREES, TREE_DOCS, LEVELS = 8192, 100, 256, 10
 SEED = 7
 #: Largest share of good labelled documents that the threshold may drop, and bins of scores in its search.
 MAX_LOSS, BINS = 0.004, 2000
+#: Words, lines or letters of usual text that are added to each document's own before a ratio is taken.
+STEADY = 40
 BASE = FIELDS[:5]
 
 
 def features(s: Callable[[str], Column]) -> Column:
-    """Array of doubles: what the trees split on."""
-    words = F.greatest(s("n_words"), F.lit(1)).cast("double")
+    """Array of doubles: what the trees split on, roots of ratios that are drawn to usual values, or few words would make them extreme."""
+    drawn = lambda part, whole, usual: F.sqrt((s(part) + usual * STEADY) / (s(whole) + STEADY))
     return F.array(
-        s("word_chars") / words,
-        s("n_symbols") / words,
-        s("n_dup_lines") / F.greatest(s("n_lines"), F.lit(1)),
-        s("n_repeat_words") / words,
-        s("n_upper") / F.greatest(s("n_letters"), F.lit(1)),
-        s("n_same_words") / words,
-        s("n_digits") / F.greatest(s("word_chars"), F.lit(1)),
-        F.least(s("n_ends") / words, F.lit(0.5)),
+        drawn("word_chars", "n_words", 5.0),
+        drawn("n_symbols", "n_words", 0.0),
+        drawn("n_dup_lines", "n_lines", 0.0),
+        drawn("n_repeat_words", "n_words", 0.0),
+        drawn("n_upper", "n_letters", 0.02),
+        drawn("n_same_words", "n_words", 0.0),
+        drawn("n_digits", "word_chars", 0.0),
+        drawn("n_ends", "n_words", 0.08),
     )
 
 
@@ -55,23 +58,23 @@ class IsolationForest:
     norm: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = TREES, size: int = TREE_DOCS, seed: int = SEED) -> IsolationForest:
-        rng, size = np.random.default_rng(seed), min(size, len(x))
-        depth = max(1, int(np.ceil(np.log2(max(2, size)))))
-        nodes = 2 ** (depth + 1) - 1
+    def fit(cls, x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, size: int = TREE_DOCS, levels: int = LEVELS, seed: int = SEED) -> IsolationForest:
+        rng, size, nodes = np.random.default_rng(seed), min(size, len(x)), 2 ** (levels + 1) - 1
         feature, place, path = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
+        wide = np.flatnonzero(high > low)
         for t in range(trees):
-            todo = [(0, 0, x[rng.choice(len(x), size, replace=False)] if size else x)]
+            todo = [(0, 0, x[rng.choice(len(x), size, replace=False)] if size else x, low, high)]
             while todo:
-                node, level, rows = todo.pop()
-                spread = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) > 1 else []
-                if level == depth or not len(spread):
+                node, level, rows, a, b = todo.pop()
+                if level == levels or len(rows) < 2 or not len(wide):
                     path[t, node] = level + _expected(len(rows))
                     continue
-                f = int(rng.choice(spread))
-                feature[t, node], place[t, node] = f, rng.uniform(rows[:, f].min(), rows[:, f].max())
-                left = rows[:, f] <= place[t, node]
-                todo += [(2 * node + 1, level + 1, rows[left]), (2 * node + 2, level + 1, rows[~left])]
+                f = int(rng.choice(wide))
+                at = rng.uniform(a[f], b[f])
+                feature[t, node], place[t, node] = f, at
+                left, below, above = rows[:, f] <= at, b.copy(), a.copy()
+                below[f] = above[f] = at
+                todo += [(2 * node + 1, level + 1, rows[left], a, below), (2 * node + 2, level + 1, rows[~left], above, b)]
         return cls(feature, place, path, float(max(_expected(size), 1e-9)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -97,6 +100,14 @@ def _scorer(spark: SparkSession, forest: IsolationForest) -> Callable[[Column],
     return scored
 
 
+def _sample(rows: DataFrame, n: int) -> np.ndarray:
+    """Features of about `n` rows, or of all where there are less, in an order of their own: the same trees each time."""
+    share = min(1.0, n / max(1, rows.count()))
+    drawn = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))
+    x = np.array(rows.where(drawn).select("x").toArrow()["x"].to_pylist(), float).reshape(-1, 8)
+    return x[np.lexsort(x.T)]
+
+
 def threshold(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS) -> float:
     """The score that best parts labelled rows: most bad above it less good above it, with at most `max_loss` of the good.
 
@@ -118,19 +129,19 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
 
     `base_failed`: fewer than 20 words, or more than 30 % of them in repeated 8-word windows. `kept`: not failed
     and no anomaly. Null texts have no words. Null ids and repeated rows are judged by their text; labels with a
-    null id, or an id twice, count as they stand. The statistics of all texts are measured once; the trees see about
-    `sample_docs` documents that pass the base rules, the threshold all labelled ones. An empty table gives no rows.
+    null id, or an id twice, count as they stand. The statistics of all texts are measured once; about `sample_docs`
+    documents that pass the base rules span the box, as many labelled good (or, without any, the same) fill the trees,
+    and all labelled ones set the threshold. An empty table gives no rows.
     """
     s = lambda f: F.col(f"s.{f}")
     measured = docs.select(F.col(id_col).alias("doc_id"), rule_statistics(F.col(text_col)).alias("s"))
     failed = (s("n_words") < 20) | (100 * s("n_repeat_words") > 30 * s("n_words"))
     measured = scratch.table(measured.select("doc_id", *[s(f).alias(f) for f in BASE], failed.alias("base_failed"), features(s).alias("x")), "stats")
-    passed = measured.where(~F.col("base_failed"))
-    total = passed.count()
-    drawn = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars", F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(1, total)) * (1 << 30))
-    x = np.array(passed.where(drawn).select("x").toArrow()["x"].to_pylist(), float).reshape(-1, 8)
-    x = x[np.lexsort(x.T)]  # the same trees whatever the order of rows
-    scored = measured.withColumn("anomaly", _scorer(spark, IsolationForest.fit(x))(F.col("x"))).drop("x")
-    marks = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality"))
+    passed, marks = measured.where(~F.col("base_failed")), labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
+    good = passed.join(marks.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    box, x = _sample(passed, sample_docs), _sample(good, sample_docs)
+    x = x if len(x) else box
+    low, high = (box.min(0), box.max(0)) if len(box) else (np.zeros(8), np.zeros(8))
+    scored = measured.withColumn("anomaly", _scorer(spark, IsolationForest.fit(x, low, high))(F.col("x"))).drop("x")
     limit = threshold(scored.where(~F.col("base_failed")), marks, max_loss)
     return scored.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.col("anomaly") < limit)).alias("kept"), "anomaly")
