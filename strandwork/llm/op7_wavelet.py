@@ -192,24 +192,25 @@ def write_shards(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_c
 
 def _digest_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(len(batch)):
-            ids = WaveletMatrix(batch.column(2)[k].as_py()).decode()
-            doc_ids, counts = batch.column(0)[k].values, np.array(batch.column(1)[k].values, dtype=np.int64)
+        for part, shard, doc_ids, counts, matrix in zip(*batch.columns):
+            ids = WaveletMatrix(matrix.as_py()).decode()
+            counts = np.array(counts.values, dtype=np.int64)
             ends = np.cumsum(counts)
             crc = [tokens.crc32(ids[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
-            start = batch.column(3)[k].as_py() + ends - counts
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            same = [pa.array([x.as_py()] * len(counts), pa.int32()) for x in (part, shard)]
+            yield pa.RecordBatch.from_arrays([*same, doc_ids.values, pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards' matrices alone.
 
-    Tokens before a shard: a running sum over the range partitions' totals (a row each) and one within each.
+    Tokens before a shard: a running sum over the range partitions' totals (a row each) and one within each. They
+    are joined to the digests, so that no matrix is shuffled.
     """
     sizes = shards.select("part", "shard", "n_tokens")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("within")).alias("start"))
-    rows = shards.join(starts, ["part", "shard"]).select("doc_ids", "doc_tokens", "matrix", "start")
-    return rows.mapInArrow(_digest_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = sizes.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("within")).alias("shard_start"))
+    rows = shards.select("part", "shard", "doc_ids", "doc_tokens", "matrix").mapInArrow(_digest_task, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
