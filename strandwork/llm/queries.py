@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwork.llm import op1_ogg, op3_mixing, op4_language, op7_wavelet, op9_packing, op10_forest
+from strandwork.llm import op1_ogg, op2_jaccard, op3_mixing, op4_language, op7_wavelet, op9_packing, op10_forest
 from strandwork.llm.common import Scratch, documents
 
 
@@ -27,6 +27,10 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_jaccard.similar_classes(spark, documents(spark, sf_dir), Scratch(spark, "op2"))
+
+
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_mixing.mix(spark, documents(spark, sf_dir), Scratch(spark, "op3")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_forest.judge(spark, documents(spark, sf_dir), labels, Scratch(spark, "op10"))
 
 
-QUERIES = (op1_ogg_media, op3_mixing_sources, op4_language_id, op7_wavelet_shards, op9_packing_windows, op10_quality_rules)
+QUERIES = (op1_ogg_media, op2_ngram_jaccard, op3_mixing_sources, op4_language_id, op7_wavelet_shards, op9_packing_windows, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
