@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwork.llm import op1_ogg, op2_jaccard, op3_mixing, op4_language, op7_wavelet, op9_packing, op10_forest
+from strandwork.llm import op1_ogg, op2_jaccard, op3_mixing, op4_language, op5_weak_labels, op6_html, op7_wavelet, op8_chat, op9_packing, op10_forest
 from strandwork.llm.common import Scratch, documents
 
 
@@ -39,10 +39,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_language.identify(spark, documents(spark, sf_dir))
 
 
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_weak_labels.classify(spark, documents(spark, sf_dir))
+
+
+def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", op6_html.extract(F.col("html")).alias("t"))
+    return pages.select("page_id", "t.text", "t.tables")
+
+
 def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_wavelet.read_digests(op7_wavelet.write_shards(spark, documents(spark, sf_dir), Scratch(spark, "op7")))
 
 
+def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_packing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_packing.pack(documents(spark, sf_dir))
 
@@ -52,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_forest.judge(spark, documents(spark, sf_dir), labels, Scratch(spark, "op10"))
 
 
-QUERIES = (op1_ogg_media, op2_ngram_jaccard, op3_mixing_sources, op4_language_id, op7_wavelet_shards, op9_packing_windows, op10_quality_rules)
+QUERIES = (op1_ogg_media, op2_ngram_jaccard, op3_mixing_sources, op4_language_id, op5_weak_label_quality, op6_html_layout, op7_wavelet_shards, op8_chat_snapshots, op9_packing_windows, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -60,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_sources": op3_mixing.ORACLE_SQL}
+    return {"op3_mixing_sources": op3_mixing.ORACLE_SQL, "op8_chat_snapshots": op8_chat.ORACLE_SQL}
