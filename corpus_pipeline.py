@@ -1,11 +1,73 @@
-"""The corpus pipeline."""
+"""From raw documents to packed training windows: five stages, each over all that the one before kept.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver writes it and hands it to the next. All
+but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from strandwork.llm import op2_jaccard, op3_mixing, op4_language, op5_weak_labels, op9_packing
+from strandwork.llm.common import Scratch
+
+#: A text whose best language has less than this part of all known n-grams' counts is in no learned language.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, or in none of the learned languages, go."""
+    held = F.coalesce(op4_language.remainder(F.col("doc_id")) == 2, F.lit(False))
+    guess = op4_language.predict(spark, op4_language.fit(docs.where(~held)))
+    scored = docs.withColumn("_guess", guess(F.col("text")))
+    return scored.where((F.col("_guess.lang") != op4_language.UNKNOWN) & (F.col("_guess.score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that score below its threshold go."""
+    _, linear = op5_weak_labels.fit(docs)
+    return docs.where(op5_weak_labels.scorer(spark, linear)(F.col("text")) >= op5_weak_labels.THRESHOLD)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of similar documents the one with the least id stays, once.
+
+    Documents without an id cannot be named by the join; of these, equal texts stay once, unless a document with an
+    id is in their group.
+    """
+    classes = op2_jaccard.similar_classes(spark, docs, Scratch(spark, "dedupe"))
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return rows.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: every document as often as the mix takes it."""
+    plan = op3_mixing.mix(spark, docs, Scratch(spark, "mix"))
+    return op3_mixing.repeat(docs, plan)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: token pieces of all documents in windows."""
+    return op9_packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("quality_classifier", keep_good_quality),
+    ("ngram_jaccard_join", keep_one_of_similar),
+    ("mixing_sources", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: Language models, vote patterns and token ids have no SQL; tests/llm holds the brute-force version of each stage.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of `sf_dir`, each written and read again before the next."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
