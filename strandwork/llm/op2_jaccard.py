@@ -6,11 +6,11 @@ to one element and m - k exactly, with m + k = H + 1, any two linked sets match
 by the sum of its hashes in each segment, and in the k segments also by every sum less one element. For each
 band, k is where the expected cost of index entries and of chance matches is least.
 
-Sets with equal entries are candidates. Each set is first compared with the least set that shares most entries
-with it; what that links is one component. Then every pair of different components that share an entry is
-compared, after a bound by 1024-bit parity sketches inside the join. Both comparisons count common hashes, so the
-links are exact up to collisions of 64-bit hashes. Exact copies are one set from the start, and no pair within a
-component is ever listed.
+Sets with equal entries are candidates. In a few star rounds each set is compared with one other: the set that is
+met most often among those with its entries, which in a family of near copies is what they were copied from. What
+links is one component. Then every pair of sets of different components that share an entry is compared, after a
+bound by 1024-bit parity sketches inside the join. All comparisons count common hashes, so the links are exact up to
+collisions of 64-bit hashes. Exact copies are one set from the start, and no pair within a component is ever listed.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BAND_RATIO = 1.35
 #: Cost of comparing a chance match, in index entries.
 MATCH_COST = 0.5
 SKETCH_WORDS = 16
+#: Star rounds before all pairs of different components that are left.
+STARS = 2
 _SEGMENT, _LAYOUT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -193,32 +195,48 @@ def similar_classes(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, i
     return out
 
 
+def _merged(roots: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, root) after the roots themselves have been merged."""
+    top = merged.select(F.col("node").alias("r"), F.col("root").alias("top"))
+    moved = roots.join(top, F.col("root") == F.col("r"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(merged.join(roots.select("node"), "node", "left_anti").select("node", "root"))
+
+
 def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Scratch, words: int, percent: int, lows: np.ndarray, layouts: dict[int, Layout]) -> DataFrame:
     """(key, root) of the sets that link to another set."""
     index = scratch.table(source.select("text").mapInArrow(lambda it: _index_task(it, words, lows, percent, layouts), "entry long, key long"), "index")
-    shared = index.groupBy("entry").agg(F.min("key").alias("hub"), F.max("key").alias("most")).where("hub < most").select("entry", "hub")
+    shared = index.groupBy("entry").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("met")).where("lo < hi").select("entry", "met")
     members = scratch.table(index.join(shared, "entry").distinct(), "members")
     scratch.drop("index")
-    wanted = members.select("key").distinct().join(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("at")), "key")
-    texts = source.join(wanted, source["doc_id"].eqNullSafe(wanted["at"])).select("text", "key")
-    schema = "key long, n long, hashes binary, " + ", ".join(f"w{k} long" for k in range(SKETCH_WORDS))
-    sets = scratch.table(texts.mapInArrow(lambda it: _set_task(it, words), schema), "sets")
-    # each set against the least set of most entries that it shares
-    by_hub = members.where("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
-    first = by_hub.groupBy("key").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    roots = components(_linked(first, sets, percent), scratch, "first")
-    # what is left: pairs of different components that share an entry
-    placed = members.select("entry", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("entry", "key", F.coalesce("root", "key").alias("root"))
-    placed = scratch.table(placed, "placed")
-    open_entries = placed.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("entry")
-    sketched = scratch.table(placed.join(open_entries, "entry").join(sets.drop("hashes"), "key"), "open")
-    a, b = sketched.alias("a"), sketched.alias("b")
-    near = a.join(b, (F.col("a.entry") == F.col("b.entry")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _near("a", "b", percent))
-    pairs = scratch.table(near.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).distinct(), "pairs")
-    scratch.drop("open", "placed", "members")
-    linked = _linked(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    merged = components(linked, scratch, "second")
-    scratch.drop("sets", "pairs")
-    final = roots.join(merged.select(F.col("node").alias("r"), F.col("root").alias("top")), F.col("root") == F.col("r"), "left").select(F.col("node").alias("key"), F.coalesce("top", "root").alias("root"))
-    alone = merged.join(roots, "node", "left_anti").select(F.col("node").alias("key"), "root")
-    return final.unionByName(alone)
+    nodes = members.groupBy("key").agg(F.sum("met").alias("met"))
+    nodes = nodes.join(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("at")), "key")
+    texts = source.join(nodes.select("key", "at"), source["doc_id"].eqNullSafe(F.col("at"))).select("text", "key")
+    sketch = [f"w{k}" for k in range(SKETCH_WORDS)]
+    sets = scratch.table(texts.mapInArrow(lambda it: _set_task(it, words), "key long, n long, hashes binary, " + ", ".join(f"{w} long" for w in sketch)), "sets")
+    about = scratch.table(nodes.select("key", "met").join(sets.drop("hashes"), "key"), "about")
+    roots = spark.createDataFrame([], "node long, root long")
+    for turn in range(STARS + 1):
+        placed = scratch.table(members.select("entry", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("entry", "key", F.coalesce("root", "key").alias("root")), f"placed-{turn}")
+        left = placed.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("entry")
+        a = scratch.table(placed.join(left, "entry").join(about, "key"), f"open-{turn}")
+        scratch.drop(f"placed-{turn}")
+        if turn < STARS:  # another component each turn, in it the set met most often
+            hub = F.struct("key", "root", "n", *sketch)
+            first = F.lit(0) if turn == 0 else F.xxhash64("root", F.lit(turn))
+            b = a.groupBy("entry").agg(F.max_by(hub, F.struct(first, "met", "key")).alias("h")).select("entry", "h.*")
+            apart = F.col("a.root") != F.col("b.root")
+        else:
+            b, apart = a, (F.col("a.root") != F.col("b.root")) & (F.col("a.key") < F.col("b.key"))
+        near = a.alias("a").join(b.alias("b"), (F.col("a.entry") == F.col("b.entry")) & apart & _near("a", "b", percent))
+        pairs = near.groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).agg(F.count(F.lit(1)).alias("n"))
+        if turn < STARS:  # of a set's hubs the one with most common entries
+            pairs = pairs.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("n", "b")).alias("h")).select("a", "ra", "h.*")
+        pairs = scratch.table(pairs.select("a", "b", "ra", "rb"), f"pairs-{turn}")
+        scratch.drop(f"open-{turn}")
+        linked = _linked(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        linked = scratch.table(linked, f"linked-{turn}")
+        if not linked.isEmpty():
+            roots = scratch.table(_merged(roots, components(linked, scratch, f"turn-{turn}")), f"roots-{turn}")
+        scratch.drop(f"pairs-{turn}", f"linked-{turn}")
+    scratch.drop("sets", "members", "about")
+    return roots.withColumnRenamed("node", "key")
