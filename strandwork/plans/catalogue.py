@@ -251,7 +251,7 @@ def beat_positions(t):
 
 
 # --- aggregates ------------------------------------------------------------------------------------------------------------
-_HOURLY = "WITH h AS (SELECT event_type, (epoch(ts) // 3600)::BIGINT AS bar, sqrt(avg(value * value)) AS rms FROM events GROUP BY 1, 2)"
+_HOURLY = "WITH h AS (SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS bar,sqrt(avg(value * value)) AS rms FROM events GROUP BY 1, 2)"
 
 
 def hourly(t) -> DataFrame:
@@ -611,14 +611,14 @@ def even_sample(t):
 @query(
     """WITH s AS (SELECT o_custkey AS plan, o_orderkey AS idx, o_totalprice / 500000 AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
     b AS (SELECT *, (k - 1) * 32 AS a, k * 32 AS e, lag(g) OVER (PARTITION BY plan ORDER BY idx) AS p, max(k * 32) OVER (PARTITION BY plan) AS last FROM s)
-    SELECT plan, idx, greatest(0, a - 4) AS from_beat, least(last, a + 4) AS to_beat, round(p, 6) AS gain_from, round(g, 6) AS gain_to FROM b WHERE p IS NOT NULL AND abs(p - g) >= 0.001"""
+    SELECT plan, idx, greatest(0, a - 4) AS from_beat, least(last, a + 4) AS to_beat, p AS gain_from, g AS gain_to FROM b WHERE p IS NOT NULL AND abs(p - g) >= 0.001"""
 )
 def gain_transitions(t):
     k = F.row_number().over(seq.by(["o_custkey"], ["o_orderkey"]))
     rows = t("orders").select(c("o_custkey").alias("plan"), c("o_orderkey").alias("idx"), (c("o_totalprice") / 500000).alias("g"), k.alias("k"))
     rows = rows.select("plan", "idx", "g", ((c("k") - 1) * 32).alias("start_beat"), (c("k") * 32).alias("end_beat"), F.lit(8).alias("transition_beats"))
     out = seq.transitions(rows, ["plan"], "idx", "g")
-    return out.select("plan", "idx", c("from_beat").cast("bigint").alias("from_beat"), c("to_beat").cast("bigint").alias("to_beat"), F.round("gain_from", 6).alias("gain_from"), F.round("gain_to", 6).alias("gain_to"))
+    return out.select("plan", "idx", c("from_beat").cast("bigint").alias("from_beat"), c("to_beat").cast("bigint").alias("to_beat"), "gain_from", "gain_to")
 
 
 @query(
@@ -726,7 +726,10 @@ def video_ids(t):
     return t("pages").select("page_id", urls.video_id(u).alias("video_id"), urls.normalized(u).alias("normal"))
 
 
-@query("SELECT doc_id, 'Artist ' || doc_id AS artist, CASE WHEN doc_id % 3 = 0 THEN 'Song - Part ' || source ELSE 'Song ' || source END AS title FROM documents WHERE doc_id % 7 <> 0")
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 'Artist ' || doc_id ELSE 'Artist ' || doc_id || ' Song' END AS artist,
+    CASE WHEN doc_id % 7 = 0 THEN 'Part ' || source WHEN doc_id % 3 = 0 THEN 'Song - Part ' || source ELSE 'Song ' || source END AS title FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 = 0"""
+)
 def filename_parse(t):
     name = F.concat(F.lit("0"), (c("doc_id") % 9 + 1).cast("string"), F.lit(". Artist_"), c("doc_id").cast("string"), F.when(c("doc_id") % 7 == 0, F.lit("_")).otherwise(F.lit(" - ")), F.when(c("doc_id") % 3 == 0, F.lit("Song - Part ")).otherwise(F.lit("Song ")), c("source"), F.lit(" (Official Audio) [HD] (Live at Home).mp3"))
     rows = t("documents").select("doc_id", text.artist_title(name).alias("p"))
@@ -734,7 +737,7 @@ def filename_parse(t):
 
 
 @query(
-    """SELECT doc_id, s.i AS line, greatest(0, s.i * 61 + 0.25 - 0.5) AS seconds, source || ' ' || s.i AS text FROM documents, (SELECT unnest(range(3)) AS i) s"""
+    """SELECT doc_id, s.i AS line, greatest(0, s.i * 61 + 0.25 - 0.5)::DOUBLE AS seconds, source || ' ' || s.i AS text FROM documents, (SELECT unnest(range(3)) AS i) s"""
 )
 def lrc_explode(t):
     line = lambda k: F.concat(F.lit(f"[{k * 61 // 60}:{k * 61 % 60:02d}.25] "), c("source"), F.lit(f" {k}"))
@@ -750,7 +753,7 @@ def plain_lines(t):
 
 @query("SELECT doc_id, sha256(source || ':' || lang || ':' || lower(trim('  ' || substr(text, 1, 20), ' '))) AS key FROM documents WHERE regexp_full_match(substr(text, 1, 20), '[\\x20-\\x7e]*')")
 def cache_key(t):
-    rows = t("documents").where(F.regexp_like(F.substring("text", 1, 20), F.lit(r"^[\x20-\x7e]*$")))
+    rows = t("documents").where(F.regexp_like(F.substring("text", 1, 20), F.lit(r"^[\x20-\x7e]*\z")))
     return rows.select("doc_id", keys.content_key(c("source"), c("lang"), F.concat(F.lit("  "), F.substring("text", 1, 20))).alias("key"))
 
 
@@ -800,8 +803,8 @@ def tempo_plan(t):
 
 
 @query(
-    f"""WITH t AS (SELECT *, {_TARGET} AS t, 100.0 + l_orderkey % 300 AS da, 90.0 + l_orderkey % 250 AS db FROM ({_BPM}))
-    SELECT l_orderkey, l_linenumber, round(least(least(210, da * 0.75) * v / t, least(210, db * 0.75) * i / t), 6) AS budget FROM t"""
+    f"""WITH t AS (SELECT *, {_TARGET} AS t, (100 + l_orderkey % 300)::DOUBLE AS da, (90 + l_orderkey % 250)::DOUBLE AS db FROM ({_BPM}))
+    SELECT l_orderkey, l_linenumber, round(least(least(210, da * 0.75) * (v / t), least(210, db * 0.75) * (i / t)), 6) AS budget FROM t"""
 )
 def material_budget(t):
     rows = tempos(t).withColumn("t", music.target_bpm(c("v"), c("i")))
@@ -904,7 +907,8 @@ def intents(t) -> DataFrame:
     energy = F.get(F.array(*map(F.lit, ("low", "medium", "high", "peak"))), (c("l_suppkey") % 4).cast("int"))
     role = lambda k: F.get(F.array(*map(F.lit, ("lead", "support", "silent", "texture", "silent", "background"))), ((c("l_partkey") + c("l_linenumber") * k + k * k) % 6).cast("int"))
     roles = F.create_map(*[x for k, s in enumerate(gains.STEMS) for x in (F.lit(s), role(k))])
-    return t("lineitem").select(c("l_orderkey").alias("plan_id"), c("l_linenumber").alias("idx"), label.alias("label"), energy.alias("energy"), roles.alias("stem_roles"))
+    idx = F.row_number().over(seq.by(["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]))
+    return t("lineitem").select(c("l_orderkey").alias("plan_id"), idx.alias("idx"), label.alias("label"), energy.alias("energy"), roles.alias("stem_roles"))
 
 
 def intent_rows(t) -> DataFrame:
@@ -912,9 +916,10 @@ def intent_rows(t) -> DataFrame:
     return rows.withColumn("lufs", F.when(c("pos") % 2 == 0, -10.0 - (c("plan_id") + c("pos") * 7) % 25))
 
 
-_STEM_ROWS = """WITH r AS (SELECT l_orderkey AS plan_id, l_linenumber AS idx, (['intro', 'verse', 'chorus', 'breakdown', 'drop', 'bridge', 'outro'])[(l_linenumber - 1) % 7 + 1] AS label, (['low', 'medium', 'high', 'peak'])[l_suppkey % 4 + 1] AS energy, k AS pos,
+_STEM_ROWS = """WITH l AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS idx FROM lineitem),
+    r AS (SELECT l_orderkey AS plan_id, idx, (['intro', 'verse', 'chorus', 'breakdown', 'drop', 'bridge', 'outro'])[(l_linenumber - 1) % 7 + 1] AS label, (['low', 'medium', 'high', 'peak'])[l_suppkey % 4 + 1] AS energy, k AS pos,
       (['lead_vocals', 'backing_vocals', 'drums', 'bass', 'guitar', 'piano', 'other'])[k + 1] AS stem, (['lead', 'support', 'silent', 'texture', 'silent', 'background'])[(l_partkey + l_linenumber * k + k * k) % 6 + 1] AS role, CASE WHEN k % 2 = 0 THEN -10.0 - (l_orderkey + k * 7) % 25 END AS lufs
-    FROM lineitem, (SELECT unnest(range(7)) AS k)),
+    FROM l, (SELECT unnest(range(7)) AS k)),
     b AS (SELECT *, CASE role WHEN 'lead' THEN 0.92 WHEN 'support' THEN 0.82 WHEN 'background' THEN 0.55 WHEN 'texture' THEN 0.30 ELSE 0 END::DOUBLE * CASE energy WHEN 'low' THEN 0.75 WHEN 'medium' THEN 0.9 WHEN 'high' THEN 1.0 ELSE 1.05 END::DOUBLE
       * CASE WHEN role = 'silent' OR lufs IS NULL THEN 1.0 WHEN lufs < -28 THEN 1.3 WHEN lufs < -23 THEN 1.15 WHEN lufs <= -18 THEN 1.0 WHEN lufs < -13 THEN 0.9 ELSE 0.8 END::DOUBLE AS g0, CASE role WHEN 'support' THEN 0.6 WHEN 'background' THEN 0.4 WHEN 'texture' THEN 0.2 ELSE 0 END::DOUBLE AS floor,
       CASE energy WHEN 'peak' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS e, pos >= 2 AS inst FROM r),
@@ -944,8 +949,8 @@ def song_pairs(t) -> DataFrame:
     return t("orders").select("o_orderkey", (60.0 + c("o_orderkey") % 100).alias("bpm_a"), (120.0 + c("o_custkey") % 240).alias("duration_a"), (70.0 + c("o_custkey") % 90).alias("bpm_b"), (100.0 + c("o_orderkey") % 260).alias("duration_b"))
 
 
-_PAIRS = f"""WITH p AS (SELECT o_orderkey, 60.0 + o_orderkey % 100 AS v, 120.0 + o_custkey % 240 AS da, 70.0 + o_custkey % 90 AS i, 100.0 + o_orderkey % 260 AS db FROM orders), t AS (SELECT *, {_TARGET} AS t FROM p),
-    b AS (SELECT *, greatest(32, (least(floor(t * 210 / 60), floor(t * least(least(210, da * 0.75) * (v / t), least(210, db * 0.75) * (i / t)) / 60)) // 4 * 4)::INTEGER) AS total_beats FROM t)"""
+_PAIRS = f"""WITH p AS (SELECT o_orderkey, (60 + o_orderkey % 100)::DOUBLE AS v, (120 + o_custkey % 240)::DOUBLE AS da, (70 + o_custkey % 90)::DOUBLE AS i, (100 + o_orderkey % 260)::DOUBLE AS db FROM orders), t AS (SELECT *, {_TARGET} AS t FROM p),
+    b AS (SELECT *, greatest(32, (floor(least(floor(t * 210 / 60), floor(t * least(least(210, da * 0.75) * (v / t), least(210, db * 0.75) * (i / t)) / 60)) / 4) * 4)::INTEGER) AS total_beats FROM t)"""
 
 
 @query(_PAIRS + " SELECT o_orderkey, round(t, 6) AS target_bpm, total_beats FROM b")

@@ -96,8 +96,12 @@ def progress_step(highest: float, values: Iterable[float]) -> tuple[float, list[
 
 
 def monotone(stream: DataFrame, key: str, value: str, ttl: str = "1 hour", order: str = "ts") -> DataFrame:
-    """A stream's (key, value) events that exceed every earlier value of their key; keys without events are forgotten after a time."""
-    minutes = pd.Timedelta(ttl).total_seconds() * 1000
+    """A stream's (key, value) events that exceed every earlier value of their key.
+
+    Keys are forgotten when the watermark (as late as `ttl`) passes their last event by `ttl`. Event time decides, so
+    that a run over what is available ends and replays agree.
+    """
+    keep_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -107,11 +111,13 @@ def monotone(stream: DataFrame, key: str, value: str, ttl: str = "1 hour", order
         rows = pd.concat(list(batches)).sort_values(order)
         highest, out = progress_step(highest, rows[value].astype(float).tolist())
         state.update((highest,))
-        state.setTimeoutDuration(int(minutes))
+        last_ms = int(rows[order].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + keep_ms)
         yield pd.DataFrame({key: [k[0]] * len(out), value: out})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {value} double", "highest double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark(order, ttl)
+    return timed.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {value} double", "highest double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def running_ema(stream: DataFrame, key: str, value: str, order: str = "ts", start: float = 600.0, alpha: float = 0.3) -> DataFrame:
