@@ -69,7 +69,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     line_start = np.unique(np.r_[offsets[:-1][np.diff(offsets) > 0], breaks + 1])
     line_start = line_start[line_start < len(data)]
-    line_end = np.minimum(np.r_[line_start[1:], len(data)], len(data))
+    line_end = np.r_[line_start[1:], len(data)][: len(line_start)]
     line_end = line_end - (data[line_end - 1] == 10) if len(line_end) else line_end
     line_row = np.searchsorted(offsets, line_start, "right") - 1
     with_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
