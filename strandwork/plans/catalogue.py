@@ -777,8 +777,8 @@ def error_class(t):
 
 
 _BPM = "SELECT l_orderkey, l_linenumber, l_quantity * 3 + 50 AS v, l_discount * 1000 + 70 AS i FROM lineitem"
-_TARGET = """CASE WHEN abs(v - i) / greatest(v, i) <= 0.04 THEN i WHEN abs(v - i) / greatest(v, i) <= 0.10 THEN i * 0.65 + v * 0.35 WHEN abs(v - i) / greatest(v, i) <= 0.20 OR abs(v - (i * 0.7 + v * 0.3)) / v <= 0.12 THEN i * 0.7 + v * 0.3
-    WHEN v > i * 0.7 + v * 0.3 THEN v * 0.88 ELSE v * 1.12 END"""
+_TARGET = """CASE WHEN abs(v - i) / greatest(v, i) <= 0.04 THEN i WHEN abs(v - i) / greatest(v, i) <= 0.10 THEN i * 0.65 + v * (1 - 0.65::DOUBLE) WHEN abs(v - i) / greatest(v, i) <= 0.20 OR abs(v - (i * 0.7 + v * (1 - 0.7::DOUBLE))) / v <= 0.12 THEN i * 0.7 + v * (1 - 0.7::DOUBLE)
+    WHEN v > i * 0.7 + v * (1 - 0.7::DOUBLE) THEN v * (1 - 0.12::DOUBLE) ELSE v * (1 + 0.12::DOUBLE) END"""
 
 
 def tempos(t) -> DataFrame:
