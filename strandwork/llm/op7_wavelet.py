@@ -36,10 +36,10 @@ def build(ids: np.ndarray) -> bytes:
     compress, blobs, planes = zstandard.ZstdCompressor(level=1).compress, [], []
     order = ids.astype(np.uint16)
     for k in range(BITS):
-        bit = (order >> np.uint16(BITS - 1 - k)) & np.uint16(1) != 0
+        bit = (order & np.uint16(1 << (BITS - 1 - k))) != 0
         packed = np.packbits(bit).tobytes()
         blocks = [compress(packed[i : i + BLOCK_BYTES]) for i in range(0, len(packed), BLOCK_BYTES)]
-        ones = [int(x) for x in np.add.reduceat(bit, np.arange(0, len(bit), BLOCK_BYTES * 8), dtype=np.int64)] if len(bit) else []
+        ones = [int(np.count_nonzero(bit[i : i + BLOCK_BYTES * 8])) for i in range(0, len(bit), BLOCK_BYTES * 8)]
         planes.append({"sizes": [len(b) for b in blocks], "ones": ones})
         blobs += blocks
         order = np.concatenate([order[~bit], order[bit]])
