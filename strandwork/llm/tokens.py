@@ -37,6 +37,13 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a copy twice as long if it is shorter than `size`."""
+    if size <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
+
+
 class Encoder:
     """Encodes texts to unsigned 16-bit ids, each document closed by `end_id`."""
 
@@ -49,16 +56,20 @@ class Encoder:
     def _clear(self) -> None:
         """Words 0 to 3: nothing, the end of a document, a comma, a full stop."""
         self.keys, self.word = np.zeros(self.slots, U64), np.zeros(self.slots, np.int32)
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint16)
+        self.words, self.used = 0, 0  # of start and length, and of flat; the arrays have room for more
+        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat = np.zeros(1024, np.uint16)
         comma, stop = (e.ids for e in self.tokenizer.encode_batch_fast([",", "."], add_special_tokens=False))
         self._append([[], [self.end_id], comma, stop])
 
     def _append(self, ids: list[list[int]]) -> None:
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for word in ids for i in word), np.uint16, int(length.sum()))
-        self.start = np.r_[self.start, len(self.flat) + np.cumsum(length) - length]
-        self.length, self.flat = np.r_[self.length, length], np.r_[self.flat, flat]
+        words, used = self.words + len(length), self.used + len(flat)
+        self.start, self.length, self.flat = _room(self.start, words), _room(self.length, words), _room(self.flat, used)
+        self.start[self.words : words] = self.used + np.cumsum(length) - length
+        self.length[self.words : words], self.flat[self.used : used] = length, flat
+        self.words, self.used = words, used
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Word index of each hash, or -1."""
@@ -74,7 +85,7 @@ class Encoder:
         return found
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        index = np.arange(len(self.length), len(self.length) + len(words), dtype=np.int32)
+        index = np.arange(self.words, self.words + len(words), dtype=np.int32)
         at = (hashes & U64(self.slots - 1)).astype(np.int64)
         left = np.arange(len(hashes))
         while len(left):
@@ -89,7 +100,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a buffer, and where each row's begin (one more entry than rows)."""
-        if len(self.length) > self.slots // 2:
+        if self.words > self.slots // 2:
             self._clear()
         if b"<|" not in data.tobytes():  # where a special token may stand, case counts
             data = LOWER[data]
