@@ -52,7 +52,8 @@ def test_replay_equals_a_loop(spark):
 def test_compress_lowers_peaks_only():
     quiet = 0.01 * np.sin(np.arange(8000) / 10)
     loud = np.sin(np.arange(8000) / 10)
-    assert np.allclose(np.abs(kernels.compress(quiet, 8000)).max() / np.abs(quiet).max(), np.abs(kernels.compress(quiet, 8000)).max() / 0.01, rtol=0.1)
+    gain = lambda x: np.abs(kernels.compress(x, 8000)[4000:]).max() / np.abs(x).max()
+    assert gain(loud) <= gain(quiet) + 1e-9
     assert np.abs(kernels.compress(loud, 8000)[4000:]).max() <= np.abs(loud).max() + 1e-9
 
 
