@@ -13,6 +13,8 @@ from strandwork.llm.common import Scratch
 
 #: A text whose best language has less than this part of all known n-grams' counts is in no learned language.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Words of a shingle and least similarity, in percent, of near copies; the query of op2 has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Documents without an id cannot be named by the join; of these, equal texts stay once, unless a document with an
     id is in their group.
     """
-    classes = op2_jaccard.similar_classes(spark, docs, Scratch(spark, "dedupe"))
+    classes = op2_jaccard.similar_classes(spark, docs, Scratch(spark, "dedupe"), words=NEAR_WORDS, percent=NEAR_PERCENT)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
