@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from strandwork.llm.common import Scratch
 from strandwork.llm.stats import FIELDS, rule_statistics
 
-#: Documents (about; a hash decides) that span the box and, labelled good, from which trees draw; trees, documents of a tree, levels.
+#: Documents labelled good (about; a hash decides) from which trees draw; trees, documents of a tree, levels.
 SAMPLE_DOCS, TREES, TREE_DOCS, LEVELS = 8192, 100, 256, 10
 SEED = 7
 #: Largest share of good labelled documents that the threshold may drop, and bins of scores in its search.
@@ -108,6 +108,13 @@ def _sample(rows: DataFrame, n: int) -> np.ndarray:
     return x[np.lexsort(x.T)]
 
 
+def _box(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest value of each feature over all rows; zeros without a row."""
+    found = rows.agg(*[f(F.col("x")[k]) for f in (F.min, F.max) for k in range(8)]).first()
+    low, high = np.array([0.0 if v is None else v for v in found]).reshape(2, 8)
+    return low, high
+
+
 def threshold(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS) -> float:
     """The score that best parts labelled rows: most bad above it less good above it, with at most `max_loss` of the good.
 
@@ -129,9 +136,9 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
 
     `base_failed`: fewer than 20 words, or more than 30 % of them in repeated 8-word windows. `kept`: not failed
     and no anomaly. Null texts have no words. Null ids and repeated rows are judged by their text; labels with a
-    null id, or an id twice, count as they stand. The statistics of all texts are measured once; about `sample_docs`
-    documents that pass the base rules span the box, as many labelled good (or, without any, the same) fill the trees,
-    and all labelled ones set the threshold. An empty table gives no rows.
+    null id, or an id twice, count as they stand. The statistics of all texts are measured once; all documents that
+    pass the base rules span the box, about `sample_docs` of them that are labelled good (or, without any, of all)
+    fill the trees, and all labelled ones set the threshold. An empty table gives no rows.
     """
     s = lambda f: F.col(f"s.{f}")
     measured = docs.select(F.col(id_col).alias("doc_id"), rule_statistics(F.col(text_col)).alias("s"))
@@ -139,9 +146,8 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
     measured = scratch.table(measured.select("doc_id", *[s(f).alias(f) for f in BASE], failed.alias("base_failed"), features(s).alias("x")), "stats")
     passed, marks = measured.where(~F.col("base_failed")), labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     good = passed.join(marks.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    box, x = _sample(passed, sample_docs), _sample(good, sample_docs)
-    x = x if len(x) else box
-    low, high = (box.min(0), box.max(0)) if len(box) else (np.zeros(8), np.zeros(8))
+    x, (low, high) = _sample(good, sample_docs), _box(passed)
+    x = x if len(x) else _sample(passed, sample_docs)
     scored = measured.withColumn("anomaly", _scorer(spark, IsolationForest.fit(x, low, high))(F.col("x"))).drop("x")
     limit = threshold(scored.where(~F.col("base_failed")), marks, max_loss)
     return scored.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.col("anomaly") < limit)).alias("kept"), "anomaly")
