@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +20,7 @@ from pyspark.sql import Column, functions as F
 #: Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe object video audio canvas svg math datalist noembed noframes param".split())
+HIDDEN = frozenset("head script style template noscript title iframe object video audio canvas datalist noembed noframes param annotation annotation-xml".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr".split())
 BLOCKS = PARAGRAPHS | frozenset("html body address article aside center dd details dialog div dir dt fieldset figcaption footer form header hgroup legend li main menu nav option optgroup search section select summary caption tr td th thead tbody tfoot".split())
 #: Opening one of these ends an open element of those, unless one of the last stands between.
@@ -33,10 +35,13 @@ ENDS = (
 )
 #: An end tag does not reach beyond these.
 SCOPES = frozenset("table td th caption".split())
-#: Elements deeper than this become children of the one at this depth.
-MAX_DEPTH = 120
-#: A column wider than this is not padded, so that tables that lay out whole pages do not blow up.
+#: Elements of a drawing that are shown as text, and those whose content is shown only where it is used, or never.
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_UNSHOWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
+#: In tables of several columns, running text wraps at this width.
 MAX_COLUMN = 60
+#: Most Python calls that lay out one level of elements.
+CALLS = 8
 
 _token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _attribute = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -60,23 +65,25 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def parse(page: str) -> tuple[Node, set[str]]:
-    """The tree of a page, and the simple selectors (tag, .class, #id) that its style sheets hide."""
-    root, hidden, at = Node("html"), set(), 0
-    stack = [root]
+def parse(page: str) -> tuple[Node, set[str], int]:
+    """The tree of a page, the simple selectors (tag, .class, #id) that its style sheets hide, and the tree's depth."""
+    root, hidden, at, deepest = Node("html"), set(), 0, 1
+    stack, opened = [root], Counter()  # open elements, and how many of each tag: what is not open is not looked for
 
     def text(raw: str) -> None:
         if raw:
             stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
+    def cut(depth: int) -> None:
+        opened.subtract(node.tag for node in stack[depth:])
+        del stack[depth:]
+
     def close(tags: frozenset, barrier: frozenset) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
+        depth = len(stack) - 1
+        while depth > 0 and any(opened[t] for t in tags) and stack[depth].tag not in barrier - tags:
             if stack[depth].tag in tags:
-                del stack[depth:]
-                close(tags, barrier)
-                return
-            if stack[depth].tag in barrier:
-                return
+                cut(depth)
+            depth -= 1
 
     while m := _token.search(page, at):
         text(page[at : m.start()])
@@ -87,9 +94,9 @@ def parse(page: str) -> tuple[Node, set[str]]:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            close_at = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag or stack[d].tag in SCOPES and tag not in ("table", "tr", "thead", "tbody", "tfoot", *SCOPES)), 0)
+            close_at = opened[tag] and next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag or stack[d].tag in SCOPES and tag not in ("table", "tr", "thead", "tbody", "tfoot", *SCOPES)), 0)
             if close_at and stack[close_at].tag == tag:
-                del stack[close_at:]
+                cut(close_at)
             continue
         for opening, ended, barrier in ENDS:
             if tag in opening:
@@ -106,10 +113,11 @@ def parse(page: str) -> tuple[Node, set[str]]:
             elif tag == "textarea":
                 node.children.append(html.unescape(body))
         elif tag not in VOID and not m[3].endswith("/") or tag not in VOID and tag in BLOCKS:
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
+            stack.append(node)
+            opened[tag] += 1
+            deepest = max(deepest, len(stack))
     text(page[at:])
-    return root, hidden
+    return root, hidden, deepest
 
 
 def _invisible(node: Node, rules: set[str]) -> bool:
@@ -183,6 +191,8 @@ class _Flow:
             self.gap = 1
         elif tag == "details" and "open" not in node.attrs:
             self.children(Node("div", children=[c for c in node.children if not isinstance(c, str) and c.tag == "summary"]))
+        elif tag == "svg":
+            self.drawing(node)
         elif tag == "table":
             self.space(1)
             self.put(_table(node, self))
@@ -210,6 +220,17 @@ class _Flow:
         else:
             self.children(node, pre)
 
+    def drawing(self, node: Node) -> None:
+        for child in node.children:
+            if isinstance(child, str) or child.tag in SVG_UNSHOWN or _invisible(child, self.rules):
+                continue
+            if child.tag in SVG_TEXT:
+                self.words.append(" ")
+                self.children(child)
+                self.words.append(" ")
+            else:
+                self.drawing(child)
+
     def items(self, node: Node) -> None:
         try:
             number = int(node.attrs.get("start", "1"))
@@ -236,6 +257,25 @@ def _span(cell: Node, name: str) -> int:
     return max(1, min(100, int(value))) if value.isascii() and value.isdigit() else 1
 
 
+def _wrapped(lines: list[str], width: int) -> list[str]:
+    """Running text in lines of at most `width` where it can break; preformatted and aligned lines as they stand."""
+    out: list[str] = []
+    for line in lines:
+        body = line.lstrip(" ")
+        indent = " " * (len(line) - len(body))
+        if len(line) > width and "  " not in body:
+            line, *rest = body.split(" ")
+            for word in rest:
+                if len(indent) + len(line) + 1 + len(word) > width:
+                    out.append(indent + line)
+                    line = word
+                else:
+                    line += " " + word
+            line = indent + line
+        out.append(line)
+    return out
+
+
 def _table(table: Node, flow: _Flow) -> list[str]:
     flow.tables += 1
     rows: list[list[Node]] = []
@@ -270,6 +310,8 @@ def _table(table: Node, flow: _Flow) -> list[str]:
             column += width
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
         grid.append(cells)
+    if any(column + width > 1 for cells in grid for column, width, _ in cells):
+        grid = [[(column, width, _wrapped(lines, MAX_COLUMN * width)) for column, width, lines in cells] for cells in grid]
     widths: dict[int, int] = {}
     for span in (True, False):
         for cells in grid:
@@ -278,7 +320,7 @@ def _table(table: Node, flow: _Flow) -> list[str]:
                 if (width == 1) == span:
                     inside = sum(widths.get(c, 0) + 2 for c in range(column, column + width - 1)) if width > 1 else 0
                     last = column + width - 1
-                    widths[last] = max(widths.get(last, 0), min(MAX_COLUMN, longest - inside))
+                    widths[last] = max(widths.get(last, 0), longest - inside)
     starts, at = {}, 0
     for column in range(max(widths, default=-1) + 1):
         starts[column] = at
@@ -298,9 +340,13 @@ def _table(table: Node, flow: _Flow) -> list[str]:
 
 def render(page: str | None) -> tuple[str, int]:
     """Visible text of a page, and how many tables it has. A null page is empty; what is no HTML is one text."""
-    root, rules = parse((page or "").replace("\x00", ""))
-    flow = _Flow(rules)
-    flow.children(root)
+    root, rules, depth = parse((page or "").replace("\x00", ""))
+    flow, limit = _Flow(rules), sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + CALLS * depth)
+    try:
+        flow.children(root)
+    finally:
+        sys.setrecursionlimit(limit)
     flow.flush()
     return "\n".join(flow.lines).strip("\n"), flow.tables
 
@@ -313,7 +359,6 @@ def _render_column(pages: pa.Array) -> pa.Array:
 def extract(page: Column) -> Column:
     """struct<text, tables> of a column of HTML pages.
 
-    Null and empty pages give an empty text. Equal pages give equal texts. Pages are read whole; elements nested deeper
-    than MAX_DEPTH are laid out as if they stood at that depth, so none of their text is lost.
+    Null and empty pages give an empty text. Equal pages give equal texts. Pages are read whole, at any depth of elements.
     """
     return F.arrow_udf(_render_column, "text string, tables int")(page.cast("string"))
