@@ -6,7 +6,7 @@ but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandwork.llm import op2_jaccard, op3_mixing, op4_language, op5_weak_labels, op9_packing
 from strandwork.llm.common import Scratch
@@ -31,23 +31,32 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.where(op5_weak_labels.scorer(spark, linear)(F.col("text")) >= op5_weak_labels.THRESHOLD)
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """`docs`, written once with a number of its own for each row in `_row`, since ids may be null or stand twice."""
+    return scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of similar documents the one with the least id stays, once.
 
-    Documents without an id cannot be named by the join; of these, equal texts stay once, unless a document with an
-    id is in their group.
+    A document without an id stays only if none of its group has one; ties go by source, language and text.
+    Documents without a word are in no group.
     """
-    classes = op2_jaccard.similar_classes(spark, docs, Scratch(spark, "dedupe"), words=NEAR_WORDS, percent=NEAR_PERCENT)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return rows.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").select(*docs.columns)
+    scratch = Scratch(spark, "dedupe")
+    rows = numbered(docs, scratch)
+    classes = op2_jaccard.similar_classes(spark, rows, scratch, id_col="_row", words=NEAR_WORDS, percent=NEAR_PERCENT)
+    classes = classes.select(F.col("doc_id").alias("_row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", F.xxhash64("text"), F.col("_row").alias("row"))
+    kept = rows.select("_row", rank.alias("rank")).join(classes, "_row").groupBy("component_id").agg(F.min("rank")["row"].alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: every document as often as the mix takes it."""
-    plan = op3_mixing.mix(spark, docs, Scratch(spark, "mix"))
-    return op3_mixing.repeat(docs, plan)
+    scratch = Scratch(spark, "mix")
+    rows = numbered(docs, scratch)
+    plan = op3_mixing.mix(spark, rows, scratch, keep=["_row"])
+    return op3_mixing.repeat(rows, plan, id_col="_row", plan_id_col="_row").select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

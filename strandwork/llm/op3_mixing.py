@@ -43,14 +43,14 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return sources.select("source_key", "source_size", target.alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, whole, extra, taken) of every document.
 
     `size` counts words, null texts have none. `whole` is how often a document is taken whole, `extra` how many
     of its first words are taken once more, `taken` = whole * size + extra <= max_epochs * size. The taken words of
     a source differ from its target by less than one word. A null source is a source of its own and sorts last;
     null ids are allowed; rows with equal ids are documents of their own; an empty table gives no rows; a source
-    without words has target 0. Other columns are not read. The seeded hash makes reruns agree.
+    without words has target 0. Columns `keep` follow and settle ties; other columns are not read. The seeded hash makes reruns agree.
 
     A source may hold any share of the rows: sums are partial before they are shuffled, and its running sum is
     split by leading digits of the hash.
@@ -62,6 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_col: str =
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("source_key"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("turn"),
+        *keep,
     ).withColumn("part", F.substring("turn", 1, SPLIT_DIGITS))
     sized = scratch.table(sized, "sized")
     targets = source_targets(sized, weights, max_epochs)
@@ -69,14 +70,14 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_col: str =
     parts = sized.groupBy("source_key", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.select("source_key", "part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("part_start"))
     parts = parts.join(targets, "source_key")
-    within = Window.partitionBy("source_key", "part").orderBy("turn", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_key", "part").orderBy("turn", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
     placed = sized.join(parts, ["source_key", "part"]).withColumn("start", F.col("part_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     room = F.round("target").cast("long") - F.col("whole") * F.col("source_size") - F.col("start")
     return (
         placed.withColumn("whole", whole)
         .withColumn("extra", F.greatest(F.lit(0), F.least("size", room)))
-        .select("doc_id", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), *keep)
     )
 
 
@@ -86,14 +87,14 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, 1, n.cast("int")), "")
 
 
-def repeat(docs: DataFrame, plan: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
-    """Each document as often as `plan` (from `mix`, one row an id) takes it; the columns of `docs`.
+def repeat(docs: DataFrame, plan: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", plan_id_col: str = "doc_id") -> DataFrame:
+    """Each document as often as `plan` (from `mix`, one row an id, which is its `plan_id_col`) takes it; the columns of `docs`.
 
     The last repetition may be a beginning of the text, whose length then replaces `n_chars_col`. Ids of `docs`
     must be unique; of repeated ids every row is repeated by every plan row of the id.
     """
     names = docs.columns
-    chosen = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra")).where("_whole > 0 or _extra > 0")
+    chosen = plan.select(F.col(plan_id_col).alias("_id"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra")).where("_whole > 0 or _extra > 0")
     rows = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")))
     times = (F.col("_whole") + (F.col("_extra") > 0).cast("int")).cast("int")
     rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), times)))
