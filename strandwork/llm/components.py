@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from strandwork.llm.common import Scratch
@@ -16,7 +18,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     both = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
     labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{name}-0")
-    for turn in range(1, 200):
+    for turn in count(1):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = lower.select(F.col("node").alias("of"), F.col("root").alias("next"))
@@ -26,4 +28,3 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if labels_now.where("root <> old").isEmpty():
             scratch.drop(f"{name}-edges")
             return labels
-    raise RuntimeError("components did not settle")

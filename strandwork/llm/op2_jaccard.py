@@ -3,14 +3,19 @@
 Two sets of sizes p and q whose Jaccard similarity is at least t % differ in at most H = (100-t)(p+q)/(100+t)
 elements. A band of sizes splits the universe of shingle hashes into m segments. If k of these are matched up
 to one element and m - k exactly, with m + k = H + 1, any two linked sets match in some segment. A set is indexed
-by the sum of its hashes in each segment, and in the k segments also by every sum less one element. For each
-band, k is where the expected cost of index entries and of chance matches is least.
-
-Sets with equal entries are candidates. In a few star rounds each set is compared with one other: the set that is
-met most often among those with its entries, which in a family of near copies is what they were copied from. What
-links is one component. Then every pair of sets of different components that share an entry is compared, after a
-bound by 1024-bit parity sketches inside the join. All comparisons count common hashes, so the links are exact up to
-collisions of 64-bit hashes. Exact copies are one set from the start, and no pair within a component is ever listed.
+by the sum of its hashes in each segment, and in the k segments also by every sum less one element. Segments in
+which a set has nothing would match by chance, so a layout has some more (its slack): a set with at most so many
+of them matches any linked set elsewhere too, and does not index them. For each band, k and the slack are where the
+expected cost of index entries and of chance matches is least.
+
+Most sets of a corpus link with nothing, and need no index: of a set's least hashes, one more than may be missing
+from a linked set plus some, that many at least are among the least hashes of another set, or the set is left out.
+Of the others, sets with equal entries are candidates. In a few star rounds each set is compared with one other: the
+set that is met most often among those with its entries, which in a family of near copies is what they were copied
+from. What links is one component. Then every pair of sets of different components that share an entry is compared.
+Candidates pass a bound by 1024-bit parity sketches first; then common hashes are counted, so the links are exact up
+to collisions of 64-bit hashes. Exact copies are one set from the start, and no pair within a component is ever
+listed. Members of an entry are joined in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandwork.llm.common import Scratch
 from strandwork.llm.components import components
@@ -30,11 +35,13 @@ from strandwork.llm.text import LOWER, U64, chunks, mix, shingles
 WORDS, PERCENT = 3, 90
 #: Least ratio of a band's largest to its smallest size.
 BAND_RATIO = 1.35
-#: Cost of comparing a chance match, in index entries.
-MATCH_COST = 0.5
+#: Cost of comparing a chance match, in index entries, and the part of them that the slack cannot spare.
+MATCH_COST, STRAY = 0.5, 0.02
 SKETCH_WORDS = 16
 #: Star rounds before all pairs of different components that are left.
 STARS = 2
+#: Members of an entry that are joined in one block, and hashes that are indexed at once.
+BLOCK, INDEX_HASHES = 512, 1 << 18
 _SEGMENT, _LAYOUT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -46,6 +53,7 @@ class Layout:
     high: int
     segments: int
     deletions: int
+    slack: int = 0
 
 
 def bands(percent: int) -> np.ndarray:
@@ -57,21 +65,31 @@ def bands(percent: int) -> np.ndarray:
 
 
 def allocate(low: int, high: int, sets: int, percent: int, deletions: int | None = None) -> Layout:
-    """The split of H + 1 into exact and one-deletion segments that costs least for so many sets."""
+    """The split of H + 1 into exact and one-deletion segments, and the slack, that cost least for so many sets."""
     most = 2 * high * (100 - percent) // (100 + percent)
     if most == 0:
         return Layout(low, high, 0, 0)
     least = max(1, -(-low * percent // 100))
 
-    def cost(k: int) -> float:
-        m = most + 1 - k
+    def layout(k: int, slack: int) -> tuple[float, int]:
+        m = most + 1 + slack - k
         mean = least / m
-        chance = math.exp(-2 * mean) * (m - k + k * (1 + 2 * mean))
-        return sets * (m + k * (low + high) / 2 / m) + MATCH_COST * sets * sets * chance
-
-    top = (most + 1) // 2
-    k = min(range(top + 1), key=cost) if deletions is None else min(deletions, top)
-    return Layout(low, high, most + 1 - k, k)
+        empty, few = math.exp(-mean), math.exp(-mean) * (1 + mean)
+        expected = (m - k) * empty + 2 * k * few  # weight of the segments with nothing to match by
+        spread = math.sqrt((m - k) * empty * (1 - empty) + 4 * k * few * (1 - few))
+        beyond = 0.5 * math.erfc((slack + 1 - expected) / max(spread, 1e-9) / math.sqrt(2))
+        chance = ((m - k) + k * (1 + 2 * mean)) * math.exp(-2 * mean)
+        return sets * (m + k * (low + high) / 2 / m) + MATCH_COST * sets * sets * chance * (beyond**2 + STRAY), math.ceil(expected + 3 * spread)
+
+    best, top = None, (most + 1) // 2
+    for k in sorted({top * i // 24 for i in range(25)}) if deletions is None else [min(deletions, top)]:
+        slack = 0
+        for _ in range(4):  # more segments have less in each, so the slack that is wanted grows
+            cost, wanted = layout(k, slack)
+            if best is None or cost < best[0]:
+                best = cost, Layout(low, high, most + 1 + slack - k, k, slack)
+            slack = max(slack, wanted)
+    return best[1]
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,57 +102,103 @@ def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield first, last - first, row, value, size, mix(total + size.astype(U64)).view(np.int64)
 
 
+def _band(size: np.ndarray, lows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band of each size, and whether sets of the next band are near enough to link."""
+    band = np.searchsorted(lows, size, "right") - 1
+    return band, 100 * size >= percent * lows[np.maximum(band, 0) + 1]
+
+
 def _key_task(batches: Iterator[pa.RecordBatch], n: int, lows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, rows, _, _, size, key in _sets(batch.column(1), n):
-            band = np.searchsorted(lows, size, "right") - 1
-            up = 100 * size >= percent * lows[np.maximum(band, 0) + 1]
+            band, up = _band(size, lows, percent)
             none = size == 0
-            columns = [batch.column(0).slice(first, rows), pa.array(size), pa.array(key, mask=none), pa.array(band.astype(np.int32), mask=none), pa.array(up)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "band", "up"])
+            columns = [*(batch.column(c).slice(first, rows) for c in (0, 2)), pa.array(size), pa.array(key, mask=none), pa.array(band.astype(np.int32), mask=none), pa.array(up)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "same", "n", "key", "band", "up"])
 
 
-def _index_task(batches: Iterator[pa.RecordBatch], n: int, lows: np.ndarray, percent: int, layouts: dict[int, Layout]) -> Iterator[pa.RecordBatch]:
-    """(entry, key): the index entries of each set that this task meets for the first time."""
-    segments, deletions = np.zeros(len(lows) + 1, np.int64), np.zeros(len(lows) + 1, np.int64)
-    for b, layout in layouts.items():
-        segments[b], deletions[b] = layout.segments, layout.deletions
+def _spare(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many more of its least hashes a set is known by than a linked set may lack."""
+    return size * (100 - percent) // 100 // 2 + 1
+
+
+def _least_task(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(hash, key, met) of the least hashes of each set that this task meets for the first time.
+
+    Hashes that several sets of a batch have leave it once, without a key; how many of these a set has is a row with `met`.
+    """
     seen: set[int] = set()
     for batch in batches:
+        hashes, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for _, rows, row, value, size, key in _sets(batch.column(0), n):
-            band = np.searchsorted(lows, size, "right") - 1
-            up = 100 * size >= percent * lows[np.maximum(band, 0) + 1]
-            fresh = np.zeros(rows, bool)
+            wanted = np.zeros(rows, np.int64)
             for i in np.flatnonzero(size):
                 if (k := int(key[i])) not in seen:
                     seen.add(k)
-                    fresh[i] = True
-            for own, wanted in ((band, fresh), (band + 1, fresh & up)):
-                m = np.where(wanted, segments[np.maximum(own, 0)], 0)
+                    wanted[i] = size[i] * (100 - percent) // 100 + _spare(size[i], percent)
+            rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            taken = rank < wanted[row]
+            hashes.append(value[taken])
+            owners.append(key[row[taken]])
+        value, owner = np.concatenate(hashes), np.concatenate(owners)
+        unique, first, at, count = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
+        keys, met = np.unique(owner[count[at] > 1], return_counts=True)
+        columns = [np.concatenate([unique.view(np.int64), keys]), np.concatenate([owner[first], keys]), np.concatenate([np.zeros(len(unique), np.int32), met.astype(np.int32)])]
+        common = np.concatenate([count > 1, np.zeros(len(keys), bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=common), pa.array(columns[2])], ["hash", "key", "met"])
+
+
+def _index_task(batches: Iterator[pa.RecordBatch], lows: np.ndarray, percent: int, layouts: dict[int, Layout]) -> Iterator[pa.RecordBatch]:
+    """(entry, key): the index entries of each set (key, n, hashes)."""
+    segments, deletions, slack = (np.zeros(len(lows) + 1, np.int64) for _ in range(3))
+    for b, layout in layouts.items():
+        segments[b], deletions[b], slack[b] = layout.segments, layout.deletions, layout.slack
+    for batch in batches:
+        sizes, keys = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+        at = 0
+        while at < len(batch):
+            rows = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), INDEX_HASHES, "right")))
+            size, key = sizes[at : at + rows], keys[at : at + rows]
+            value = np.frombuffer(b"".join(batch.column(2).slice(at, rows).to_pylist()), U64)
+            at += rows
+            row = np.repeat(np.arange(len(size)), size)
+            band, up = _band(size, lows, percent)
+            for own, wanted in ((band, True), (band + 1, up)):
+                m = np.where(wanted, segments[own], 0)
                 base = np.cumsum(m) - m
                 inside = m[row] > 0
                 r, h = row[inside], value[inside]
                 mixed = mix(h ^ _SEGMENT)
-                segment = ((mixed >> U64(20)) % m[r].astype(U64)).astype(np.int64)
-                sums = np.zeros(int(m.sum()), U64)
-                np.add.at(sums, base[r] + segment, mixed)
-                of = np.repeat(np.arange(rows), m)
-                place = mix(own[of].astype(U64) * _LAYOUT + (np.arange(len(of)) - base[of]).astype(U64))
-                less = segment < deletions[np.maximum(own, 0)][r]
-                at = (base[r] + segment)[less]
-                entry = np.concatenate([mix(sums ^ place), mix((sums[at] - mixed[less]) ^ place[at])])
-                owner = key[np.concatenate([of, r[less]])]
+                segment = ((mixed >> U64(20)) % np.maximum(m[r], 1).astype(U64)).astype(np.int64)
+                cell = base[r] + segment
+                sums, held = np.zeros(int(m.sum()), U64), np.bincount(cell, minlength=int(m.sum()))
+                np.add.at(sums, cell, mixed)
+                of = np.repeat(np.arange(len(size)), m)
+                number = np.arange(len(of)) - base[of]
+                place = mix(own[of].astype(U64) * _LAYOUT + number.astype(U64))
+                short = number < deletions[own][of]
+                bare = held <= short  # segments by whose entry without an element sets of nothing in common match
+                spared = (np.bincount(of, bare * (1 + short), len(size)) <= slack[own])[of]
+                less = short[cell] & ~(spared[cell] & (held[cell] == 1))
+                exact = ~(spared & (held == 0))
+                c = cell[less]
+                entry = np.concatenate([mix(sums[exact] ^ place[exact]), mix((sums[c] - mixed[less]) ^ place[c])])
+                owner = key[np.concatenate([of[exact], r[less]])]
                 if len(entry):
                     yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(owner)], ["entry", "key"])
 
 
 def _set_task(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(key, n, hashes, sketch words) of the rows whose text has the wanted key."""
+    """(key, n, hashes, sketch words) of the sets that this task meets for the first time."""
+    seen: set[int] = set()
     for batch in batches:
-        wanted = batch.column(1).to_numpy()
         for first, rows, row, value, size, key in _sets(batch.column(0), n):
             ends = np.cumsum(size)
-            keep = np.flatnonzero(key == wanted[first : first + rows])
+            keep = []
+            for i in np.flatnonzero(size).tolist():
+                if (k := int(key[i])) not in seen:
+                    seen.add(k)
+                    keep.append(i)
             bits = np.zeros((rows, SKETCH_WORDS * 64), np.uint8)
             np.bitwise_xor.at(bits, (row, (mix(value ^ _LAYOUT) % U64(SKETCH_WORDS * 64)).astype(np.int64)), 1)
             words = np.packbits(bits, axis=1).view(np.int64)
@@ -155,11 +219,10 @@ def _verify_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield kept.filter(pa.array(linked))
 
 
-def _near(x: str, y: str, percent: int) -> F.Column:
-    """Whether sizes and parity sketches allow a link: each element that differs flips one bit."""
-    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
-    apart = sum((F.bit_count(a(f"w{k}").bitwiseXOR(b(f"w{k}"))) for k in range(1, SKETCH_WORDS)), F.bit_count(a("w0").bitwiseXOR(b("w0"))))
-    return F.greatest(apart, F.abs(a("n") - b("n"))) * (100 + percent) <= (a("n") + b("n")) * (100 - percent)
+def _near(percent: int) -> F.Column:
+    """Whether sizes and parity sketches of a row's sets x and y allow a link: each element that differs flips one bit."""
+    apart = F.aggregate(F.array(*[F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(SKETCH_WORDS)]), F.lit(0), lambda a, b: a + b)
+    return F.greatest(apart, F.abs(F.col("x.n") - F.col("y.n"))) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,24 +238,22 @@ def similar_classes(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, i
     Words are lower-cased in A-Z only; a set is the distinct `words`-word shingles, or the whole sequence of fewer
     words. `component_id` is the least id that links reach; exact copies link. A null or wordless text has no
     shingle and stands alone under its own id. Null ids are not least unless no other is there. Rows with equal
-    ids are joined by what their texts link. An empty table gives no rows; other columns are not read. `deletions`
-    fixes the number of one-deletion segments for tests.
+    ids are joined by what their texts link; any number of rows may have one id, or none. Ids keep their type. An
+    empty table gives no rows; other columns are not read. `deletions` fixes the number of one-deletion segments
+    for tests. The result is a table in `scratch`, whose others are deleted.
     """
     lows = bands(percent)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = scratch.table(source.mapInArrow(lambda it: _key_task(it, words, lows, percent), "doc_id long, n long, key long, band int, up boolean"), "keyed")
-    sizes: dict[int, int] = {}
-    for r in keyed.where("key is not null").groupBy("band", "up").agg(F.approx_count_distinct("key").alias("sets")).collect():
-        for b in (r["band"], *([r["band"] + 1] if r["up"] else [])):
-            sizes[b] = sizes.get(b, 0) + r["sets"]
-    layouts = {b: allocate(int(lows[b]), int(lows[b + 1]) - 1, n, percent, deletions) for b, n in sizes.items()}
-    roots = _roots(spark, source, keyed, scratch, words, percent, lows, layouts)
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    keyed = scratch.table(source.mapInArrow(lambda it: _key_task(it, words, lows, percent), f"doc_id {kind}, same long, n long, key long, band int, up boolean"), "keyed")
+    roots = _roots(spark, source.select("text", "same"), keyed.where("key is not null"), scratch, words, percent, lows, deletions)
     keys = keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     rooted = keys.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("key", "component_id")
     out = keyed.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out
+    return scratch.last(out, "classes")
 
 
 def _merged(roots: DataFrame, merged: DataFrame) -> DataFrame:
@@ -202,41 +263,59 @@ def _merged(roots: DataFrame, merged: DataFrame) -> DataFrame:
     return moved.unionByName(merged.join(roots.select("node"), "node", "left_anti").select("node", "root"))
 
 
-def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Scratch, words: int, percent: int, lows: np.ndarray, layouts: dict[int, Layout]) -> DataFrame:
+def _able(source: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, same, band, up) of each set that can link to another by its least hashes; `same` names one text that has it."""
+    by_hash = Window.partitionBy("hash")
+    least = source.select("text").mapInArrow(lambda it: _least_task(it, words, percent), "hash long, key long, met int")
+    other = F.max(F.col("key").isNull()).over(by_hash) | (F.min("key").over(by_hash) < F.max("key").over(by_hash))
+    met = least.select("key", F.when(F.col("met") > 0, F.col("met")).otherwise(other.cast("int")).alias("met")).where("key is not null and met > 0")
+    met = met.groupBy("key").agg(F.sum("met").alias("met"))
+    sets = keyed.groupBy("key").agg(*[F.min(c).alias(c) for c in ("n", "same", "band", "up")])
+    smallest = F.ceil(F.col("n") * percent / 100)
+    return sets.join(met, "key").where(F.col("met") >= F.floor(F.floor(smallest * (100 - percent) / 100) / 2) + 1).select("key", "same", "band", "up")
+
+
+def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Scratch, words: int, percent: int, lows: np.ndarray, deletions: int | None) -> DataFrame:
     """(key, root) of the sets that link to another set."""
-    index = scratch.table(source.select("text").mapInArrow(lambda it: _index_task(it, words, lows, percent, layouts), "entry long, key long"), "index")
-    shared = index.groupBy("entry").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("met")).where("lo < hi").select("entry", "met")
-    members = scratch.table(index.join(shared, "entry").distinct(), "members")
-    scratch.drop("index")
-    nodes = members.groupBy("key").agg(F.sum("met").alias("met"))
-    nodes = nodes.join(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("at")), "key")
-    texts = source.join(nodes.select("key", "at"), source["doc_id"].eqNullSafe(F.col("at"))).select("text", "key")
+    able = scratch.table(_able(source, keyed, words, percent), "able")
+    counted: dict[int, int] = {}
+    for r in able.groupBy("band", "up").count().collect():
+        for b in (r["band"], *([r["band"] + 1] if r["up"] else [])):
+            counted[b] = counted.get(b, 0) + r["count"]
+    layouts = {b: allocate(int(lows[b]), int(lows[b + 1]) - 1, n, percent, deletions) for b, n in counted.items()}
     sketch = [f"w{k}" for k in range(SKETCH_WORDS)]
-    sets = scratch.table(texts.mapInArrow(lambda it: _set_task(it, words), "key long, n long, hashes binary, " + ", ".join(f"{w} long" for w in sketch)), "sets")
-    about = scratch.table(nodes.select("key", "met").join(sets.drop("hashes"), "key"), "about")
+    texts = source.join(able.select("same").distinct(), "same").select("text")
+    sets = texts.mapInArrow(lambda it: _set_task(it, words), "key long, n long, hashes binary, " + ", ".join(f"{w} long" for w in sketch)).dropDuplicates(["key"])
+    sets = scratch.table(sets, "sets")
+    index = scratch.table(sets.select("key", "n", "hashes").mapInArrow(lambda it: _index_task(it, lows, percent, layouts), "entry long, key long"), "index")
+    shared = index.groupBy("entry").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("met")).where("lo < hi").select("entry", "met")
+    members = scratch.table(index.join(shared, "entry"), "members")
+    scratch.drop("index", "able")
+    rank = scratch.table(members.groupBy("key").agg(F.sum("met").alias("rank")), "rank")
+    about = sets.drop("hashes")
     roots = spark.createDataFrame([], "node long, root long")
     for turn in range(STARS + 1):
-        placed = scratch.table(members.select("entry", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("entry", "key", F.coalesce("root", "key").alias("root")), f"placed-{turn}")
+        placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").join(rank, "key")
+        placed = scratch.table(placed.select("entry", "key", "rank", F.coalesce("root", "key").alias("root"), F.ceil(F.col("met") / BLOCK).alias("blocks")), f"placed-{turn}")
         left = placed.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("entry")
-        a = scratch.table(placed.join(left, "entry").join(about, "key"), f"open-{turn}")
-        scratch.drop(f"placed-{turn}")
+        a = scratch.table(placed.join(left, "entry").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))), f"open-{turn}")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
         if turn < STARS:  # another component each turn, in it the set met most often
-            hub = F.struct("key", "root", "n", *sketch)
             first = F.lit(0) if turn == 0 else F.xxhash64("root", F.lit(turn))
-            b = a.groupBy("entry").agg(F.max_by(hub, F.struct(first, "met", "key")).alias("h")).select("entry", "h.*")
+            b = a.groupBy("entry").agg(F.max_by(F.struct("key", "root", "blocks"), F.struct(first, "rank", "key")).alias("h")).select("entry", "h.*").select("entry", "key", "root", every)
             apart = F.col("a.root") != F.col("b.root")
         else:
-            b, apart = a, (F.col("a.root") != F.col("b.root")) & (F.col("a.key") < F.col("b.key"))
-        near = a.alias("a").join(b.alias("b"), (F.col("a.entry") == F.col("b.entry")) & apart & _near("a", "b", percent))
-        pairs = near.groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).agg(F.count(F.lit(1)).alias("n"))
+            b, apart = a.select("entry", "key", "root", every), (F.col("a.root") != F.col("b.root")) & (F.col("a.key") < F.col("b.key"))
+        met = a.alias("a").join(b.alias("b"), (F.col("a.entry") == F.col("b.entry")) & (F.col("a.block") == F.col("b.block")) & apart)
+        pairs = met.groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).agg(F.count(F.lit(1)).alias("n"))
+        near = pairs.join(about.alias("x"), F.col("a") == F.col("x.key")).join(about.alias("y"), F.col("b") == F.col("y.key")).where(_near(percent)).select("a", "b", "ra", "rb", pairs["n"])
         if turn < STARS:  # of a set's hubs the one with most common entries
-            pairs = pairs.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("n", "b")).alias("h")).select("a", "ra", "h.*")
-        pairs = scratch.table(pairs.select("a", "b", "ra", "rb"), f"pairs-{turn}")
-        scratch.drop(f"open-{turn}")
-        linked = _linked(pairs.select("a", "b"), sets, percent).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+            near = near.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("n", "b")).alias("h")).select("a", "ra", "h.*")
+        near = scratch.table(near.select("a", "b", "ra", "rb"), f"pairs-{turn}")
+        scratch.drop(f"placed-{turn}", f"open-{turn}")
+        linked = _linked(near.select("a", "b"), sets, percent).join(near, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         linked = scratch.table(linked, f"linked-{turn}")
         if not linked.isEmpty():
             roots = scratch.table(_merged(roots, components(linked, scratch, f"turn-{turn}")), f"roots-{turn}")
         scratch.drop(f"pairs-{turn}", f"linked-{turn}")
-    scratch.drop("sets", "members", "about")
     return roots.withColumnRenamed("node", "key")

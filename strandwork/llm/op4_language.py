@@ -2,7 +2,8 @@
 
 One table of bit masks serves all languages: bit l of a slot belongs to the Bloom filter of language l, so the
 AND of an n-gram's slots is the set of all languages that contain it. For a text the bits are counted per
-language, and each count is corrected for the false positives that its filter's fill makes likely.
+language, and each count is corrected for the false positives that its filter's fill makes likely. Masks have as
+many 64-bit words as the languages need.
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandwork.llm.text import U64, chunks, mix
 
-MAX_LANGUAGES = 64
-#: Documents per language from which n-grams are learnt (about; a seeded hash of the id decides).
+#: Documents per language from which n-grams are learnt (about; a hash of id and text decides).
 SAMPLE_DOCS = 4000
 #: An n-gram belongs to a language if this share of its sampled documents has it, and at least this part of the largest such share of any language.
 MIN_SHARE, MIN_RATIO = 0.004, 0.1
@@ -59,46 +59,63 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _slots(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    step = mix(hashes) | U64(1)
     for k in range(HASHES):
-        yield (hashes >> U64(21 * k)).astype(np.int64) & (size - 1)
+        yield ((hashes + step * U64(k)) & U64(size - 1)).astype(np.int64)
 
 
 @dataclass
 class LanguageModel:
+    """masks[w]: for each slot, word w of its set of languages; each word is as narrow as its languages allow."""
+
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
     false_positive: np.ndarray
 
     @classmethod
     def fit(cls, languages: list[str], members: list[np.ndarray]) -> LanguageModel:
         """members: the n-gram hashes of each language."""
         size = 1 << max(10, int(SLOTS_PER_GRAM * max([1, *map(len, members)]) - 1).bit_length())
-        size = min(size, 1 << 21)  # the bits of a hash that one probe takes
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(languages))
-        masks = np.zeros(size, kind)
-        for bit, hashes in enumerate(members):
-            for slot in _slots(hashes, size):
-                masks[slot] |= kind(1 << bit)
-        fill = np.array([np.count_nonzero(masks >> kind(b) & kind(1)) / size for b in range(len(languages))])
-        return cls(languages, masks, fill**HASHES)
-
-    def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
+        masks, fill = [], []
+        for first in range(0, len(languages), 64):
+            part = members[first : first + 64]
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(part))
+            word = np.zeros(size, kind)
+            for bit, hashes in enumerate(part):
+                for slot in _slots(hashes, size):
+                    word[slot] |= kind(1 << bit)
+            fill += [np.count_nonzero(word >> kind(b) & kind(1)) / size for b in range(len(part))]
+            masks.append(word)
+        return cls(languages, masks, np.array(fill) ** HASHES)
+
+    def _counts(self, row: np.ndarray, hashes: np.ndarray, rows: int) -> Iterator[np.ndarray]:
+        """For each language, how many of each row's n-grams its filter has."""
+        slots = list(_slots(hashes, len(self.masks[0]))) if self.masks else []
+        for at, word in enumerate(self.masks):
+            found = np.full(len(hashes), np.iinfo(word.dtype).max, word.dtype)
+            for slot in slots:
+                found &= word[slot]
+            for b in range(min(64, len(self.languages) - 64 * at)):
+                yield np.bincount(row, (found >> word.dtype.type(b)) & word.dtype.type(1), minlength=rows)
+
+    def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of each text the language, its part of all languages' corrected counts, and its part of the text's n-grams."""
+        names, scores, known = [], [np.zeros(0)], [np.zeros(0)]
         for first, last, data, offsets in chunks(texts):
             row, hashes = grams(data, offsets)
-            found = np.full(len(hashes), np.iinfo(self.masks.dtype).max, self.masks.dtype)
-            for slot in _slots(hashes, len(self.masks)):
-                found &= self.masks[slot]
             rows = last - first
             n = np.bincount(row, minlength=rows).astype(float)
-            count = np.stack([np.bincount(row, (found >> self.masks.dtype.type(b)) & self.masks.dtype.type(1), minlength=rows) for b in range(len(self.languages))]) if self.languages else np.zeros((1, rows))
-            fp = self.false_positive[:, None] if self.languages else np.zeros((1, 1))
-            corrected = np.maximum(0.0, (count - n * fp) / (1 - fp))
-            total = corrected.sum(0)
-            best = corrected.argmax(0)
-            scores.append(np.where(total > 0, corrected.max(0) / np.maximum(total, 1e-12), 0.0))
+            total, most, best = np.zeros(rows), np.full(rows, -1.0), np.zeros(rows, np.int64)
+            for language, (count, fp) in enumerate(zip(self._counts(row, hashes, rows), self.false_positive)):
+                corrected = np.maximum(0.0, (count - n * fp) / max(1 - fp, 1e-9))
+                total += corrected
+                best[corrected > most] = language
+                most = np.maximum(most, corrected)
+            most = np.maximum(most, 0.0)
+            scores.append(np.where(total > 0, most / np.maximum(total, 1e-12), 0.0))
+            known.append(np.minimum(1.0, most / np.maximum(n, 1.0)))
             names += [self.languages[b] if k and self.languages else UNKNOWN for b, k in zip(best.tolist(), n.tolist())]
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+        return names, np.concatenate(scores), np.concatenate(known)
 
 
 def _gram_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +144,11 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     """Learn from all given rows with a text and a language, or from about `sample_docs` of each language where there are more.
 
     Only counts per language and the kept n-grams come to the driver: with L languages and texts of g distinct
-    n-grams on average at most L * g / min_share hashes. An empty table gives a model without languages.
+    n-grams on average at most L * g / min_share hashes. Any number of languages may be learnt. An empty table gives
+    a model without languages.
     """
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("h")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("sample")).alias("h")).where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
     if not sizes:
         return LanguageModel.fit([], [])
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
@@ -148,18 +164,19 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
 
 
 def predict(spark: SparkSession, model: LanguageModel) -> Callable[[Column], Column]:
-    """A function from a text column to struct<lang, score>.
+    """A function from a text column to struct<lang, score, known>.
 
     `lang` is `und` with score 0 for a null text or one without a letter. The score is the winner's part of the
     corrected counts of all languages: 0 if no n-gram is known, 1 if all that are known are the winner's alone.
+    `known` is the winner's part of the text's own n-grams, whatever other languages have them.
     Ties go to the language that sorts first. Texts are read whole, whatever their length.
     """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, known double")
     def predicted(texts: pa.Array) -> pa.Array:
-        names, scores = shared.value.score(texts)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        names, *numbers = shared.value.score(texts)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)], ["lang", "score", "known"])
 
     return lambda text: predicted(text.cast("string"))
 

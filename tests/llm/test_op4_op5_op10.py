@@ -40,8 +40,8 @@ def test_masks_hold_all_members():
     model = op4_language.LanguageModel.fit(["a", "b", "c"], members)
     for bit, hashes in enumerate(members):
         found = np.full(len(hashes), 255, np.uint8)
-        for slot in op4_language._slots(hashes, len(model.masks)):
-            found &= model.masks[slot]
+        for slot in op4_language._slots(hashes, len(model.masks[0])):
+            found &= model.masks[0][slot]
         assert ((found >> bit) & 1).all()
 
 
