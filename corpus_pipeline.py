@@ -9,20 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandwork.llm import op2_jaccard, op3_mixing, op4_language, op5_weak_labels, op9_packing
-from strandwork.llm.common import Scratch
+from strandwork.llm.common import Scratch, cleared
 
-#: A text whose best language has less than this part of all known n-grams' counts is in no learned language.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A text of whose n-grams its language has less than this part of what it has of nearly every text that it was learnt
+#: from (all but this share of them) is in no learned language. The limit rests on all learned rows.
+LEAST_KNOWN, LEARNT_BELOW = 0.5, 0.05
 #: Words of a shingle and least similarity, in percent, of near copies; the query of op2 has its own.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or in none of the learned languages, go."""
-    held = F.coalesce(op4_language.remainder(F.col("doc_id")) == 2, F.lit(False))
-    guess = op4_language.predict(spark, op4_language.fit(docs.where(~held)))
+    """Language ID: documents without a letter, or in none of the learned languages, go.
+
+    The limit is on how much of a text its language explains, so it does not depend on the number of languages.
+    """
+    learnt = docs.where(~F.coalesce(op4_language.remainder(F.col("doc_id")) == 2, F.lit(False)))
+    guess = op4_language.predict(spark, op4_language.fit(learnt))
+    known = learnt.where("lang is not null").select(guess(F.col("text")).alias("g")).where(F.col("g.lang") != op4_language.UNKNOWN)
+    usual = known.agg(F.percentile_approx("g.known", LEARNT_BELOW, 10_000)).first()[0] or 0.0
     scored = docs.withColumn("_guess", guess(F.col("text")))
-    return scored.where((F.col("_guess.lang") != op4_language.UNKNOWN) & (F.col("_guess.score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return scored.where((F.col("_guess.lang") != op4_language.UNKNOWN) & (F.col("_guess.known") >= LEAST_KNOWN * usual)).select(*docs.columns)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +48,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A document without an id stays only if none of its group has one; ties go by source, language and text.
     Documents without a word are in no group.
     """
-    scratch = Scratch(spark, "dedupe")
-    rows = numbered(docs, scratch)
-    classes = op2_jaccard.similar_classes(spark, rows, scratch, id_col="_row", words=NEAR_WORDS, percent=NEAR_PERCENT)
+    rows = numbered(docs, Scratch(spark, "rows"))
+    classes = op2_jaccard.similar_classes(spark, rows, Scratch(spark, "dedupe"), id_col="_row", words=NEAR_WORDS, percent=NEAR_PERCENT)
     classes = classes.select(F.col("doc_id").alias("_row"), "component_id")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", F.xxhash64("text"), F.col("_row").alias("row"))
     kept = rows.select("_row", rank.alias("rank")).join(classes, "_row").groupBy("component_id").agg(F.min("rank")["row"].alias("_row"))
@@ -78,7 +83,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of `sf_dir`, each written and read again before the next."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with cleared(spark):
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
