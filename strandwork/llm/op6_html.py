@@ -10,7 +10,8 @@ from __future__ import annotations
 import html
 import re
 import sys
-from collections import Counter
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,17 +36,25 @@ ENDS = (
 )
 #: An end tag does not reach beyond these.
 SCOPES = frozenset("table td th caption".split())
+WITHIN_TABLE = SCOPES | frozenset("tr thead tbody tfoot".split())
+#: Only in these a tag can close itself.
+FOREIGN = ("svg", "math")
 #: Elements of a drawing that are shown as text, and those whose content is shown only where it is used, or never.
 SVG_TEXT = frozenset("text foreignobject".split())
 SVG_UNSHOWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
 #: In tables of several columns, running text wraps at this width.
 MAX_COLUMN = 60
+#: A table that alignment would make this many times longer than its text has two spaces between cells instead.
+MOST_PADDING = 200
 #: Most Python calls that lay out one level of elements.
 CALLS = 8
 
-_token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_attribute = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_rule = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_opening = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_name = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(\s*+=\s*+)?)")
+_bare = re.compile(r"[^\s>]*+")
+_comment = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_simple = re.compile(r"[.#]?[\w-]+")
+_unscreened = re.compile(r"@media\b(?![^{]*\b(?:screen|all)\b)[^{]*\b(?:print|speech)\b", re.I)
 _gone = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _space = re.compile(r"[ \t\n\f\r]+")
 
@@ -57,66 +66,116 @@ class Node:
     children: list = field(default_factory=list)
 
 
-def _attributes(text: str) -> dict[str, str]:
+def _attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """Attributes of the tag whose name ends at `at`, whether it closes itself, and its end, or -1 if the page ends in it.
+
+    Each character is looked at once: a quote runs to its next like, or to the end of the page.
+    """
     found: dict[str, str] = {}
-    for name, a, b, c in _attribute.findall(text):
-        value = a or b or c
-        found.setdefault(name.lower(), html.unescape(value) if "&" in value else value)
-    return found
+    while m := _name.match(page, at):
+        at = m.end()
+        if m[1]:
+            return found, "/" in m[0], at
+        value = ""
+        if m[3]:
+            if page[at : at + 1] in ("'", '"') and at < len(page):
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return found, False, -1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _bare.match(page, at)
+                value, at = bare[0], bare.end()
+        found.setdefault(m[2].lower(), html.unescape(value) if "&" in value else value)
+    return found, False, -1
+
+
+def _hiding(style: str) -> set[str]:
+    """The simple selectors (tag, .class, #id) that a style sheet hides on a screen."""
+    hidden: set[str] = set()
+    before, open_rules = "", []
+    for piece in re.split(r"([{}])", _comment.sub("", style)):
+        if piece == "{":
+            open_rules.append(before)
+            before = ""
+        elif piece == "}":
+            if open_rules:
+                selectors = open_rules.pop()
+                if _gone.search(before) and not any(_unscreened.match(rule.strip()) for rule in open_rules):
+                    hidden |= {x.strip() for x in selectors.split(",") if _simple.fullmatch(x.strip())}
+            before = ""
+        else:
+            before = piece
+    return hidden
 
 
 def parse(page: str) -> tuple[Node, set[str], int]:
-    """The tree of a page, the simple selectors (tag, .class, #id) that its style sheets hide, and the tree's depth."""
-    root, hidden, at, deepest = Node("html"), set(), 0, 1
-    stack, opened = [root], Counter()  # open elements, and how many of each tag: what is not open is not looked for
+    """The tree of a page, the simple selectors (tag, .class, #id) that its style sheets hide, and the tree's depth.
+
+    One pass: what a tag ends is found by the places of open elements of each kind, not by a walk over the stack.
+    """
+    root, hidden, start, at, deepest = Node("html"), set(), 0, 0, 1
+    stack, places = [root], defaultdict(list)  # open elements, and the depths of those of each tag
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def text(raw: str) -> None:
         if raw:
             stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
     def cut(depth: int) -> None:
-        opened.subtract(node.tag for node in stack[depth:])
+        for node in stack[depth:]:
+            places[node.tag].pop()
         del stack[depth:]
 
-    def close(tags: frozenset, barrier: frozenset) -> None:
-        depth = len(stack) - 1
-        while depth > 0 and any(opened[t] for t in tags) and stack[depth].tag not in barrier - tags:
-            if stack[depth].tag in tags:
-                cut(depth)
-            depth -= 1
-
-    while m := _token.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    while (at := page.find("<", at)) >= 0:
+        m = _opening.match(page, at)
+        if not m:
+            if page.startswith("<!--", at):
+                end = at + 5 if page.startswith("<!-->", at) else page.find("-->", at + 4) + 3
+                end = len(page) if end == 2 else end
+            elif page[at + 1 : at + 2] in ("!", "?", "/") and at + 1 < len(page):
+                end = page.find(">", at) + 1 or len(page)
+            else:
+                at += 1
+                continue
+            text(page[start:at])
+            start = at = end
             continue
+        text(page[start:at])
+        attrs, itself, end = _attributes(page, m.end())
+        if end < 0:
+            start = len(page)
+            break
+        start = at = end
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            close_at = opened[tag] and next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag or stack[d].tag in SCOPES and tag not in ("table", "tr", "thead", "tbody", "tfoot", *SCOPES)), 0)
-            if close_at and stack[close_at].tag == tag:
-                cut(close_at)
+            if places.get(tag) and (tag in WITHIN_TABLE or places[tag][-1] > last(SCOPES)):
+                cut(places[tag][-1])
             continue
         for opening, ended, barrier in ENDS:
-            if tag in opening:
-                close(ended, barrier)
-        node = Node(tag, _attributes(m[3]) if m[3].strip(" /") else {})
+            if tag in opening and any(places.get(t) for t in ended):
+                kept = last(barrier - ended)
+                while (depth := last(ended)) > kept:
+                    cut(depth)
+        node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            body, at = page[at : end.start() if end else len(page)], page.find(">", end.start()) + 1 or len(page) if end else len(page)
+            body = page[at : end.start() if end else len(page)]
+            start = at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
             if tag == "style":
-                for selectors, rule in _rule.findall(re.sub(r"/\*.*?\*/", "", body, flags=re.S)):
-                    if _gone.search(rule):
-                        hidden |= {s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
+                hidden |= _hiding(body)
             elif tag == "textarea":
                 node.children.append(html.unescape(body))
-        elif tag not in VOID and not m[3].endswith("/") or tag not in VOID and tag in BLOCKS:
+        elif tag not in VOID and not (itself and (tag in FOREIGN or any(places.get(t) for t in FOREIGN))):
+            places[tag].append(len(stack))
             stack.append(node)
-            opened[tag] += 1
             deepest = max(deepest, len(stack))
-    text(page[at:])
+    text(page[start:])
     return root, hidden, deepest
 
 
@@ -133,13 +192,18 @@ class _Flow:
     """Lines of a run of blocks; `gap` is the number of blank lines wanted before the next."""
 
     def __init__(self, rules: set[str]):
-        self.rules, self.lines, self.gap, self.words, self.tables = rules, [], 0, [], 0
+        self.rules, self.lines, self.gap, self.words, self.kept, self.tables = rules, [], 0, [], [], 0
 
     def space(self, gap: int) -> None:
         self.flush()
         self.gap = max(self.gap, gap)
 
     def flush(self) -> None:
+        if self.kept:
+            lines = [line.rstrip() for line in "".join(self.kept).replace("\r", "").expandtabs(8).split("\n")]
+            self.kept = []
+            self.lines += [""] * (self.gap if self.lines else 0) + lines[: len(lines) - (not lines[-1])]
+            self.gap = 0
         if self.words:
             text = "".join(self.words)
             self.words = []
@@ -149,10 +213,9 @@ class _Flow:
                     self.put([line])
 
     def put(self, lines: list[str]) -> None:
-        while lines and not lines[0]:
-            lines = lines[1:]
-        if lines:
-            self.lines += [""] * (self.gap if self.lines else 0) + lines
+        first = next((i for i, line in enumerate(lines) if line), len(lines))
+        if first < len(lines):
+            self.lines += [""] * (self.gap if self.lines else 0) + lines[first:]
             self.gap = 0
 
     def inner(self, node: Node, pre: bool = False) -> list[str]:
@@ -165,26 +228,14 @@ class _Flow:
     def children(self, node: Node, pre: bool = False) -> None:
         for child in node.children:
             if isinstance(child, str):
-                if pre:
-                    self.put_pre(child)
-                else:
-                    self.words.append(child)
+                (self.kept if pre else self.words).append(child)
             elif not _invisible(child, self.rules):
                 self.element(child, pre)
 
-    def put_pre(self, text: str) -> None:
-        self.flush()
-        lines = [line.rstrip() for line in text.expandtabs(8).replace("\r", "").split("\n")]
-        if self.lines and getattr(self, "joined", False):
-            self.lines[-1] += lines[0]
-            lines = lines[1:]
-        self.lines += [""] * (self.gap if self.lines else 0) + lines
-        self.gap, self.joined = 0, True
-
     def element(self, node: Node, pre: bool) -> None:
         tag = node.tag
         if tag == "br":
-            self.put_pre("\n") if pre else self.words.append("\x00")
+            self.kept.append("\n") if pre else self.words.append("\x00")
         elif tag == "hr":
             self.space(1)
             self.put(["-" * 8])
@@ -253,8 +304,10 @@ class _Flow:
 
 
 def _span(cell: Node, name: str) -> int:
-    value = cell.attrs.get(name, "1")
-    return max(1, min(100, int(value))) if value.isascii() and value.isdigit() else 1
+    """The number of columns or rows of a cell, within the bounds of HTML; 0 rows are all that are left."""
+    value = cell.attrs.get(name, "1").strip()
+    number = int(value[:9]) if value.isascii() and value.isdigit() else 1
+    return min(1000, number) or 1 if name == "colspan" else min(65534, number or 65534)
 
 
 def _wrapped(lines: list[str], width: int) -> list[str]:
@@ -297,44 +350,55 @@ def _table(table: Node, flow: _Flow) -> list[str]:
 
     collect(table)
     grid: list[list[tuple[int, int, list[str]]]] = []
-    taken: dict[int, int] = {}  # columns that a cell above still covers: rows left
-    for row in rows:
-        cells, column, covered = [], 0, dict(taken)
+    taken: list[list[int]] = []  # columns that cells above still cover, in order: first, end, first row below
+    for number, row in enumerate(rows):
+        cells, column, over, below = [], 0, 0, []
         for cell in row:
-            while covered.get(column, 0) > 0:
-                column += 1
-            width, height = _span(cell, "colspan"), _span(cell, "rowspan")
+            while over < len(taken) and taken[over][0] <= column:
+                column = max(column, taken[over][1])
+                over += 1
+            width, until = _span(cell, "colspan"), min(len(rows), number + _span(cell, "rowspan"))
             cells.append((column, width, flow.inner(cell)))
-            for c in range(column, column + width):
-                covered[c], taken[c] = height, height
+            if until > number + 1:
+                below.append([column, column + width, until])
             column += width
-        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+        before_row, taken = taken, []
+        for a, z, until in sorted(before_row + below) if below else before_row:
+            if until > number + 1:
+                if taken and taken[-1][1:] == [a, until]:
+                    taken[-1] = [taken[-1][0], z, until]
+                else:
+                    taken.append([a, z, until])
         grid.append(cells)
     if any(column + width > 1 for cells in grid for column, width, _ in cells):
         grid = [[(column, width, _wrapped(lines, MAX_COLUMN * width)) for column, width, lines in cells] for cells in grid]
-    widths: dict[int, int] = {}
+    lasts = sorted({column + width - 1 for cells in grid for column, width, _ in cells})  # the columns that have a width
+    widths = [0] * len(lasts)
     for span in (True, False):
         for cells in grid:
             for column, width, lines in cells:
-                longest = max(map(len, lines), default=0)
                 if (width == 1) == span:
-                    inside = sum(widths.get(c, 0) + 2 for c in range(column, column + width - 1)) if width > 1 else 0
-                    last = column + width - 1
-                    widths[last] = max(widths.get(last, 0), longest - inside)
-    starts, at = {}, 0
-    for column in range(max(widths, default=-1) + 1):
-        starts[column] = at
-        at += widths.get(column, 0) + 2 * bool(widths.get(column, 0))
+                    a, z = bisect_left(lasts, column), bisect_left(lasts, column + width - 1)
+                    widths[z] = max(widths[z], max(map(len, lines), default=0) - sum(widths[a:z]) - 2 * (z - a))
+    edges, at = [], 0
+    for width in widths:
+        edges.append(at)
+        at += width + 2 * bool(width)
+    starts = {column: edges[bisect_left(lasts, column)] for cells in grid for column, _, _ in cells}
     out = list(before)
+    held = sum(len(line) + 2 for cells in grid for *_, lines in cells for line in lines)
+    padded = sum((starts[cells[-1][0]] if cells else 0) * max((len(lines) for *_, lines in cells), default=0) for cells in grid)
+    aligned = padded <= MOST_PADDING * held
     for cells in grid:
         height = max((len(lines) for *_, lines in cells), default=0)
         for k in range(height):
-            line = ""
+            line, end = [], 0
             for column, _, lines in cells:
                 if k < len(lines) and lines[k]:
-                    line = line.rstrip() + " " * 2 if len(line.rstrip()) > max(0, starts[column] - 2) and line.strip() else line.ljust(starts[column])
-                    line += lines[k]
-            out.append(line.rstrip())
+                    gap = max(starts[column] - end if aligned else 0, 2 * bool(line))
+                    line.append(" " * gap + lines[k])
+                    end += gap + len(lines[k])
+            out.append("".join(line).rstrip())
     return out + after
 
 
@@ -359,6 +423,9 @@ def _render_column(pages: pa.Array) -> pa.Array:
 def extract(page: Column) -> Column:
     """struct<text, tables> of a column of HTML pages.
 
-    Null and empty pages give an empty text. Equal pages give equal texts. Pages are read whole, at any depth of elements.
+    Null and empty pages give an empty text. Equal pages give equal texts. Pages are read whole, at any depth of
+    elements, in time that grows with their length. A tag that the page ends in is dropped, with an open quote in it,
+    as browsers do. Spans keep the bounds of HTML: 1000 columns, and the rows that there are. A table whose padding
+    would be MOST_PADDING times its text is not aligned, so that memory stays in proportion to the page.
     """
     return F.arrow_udf(_render_column, "text string, tables int")(page.cast("string"))
