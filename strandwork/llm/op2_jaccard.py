@@ -125,11 +125,23 @@ def _spare(size: np.ndarray, percent: int) -> np.ndarray:
 def _least_task(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(hash, key, met) of the least hashes of each set that this task meets for the first time.
 
-    Hashes that several sets of a batch have leave it once, without a key; how many of these a set has is a row with `met`.
+    Hashes that several sets of a portion have leave it once, without a key; how many of these a set has is a row with `met`.
     """
     seen: set[int] = set()
+
+    def portion(value: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(value)
+        value, owner = value[order], owner[order]
+        new = np.r_[True, value[1:] != value[:-1]][: len(value)]
+        common = np.r_[~new[1:], False][: len(value)] | ~new
+        keys, met = np.unique(owner[common], return_counts=True)
+        hashes = np.concatenate([value[new].view(np.int64), keys])
+        without = np.concatenate([common[new], np.zeros(len(keys), bool)])
+        met = np.concatenate([np.zeros(int(new.sum()), np.int32), met.astype(np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.concatenate([owner[new], keys]), mask=without), pa.array(met)], ["hash", "key", "met"])
+
+    hashes, owners, held = [], [], 0
     for batch in batches:
-        hashes, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for _, rows, row, value, size, key in _sets(batch.column(0), n):
             wanted = np.zeros(rows, np.int64)
             for i in np.flatnonzero(size):
@@ -140,12 +152,12 @@ def _least_task(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
             taken = rank < wanted[row]
             hashes.append(value[taken])
             owners.append(key[row[taken]])
-        value, owner = np.concatenate(hashes), np.concatenate(owners)
-        unique, first, at, count = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
-        keys, met = np.unique(owner[count[at] > 1], return_counts=True)
-        columns = [np.concatenate([unique.view(np.int64), keys]), np.concatenate([owner[first], keys]), np.concatenate([np.zeros(len(unique), np.int32), met.astype(np.int32)])]
-        common = np.concatenate([count > 1, np.zeros(len(keys), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=common), pa.array(columns[2])], ["hash", "key", "met"])
+            held += len(hashes[-1])
+            if held >= INDEX_HASHES:
+                yield portion(np.concatenate(hashes), np.concatenate(owners))
+                hashes, owners, held = [], [], 0
+    if held:
+        yield portion(np.concatenate(hashes), np.concatenate(owners))
 
 
 def _index_task(batches: Iterator[pa.RecordBatch], lows: np.ndarray, percent: int, layouts: dict[int, Layout]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +171,7 @@ def _index_task(batches: Iterator[pa.RecordBatch], lows: np.ndarray, percent: in
         while at < len(batch):
             rows = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), INDEX_HASHES, "right")))
             size, key = sizes[at : at + rows], keys[at : at + rows]
-            value = np.frombuffer(b"".join(batch.column(2).slice(at, rows).to_pylist()), U64)
+            value = batch.column(2).slice(at, rows).flatten().to_numpy().view(U64)
             at += rows
             row = np.repeat(np.arange(len(size)), size)
             band, up = _band(size, lows, percent)
@@ -202,23 +214,12 @@ def _set_task(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             bits = np.zeros((rows, SKETCH_WORDS * 64), np.uint8)
             np.bitwise_xor.at(bits, (row, (mix(value ^ _LAYOUT) % U64(SKETCH_WORDS * 64)).astype(np.int64)), 1)
             words = np.packbits(bits, axis=1).view(np.int64)
-            sets = [value[ends[i] - size[i] : ends[i]].tobytes() for i in keep]
-            columns = [pa.array(key[keep]), pa.array(size[keep]), pa.array(sets, pa.binary()), *(pa.array(words[keep, k]) for k in range(SKETCH_WORDS))]
+            kept = [value[ends[i] - size[i] : ends[i]].view(np.int64) for i in keep]
+            sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[keep])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *kept])))
+            columns = [pa.array(key[keep]), pa.array(size[keep]), sets, *(pa.array(words[keep, k]) for k in range(SKETCH_WORDS))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "n", "hashes", *(f"w{k}" for k in range(SKETCH_WORDS))])
 
 
-def _verify_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = np.zeros(len(batch), bool)
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            at = np.searchsorted(x, y)
-            common = np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y)
-            linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
-        kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
-        yield kept.filter(pa.array(linked))
-
-
 def _near(percent: int) -> F.Column:
     """Whether sizes and parity sketches of a row's sets x and y allow a link: each element that differs flips one bit."""
     apart = F.aggregate(F.array(*[F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(SKETCH_WORDS)]), F.lit(0), lambda a, b: a + b)
@@ -226,10 +227,12 @@ def _near(percent: int) -> F.Column:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set keys that link, by their hashes."""
+    """The rows of `pairs` whose sets a and b link, by their hashes."""
     x = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _verify_task(it, percent), "a long, b long")
+    common = F.size(F.array_intersect("x", "y"))
+    links = (100 + percent) * common >= percent * (F.size("x") + F.size("y"))
+    return pairs.join(x, "a").join(y, "b").where(links).select(*pairs.columns)
 
 
 def similar_classes(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, deletions: int | None = None) -> DataFrame:
@@ -285,7 +288,7 @@ def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Sc
     layouts = {b: allocate(int(lows[b]), int(lows[b + 1]) - 1, n, percent, deletions) for b, n in counted.items()}
     sketch = [f"w{k}" for k in range(SKETCH_WORDS)]
     texts = source.join(able.select("same").distinct(), "same").select("text")
-    sets = texts.mapInArrow(lambda it: _set_task(it, words), "key long, n long, hashes binary, " + ", ".join(f"{w} long" for w in sketch)).dropDuplicates(["key"])
+    sets = texts.mapInArrow(lambda it: _set_task(it, words), "key long, n long, hashes array<long>, " + ", ".join(f"{w} long" for w in sketch)).dropDuplicates(["key"])
     sets = scratch.table(sets, "sets")
     index = scratch.table(sets.select("key", "n", "hashes").mapInArrow(lambda it: _index_task(it, lows, percent, layouts), "entry long, key long"), "index")
     shared = index.groupBy("entry").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("met")).where("lo < hi").select("entry", "met")
@@ -313,7 +316,7 @@ def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Sc
             near = near.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("n", "b")).alias("h")).select("a", "ra", "h.*")
         near = scratch.table(near.select("a", "b", "ra", "rb"), f"pairs-{turn}")
         scratch.drop(f"placed-{turn}", f"open-{turn}")
-        linked = _linked(near.select("a", "b"), sets, percent).join(near, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        linked = _linked(near, sets, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         linked = scratch.table(linked, f"linked-{turn}")
         if not linked.isEmpty():
             roots = scratch.table(_merged(roots, components(linked, scratch, f"turn-{turn}")), f"roots-{turn}")

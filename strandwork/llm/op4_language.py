@@ -23,6 +23,8 @@ SAMPLE_DOCS = 4000
 MIN_SHARE, MIN_RATIO = 0.004, 0.1
 SLOTS_PER_GRAM, HASHES = 24, 3
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are looked up at once: each takes some ten numbers of 8 bytes.
+CHUNK = 1 << 17
 
 _fold: list[np.ndarray] = []
 
@@ -90,10 +92,9 @@ class LanguageModel:
 
     def _counts(self, row: np.ndarray, hashes: np.ndarray, rows: int) -> Iterator[np.ndarray]:
         """For each language, how many of each row's n-grams its filter has."""
-        slots = list(_slots(hashes, len(self.masks[0]))) if self.masks else []
         for at, word in enumerate(self.masks):
             found = np.full(len(hashes), np.iinfo(word.dtype).max, word.dtype)
-            for slot in slots:
+            for slot in _slots(hashes, len(word)):
                 found &= word[slot]
             for b in range(min(64, len(self.languages) - 64 * at)):
                 yield np.bincount(row, (found >> word.dtype.type(b)) & word.dtype.type(1), minlength=rows)
@@ -101,7 +102,7 @@ class LanguageModel:
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Of each text the language, its part of all languages' corrected counts, and its part of the text's n-grams."""
         names, scores, known = [], [np.zeros(0)], [np.zeros(0)]
-        for first, last, data, offsets in chunks(texts):
+        for first, last, data, offsets in chunks(texts, CHUNK):
             row, hashes = grams(data, offsets)
             rows = last - first
             n = np.bincount(row, minlength=rows).astype(float)
@@ -123,7 +124,7 @@ def _gram_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(0).dictionary_encode()
         codes, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
-        for first, last, data, offsets in chunks(batch.column(1)):
+        for first, last, data, offsets in chunks(batch.column(1), CHUNK):
             row, hashes = grams(data, offsets)
             order = np.lexsort((hashes, row))
             row, hashes = row[order], hashes[order]

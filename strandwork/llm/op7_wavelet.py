@@ -1,10 +1,13 @@
 """Token-id output as one wavelet matrix per shard.
 
 A shard holds the ids of consecutive documents as 16 bit-planes. In plane k every id has the k-th bit from the
-top, in the order that the planes above have sorted the ids into (zeros first, stably); counts of ones before
-each 512-bit block give rank, a search over them gives select. With these the one blob answers what the id at
-a place is, how often an id occurs in a range, and where its n-th occurrence is. Planes are compressed in
-blocks, so a query inflates only the blocks that it touches.
+top, in the order that the planes above have sorted the ids into (zeros first, stably). A directory of the ones in
+each 512 bits gives rank, a search in it gives select. With these the one blob answers what the id at a place is,
+how often an id occurs in a range, and where its n-th occurrence is. The file also holds the documents' ids and
+lengths. Planes are compressed in blocks, so a query inflates only the blocks that it touches.
+
+File: magic, header length, JSON header, document ids, which of them are null, document lengths, the directory of all
+planes, then the blocks of all planes; all but the first three are compressed, and the header has their sizes.
 """
 
 from __future__ import annotations
@@ -26,29 +29,34 @@ BITS = 16
 RANK_BITS, BLOCK_BYTES = 512, 1 << 14
 #: Ids after which a shard is closed.
 SHARD_TOKENS = 1 << 21
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 
 
-def build(ids: np.ndarray) -> bytes:
-    """Serialise ids: magic, header length, JSON header, then the compressed blocks of all planes."""
+def build(ids: np.ndarray, doc_ids: list[int | None] = (), lengths: list[int] = ()) -> bytes:
+    """The file of ids, and of the ids and lengths of the documents that they belong to."""
     import zstandard
 
-    compress, blobs, planes = zstandard.ZstdCompressor(level=1).compress, [], []
+    compress, blobs, planes, counts = zstandard.ZstdCompressor(level=1).compress, [], [], []
     order = ids.astype(np.uint16)
     for k in range(BITS):
         bit = (order & np.uint16(1 << (BITS - 1 - k))) != 0
-        packed = np.packbits(bit).tobytes()
-        blocks = [compress(packed[i : i + BLOCK_BYTES]) for i in range(0, len(packed), BLOCK_BYTES)]
-        ones = [int(np.count_nonzero(bit[i : i + BLOCK_BYTES * 8])) for i in range(0, len(bit), BLOCK_BYTES * 8)]
-        planes.append({"sizes": [len(b) for b in blocks], "ones": ones})
+        packed = np.packbits(bit)
+        blocks = [compress(packed[i : i + BLOCK_BYTES].tobytes()) for i in range(0, len(packed), BLOCK_BYTES)]
+        padded = np.zeros(-(-len(packed) // (RANK_BITS // 8)) * (RANK_BITS // 8), np.uint8)
+        padded[: len(packed)] = packed
+        counts.append(np.bitwise_count(padded.reshape(-1, RANK_BITS // 8)).sum(1, dtype=np.uint16))
+        planes.append([len(b) for b in blocks])
         blobs += blocks
         order = np.concatenate([order[~bit], order[bit]])
-    header = json.dumps({"n": len(ids), "planes": planes}, separators=(",", ":")).encode()
-    return MAGIC + struct.pack("<I", len(header)) + header + b"".join(blobs)
+    known = [0 if i is None else i for i in doc_ids]
+    tables = [np.array(known, "<i8"), np.array([i is None for i in doc_ids], np.uint8), np.array(lengths, "<i8"), np.concatenate(counts).astype("<u2")]
+    tables = [compress(t.tobytes()) for t in tables]
+    header = json.dumps({"n": len(ids), "tables": [len(t) for t in tables], "planes": planes}, separators=(",", ":")).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *tables, *blobs])
 
 
 class WaveletMatrix:
-    """Reads a blob of `build`: access, rank, select and counts without unpacking the rest of it."""
+    """Reads a file of `build`: access, rank, select and counts without unpacking the rest of it."""
 
     def __init__(self, blob: bytes):
         import zstandard
@@ -57,90 +65,113 @@ class WaveletMatrix:
             raise ValueError("not a wavelet matrix")
         (size,) = struct.unpack_from("<I", blob, 4)
         header = json.loads(blob[8 : 8 + size])
-        self.blob, self.n, self._inflate = blob, header["n"], zstandard.ZstdDecompressor().decompress
-        at = 8 + size
-        self.places, self.before, self.zeros, self._cache = [], [], [], {}
-        for plane in header["planes"]:
-            ends = at + np.cumsum(plane["sizes"], dtype=np.int64)
-            self.places.append(list(zip([at, *ends[:-1].tolist()], ends.tolist())) if plane["sizes"] else [])
-            ones = np.r_[0, np.cumsum(plane["ones"], dtype=np.int64)]
-            self.before.append(ones)
-            self.zeros.append(self.n - int(ones[-1]))
-            at = int(ends[-1]) if plane["sizes"] else at
-
-    def _block(self, k: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of a block, and ones before each RANK_BITS of it."""
+        self.blob, self.n, self._inflate, self._cache = blob, header["n"], zstandard.ZstdDecompressor().decompress, {}
+        at, tables = 8 + size, []
+        for length in header["tables"]:
+            tables.append(self._inflate(blob[at : at + length]))
+            at += length
+        self.doc_ids, self.doc_null = np.frombuffer(tables[0], "<i8"), np.frombuffer(tables[1], np.uint8).view(bool)
+        self.lengths = np.frombuffer(tables[2], "<i8")
+        counts = np.frombuffer(tables[3], "<u2").reshape(BITS, -1)
+        self.before = np.zeros((BITS, counts.shape[1] + 1), np.int64)  # ones before each RANK_BITS of a plane
+        np.cumsum(counts, axis=1, out=self.before[:, 1:])
+        self.zeros = self.n - self.before[:, -1]
+        self.places = []
+        for sizes in header["planes"]:
+            ends = at + np.cumsum(sizes, dtype=np.int64)
+            self.places.append(list(zip([at, *ends[:-1].tolist()], ends.tolist())) if sizes else [])
+            at = int(ends[-1]) if sizes else at
+
+    def _rows(self, k: int, b: int) -> np.ndarray:
+        """Bytes of a block, RANK_BITS a row."""
         if (k, b) not in self._cache:
             start, end = self.places[k][b]
-            bits = np.unpackbits(np.frombuffer(self._inflate(self.blob[start:end], max_output_size=BLOCK_BYTES), np.uint8))
-            sums = np.add.reduceat(bits, np.arange(0, len(bits), RANK_BITS), dtype=np.int64)
-            self._cache[k, b] = bits, np.r_[0, np.cumsum(sums)]
+            raw = self._inflate(self.blob[start:end], max_output_size=BLOCK_BYTES)
+            rows = np.zeros(BLOCK_BYTES, np.uint8)
+            rows[: len(raw)] = np.frombuffer(raw, np.uint8)
+            self._cache[k, b] = rows.reshape(-1, RANK_BITS // 8)
         return self._cache[k, b]
 
-    def rank1(self, k: int, i: int) -> int:
-        """Ones of plane k before place i."""
-        b, rest = divmod(i, BLOCK_BYTES * 8)
-        if not rest:
-            return int(self.before[k][b])
-        bits, counts = self._block(k, b)
-        r = rest // RANK_BITS
-        return int(self.before[k][b] + counts[r] + np.count_nonzero(bits[r * RANK_BITS : rest]))
-
-    def _bit(self, k: int, i: int) -> int:
-        return int(self._block(k, i // (BLOCK_BYTES * 8))[0][i % (BLOCK_BYTES * 8)])
-
-    def _select(self, k: int, bit: int, j: int) -> int:
-        """Place in plane k of the j-th (from 0) bit of this value."""
-        width = BLOCK_BYTES * 8
-        ones = self.before[k]
-        counts = ones if bit else np.minimum(np.arange(len(ones)) * width, self.n) - ones
-        b = int(np.searchsorted(counts, j, "right")) - 1
-        bits = self._block(k, b)[0][: min(width, self.n - b * width)]
-        return b * width + int(np.flatnonzero(bits == bit)[j - int(counts[b])])
-
-    def access(self, i: int) -> int:
-        value = 0
+    def _gather(self, k: int, units: np.ndarray) -> np.ndarray:
+        """The row of each number of RANK_BITS of plane k."""
+        width = BLOCK_BYTES * 8 // RANK_BITS
+        out = np.zeros((len(units), RANK_BITS // 8), np.uint8)
+        for b in np.unique(units // width):
+            here = units // width == b
+            out[here] = self._rows(k, int(b))[units[here] % width]
+        return out
+
+    def rank1(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Ones of plane k before each place."""
+        unit, rest = np.divmod(at, RANK_BITS)
+        found = self.before[k][unit]
+        inside = np.flatnonzero(rest)
+        if len(inside):
+            rows, byte, bit = self._gather(k, unit[inside]), rest[inside] >> 3, rest[inside] & 7
+            whole = np.bitwise_count(rows) * (np.arange(RANK_BITS // 8) < byte[:, None])
+            part = np.bitwise_count(rows[np.arange(len(rows)), byte] & ((0xFF00 >> bit) & 0xFF).astype(np.uint8))
+            found[inside] += whole.sum(1, dtype=np.int64) + part
+        return found
+
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The ids at these places."""
+        at = np.asarray(at, np.int64)
+        value = np.zeros(len(at), np.int64)
         for k in range(BITS):
-            bit, ones = self._bit(k, i), self.rank1(k, i)
+            rows, rest = self._gather(k, at // RANK_BITS), at % RANK_BITS
+            bit = rows[np.arange(len(rows)), rest >> 3] >> (7 - (rest & 7)) & 1
+            ones = self.rank1(k, at)
             value = value << 1 | bit
-            i = self.zeros[k] + ones if bit else i - ones
+            at = np.where(bit, self.zeros[k] + ones, at - ones)
         return value
 
-    def count(self, value: int, start: int = 0, end: int | None = None) -> int:
-        """Occurrences of an id in [start, end)."""
-        lo, hi = self._narrow(value, start, self.n if end is None else end)
-        return hi - lo
-
-    def _narrow(self, value: int, lo: int, hi: int) -> tuple[int, int]:
+    def counts(self, value: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Occurrences of an id in each [start, end)."""
+        lo, hi = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
         for k in range(BITS):
             a, b = self.rank1(k, lo), self.rank1(k, hi)
             lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if value >> (BITS - 1 - k) & 1 else (lo - a, hi - b)
-        return lo, hi
+        return hi - lo
+
+    def count(self, value: int, start: int = 0, end: int | None = None) -> int:
+        """Occurrences of an id in [start, end)."""
+        return int(self.counts(value, np.array([start]), np.array([self.n if end is None else end]))[0])
 
     def select(self, value: int, j: int) -> int:
         """Place of the j-th (from 0) occurrence of an id, or -1."""
-        lo, hi = self._narrow(value, 0, self.n)
-        if not 0 <= j < hi - lo:
+        lo, total = np.zeros(1, np.int64), self.count(value)
+        if not 0 <= j < total:
             return -1
-        i = lo + j
+        for k in range(BITS):
+            ones = self.rank1(k, lo)
+            lo = self.zeros[k] + ones if value >> (BITS - 1 - k) & 1 else lo - ones
+        i = int(lo[0]) + j
         for k in reversed(range(BITS)):
             bit = value >> (BITS - 1 - k) & 1
-            i = self._select(k, bit, i - self.zeros[k] if bit else i)
+            i = self._select(k, bit, i - int(self.zeros[k]) if bit else i)
         return i
 
+    def _select(self, k: int, bit: int, j: int) -> int:
+        """Place in plane k of the j-th (from 0) bit of this value."""
+        ones = self.before[k]
+        counts = ones if bit else np.minimum(np.arange(len(ones)) * RANK_BITS, self.n) - ones
+        unit = int(np.searchsorted(counts, j, "right")) - 1
+        bits = np.unpackbits(self._gather(k, np.array([unit]))[0])[: self.n - unit * RANK_BITS]
+        return unit * RANK_BITS + int(np.flatnonzero(bits == bit)[j - int(counts[unit])])
+
     def decode(self) -> np.ndarray:
         """All ids. From the last plane up, each plane's bits tell which of the sorted ids go where."""
         order = np.zeros(self.n, np.uint16)
         for k in reversed(range(BITS)):
-            packed = b"".join(self._inflate(self.blob[a:b], max_output_size=BLOCK_BYTES) for a, b in self.places[k])
-            bit = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n).view(bool) if self.n else np.zeros(0, bool)
+            packed = [self._rows(k, b).ravel() for b in range(len(self.places[k]))]
+            bit = np.unpackbits(np.concatenate(packed), count=self.n).view(bool) if packed else np.zeros(0, bool)
             above = np.empty_like(order)
             above[~bit], above[bit] = order[: self.zeros[k]], order[self.zeros[k] :] | np.uint16(1 << (BITS - 1 - k))
             order = above
         return order
 
 
-SHARD_SCHEMA = "part int, shard int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, matrix binary"
+SHARD_SCHEMA = "part int, shard int, n_tokens long, file binary"
 
 
 def _shard_task(batches: Iterator[pa.RecordBatch], shard_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -149,8 +180,8 @@ def _shard_task(batches: Iterator[pa.RecordBatch], shard_tokens: int) -> Iterato
     part, shard, ids, doc_ids, total = TaskContext.get().partitionId(), 0, [], [], 0
 
     def close() -> pa.RecordBatch:
-        row = {"part": part, "shard": shard, "n_tokens": total, "doc_ids": doc_ids, "doc_tokens": [len(x) for x in ids], "matrix": build(np.concatenate(ids))}
-        schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("matrix", pa.binary())])
+        row = {"part": part, "shard": shard, "n_tokens": total, "file": build(np.concatenate(ids), doc_ids, [len(x) for x in ids])}
+        schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("file", pa.binary())])
         return pa.RecordBatch.from_pylist([row], schema)
 
     for batch in batches:
@@ -174,7 +205,7 @@ def _encode_task(batches: Iterator[pa.RecordBatch], path: str | None, end_id: in
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = tokens.END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Write all documents in ascending id order as shards (part, shard, n_tokens, doc_ids, doc_tokens, matrix).
+    """Write all documents in ascending id order as shards (part, shard, n_tokens, file).
 
     Texts are encoded once into a scratch table, range-partitioned by id and cut into shards of about
     `shard_tokens` ids; a document is never split. Null texts are empty, null ids come first, rows with equal
@@ -190,27 +221,30 @@ def write_shards(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_c
     return shards
 
 
-def _digest_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest_task(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, shard, doc_ids, counts, matrix in zip(*batch.columns):
-            ids = WaveletMatrix(matrix.as_py()).decode()
-            counts = np.array(counts.values, dtype=np.int64)
-            ends = np.cumsum(counts)
-            crc = [tokens.crc32(ids[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
-            same = [pa.array([x.as_py()] * len(counts), pa.int32()) for x in (part, shard)]
-            yield pa.RecordBatch.from_arrays([*same, doc_ids.values, pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-
-def read_digests(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards' matrices alone.
-
-    Tokens before a shard: a running sum over the range partitions' totals (a row each) and one within each. They
-    are joined to the digests, so that no matrix is shuffled.
+        for part, shard, file in zip(*batch.columns):
+            matrix = WaveletMatrix(file.as_py())
+            ends = np.cumsum(matrix.lengths)
+            starts, ids = ends - matrix.lengths, matrix.decode()
+            crc = [tokens.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+            closed = matrix.access(ends - 1) == end_id
+            same = [pa.array([x.as_py()] * len(ends), pa.int32()) for x in (part, shard)]
+            columns = [pa.array(matrix.doc_ids, mask=matrix.doc_null), *(pa.array(c) for c in (starts, matrix.lengths, crc, matrix.counts(end_id, starts, ends), closed))]
+            yield pa.RecordBatch.from_arrays([*same, *columns], ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32", "n_end_ids", "closed"])
+
+
+def read_digests(shards: DataFrame, *, end_id: int = tokens.END_ID) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, n_end_ids, closed) of every document, from the shards' files alone.
+
+    All ids are decoded for the checksum; how often the end id occurs in a document, and whether it is the last, are
+    counted and looked up by rank. Tokens before a shard: a running sum over the range partitions' totals (a row
+    each) and one within each. They are joined to the digests, so that no file is shuffled.
     """
     sizes = shards.select("part", "shard", "n_tokens")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("within")).alias("shard_start"))
-    rows = shards.select("part", "shard", "doc_ids", "doc_tokens", "matrix").mapInArrow(_digest_task, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = shards.select("part", "shard", "file").mapInArrow(lambda it: _digest_task(it, end_id), "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long, n_end_ids long, closed boolean")
+    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "n_end_ids", "closed")

@@ -3,8 +3,8 @@
 Each scan task packs the documents it reads, so nothing is shuffled and a lost task is simply run again. A
 task keeps a level array: for every fill level, the partly filled windows at it. A document's full windows are
 emitted as they are; its rest goes to the level at which the sum of squared counts of partly filled windows
-becomes least. At the end of a task the windows that are left are merged by cutting pieces, so that at most
-one window of a task is padded.
+becomes least. At the end of a task the windows that are left are merged by cutting pieces, and the last one is cut
+into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -50,9 +50,12 @@ class LevelPacker:
         return None
 
     def rest(self) -> Iterator[list[tuple]]:
-        """The windows left, fullest first, refilled from the emptiest by cutting pieces: all but the last are full."""
+        """The windows left, fullest first, refilled from the emptiest by cutting pieces; the last in powers of two."""
         left = [p for level in sorted(self.open, reverse=True) for window in self.open[level] for p in window]
-        window, room = [], self.window
+        last = sum(length for *_, length in left) % self.window
+        sizes = [self.window] * (sum(length for *_, length in left) // self.window)
+        sizes += [1 << k for k in reversed(range(last.bit_length())) if last >> k & 1]
+        window, room = [], next(sizes := iter(sizes), 0)
         for doc, start, length in left:
             while length:
                 n = min(length, room)
@@ -60,9 +63,7 @@ class LevelPacker:
                 start, length, room = start + n, length - n, room - n
                 if not room:
                     yield window
-                    window, room = [], self.window
-        if window:
-            yield window
+                    window, room = [], next(sizes, 0)
 
 
 def _pack_task(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, window: int) -> Iterator[pa.RecordBatch]:

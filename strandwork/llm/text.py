@@ -44,15 +44,17 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and where each value begins and ends; null counts as empty."""
-    array = array.cast(pa.large_string()).fill_null("")
+    array = array.cast(pa.large_string())
+    if array.null_count:
+        array = array.fill_null("")
     _, offsets, data = array.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[array.offset : array.offset + len(array) + 1]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of runs of rows with about CHUNK_BYTES; a long text is a run of its own."""
+def chunks(array: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of runs of rows with about `size` bytes; a long text is a run of its own."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     if not len(array):
@@ -60,7 +62,7 @@ def chunks(array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data, offsets = buffers(array)
     first = 0
     while first < len(offsets) - 1:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 

@@ -94,3 +94,28 @@ def test_repeated_turns_count(spark):
     rows = [(1, 0, "user", "a", 1, "x")] * 2 + [(2, 0, "user", "a", 1, "x")]
     out = op8_chat.render(spark.createDataFrame(rows, CHAT)).select(F.col("conv_id"), F.col("n_turns")).collect()
     assert [tuple(r) for r in out] == [(1, 2)]
+
+
+def test_turns_without_an_id_stand_alone(spark):
+    rows = [(None, t, "user", x, 1, "x") for t, x in ((0, "a"), (1, "b"), (2, "b"), (None, "c"), (3, "first"))]
+    rows += [(7, 0, "user", "first", 1, "x"), (7, 1, "user", "second", 1, "x"), (9, None, "user", "c", 1, "x")]
+    out = op8_chat.render(spark.createDataFrame(rows, CHAT).repartition(4)).collect()
+    text = lambda *t: "".join(f"<|im_start|>user\n{x}<|im_end|>\n" for x in t)
+    want = [(None, 1, 1, text("a")), (None, 1, 2, text("b")), (9, 1, 2, text("c")), (7, 2, 1, text("first", "second"))]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
+def test_ties_and_null_turn_numbers_equal_plain_sorting(spark):
+    long = [(1, 0, "user", f"t{i % 6000}", 1, "x") for i in range(7000)]
+    short = [(2, None, "user", "n", 1, "x"), (2, 5, "user", "y", 1, "x"), (2, 5, None, "x" * 300_000, 1, "x")]
+    turns = spark.createDataFrame(long + short, CHAT).repartition(5)
+    named = op8_chat.prefixes(turns.withColumnRenamed("conv_id", "conv"))
+    places = defaultdict(list)
+    for r in named.collect():
+        places[r["conv"]].append(r["place"])
+    assert sorted(places[1]) == list(range(1, 7001)) and sorted(places[2]) == [1, 2, 3]
+    assert len({(r["h1"], r["h2"]) for r in named.where("conv = 1").collect()}) == 7000
+    out = {r["conv_id"]: r for r in op8_chat.render(turns).collect()}
+    assert out[1]["n_turns"] == 7000 and out[2]["rendered"].startswith("<|im_start|>user\nn<|im_end|>") and len(out[2]["rendered"]) > 300_000
+    again = {r["conv_id"]: r["rendered"] for r in op8_chat.render(turns.repartition(3)).collect()}
+    assert again == {k: r["rendered"] for k, r in out.items()}

@@ -53,7 +53,8 @@ def test_wavelet_matrix_queries():
     m = op7_wavelet.WaveletMatrix(op7_wavelet.build(ids))
     assert (m.decode() == ids).all()
     for i in (0, 1, 511, 512, 131071, 131072, 299_999, *rng.integers(0, len(ids), 30).tolist()):
-        assert m.access(i) == ids[i]
+        assert m.access([i])[0] == ids[i]
+    assert (m.access(np.arange(len(ids))[::7]) == ids[::7]).all()
     for value in (0, 1, 50, 700, 65535):
         places = np.flatnonzero(ids == value)
         assert m.count(value) == len(places)
@@ -69,11 +70,12 @@ def test_wavelet_matrix_queries():
 def test_shards_round_trip(spark, shard_tokens):
     docs = spark.createDataFrame(ODD, DOC).repartition(3)
     shards = op7_wavelet.write_shards(spark, docs, Scratch(spark, "t7"), shard_tokens=shard_tokens)
+    assert shards.columns == ["part", "shard", "n_tokens", "file"]
     rows = sorted(map(tuple, op7_wavelet.read_digests(shards).collect()), key=lambda r: r[1])
     want, start = [], 0
     for doc_id, text, *_ in sorted(ODD, key=lambda r: (r[0] is not None, r[0])):
         ids = expected(text)
-        want.append((doc_id, start, len(ids), crc(ids)))
+        want.append((doc_id, start, len(ids), crc(ids), list(ids).count(1), True))
         start += len(ids)
     assert rows == want
 
@@ -111,7 +113,8 @@ def check_packing(docs, rows, window):
 def test_packing_covers_every_id_once(spark, window):
     rows = [tuple(r) for r in op9_packing.pack(spark.createDataFrame(ODD, DOC).coalesce(1), window=window).collect()]
     windows = check_packing([(r[0], r[1]) for r in ODD], rows, window)
-    assert sum(sum(n for _, n in w) < window for w in windows.values()) <= 1
+    short = [n for n in (sum(n for _, n in w) for w in windows.values()) if n < window]
+    assert all(n & (n - 1) == 0 for n in short) and len(short) == len(set(short))
 
 
 def test_packing_edges(spark):
