@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -16,6 +16,11 @@ def first_match(rules: Iterable[tuple[Column, object]], default: object = None)
     return F.lit(default) if chain is None else chain.otherwise(default)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is named: the one entry of an array is transformed."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lookup(key: Column, table: Mapping, default: object = None) -> Column:
     """Value of a literal map, or the default where the key is missing or null."""
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])

@@ -34,10 +34,17 @@ def top_pairs(rows: DataFrame, slots: Sequence[tuple[str, str]], order: str, n:
     return (ranked if n is None else ranked.limit(n)).drop("_first")
 
 
-def frequencies(rows: DataFrame, items: str, order: str) -> DataFrame:
-    """(item, n) of the entries of an array column, most frequent first, ties by first appearance."""
+def frequencies(rows: DataFrame, items: str, order: str, ranked: bool = False) -> DataFrame:
+    """(item, n) of the entries of an array column; with `ranked` also `place`, most frequent first, ties by first appearance.
+
+    `order` is a number. First appearances are two fixed-width minima, so that counting is a hash aggregate before and
+    after the shuffle. Ranking puts the distinct items, not the entries, into one order.
+    """
     flat = rows.select(F.col(order).alias("_o"), F.posexplode(items).alias("_p", "item"))
-    return flat.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_o", "_p")).alias("_first")).orderBy(F.desc("n"), "_first").drop("_first")
+    counted = flat.groupBy("item").agg(F.count(F.lit(1)).alias("n"), *([F.min("_o").alias("_o"), F.min_by("_p", "_o").alias("_q")] if ranked else []))
+    if not ranked:
+        return counted
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "_o", "_q", "item"))).select("item", "n", "place")
 
 
 def hit_rate(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def completions(log: DataFrame, value: str = "j", step: str = "summary", step_path: str = "$.pipeline_step", needed: str = "$.total_pipeline_time_s") -> DataFrame:
-    """Records of one step that have a key, whatever its value: a JSON null counts, a missing key does not."""
-    v = F.col(value)
-    return log.where((F.try_variant_get(v, F.lit(step_path), "string") == step) & F.try_variant_get(v, F.lit(needed), "variant").isNotNull())
+def is_completion(value: Column, step: str = "summary", step_path: str = "$.pipeline_step", needed: str = "$.total_pipeline_time_s") -> Column:
+    """Whether a record is of one step and has a key, whatever its value: a JSON null counts, a missing key does not."""
+    right = F.try_variant_get(value, F.lit(step_path), "string") == step
+    return F.coalesce(right & F.try_variant_get(value, F.lit(needed), "variant").isNotNull(), F.lit(False))
+
+
+def completions(log: DataFrame, value: str = "j") -> DataFrame:
+    """The records that are completions."""
+    return log.where(is_completion(F.col(value)))
 
 
 def number_at(value: Column, path: str) -> Column:

@@ -5,10 +5,11 @@ A signal is samples of one stem. `per_signal` gathers the chunks of a signal, wh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -98,13 +99,29 @@ def biquad(kind: str, hz: float, rate: int, q: float = 2**-0.5, gain_db: float =
     return b / d[0], d / d[0]
 
 
-def filtered(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    out, z1, z2 = np.empty(len(x)), 0.0, 0.0
-    for i, v in enumerate(x):
-        y = b[0] * v + z1
-        z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
-        out[i] = y
-    return out
+def filtered(x: np.ndarray, b: np.ndarray, a: np.ndarray, block: int = 256) -> np.ndarray:
+    """A second-order section over a signal, a block at a time.
+
+    A block's output is its input convolved with the section's impulse response, and what the two values of state before
+    it ring on to; only the state goes from block to block.
+    """
+    n = -(-len(x) // block)
+    impulse, ring = np.zeros(block), np.zeros((2, block))
+    for out, (v, z1, z2) in ((impulse, (1.0, 0.0, 0.0)), (ring[0], (0.0, 1.0, 0.0)), (ring[1], (0.0, 0.0, 1.0))):
+        for i in range(block):
+            y = b[0] * v + z1
+            z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
+            out[i], v = y, 0.0
+    lag = np.subtract.outer(np.arange(block), np.arange(block))
+    rows = np.pad(x.astype(float), (0, n * block - len(x))).reshape(n, block)
+    forced = rows @ np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0).T
+    z1 = z2 = 0.0
+    for k in range(n):
+        forced[k] += z1 * ring[0] + z2 * ring[1]
+        (x1, x2), (y1, y2) = rows[k, :-3:-1], forced[k, :-3:-1]
+        z2 = b[2] * x1 - a[2] * y1
+        z1 = b[1] * x1 - a[1] * y1 + b[2] * x2 - a[2] * y2
+    return forced.ravel()[: len(x)]
 
 
 def zero_phase(x: np.ndarray, sections: Sequence[tuple[np.ndarray, np.ndarray]], pad: int = 300) -> np.ndarray:
@@ -157,26 +174,41 @@ def spectrum(x: np.ndarray, rate: int, n: int = 4096) -> tuple[np.ndarray, np.nd
     return np.fft.rfftfreq(n, 1 / rate), 10 * np.log10(np.maximum(density, 1e-12))
 
 
-def spectra(chunks: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, hz, db) of each signal."""
+SIXTH = 2 ** (1 / 6)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        hz, db = spectrum(np.concatenate([np.asarray(s, float) for s in pdf["samples"]]), int(pdf["rate"].iloc[0]))
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "hz": hz, "db": db})
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*key).schema.fields)
-    return chunks.select(*key, "chunk", "rate", "samples").groupBy(*key).applyInPandas(one, f"{kinds}, hz double, db double")
+def band_spectrum(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, dB) of the third-octave bands [centre / 2^(1/6), centre * 2^(1/6)) that a spectrum reaches: mean power of their bins.
+
+    Where bands of rounded centres overlap, a bin is the lower band's.
+    """
+    hz, db = spectrum(x, rate)
+    centres = np.array(BANDS)
+    low, high = centres / SIXTH, centres * SIXTH
+    place = np.searchsorted(high, hz, "right")
+    inside = (place < len(BANDS)) & (hz >= low[np.minimum(place, len(BANDS) - 1)])
+    count = np.bincount(place[inside], minlength=len(BANDS))
+    power = np.bincount(place[inside], 10 ** (db[inside] / 10), len(BANDS))
+    there = np.flatnonzero(count)
+    return there, 10 * np.log10(np.maximum(power[there] / count[there], 1e-12))
+
+
+def band_profiles(signals: DataFrame, key: str, rate: str = "rate", samples: str = "samples", silence: float = -120.0) -> DataFrame:
+    """(key, band, db, relative_db) of signals that are one row each, with no shuffle: levels and their distance from the mean level of bands above silence."""
+    kind = signals.schema[key].dataType.simpleString()
 
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[], [], [], []]
+            for name, hz, x in zip(*(batch.column(k) for k in range(3))):
+                band, db = band_spectrum(x.values.to_numpy(zero_copy_only=False).astype(float) if x.is_valid else np.zeros(0), hz.as_py())
+                loud = db[db > silence + 1]
+                mean = loud.mean() if len(loud) else silence
+                for column, values in zip(out, ([name.as_py()] * len(band), band, db, db - mean)):
+                    column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(c, pa.float64()) for c in out[2:])], [key, "band", "db", "relative_db"])
 
-def band_of(hz: Column) -> Column:
-    """Place of the third-octave band [centre / 2^(1/6), centre * 2^(1/6)) that a frequency lies in, null outside all."""
-    sixth = 2 ** (1 / 6)
-    chain = None
-    for k, centre in enumerate(BANDS):
-        hit = (hz >= centre / sixth) & (hz < centre * sixth)
-        chain = F.when(hit, k) if chain is None else chain.when(hit, k)
-    return chain
+    return signals.select(key, rate, F.col(samples).cast("array<double>")).mapInArrow(levels, f"{key} {kind}, band int, db double, relative_db double")
 
 
 def loudness(x: np.ndarray, rate: int) -> float:

@@ -24,14 +24,36 @@ def distinct_by(rows: DataFrame, hashed: Column, order: Sequence[Column | str])
 
 
 def backfilled(kept: DataFrame, spare: DataFrame, hash_col: str, family: str, order: str, least: int) -> DataFrame:
-    """Kept rows and, if they are fewer than `least`, spare ones of new hashes, least represented families first."""
+    """Kept rows and, if they are fewer than `least`, spare ones of new hashes, least represented families first.
+
+    How many of each size of family are wanted follows from counts, a row for each; only where a size gives some of its
+    rows and not all, they are ranked by `order`: by ranges of it, then within a range.
+    """
     counts = kept.groupBy(family).agg(F.count(F.lit(1)).alias("_c"))
-    fresh = spare.join(kept.select(hash_col).distinct(), hash_col, "left_anti")
-    fresh = first_per(fresh, [hash_col], [order])
-    ranked = fresh.join(counts, family, "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.orderBy("_c", order)))
-    room = kept.agg(F.greatest(F.lit(least) - F.count(F.lit(1)), F.lit(0)).alias("_room"))
-    return kept.unionByName(ranked.join(F.broadcast(room), F.col("_r") <= F.col("_room")).select(*kept.columns))
+    fresh = first_per(spare.join(kept.select(hash_col).distinct(), hash_col, "left_anti"), [hash_col], [order])
+    fresh = fresh.join(counts, family, "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    room = least - kept.count()
+    if room <= 0:
+        return kept
+    whole, part, want = [], None, 0
+    for r in fresh.groupBy("_c").count().orderBy("_c").collect():  # as many rows as kept families have different sizes
+        if r["count"] <= room:
+            whole.append(r["_c"])
+            room -= r["count"]
+        else:
+            part, want = r["_c"], room
+            break
+    taken = fresh.where(F.col("_c").isin(whole)).select(*kept.columns)
+    if want:
+        rows = fresh.where(F.col("_c") == part)
+        edges = rows.approxQuantile(order, [k / 64 for k in range(1, 64)], 0.01)
+        rows = rows.withColumn("_b", sum(((F.col(order) > e).cast("int") for e in sorted(set(edges))), F.lit(0)))
+        before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_s"))  # 64 rows
+        rows = rows.join(F.broadcast(starts), "_b").where(F.col("_s") < want)
+        place = F.col("_s") + F.row_number().over(Window.partitionBy("_b").orderBy(order, hash_col))
+        taken = taken.unionByName(rows.withColumn("_r", place).where(F.col("_r") <= want).select(*kept.columns))
+    return kept.unionByName(taken)
 
 
 def reconciled(have: DataFrame, want: DataFrame, key: str, managed: Column) -> DataFrame:

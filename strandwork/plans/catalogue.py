@@ -14,6 +14,7 @@ from strandwork.functions import keys, music, rules, text, times, urls
 from strandwork.operators import aggregates as agg, filters, joins, kernels, sequences as seq, topk
 from strandwork.plans import dashboard, gains, planner
 from strandwork.sources import documents as docs, logs
+from strandwork.sources.sinks import shared_folder
 from strandwork.streaming import events as stream, state
 
 #: The fixed time of reports and expiry rules over the test data.
@@ -53,15 +54,84 @@ c = F.col
 
 
 # --- dashboard: scans, counts, top lists, rates --------------------------------------------------------------------------
-_PART = "SELECT '{m}' AS metric, {k} AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+_RUNS = """WITH e AS (SELECT event_id, event_type AS y, value, ts, json_extract_string(props, '$.k')::INTEGER AS k FROM events), d AS (SELECT * FROM e WHERE y <> 'view'),
+    slots AS (SELECT event_id AS o, 0 AS s, 'v' || k % 7 AS id, 'T' || k % 7 AS title FROM d UNION ALL SELECT event_id, 1, 'w' || k % 5, CASE WHEN k >= 50 THEN 'U' ELSE '' END FROM d),
+    used AS (SELECT id, title, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min({'o': o, 's': s})) AS place FROM slots GROUP BY 1, 2),
+    marks AS (SELECT event_id AS o, 0 AS p, 'f' || k % 4 AS flag FROM e WHERE y IN ('purchase', 'error') UNION ALL SELECT event_id, 1, 'g' FROM e WHERE y = 'purchase' UNION ALL SELECT event_id, 0, 'h' FROM e WHERE y = 'click'),
+    flags AS (SELECT flag AS item, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min({'o': o, 'p': p})) AS place FROM marks GROUP BY 1),
+    slot_hits AS (SELECT value > 50 AS a, CASE WHEN y = 'purchase' THEN k > 50 END AS b FROM d WHERE y IN ('click', 'purchase'))"""
+
+
+def log_lines(t) -> DataFrame:
+    """(value, line): events as the lines of a log of runs, with lines that are none. Types of events stand for the kinds of records: views are steps, signups have their time as text, errors have no offset and a single flag, clicks a list of flags that is none."""
+    k, y = F.get_json_object("props", "$.k").cast("int"), c("event_type")
+    quoted = lambda name, x: F.concat(F.lit(f'"{name}":"'), x, F.lit('"'))
+    bare = lambda name, x: F.concat(F.lit(f'"{name}":'), x.cast("string"))
+    mark = F.concat(F.lit("f"), k % 4)
+    fields = F.concat_ws(
+        ",", quoted("timestamp", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(y == "error", "").otherwise("+00:00"))), F.when(y != "view", F.lit('"pipeline_step":"summary"')).otherwise(F.lit('"pipeline_step":"load"')),
+        F.when(y == "signup", quoted("total_pipeline_time_s", c("value").cast("string"))).when(y != "view", bare("total_pipeline_time_s", c("value"))),
+        quoted("song_a_video_id", F.concat(F.lit("v"), k % 7)), quoted("song_a_title", F.concat(F.lit("T"), k % 7)), quoted("song_b_video_id", F.concat(F.lit("w"), k % 5)), F.when(k >= 50, F.lit('"song_b_title":"U"')),
+        F.when(y.isin("click", "purchase"), bare("song_a_cache_hit", c("value") > 50)), F.when(y == "purchase", bare("song_b_cache_hit", k > 50)),
+        F.when(y == "purchase", F.concat(F.lit('"red_flags":["'), mark, F.lit('","g"]'))).when(y == "error", quoted("red_flag", mark)).when(y == "click", F.lit('"red_flags":"none","red_flag":"h"')),
+    )
+    broken = t("region").select(F.explode(F.array(*map(F.lit, ("not json", "42", "", "  ", "[1]", '"text"', "{ broken")))).alias("value"), F.lit(-1).cast("long").alias("line"))
+    return t("events").select(F.concat(F.lit("{"), fields, F.lit("}")).alias("value"), c("event_id").cast("long").alias("line")).unionByName(broken)
+
+
+_METRIC = "SELECT '{0}' AS metric, {1} AS key, '' AS label, count(*) AS n, {2} AS value, NULL::INTEGER AS place FROM {3} GROUP BY ALL"
 
 
 @query(
-    " UNION ALL ".join(_PART.format(m=m, k=k) for m, k in (("day", "strftime(ts, '%Y-%m-%d')"), ("week", "strftime(ts, '%G-W%V')"), ("kind", "event_type"), ("all", "'all'")))
-    + " UNION ALL (SELECT 'k', json_extract_string(props, '$.k'), count(*), round(sum(value), 4) FROM events GROUP BY ALL ORDER BY 3 DESC, 2 LIMIT 10)"
-)
+    _RUNS
+    + " "
+    + " UNION ALL ".join(
+        _METRIC.format(*x)
+        for x in (
+            ("day", "strftime(ts, '%Y-%m-%d')", "NULL::DOUBLE", "d"), ("week", "strftime(ts, '%G-W%V')", "NULL::DOUBLE", "d"), ("total", "'all'", "NULL::DOUBLE", "d"),
+            ("time", "'all'", "round_even(avg(value), 1)", "d WHERE y <> 'signup'"), ("flag", "flag", "NULL::DOUBLE", "marks"),
+            ("hit_rate", "'all'", "round_even(avg(a::INT + coalesce(b, false)::INT) * 50, 1)", "slot_hits"), ("hits_a", "'all'", "NULL::DOUBLE", "slot_hits WHERE a"), ("hits_b", "'all'", "NULL::DOUBLE", "slot_hits WHERE b"),
+        )
+    )
+    + " UNION ALL SELECT 'used', id, title, n, NULL, place::INTEGER FROM used WHERE place <= 10"
+)
 def dashboard_(t):
-    return dashboard.of_events(t("events"))
+    """All aggregates of the log in one scan."""
+    return dashboard.report(log_lines(t), F.lit(NOW).cast("timestamp"))
+
+
+def log_part(t, name: str, days: int | None = None) -> DataFrame:
+    return dashboard.parts(log_lines(t), F.lit(NOW).cast("timestamp"), days)[name]
+
+
+@query(
+    _RUNS
+    + """, p AS (SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%G-W%V') AS week FROM d WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY)
+    SELECT CASE WHEN grouping(day) = 0 THEN 'day' WHEN grouping(week) = 0 THEN 'week' ELSE 'total' END AS period, coalesce(day, week, 'all') AS key, count(*) AS n FROM p GROUP BY GROUPING SETS ((day), (week), ())"""
+)
+def log_periods(t):
+    """Completed runs of the last seven days by day, by week and in total."""
+    return log_part(t, "periods", 7)
+
+
+@query(_RUNS + " SELECT round_even(avg(value), 1) AS average_s FROM d WHERE y <> 'signup'")
+def log_average_time(t):
+    return log_part(t, "average_time")
+
+
+@query(_RUNS + " SELECT id, title, n FROM used WHERE place <= 10")
+def log_most_used(t):
+    return log_part(t, "most_used")
+
+
+@query(_RUNS + " SELECT item, n, place::INTEGER AS place FROM flags")
+def log_flags(t):
+    return log_part(t, "flags")
+
+
+@query(_RUNS + " SELECT count(*) AS total, count(*) FILTER (a) AS hits_a, count(*) FILTER (b) AS hits_b, round_even(avg(a::INT + coalesce(b, false)::INT) * 50, 1) AS hit_rate_pct FROM slot_hits")
+def log_cache_hits(t):
+    return log_part(t, "cache_hits")
 
 
 @query(
@@ -154,18 +224,17 @@ def coalesce_full(t):
     return joins.tiered(t("labels").select("doc_id", c("quality").cast("int").alias("quality")), slow, ["doc_id"])
 
 
-_DIMS = "WITH e AS (SELECT vec_id, label, unnest(range(len(embedding)))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id < 400)"
-
-
 @query(
-    _DIMS
-    + """ SELECT a.dim, a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(a.x, 6) AS value_a, round(b.x, 6) AS value_b, round(least(a.x, b.x), 6) AS severity
-    FROM e a JOIN e b ON a.dim = b.dim WHERE a.label = 0 AND b.label = 1 AND a.x > 0.25 AND b.x > 0.25"""
+    """WITH e AS (SELECT l_orderkey AS song, l_orderkey * 8 + floor(l_quantity / 10)::BIGINT AS band, l_orderkey * 8 + l_linenumber AS part, l_returnflag AS side, l_extendedprice::DOUBLE AS x FROM lineitem),
+    p AS (SELECT a.song, a.band, a.part AS part_a, b.part AS part_b, a.x AS value_a, b.x AS value_b, least(a.x, b.x) AS severity FROM e a JOIN e b ON a.band = b.band WHERE a.side = 'R' AND b.side = 'A' AND a.x > 20000 AND b.x > 20000)
+    SELECT band, part_a, part_b, value_a, value_b, severity, row_number() OVER (PARTITION BY song ORDER BY severity DESC, part_a, part_b)::INTEGER AS place FROM p"""
 )
 def theta_conflicts(t):
-    e = t("embeddings").where("vec_id < 400").select("vec_id", "label", F.posexplode("embedding").alias("dim", "x")).withColumn("x", c("x").cast("double"))
-    out = joins.both_above(e.where("label = 0"), e.where("label = 1"), "dim", "x", 0.25, ("vec_id", "vec_id"))
-    return out.select("dim", "vec_id_a", "vec_id_b", *[F.round(x, 6).alias(x) for x in ("value_a", "value_b", "severity")])
+    """Orders as pairs of songs, lines as their parts on two sides, quantities as bands; conflicts of a pair by severity."""
+    e = t("lineitem").select((c("l_orderkey") * 8 + F.floor(c("l_quantity") / 10)).alias("band"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("part"), c("l_extendedprice").cast("double").alias("x"), "l_returnflag")
+    out = joins.both_above(e.where("l_returnflag = 'R'").drop("l_returnflag"), e.where("l_returnflag = 'A'").drop("l_returnflag"), "band", "x", 20000.0, ("part", "part"))
+    by_song = Window.partitionBy(F.floor(c("band") / 8)).orderBy(F.desc("severity"), "part_a", "part_b")
+    return out.select("band", "part_a", "part_b", "value_a", "value_b", "severity").withColumn("place", F.row_number().over(by_song))
 
 
 @query(
@@ -215,17 +284,17 @@ def semi_exists(t):
 
 
 @query(
-    """WITH d AS (SELECT doc_id, md5(text) AS h FROM documents), a AS (SELECT * FROM d WHERE doc_id % 2 = 0), b AS (SELECT * FROM d WHERE doc_id % 2 = 1)
+    """WITH d AS (SELECT doc_id, md5(text) AS h, lang FROM documents), a AS (SELECT doc_id, h FROM d WHERE lang = 'en'), b AS (SELECT doc_id, h FROM d WHERE lang <> 'en')
     SELECT * FROM a UNION ALL SELECT min(doc_id), h FROM b WHERE h NOT IN (SELECT h FROM a) GROUP BY h"""
 )
 def merge_if_absent(t):
-    d = t("documents").select("doc_id", F.md5("text").alias("h"))
-    return joins.insert_absent(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "h", "doc_id")
+    d = t("documents").select("doc_id", F.md5("text").alias("h"), "lang")
+    return joins.insert_absent(d.where("lang = 'en'").drop("lang"), d.where("lang <> 'en'").drop("lang"), "h", "doc_id")
 
 
-@query("SELECT DISTINCT a.event_type FROM events a JOIN events b USING (event_type) WHERE a.user_id = 1 AND b.user_id = 2")
+@query("SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
 def shared_items(t):
-    return joins.shared_items(t("events"), "user_id", "event_type", 1, 2)
+    return joins.shared_items(t("events"), "event_type", "user_id", "purchase", "error")
 
 
 @query(
@@ -661,33 +730,37 @@ def hash_dedup(t):
 
 
 @query(
-    """WITH k AS (SELECT o_orderkey AS id, o_orderpriority AS f FROM orders WHERE o_orderkey % 50 = 0), n AS (SELECT f, count(*) AS c FROM k GROUP BY 1), s AS (SELECT o_orderkey AS id, o_orderpriority AS f FROM orders WHERE o_orderkey % 10 = 0),
-    r AS (SELECT s.id, s.f, row_number() OVER (ORDER BY coalesce(c, 0), s.id) AS r FROM s LEFT JOIN n USING (f) WHERE s.id NOT IN (SELECT id FROM k))
-    SELECT id, f FROM k UNION ALL SELECT id, f FROM r WHERE r <= 2000 - (SELECT count(*) FROM k)"""
+    """WITH k AS (SELECT o_orderkey AS id, o_orderpriority AS f FROM orders WHERE o_orderstatus = 'P'), n AS (SELECT f, count(*) AS c FROM k GROUP BY 1), s AS (SELECT o_orderkey AS id, o_orderpriority AS f FROM orders WHERE o_orderstatus <> 'P'),
+    r AS (SELECT s.id, s.f, row_number() OVER (ORDER BY coalesce(c, 0), s.id) AS r FROM s LEFT JOIN n USING (f))
+    SELECT id, f FROM k UNION ALL SELECT id, f FROM r WHERE r <= (SELECT count(*) // 2 FROM orders) - (SELECT count(*) FROM k)"""
 )
 def backfill(t):
-    rows = t("orders").select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("f"))
-    return topk.backfilled(rows.where("id % 50 = 0"), rows.where("id % 10 = 0"), "id", "f", "id", 2000)
+    """Pending orders, filled up to half of all orders from the others."""
+    rows = t("orders").select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("f"), "o_orderstatus")
+    pending = c("o_orderstatus") == "P"
+    return topk.backfilled(rows.where(pending).drop("o_orderstatus"), rows.where(~pending).drop("o_orderstatus"), "id", "f", "id", rows.count() // 2)
 
 
 @query(
-    """SELECT n_nationkey, CASE WHEN n.n_nationkey IS NULL OR h.k IS NULL THEN 'add' WHEN s.k IS NULL AND managed THEN 'drop' ELSE 'keep' END AS action
-    FROM (SELECT n_nationkey FROM nation) n LEFT JOIN (SELECT n_nationkey AS k, n_nationkey % 2 = 0 AS managed FROM nation WHERE n_nationkey < 20) h ON n.n_nationkey = h.k
+    """SELECT n_nationkey, CASE WHEN h.k IS NULL THEN 'add' WHEN s.k IS NULL AND managed THEN 'drop' ELSE 'keep' END AS action
+    FROM nation n LEFT JOIN (SELECT n_nationkey AS k, n_name < 'NATION_2' AS managed FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') h ON n.n_nationkey = h.k
     LEFT JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 6000) s ON n.n_nationkey = s.k WHERE h.k IS NOT NULL OR s.k IS NOT NULL"""
 )
 def reconcile(t):
+    """What is on the shelf (nations but Asia's) against what is wanted (nations of rich suppliers); some are managed."""
+    have = t("nation").join(t("region").where("r_name <> 'ASIA'"), c("n_regionkey") == c("r_regionkey"))
     want = t("supplier").where("s_acctbal > 6000").select(c("s_nationkey").alias("n_nationkey")).distinct()
-    return topk.reconciled(t("nation").where("n_nationkey < 20"), want, "n_nationkey", c("n_nationkey") % 2 == 0)
+    return topk.reconciled(have, want, "n_nationkey", c("n_name") < "NATION_2")
 
 
-@query("SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 40")
+@query("SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_difference(t):
-    return t("nation").select("n_nationkey").exceptAll(t("supplier").where("s_suppkey < 40").select("s_nationkey").distinct()).distinct()
+    return t("nation").select("n_nationkey").exceptAll(t("supplier").where("s_acctbal > 5000").select("s_nationkey").distinct()).distinct()
 
 
-@query("SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_custkey < 20")
+@query("SELECT s_nationkey AS k FROM supplier WHERE s_acctbal < 0 INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal < -900")
 def set_intersection(t):
-    return t("supplier").select(c("s_nationkey").alias("k")).intersect(t("customer").where("c_custkey < 20").select("c_nationkey"))
+    return t("supplier").where("s_acctbal < 0").select(c("s_nationkey").alias("k")).intersect(t("customer").where("c_acctbal < -900").select("c_nationkey"))
 
 
 @query(
@@ -751,10 +824,9 @@ def plain_lines(t):
     return t("documents").select("doc_id", F.size(text.plain_lines(c("text"))).cast("bigint").alias("lines"))
 
 
-@query("SELECT doc_id, sha256(source || ':' || lang || ':' || lower(trim('  ' || substr(text, 1, 20), ' '))) AS key FROM documents WHERE regexp_full_match(substr(text, 1, 20), '[\\x20-\\x7e]*')")
+@query("SELECT doc_id, sha256(source || ':' || lang || ':' || lower(trim('  ' || text, ' '))) AS key FROM documents")
 def cache_key(t):
-    rows = t("documents").where(F.regexp_like(F.substring("text", 1, 20), F.lit(r"^[\x20-\x7e]*\z")))
-    return rows.select("doc_id", keys.content_key(c("source"), c("lang"), F.concat(F.lit("  "), F.substring("text", 1, 20))).alias("key"))
+    return t("documents").select("doc_id", keys.content_key(c("source"), c("lang"), F.concat(F.lit("  "), "text")).alias("key"))
 
 
 @query(
@@ -815,20 +887,23 @@ _NOTES = ", ".join(f"'{n}'" for n in music.SHARPS)
 
 
 @query(
-    f"""WITH p AS (SELECT a.n_nationkey AS i, b.n_nationkey AS j, a.n_nationkey % 12 AS a, b.n_nationkey % 12 AS b, CASE WHEN a.n_nationkey % 2 = 0 THEN 'major' ELSE 'minor' END AS sa, CASE WHEN b.n_nationkey % 3 = 0 THEN 'major' ELSE 'minor' END AS sb FROM nation a, nation b),
+    f"""WITH p AS (SELECT l_orderkey AS i, l_linenumber AS j, (l_partkey % 13)::INTEGER AS a, (l_suppkey % 12)::INTEGER AS b, CASE WHEN l_partkey % 2 = 0 THEN 'major' ELSE 'minor' END AS sa, CASE WHEN l_suppkey % 3 = 0 THEN 'major' ELSE 'minor' END AS sb,
+      l_partkey % 13 = 12 OR l_quantity < 5 OR coalesce(CASE WHEN l_linenumber < 7 THEN l_discount * 10 END < 0.4, false) OR l_tax > 0.07 AS none FROM lineitem),
     r AS (SELECT *, CASE WHEN sa = 'minor' THEN (a + 3) % 12 ELSE (a + 9) % 12 END AS a1, CASE WHEN sb = 'minor' THEN (b + 3) % 12 ELSE (b + 9) % 12 END AS b2 FROM p),
     d AS (SELECT *, least(abs(a1 - b), 12 - abs(a1 - b)) AS d1, least(abs(a - b2), 12 - abs(a - b2)) AS d2 FROM r),
     e AS (SELECT *, CASE WHEN sa = sb OR d1 > d2 THEN a ELSE a1 END AS ea, CASE WHEN sa = sb OR d1 <= d2 THEN b ELSE b2 END AS eb, CASE WHEN sa = sb OR d1 <= d2 THEN sb ELSE sa END AS sc FROM d),
     f AS (SELECT *, least(abs(ea - eb), 12 - abs(ea - eb)) AS dist, (ea - eb + 12) % 12 AS up FROM e),
     g AS (SELECT *, CASE WHEN dist = 0 THEN 0 ELSE (CASE WHEN up BETWEEN 1 AND 6 THEN 1 ELSE -1 END) * least(dist, 4) END AS shift_b, CASE WHEN dist <= 4 THEN 0 ELSE (CASE WHEN (eb - ea + 12) % 12 BETWEEN 1 AND 6 THEN 1 ELSE -1 END) * (dist - 4) END AS shift_a FROM f)
-    SELECT i, j, CASE WHEN dist = 0 THEN 'skip' WHEN dist = 6 THEN 'warning' ELSE 'shift' END AS action, shift_a::DOUBLE AS shift_a, shift_b::DOUBLE AS shift_b, ([{_NOTES}])[(eb + shift_b + 12) % 12 + 1] AS target_key, sc AS target_scale, dist::INTEGER AS distance FROM g"""
+    SELECT i, j, CASE WHEN none OR dist = 0 THEN 'skip' WHEN dist = 6 THEN 'warning' ELSE 'shift' END AS action, CASE WHEN none THEN 0 ELSE shift_a END::DOUBLE AS shift_a, CASE WHEN none THEN 0 ELSE shift_b END::DOUBLE AS shift_b,
+      CASE WHEN none THEN '' ELSE ([{_NOTES}])[(eb + shift_b + 12) % 12 + 1] END AS target_key, CASE WHEN none THEN '' ELSE sc END AS target_scale, CASE WHEN none THEN 0 ELSE dist END::INTEGER AS distance FROM g"""
 )
 def key_plan(t):
-    n = t("nation").select("n_nationkey")
-    both = n.select(c("n_nationkey").alias("i")).join(F.broadcast(n.select(c("n_nationkey").alias("j"))))
-    name = lambda k: music.note_name(c(k))
-    plan = music.key_plan(name("i"), F.when(c("i") % 2 == 0, "major").otherwise("minor"), F.lit(0.9), name("j"), F.when(c("j") % 3 == 0, "major").otherwise("minor"), F.lit(None).cast("double"))
-    return both.withColumn("p", plan).select("i", "j", "p.*")
+    """Lines as pairs of songs; a thirteenth key is unknown, and low confidence (null is none) and rap skip a pair."""
+    name = lambda k, n: F.when(k % n < 12, music.note_name((k % n).cast("int")))
+    scale = lambda k, n: F.when(k % n == 0, "major").otherwise("minor")
+    sure_a, sure_b = F.when(c("l_quantity") < 5, 0.1).otherwise(0.9), F.when(c("l_linenumber") < 7, c("l_discount") * 10)
+    plan = music.key_plan(name(c("l_partkey"), 13), scale(c("l_partkey"), 2), sure_a, name(c("l_suppkey"), 12), scale(c("l_suppkey"), 3), sure_b, c("l_tax") > 0.07)
+    return t("lineitem").select(c("l_orderkey").alias("i"), c("l_linenumber").alias("j"), plan.alias("p")).select("i", "j", "p.*")
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN x < -60 THEN 1.0 WHEN x < -28 THEN 1.3 WHEN x < -23 THEN 1.15 WHEN x <= -18 THEN 1.0 WHEN x < -13 THEN 0.9 ELSE 0.8 END::DOUBLE AS factor FROM (SELECT l_orderkey, l_linenumber, -l_quantity * 1.5 AS x FROM lineitem)")
@@ -855,12 +930,19 @@ def retry_delays(t):
 
 
 @query(
-    """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 40 > 16 THEN 'long_intro' END, CASE WHEN o_totalprice / 10000 > 25 THEN 'high_stretch_' || CAST(round_even(o_totalprice / 10000, 0) AS INTEGER) || '%' END, CASE WHEN o_orderkey % 9 - 4 NOT BETWEEN -3 AND 3 THEN 'high_key_shift' END,
-    CASE WHEN o_orderstatus = 'P' THEN 'beat_grid_fallback' END], lambda x: x IS NOT NULL), ',') AS flags FROM orders"""
+    """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 40 > 16 THEN 'long_intro' END, CASE WHEN o_custkey % 5 = 0 AND o_orderkey % 200 > 120 THEN 'zero_start_instrumental' END,
+    CASE WHEN o_totalprice / 10000 > 25 THEN 'high_stretch_' || CAST(round_even(o_totalprice / 10000, 0) AS INTEGER) || '%' END, CASE WHEN o_orderkey % 9 - 4 NOT BETWEEN -3 AND 3 THEN 'high_key_shift' END, CASE WHEN o_orderstatus = 'P' THEN 'beat_grid_fallback' END,
+    CASE WHEN -20 - o_custkey % 40 BETWEEN -50 AND -35 THEN 'borderline_stem' END, CASE WHEN o_custkey % 30 / 1000.0 < 0.01 AND o_orderpriority < '3' THEN 'ghost_stem' END,
+    CASE WHEN o_orderkey % 100 > 0 AND o_custkey % 100 > 0 AND abs(o_orderkey % 100 - o_custkey % 100)::DOUBLE / (o_custkey % 100) > 0.1 THEN 'duration_mismatch' END], lambda x: x IS NOT NULL), ',') AS flags FROM orders"""
 )
 def red_flags(t):
-    empty = F.create_map().cast("map<string,double>")
-    columns = {"intro_beats": c("o_orderkey") % 40, "start_b": F.lit(1), "duration_b": F.lit(100.0), "stretch_pct": c("o_totalprice") / 10000, "inst_semitones": c("o_orderkey") % 9 - 4, "grid": F.when(c("o_orderstatus") == "P", "scaled_fallback").otherwise("grid"), "lufs": empty, "rms": empty, "active": F.array().cast("array<string>"), "rendered": F.lit(0.0), "estimated": F.lit(0.0)}
+    """All eight rules over columns that make each fire and not fire."""
+    cust, key = c("o_custkey"), c("o_orderkey")
+    active = F.when(c("o_orderpriority") < "3", F.array(F.lit("guitar"))).otherwise(F.array(F.lit("drums")))
+    columns = {
+        "intro_beats": key % 40, "start_b": cust % 5, "duration_b": (key % 200).cast("double"), "stretch_pct": c("o_totalprice") / 10000, "inst_semitones": key % 9 - 4, "grid": F.when(c("o_orderstatus") == "P", "scaled_fallback").otherwise("grid"),
+        "lufs": F.create_map(F.lit("vocals"), (-20 - cust % 40).cast("double")), "rms": F.create_map(F.lit("guitar"), cust % 30 / 1000.0, F.lit("piano"), F.lit(0.5)), "active": active, "rendered": (key % 100).cast("double"), "estimated": (cust % 100).cast("double"),
+    }
     return t("orders").select("o_orderkey", F.array_join(rules.run_flags(columns.get), ",").alias("flags"))
 
 
@@ -960,9 +1042,10 @@ def beat_budgets(t):
 
 @query()
 def candidates(t):
-    """Plans fold boundaries in order and hash maps; tests compare them with plain loops."""
-    plans = planner.candidates(song_pairs(t).where("o_orderkey % 20 = 0"), "o_orderkey")
-    return planner.explained(plans.select(F.concat_ws("/", c("o_orderkey").cast("string"), "family", c("variant").cast("string")).alias("plan"), "sections"), "plan").withColumn("gain", F.round("gain", 6))
+    """Distinct plans of every order; boundaries are folded in order, so tests compare all with plain loops."""
+    plans = planner.candidates(song_pairs(t), "o_orderkey")
+    edges = F.array_join(F.transform("sections", lambda x: x["end_beat"].cast("string")), " ")
+    return plans.select("o_orderkey", "family", "variant", "total_beats", F.size("sections").alias("n_sections"), edges.alias("edges"), "hash")
 
 
 @query(
@@ -1011,13 +1094,12 @@ def _streamed(t, name: str, build: Callable[[DataFrame], DataFrame], mode: str =
 
     events = t("events")
     spark, path = events.sparkSession, events.inputFiles()[0]
-    folder, file = path.rsplit("/", 1)
-    if folder.endswith("events.parquet"):
-        folder, file = folder.rsplit("/", 1)[0], "events.parquet"
-    raw = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events*" if file == "events.parquet" else path)
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandwork-streams"
-    label = f"{name}_{uuid.uuid4().hex}"
-    return stream.drained(build(stream.as_timestamp(raw)), label, mode, f"{where.rstrip('/')}/{label}")
+    folder = path.rsplit("/", 1)[0]
+    if folder.endswith("/events.parquet"):  # a table of several files
+        raw = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(folder)
+    else:
+        raw = spark.readStream.schema(events.schema).option("pathGlobFilter", path.rsplit("/", 1)[1]).parquet(folder)
+    return stream.drained(build(stream.as_timestamp(raw)), f"{name}_{uuid.uuid4().hex}", mode, shared_folder(spark))
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -1026,10 +1108,10 @@ def stream_windows(t):
     return out.select(c("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(t):
-    out = _streamed(t, "dedup", lambda e: stream.deduplicated(e, "ts", ["user_id", "event_type"], "400 days"), "append")
-    return out.agg(F.count(F.lit(1)).alias("n"))
+    """One event of each user and type within a time that covers the log."""
+    return _streamed(t, "dedup", lambda e: stream.deduplicated(e, "ts", ["user_id", "event_type"], "400 days"), "append").select("user_id", "event_type")
 
 
 @query(
@@ -1041,9 +1123,9 @@ def stream_sessions(t):
     return out.select("user_id", c("session_start").cast("timestamp_ntz").alias("session_start"), c("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
-@query()
+@query("SELECT user_id, max(value) AS highest FROM events GROUP BY 1")
 def stream_monotone(t):
-    """Keyed state over batches has no SQL; tests compare it with the batch window."""
+    """The last of each user's rising values is its highest."""
     return _streamed(t, "monotone", lambda e: state.monotone(e.select("user_id", "ts", "value"), "user_id", "value"), "append").groupBy("user_id").agg(F.max("value").alias("highest"))
 
 
@@ -1078,6 +1160,5 @@ def compress_kernel(t):
 
 @query()
 def spectrum_kernel(t):
-    """Third-octave levels of spectra; tests compare a sine's band with theory."""
-    spectra = kernels.spectra(signals(t), ["vec_id"]).withColumn("band", kernels.band_of(c("hz"))).where("band is not null")
-    return agg.band_levels(spectra, ["vec_id"], "band", "db").select("vec_id", "band", F.round("db", 3).alias("db"), F.round("relative_db", 3).alias("relative_db"))
+    """Third-octave levels of spectra; tests compare a sine's band with theory, and all signals with a plain transform."""
+    return kernels.band_profiles(signals(t), "vec_id").select("vec_id", "band", F.round("db", 3).alias("db"), F.round("relative_db", 3).alias("relative_db"))

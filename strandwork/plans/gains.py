@@ -74,12 +74,12 @@ def energy_budget(rows: DataFrame) -> DataFrame:
     total = F.sum("gain").over(Window.partitionBy("plan_id", "idx"))
     least = lookup(F.col("label"), BUDGET)
     scaled = F.least(F.lit(1.0), F.col("gain") * F.try_divide(least, total))
-    return rows.withColumn("gain", F.when((total < least) & (F.col("gain") > 0), scaled).otherwise(F.col("gain")))
+    return rows.withColumn("gain", F.when((total < least - 1e-12) & (F.col("gain") > 0), scaled).otherwise(F.col("gain")))
 
 
 def gains(rows: DataFrame) -> DataFrame:
-    """All steps in order; later constraints see what earlier ones have changed."""
-    return energy_budget(muting_budget(none_muted(least_active(base_gains(rows)))))
+    """All steps in order; later constraints see what earlier ones have changed. Rows of a plan are shuffled once: each window's key holds the plan."""
+    return energy_budget(muting_budget(none_muted(least_active(base_gains(rows.repartition("plan_id"))))))
 
 
 def assembled(rows: DataFrame) -> DataFrame:

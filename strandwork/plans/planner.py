@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandwork.functions.keys import structure_key
-from strandwork.functions.music import clamped_transition, delta_gain, material_budget, snapped, target_bpm
+from strandwork.functions.music import clamped_transition, material_budget, snapped, target_bpm
 from strandwork.operators.sequences import rising_marks
 from strandwork.operators.topk import backfilled, first_per
 
@@ -70,22 +70,19 @@ def source_window(duration: Column) -> Column:
     return F.struct((duration * 0.25).alias("start"), F.least(duration * 0.25 + TARGET_S, duration).alias("end"))
 
 
+def moved_gain(gain: float, db: float, vocal: bool) -> float:
+    """A gain after a vocal gain in dB, within 0 and 1."""
+    return max(0.0, min(1.0, gain * 10 ** (db / 20))) if vocal else gain
+
+
 def variants(spark: SparkSession) -> DataFrame:
+    """The families' variants as rows; gains of their sections, in the order of STEMS, are constants of each."""
     rows = [
-        (fi, family, vi, list(labels), [float(m) for m in marks], transition, beats, float(db), 2 if family in SHORT_FADE else 4)
+        (fi, family, vi, list(labels), [float(m) for m in marks], transition, beats, 2 if family in SHORT_FADE else 4, [[moved_gain(g, db, s in VOCAL and label not in UNMOVED) for s, g in zip(STEMS, PRESETS[label])] for label in labels])
         for fi, (family, (labels, configs)) in enumerate(FAMILIES.items())
         for vi, (marks, transition, beats, db) in enumerate(configs)
     ]
-    return spark.createDataFrame(rows, "family_pos int, family string, variant int, labels array<string>, marks array<double>, transition string, beats int, vocal_db double, fade int")
-
-
-def _gains(label: Column, db: Column) -> Column:
-    """Map of a preset's gains after a vocal gain."""
-    one = lambda preset: F.create_map(*[x for k, s in enumerate(STEMS) for x in (F.lit(s), F.when(label.isin(*UNMOVED), F.lit(preset[k])).otherwise(delta_gain(F.lit(preset[k]), db, F.lit(s in VOCAL))))])
-    chain = None
-    for name, preset in PRESETS.items():
-        chain = F.when(label == name, one(preset)) if chain is None else chain.when(label == name, one(preset))
-    return chain
+    return spark.createDataFrame(rows, "family_pos int, family string, variant int, labels array<string>, marks array<double>, transition string, beats int, fade int, preset array<array<double>>")
 
 
 def generated(pairs: DataFrame) -> DataFrame:
@@ -101,14 +98,17 @@ def generated(pairs: DataFrame) -> DataFrame:
         start, end = F.get(F.col("edges"), i), F.get(F.col("edges"), i + 1)
         kind = F.when(i == 0, "fade").when(i == n - 1, "crossfade").otherwise(F.col("transition"))
         beats = F.when(i == 0, F.col("fade")).when(i == n - 1, 4).otherwise(F.col("beats"))
-        return F.struct(label.alias("label"), start.alias("start_beat"), end.alias("end_beat"), _gains(label, F.col("vocal_db")).alias("stem_gains"), kind.alias("transition_in"), clamped_transition(beats, end - start).alias("transition_beats"))
+        return F.struct(label.alias("label"), start.alias("start_beat"), end.alias("end_beat"), F.map_from_arrays(F.array(*map(F.lit, STEMS)), F.get("preset", i)).alias("stem_gains"), kind.alias("transition_in"), clamped_transition(beats, end - start).alias("transition_beats"))
 
     return rows.withColumn("sections", F.transform("labels", section)).select(*pairs.columns, "family_pos", "family", "variant", "sections")
 
 
 def candidates(pairs: DataFrame, key: str, most: int = 12) -> DataFrame:
-    """Distinct plans of each pair in order of family and variant, at most so many, each with its structure key."""
-    rows = generated(budgets(pairs)).withColumn("hash", structure_key(F.col("sections")))
+    """Distinct plans of each pair in order of family and variant, at most so many, each with its structure key.
+
+    Plans of a pair are shuffled once, by the pair.
+    """
+    rows = generated(budgets(pairs)).withColumn("hash", structure_key(F.col("sections"))).repartition(key)
     order = ["family_pos", "variant"]
     return first_per(first_per(rows, [key, "hash"], order), [key], order, most)
 

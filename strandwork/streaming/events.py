@@ -35,8 +35,19 @@ def joined_within(left: DataFrame, right: DataFrame, key: str, left_time: str, r
     return left.join(r, F.expr(f"{key} = _rk AND {right_time} >= {left_time} AND {right_time} <= {left_time} + INTERVAL {within}")).drop("_rk")
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is available into a memory table and return it."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(stream: DataFrame, name: str, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what is available into Parquet files below a shared folder, and return the table.
+
+    Appended rows go to a file sink as they are. A complete result replaces the table of the batch before, which is
+    named by its number; the files of the last batch are the result. Nothing goes through the driver.
+    """
+    spark, path = stream.sparkSession, f"{folder.rstrip('/')}/{name}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{path}/rows").start()
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    query = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows-{number}")).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = max((p["batchId"] for p in query.recentProgress), default=None)
+    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{path}/rows-{last}")

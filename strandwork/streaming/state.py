@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TERMINAL = ("complete", "error")
@@ -69,20 +70,30 @@ def lease_step(state: dict, event: dict) -> tuple[dict, str]:
 
 
 def replay_leases(events: DataFrame, key: str = "key", op: str = "op", token: str = "token", time: str = "t") -> DataFrame:
-    """(key, t, op, token, outcome, status) of every event of a log, in order of time and op within each key."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = {}, []
-        for r in pdf.sort_values(["t", "op", "token"]).itertuples(index=False):
-            state, outcome = lease_step(state, {"op": r.op, "token": r.token, "t": r.t})
-            out.append((r.key, r.t, r.op, r.token, outcome, state.get("status", "missing")))
-        return pd.DataFrame(out, columns=["key", "t", "op", "token", "outcome", "status"])
-
-    from pyspark.sql import functions as F
+    """(key, t, op, token, outcome, status) of every event of a log, in order of time and op within each key.
 
+    Events are sorted by key and time where Spark can spill them, and pass by in batches: a task holds one batch and the
+    running key's state, never a key's whole log.
+    """
     rows = events.select(F.col(key).alias("key"), F.col(op).alias("op"), F.col(token).alias("token"), F.col(time).cast("double").alias("t"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").applyInPandas(one, f"key {kind}, t double, op string, token string, outcome string, status string")
+    by_key = rows.repartition("key").sortWithinPartitions("key", "t", "op", "token")
+    schema = f"key {kind}, t double, op string, token string, outcome string, status string"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = object(), {}
+        for batch in batches:  # keys follow each other, so only the running key's state is held
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            outcomes, statuses = [], []
+            for k, o, token_, t in zip(*columns):
+                if k != current:
+                    current, state = k, {}
+                state, outcome = lease_step(state, {"op": o, "token": token_, "t": t})
+                outcomes.append(outcome)
+                statuses.append(state.get("status", "missing"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), batch.column(2), pa.array(outcomes, pa.string()), pa.array(statuses, pa.string())], ["key", "t", "op", "token", "outcome", "status"])
+
+    return by_key.mapInArrow(fold, schema)
 
 
 def progress_step(highest: float, values: Iterable[float]) -> tuple[float, list[float]]:
@@ -146,6 +157,4 @@ def ticker(start: float, end: float, n: int, share: float = 0.12, decay: float =
 
 def in_band(share, low: float, high: float):
     """A source's own progress (0 to 1) as a place in its band of the whole."""
-    from pyspark.sql import functions as F
-
     return F.lit(low) + (high - low) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
