@@ -99,6 +99,13 @@ def retry_delay(code: Column, attempt: Column, base: float = 30, cap: float = 60
     return F.when(code == fixed_code, F.lit(float(fixed))).otherwise(F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), attempt - 1)))
 
 
+def error_event(detail: Column, code: Column | None = None, song: Column | None = None) -> Column:
+    """JSON of a terminal error event; what is not known is left out."""
+    optional = {"code": code, "song": song}
+    fields = [F.lit("error").alias("step"), detail.alias("detail"), F.lit(0).alias("progress"), *[c.alias(n) for n, c in optional.items() if c is not None]]
+    return F.to_json(F.struct(*fields))
+
+
 # --- flags ---------------------------------------------------------------------------------------------------------------
 def flags(rules: Iterable[tuple[Column, object]]) -> Column:
     """Array of the names whose condition holds, in order, each once."""

@@ -208,6 +208,32 @@ def side_mid_ratio(left: str, right: str) -> Column:
     return F.try_divide(F.sqrt(F.avg(F.pow((l - r) / 2, F.lit(2.0)))), F.sqrt(F.avg(F.pow((l + r) / 2, F.lit(2.0)))))
 
 
+def tempo_confidence(strengths: Column) -> Column:
+    """How far the strongest tempo of a profile stands out: its strength over the mean, a tenth of it, at most 1."""
+    total = F.aggregate(strengths, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return F.coalesce(F.least(F.lit(1.0), F.try_divide(F.array_max(strengths).cast("double"), total / F.size(strengths)) / 10), F.lit(0.0))
+
+
+def modulation(chroma: DataFrame, song: Sequence[str], frame: str, pitch: str, value: str, head: float = 0.6) -> DataFrame:
+    """(song, key_head, key_tail, has_modulation): whether the key of the first part of a song's frames is that of the rest.
+
+    Frames are numbered from 0; both parts are correlated with the key profiles in one pass.
+    """
+    frames = chroma.groupBy(*song).agg(((F.max(frame) + 1) * head).alias("_cut"))
+    halves = chroma.join(frames, list(song)).withColumn("_part", F.when(F.col(frame) < F.col("_cut"), "head").otherwise("tail"))
+    sums = halves.groupBy(*song, "_part", pitch).agg(F.sum(value).alias(value))
+    keys = key_by_profile(sums, [*song, "_part"], pitch, value).select(*song, "_part", F.struct("tonic", "scale").alias("k"))
+    both = keys.groupBy(*song).agg(*[F.max(F.when(F.col("_part") == p, F.col("k"))).alias(f"key_{p}") for p in ("head", "tail")])
+    return both.withColumn("has_modulation", F.coalesce(F.col("key_head") != F.col("key_tail"), F.lit(False)))
+
+
+def combined_energy(stems: DataFrame, mixes: DataFrame, song: Sequence[str], bar: str, value: str) -> DataFrame:
+    """(song, bar, energy): levels of the full mix where a song has one, else the sum of its stems above the noise floor."""
+    mixed = mixes.select(*song, bar, F.col(value).alias("energy"))
+    without = stems.join(mixes.select(*song).distinct(), list(song), "left_anti")
+    return mixed.unionByName(without.groupBy(*song, bar).agg(summed_above(F.col(value)).alias("energy")))
+
+
 def polyphony_gate(ratio: Column) -> Column:
     return first_match([(ratio < 0.05, "solo"), (ratio > 0.15, "poly")], "next gate")
 

@@ -18,6 +18,13 @@ def capped_corrections(rows: DataFrame, stem: Sequence[str], hz: str, gain: str,
     return first_per(strongest, stem, [gain, order], n).withColumn(gain, F.greatest(F.lit(least), F.least(F.lit(0.0), F.col(gain))))
 
 
+def merged_corrections(anomalies: DataFrame, conflicts: DataFrame, stem: Sequence[str], hz: str, gain: str, n: int = 4, least: float = -4.0) -> DataFrame:
+    """Corrections of two lists of (stem, hz, gain) as one: a stem's anomalies stand before its conflicts, then `capped_corrections`."""
+    both = anomalies.withColumn("_o", F.lit(0)).unionByName(conflicts.withColumn("_o", F.lit(1)))
+    rows = both.select(*stem, hz, gain, F.struct("_o", hz).alias("_order"))
+    return capped_corrections(rows, stem, hz, gain, "_order", n, least).select(*stem, hz, gain)
+
+
 def distinct_by(rows: DataFrame, hashed: Column, order: Sequence[Column | str]) -> DataFrame:
     """One row for each hash, the first by order."""
     return first_per(rows.withColumn("_h", hashed), ["_h"], order).drop("_h")

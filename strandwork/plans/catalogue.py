@@ -1162,3 +1162,6 @@ def compress_kernel(t):
 def spectrum_kernel(t):
     """Third-octave levels of spectra; tests compare a sine's band with theory, and all signals with a plain transform."""
     return kernels.band_profiles(signals(t), "vec_id").select("vec_id", "band", F.round("db", 3).alias("db"), F.round("relative_db", 3).alias("relative_db"))
+
+
+from strandwork.plans import catalogue_rules  # noqa: E402,F401  (registers its queries)

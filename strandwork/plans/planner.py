@@ -71,14 +71,14 @@ def source_window(duration: Column) -> Column:
 
 
 def moved_gain(gain: float, db: float, vocal: bool) -> float:
-    """A gain after a vocal gain in dB, within 0 and 1."""
-    return max(0.0, min(1.0, gain * 10 ** (db / 20))) if vocal else gain
+    """A gain after vocals are moved by so many dB and everything else by half as many the other way, within 0 and 1."""
+    return max(0.0, min(1.0, gain * 10 ** ((db / 20) if vocal else -(db / 40))))
 
 
 def variants(spark: SparkSession) -> DataFrame:
     """The families' variants as rows; gains of their sections, in the order of STEMS, are constants of each."""
     rows = [
-        (fi, family, vi, list(labels), [float(m) for m in marks], transition, beats, 2 if family in SHORT_FADE else 4, [[moved_gain(g, db, s in VOCAL and label not in UNMOVED) for s, g in zip(STEMS, PRESETS[label])] for label in labels])
+        (fi, family, vi, list(labels), [float(m) for m in marks], transition, beats, 2 if family in SHORT_FADE else 4, [[g if label in UNMOVED else moved_gain(g, db, s in VOCAL) for s, g in zip(STEMS, PRESETS[label])] for label in labels])
         for fi, (family, (labels, configs)) in enumerate(FAMILIES.items())
         for vi, (marks, transition, beats, db) in enumerate(configs)
     ]

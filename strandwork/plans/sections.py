@@ -102,6 +102,34 @@ def analysed(bars: DataFrame) -> DataFrame:
     return merged(labelled(bars, states, segments(bars, states)))
 
 
+def enriched(bars: DataFrame, given: DataFrame) -> DataFrame:
+    """Sections of another source (song_id, start_bar, end_bar, label), told by their bars: label and bounds stay, level, trajectory, density, vocals and notes are ours."""
+    states = bar_states(bars)
+    totals = states.groupBy("song_id").agg((F.max("bar") + 1).alias("total"))
+    spans = given.withColumn("segment", F.row_number().over(Window.partitionBy("song_id").orderBy("start_bar")) - 1).join(totals, "song_id")
+    told = labelled(bars, states, spans.select("song_id", "segment", "total", "start_bar", "end_bar")).drop("label")
+    return told.join(spans.select(*SEGMENT, "label"), SEGMENT).withColumn("section_source", F.lit("enriched"))
+
+
+def healed(songs: DataFrame, bars: DataFrame) -> DataFrame:
+    """Songs (song_id, energy, active, sections) whose energies are degenerate, computed anew from their stems' bars.
+
+    A song is degenerate if it has neither a bar of energy nor an active one. Its sections stay unless it has none; songs
+    without bars, and sound ones, stay as they are. `healed` tells which were.
+    """
+    from strandwork.functions.rules import silent
+
+    broken = songs.where(silent(F.col("energy"), F.col("active"))).select("song_id")
+    ours = bars.join(broken, "song_id", "left_semi")
+    states = bar_states(ours).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("bar", "energy", "vocal_active"))).alias("_s"))
+    made = analysed(ours).groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("start_bar", "end_bar", "label"))).alias("_sections"))
+    rows = songs.join(states, "song_id", "left").join(made, "song_id", "left")
+    fresh = F.col("_s").isNotNull()
+    sections = F.when(fresh & (F.coalesce(F.size("sections"), F.lit(0)) == 0), F.col("_sections")).otherwise(F.col("sections"))
+    take = lambda f, old: F.when(fresh, F.transform("_s", lambda x: x[f])).otherwise(F.col(old)).alias(old)
+    return rows.select("song_id", take("energy", "energy"), take("vocal_active", "active"), sections.alias("sections"), fresh.alias("healed"))
+
+
 def pair_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row (loudness_diff_db, stretch_pct) for each pair of songs (pair_id, bpm, mean_rms) on two sides."""
     from strandwork.functions.music import loudness_diff, stretch_pct

@@ -145,6 +145,25 @@ def running_ema(stream: DataFrame, key: str, value: str, order: str = "ts", star
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, ema double", "ema double", "update", GroupStateTimeout.NoTimeout)
 
 
+def merged_events(events: DataFrame, key: str, order: str, progress: str, step: str, nudge: float = 0.008, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """(key, order, step, progress) of what a listener is shown of several sources' events, in order.
+
+    Values at or below the highest so far are stale and dropped, but a new step is always shown, nudged above the one
+    before; nothing follows a terminal step.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.col(step).isin(*terminal)).over(before), F.lit(False))
+    highest, last = F.max(progress).over(before), F.lag(step).over(w)
+    rows = events.select(key, order, step, progress, ended.alias("_ended"), highest.alias("_high"), last.alias("_last")).where(~F.col("_ended"))
+    new = F.col("_last").isNull() | (F.col("_last") != F.col(step))
+    rising = F.col("_high").isNull() | (F.col(progress) > F.col("_high"))
+    shown = F.when(rising | F.col(step).isin(*terminal), F.col(progress)).otherwise(F.least(F.lit(1.0), F.col("_high") + nudge))
+    return rows.where(rising | new | F.col(step).isin(*terminal)).select(key, order, step, shown.alias(progress))
+
+
 def ticker(start: float, end: float, n: int, share: float = 0.12, decay: float = 0.8) -> list[float]:
     """n synthetic progress values between two steps: each moves a decaying share of the range on, below the end by 0.01."""
     out, at, step = [], start, (end - start) * share
