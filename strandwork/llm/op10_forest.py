@@ -131,6 +131,17 @@ def threshold(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
     return int(gain.argmax()) / BINS if gain.max() > 0 else 1.01
 
 
+def held_out_errors(judged: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """Shares of judged documents that passed the base rules and are wrong: `good_dropped` and `bad_kept`.
+
+    Judge with labels of some documents, and measure with the labels of others.
+    """
+    rows = judged.where(~F.col("base_failed")).join(labels.select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
+    kept = F.col("kept").cast("double")
+    found = rows.agg(F.avg(F.when(F.col("quality") == 1, 1 - kept)).alias("good_dropped"), F.avg(F.when(F.col("quality") == 0, kept)).alias("bad_kept")).first()
+    return found.asDict()
+
+
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, max_loss: float = MAX_LOSS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly) of every row.
 

@@ -2,8 +2,9 @@
 
 Voters say good, bad or nothing of a document. Expectation-maximisation over the counts of vote patterns in the
 whole corpus estimates how often each voter is right, and so each pattern's probability of good; silence is no
-evidence, and no share of good documents is assumed. These posteriors then train a linear scorer on hashed word
-shapes and binned statistics, which scores every document, whether the voters say anything of it or not.
+evidence, and no share of good documents is assumed. These posteriors then train a linear scorer on hashed words,
+word shapes and binned statistics, which scores every document, whether the voters say anything of it or not, and
+learns from words what no voter looks at.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandwork.llm.stats import FIELDS, statistics
-from strandwork.llm.text import U64, chunks, mix, word_hashes, word_spans
+from strandwork.llm.text import LOWER, U64, chunks, mix, word_hashes, word_spans
 
-#: Documents (about; a hash decides) on which the scorer is trained, and its number of weights.
-SAMPLE_DOCS, BUCKETS = 20_000, 1 << 16
+#: Documents (about; a hash decides) and characters at most on which the scorer is trained, and its number of weights.
+SAMPLE_DOCS, SAMPLE_CHARS, BUCKETS = 20_000, 1 << 27, 1 << 16
 ROUNDS, EPOCHS, SEED = 60, 12, 11
 THRESHOLD = 0.5
 GOOD, BAD, NONE = 1, 0, 2
@@ -54,6 +55,7 @@ VOTERS = (
 
 #: Classes of bytes of a word's shape: lower-case or beyond ASCII, upper-case, digit; other bytes stand for themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
+_WORD = U64(0x8EBC6AF09C88C6E3)
 _SHAPE[97:123], _SHAPE[128:], _SHAPE[65:91], _SHAPE[48:58] = 97, 97, 65, 48
 
 
@@ -69,7 +71,7 @@ def votes(table: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray, table: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, weight): shares of hashed word shapes and shape pairs, and one bucket for each binned statistic."""
+    """(row, bucket, weight): shares of hashed words, word shapes and shape pairs, and one bucket for each binned statistic."""
     rows = len(offsets) - 1
     shape = _SHAPE[data]
     inside = np.ones(len(shape), bool)
@@ -84,11 +86,11 @@ def features(data: np.ndarray, offsets: np.ndarray, table: dict[str, np.ndarray]
     pair = row[:-1] == row[1:] if len(row) else np.zeros(0, bool)
     same = np.zeros(len(words), bool)
     exact_starts, exact_ends, _ = word_spans(data, offsets)
-    exact = word_hashes(data, exact_starts, exact_ends)
+    exact = word_hashes(LOWER[data], exact_starts, exact_ends)
     same[1:] = (exact[1:] == exact[:-1]) & (row[1:] == row[:-1])
     share = 1.0 / np.maximum(table["n_words"], 1)
-    where = [row, row[1:][pair], row[same]]
-    what = [words, mix(words[:-1][pair] * U64(3) + words[1:][pair]), np.full(int(same.sum()), U64(99))]
+    where = [row, row, row[1:][pair], row[same]]
+    what = [words, mix(exact ^ _WORD), mix(words[:-1][pair] * U64(3) + words[1:][pair]), np.full(int(same.sum()), U64(99))]
     weight = [share[r] for r in where]
     for k, value in enumerate(ratios(table).values()):
         where.append(np.arange(rows))
@@ -182,18 +184,20 @@ def _unpack(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // 3 ** np.arange(len(VOTERS)) % 3
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[WeakLabels, LinearScorer]:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[WeakLabels, LinearScorer]:
     """Learn voters from the patterns of all documents, and the scorer from about `sample_docs` of them.
 
-    To the driver come counts of at most 3 ** 10 patterns and the sample's hashed features.
+    To the driver come counts of at most 3 ** 10 patterns and the sample's hashed features: about `sample_docs` rows and
+    `sample_chars` characters, whichever is less.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     code = F.arrow_udf(lambda texts: pa.array(pattern_codes(texts).astype(np.int64)), "long")
-    seen = rows.select(code(F.col("text")).alias("code")).groupBy("code").count().orderBy("code").toArrow()
+    seen = rows.select(code(F.col("text")).alias("code"), F.length("text").alias("chars")).groupBy("code").agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")).orderBy("code").toArrow()
     codes, counts = seen["code"].to_numpy(), seen["count"].to_numpy().astype(float)
+    share = min(1.0, sample_docs / max(1.0, counts.sum()), sample_chars / max(1, sum(seen["chars"].to_pylist())))
     model = WeakLabels.fit(_unpack(codes), counts)
     turn = F.xxhash64("id", F.length("text"), F.lit(SEED))
-    drawn = rows.where(F.pmod(turn, F.lit(1 << 30)) < int(min(1.0, sample_docs / max(1.0, counts.sum())) * (1 << 30))).select(turn.alias("turn"), "text")
+    drawn = rows.where(F.pmod(turn, F.lit(1 << 30)) < int(share * (1 << 30))).select(turn.alias("turn"), "text")
     sample = drawn.mapInArrow(_sample_task, "turn long, code long, buckets array<int>, weights array<float>").orderBy("turn", "code").toArrow()
     buckets, weights = sample["buckets"].combine_chunks(), sample["weights"].combine_chunks()
     row = np.repeat(np.arange(len(buckets)), np.diff(buckets.offsets.to_numpy()))
