@@ -10,12 +10,13 @@ expected cost of index entries and of chance matches is least.
 
 Most sets of a corpus link with nothing, and need no index: of a set's least hashes, one more than may be missing
 from a linked set plus some, that many at least are among the least hashes of another set, or the set is left out.
-Of the others, sets with equal entries are candidates. In a few star rounds each set is compared with one other: the
+Of the others, those with more hashes that no other has than a linked set may lack are left out too. Sets with equal
+entries are candidates. In a few star rounds each set is compared with one other: the
 set that is met most often among those with its entries, which in a family of near copies is what they were copied
-from. What links is one component. Then every pair of sets of different components that share an entry is compared.
-Candidates pass a bound by 1024-bit parity sketches first; then common hashes are counted, so the links are exact up
-to collisions of 64-bit hashes. Exact copies are one set from the start, and no pair within a component is ever
-listed. Members of an entry are joined in blocks of bounded size.
+from. What links is one component. Then the sets of different components that share an entry are compared, in blocks
+of bounded size, and only pairs that may link leave a task: those whose 1024-bit parity sketches, sizes and numbers of
+own hashes allow it. Of these common hashes are counted, so the links are exact up to collisions of 64-bit hashes.
+Exact copies are one set from the start, and no pair within a component is ever listed.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ MATCH_COST, STRAY = 0.5, 0.02
 SKETCH_WORDS = 16
 #: Star rounds before all pairs of different components that are left.
 STARS = 2
-#: Members of an entry that are joined in one block, and hashes that are indexed at once.
+#: Members of an entry in one block, and hashes that are indexed at once.
 BLOCK, INDEX_HASHES = 512, 1 << 18
+#: Pairs whose sketches a task compares at once.
+PAIRS_AT_ONCE = 1 << 16
 _SEGMENT, _LAYOUT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -200,8 +203,8 @@ def _index_task(batches: Iterator[pa.RecordBatch], lows: np.ndarray, percent: in
                     yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(owner)], ["entry", "key"])
 
 
-def _set_task(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(key, n, hashes, sketch words) of the sets that this task meets for the first time."""
+def _set_task(batches: Iterator[pa.RecordBatch], n: int, lows: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """(key, n, band, up, hashes, sketch words) of the sets that this task meets for the first time."""
     seen: set[int] = set()
     for batch in batches:
         for first, rows, row, value, size, key in _sets(batch.column(0), n):
@@ -215,15 +218,59 @@ def _set_task(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             np.bitwise_xor.at(bits, (row, (mix(value ^ _LAYOUT) % U64(SKETCH_WORDS * 64)).astype(np.int64)), 1)
             words = np.packbits(bits, axis=1).view(np.int64)
             kept = [value[ends[i] - size[i] : ends[i]].view(np.int64) for i in keep]
+            band, up = _band(size[keep], lows, percent)
             sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[keep])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *kept])))
-            columns = [pa.array(key[keep]), pa.array(size[keep]), sets, *(pa.array(words[keep, k]) for k in range(SKETCH_WORDS))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "hashes", *(f"w{k}" for k in range(SKETCH_WORDS))])
+            columns = [pa.array(key[keep]), pa.array(size[keep]), pa.array(band.astype(np.int32)), pa.array(up), sets, *(pa.array(words[keep, k]) for k in range(SKETCH_WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "band", "up", "hashes", *(f"w{k}" for k in range(SKETCH_WORDS))])
 
 
 def _near(percent: int) -> F.Column:
-    """Whether sizes and parity sketches of a row's sets x and y allow a link: each element that differs flips one bit."""
-    apart = F.aggregate(F.array(*[F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(SKETCH_WORDS)]), F.lit(0), lambda a, b: a + b)
-    return F.greatest(apart, F.abs(F.col("x.n") - F.col("y.n"))) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    """Whether sizes, own hashes and parity sketches of a row's sets x and y allow a link: each element that differs flips one bit."""
+    c = F.col
+    apart = F.aggregate(F.array(*[F.bit_count(c(f"x.w{k}").bitwiseXOR(c(f"y.w{k}"))) for k in range(SKETCH_WORDS)]), F.lit(0), lambda a, b: a + b)
+    return F.greatest(apart, F.abs(c("x.n") - c("y.n")), c("x.own") + c("y.own")) * (100 + percent) <= (c("x.n") + c("y.n")) * (100 - percent)
+
+
+def _block_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, ra, rb): sets of two roots that meet in a group and may link.
+
+    Rows (entry, p, q, block, key, root, n, own, sketch words) come in order of (entry, p, q). A group (entry, p, q) holds
+    the members of two blocks of an entry, or of one if p is q, so it is of bounded size; it may span batches.
+    """
+    rest = np.zeros((0, 8 + SKETCH_WORDS), np.int64)
+
+    def compared(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        start = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)])
+        end = np.repeat(np.r_[start[1:], len(rows)], np.diff(np.r_[start, len(rows)]))
+        after = end - np.arange(len(rows)) - 1  # how many of its group follow each row
+        total, at = np.cumsum(after), 0
+        while at < len(rows):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            count = after[at:stop]
+            left = np.repeat(np.arange(at, stop), count)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+            at = stop
+            other = (rows[left, 5] != rows[right, 5]) & ((rows[left, 1] == rows[left, 2]) | (rows[left, 3] != rows[right, 3]))
+            x, y = rows[left[other]], rows[right[other]]
+            apart = np.bitwise_count(x[:, 8:] ^ y[:, 8:]).sum(1, dtype=np.int64)
+            least = np.maximum(np.maximum(apart, np.abs(x[:, 6] - y[:, 6])), x[:, 7] + y[:, 7])
+            near = least * (100 + percent) <= (x[:, 6] + y[:, 6]) * (100 - percent)
+            x, y = x[near], y[near]
+            swap = x[:, 4] > y[:, 4]
+            x[swap], y[swap] = y[swap].copy(), x[swap].copy()
+            if len(x):
+                pairs = np.unique(np.stack([x[:, 4], y[:, 4], x[:, 5], y[:, 5]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a", "b", "ra", "rb"])
+
+    for batch in batches:
+        rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)])
+        whole = np.flatnonzero((rows[:, :3] != rows[-1:, :3]).any(1))  # the last group may go on
+        cut = int(whole[-1]) + 1 if len(whole) else 0
+        yield from compared(rows[:cut])
+        rest = rows[cut:]
+    yield from compared(rest)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -267,57 +314,69 @@ def _merged(roots: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def _able(source: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
-    """(key, same, band, up) of each set that can link to another by its least hashes; `same` names one text that has it."""
+    """(same) of a text of each set that can link to another by its least hashes."""
     by_hash = Window.partitionBy("hash")
     least = source.select("text").mapInArrow(lambda it: _least_task(it, words, percent), "hash long, key long, met int")
     other = F.max(F.col("key").isNull()).over(by_hash) | (F.min("key").over(by_hash) < F.max("key").over(by_hash))
     met = least.select("key", F.when(F.col("met") > 0, F.col("met")).otherwise(other.cast("int")).alias("met")).where("key is not null and met > 0")
     met = met.groupBy("key").agg(F.sum("met").alias("met"))
-    sets = keyed.groupBy("key").agg(*[F.min(c).alias(c) for c in ("n", "same", "band", "up")])
+    sets = keyed.groupBy("key").agg(F.min("n").alias("n"), F.min("same").alias("same"))
     smallest = F.ceil(F.col("n") * percent / 100)
-    return sets.join(met, "key").where(F.col("met") >= F.floor(F.floor(smallest * (100 - percent) / 100) / 2) + 1).select("key", "same", "band", "up")
+    return sets.join(met, "key").where(F.col("met") >= F.floor(F.floor(smallest * (100 - percent) / 100) / 2) + 1).select("same").distinct()
+
+
+def _with_company(sets: DataFrame, percent: int) -> DataFrame:
+    """Sets that have no more hashes of their own than a linked set may lack, and `own`, their number."""
+    alone = sets.select("key", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    own = alone.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+    rows = sets.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    return rows.where(F.col("own") <= F.floor(F.col("n") * (100 - percent) / 100))
 
 
 def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Scratch, words: int, percent: int, lows: np.ndarray, deletions: int | None) -> DataFrame:
     """(key, root) of the sets that link to another set."""
     able = scratch.table(_able(source, keyed, words, percent), "able")
+    sketch = [f"w{k}" for k in range(SKETCH_WORDS)]
+    texts = source.join(able, "same").select("text")
+    sets = texts.mapInArrow(lambda it: _set_task(it, words, lows, percent), "key long, n long, band int, up boolean, hashes array<long>, " + ", ".join(f"{w} long" for w in sketch)).dropDuplicates(["key"])
+    sets = scratch.table(_with_company(scratch.table(sets, "sets"), percent), "near-sets")
+    scratch.drop("able", "sets")
     counted: dict[int, int] = {}
-    for r in able.groupBy("band", "up").count().collect():
+    for r in sets.groupBy("band", "up").count().collect():
         for b in (r["band"], *([r["band"] + 1] if r["up"] else [])):
             counted[b] = counted.get(b, 0) + r["count"]
     layouts = {b: allocate(int(lows[b]), int(lows[b + 1]) - 1, n, percent, deletions) for b, n in counted.items()}
-    sketch = [f"w{k}" for k in range(SKETCH_WORDS)]
-    texts = source.join(able.select("same").distinct(), "same").select("text")
-    sets = texts.mapInArrow(lambda it: _set_task(it, words), "key long, n long, hashes array<long>, " + ", ".join(f"{w} long" for w in sketch)).dropDuplicates(["key"])
-    sets = scratch.table(sets, "sets")
     index = scratch.table(sets.select("key", "n", "hashes").mapInArrow(lambda it: _index_task(it, lows, percent, layouts), "entry long, key long"), "index")
     shared = index.groupBy("entry").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("met")).where("lo < hi").select("entry", "met")
     members = scratch.table(index.join(shared, "entry"), "members")
-    scratch.drop("index", "able")
+    scratch.drop("index")
     rank = scratch.table(members.groupBy("key").agg(F.sum("met").alias("rank")), "rank")
-    about = sets.drop("hashes")
+    about = sets.select("key", "n", "own", *sketch)
     roots = spark.createDataFrame([], "node long, root long")
     for turn in range(STARS + 1):
         placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").join(rank, "key")
         placed = scratch.table(placed.select("entry", "key", "rank", F.coalesce("root", "key").alias("root"), F.ceil(F.col("met") / BLOCK).alias("blocks")), f"placed-{turn}")
         left = placed.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("entry")
-        a = scratch.table(placed.join(left, "entry").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))), f"open-{turn}")
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+        a = placed.join(left, "entry").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
         if turn < STARS:  # another component each turn, in it the set met most often
+            a = scratch.table(a, f"open-{turn}")
             first = F.lit(0) if turn == 0 else F.xxhash64("root", F.lit(turn))
-            b = a.groupBy("entry").agg(F.max_by(F.struct("key", "root", "blocks"), F.struct(first, "rank", "key")).alias("h")).select("entry", "h.*").select("entry", "key", "root", every)
-            apart = F.col("a.root") != F.col("b.root")
+            hubs = a.groupBy("entry").agg(F.max_by(F.struct("key", "root", "blocks"), F.struct(first, "rank", "key")).alias("h"))
+            hubs = hubs.select("entry", "h.*").select("entry", F.col("key").alias("b"), F.col("root").alias("rb"), every)
+            met = a.join(hubs.withColumnRenamed("other", "block"), ["entry", "block"]).where("root <> rb")
+            pairs = met.groupBy(F.col("key").alias("a"), "b", F.col("root").alias("ra"), "rb").agg(F.count(F.lit(1)).alias("c"))
+            near = pairs.join(about.alias("x"), F.col("a") == F.col("x.key")).join(about.alias("y"), F.col("b") == F.col("y.key")).where(_near(percent)).select("a", "b", "ra", "rb", "c")
+            # of a set's hubs the one with most common entries
+            near = near.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("c", "b")).alias("h")).select("a", "h.b", "ra", "h.rb")
         else:
-            b, apart = a.select("entry", "key", "root", every), (F.col("a.root") != F.col("b.root")) & (F.col("a.key") < F.col("b.key"))
-        met = a.alias("a").join(b.alias("b"), (F.col("a.entry") == F.col("b.entry")) & (F.col("a.block") == F.col("b.block")) & apart)
-        pairs = met.groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).agg(F.count(F.lit(1)).alias("n"))
-        near = pairs.join(about.alias("x"), F.col("a") == F.col("x.key")).join(about.alias("y"), F.col("b") == F.col("y.key")).where(_near(percent)).select("a", "b", "ra", "rb", pairs["n"])
-        if turn < STARS:  # of a set's hubs the one with most common entries
-            near = near.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("n", "b")).alias("h")).select("a", "ra", "h.*")
-        near = scratch.table(near.select("a", "b", "ra", "rb"), f"pairs-{turn}")
+            two = a.join(about, "key").select("entry", "block", "key", "root", "n", "own", *sketch, every)
+            two = two.select("entry", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "root", "n", "own", *sketch)
+            group = ["entry", "p", "q"]
+            near = two.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda it: _block_task(it, percent), "a long, b long, ra long, rb long").distinct()
+        near = scratch.table(near, f"pairs-{turn}")
         scratch.drop(f"placed-{turn}", f"open-{turn}")
-        linked = _linked(near, sets, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        linked = scratch.table(linked, f"linked-{turn}")
+        linked = scratch.table(_linked(near, sets, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b")), f"linked-{turn}")
         if not linked.isEmpty():
             roots = scratch.table(_merged(roots, components(linked, scratch, f"turn-{turn}")), f"roots-{turn}")
         scratch.drop(f"pairs-{turn}", f"linked-{turn}")

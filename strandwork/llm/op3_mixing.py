@@ -93,15 +93,18 @@ def repeat(docs: DataFrame, plan: DataFrame, *, id_col: str = "doc_id", text_col
     The last repetition may be a beginning of the text, whose length then replaces `n_chars_col`. Ids of `docs`
     must be unique; of repeated ids every row is repeated by every plan row of the id.
     """
-    names = docs.columns
-    chosen = plan.select(F.col(plan_id_col).alias("_id"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra")).where("_whole > 0 or _extra > 0")
-    rows = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_id")))
-    times = (F.col("_whole") + (F.col("_extra") > 0).cast("int")).cast("int")
-    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), times)))
-    cut = (F.col("_turn") > F.col("_whole")) & (F.col("_extra") < F.col("_size"))
-    rows = rows.withColumn("_text", F.when(cut, first_words(F.col(text_col), F.col("_extra"))).otherwise(F.col(text_col)))
-    new = {text_col: F.col("_text")} | ({n_chars_col: F.when(cut, F.length("_text").cast("long")).otherwise(F.col(n_chars_col))} if n_chars_col in names else {})
-    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+    plan = plan.select(F.struct(F.col(plan_id_col).alias("id"), "size", "whole", "extra").alias("p")).where("p.whole > 0 or p.extra > 0")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))  # whatever its columns are called
+    own = F.col("d")
+    rows = held.join(plan, own[id_col].eqNullSafe(F.col("p.id")))
+    times = (F.col("p.whole") + (F.col("p.extra") > 0).cast("int")).cast("int")
+    rows = rows.select("d", "p", F.explode(F.sequence(F.lit(1), times)).alias("turn"))
+    cut = (F.col("turn") > F.col("p.whole")) & (F.col("p.extra") < F.col("p.size"))
+    rows = rows.select("d", cut.alias("cut"), F.when(cut, first_words(own[text_col], F.col("p.extra"))).otherwise(own[text_col]).alias("text"))
+    new = {text_col: F.col("text")}
+    if n_chars_col in docs.columns:
+        new[n_chars_col] = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(own[n_chars_col])
+    return rows.select(*[new.get(c, own[c]).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = rf"""
