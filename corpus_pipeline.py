@@ -27,8 +27,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     guess = op4_language.predict(spark, op4_language.fit(learnt))
     known = learnt.where("lang is not null").select(guess(F.col("text")).alias("g")).where(F.col("g.lang") != op4_language.UNKNOWN)
     usual = known.agg(F.percentile_approx("g.known", LEARNT_BELOW, 10_000)).first()[0] or 0.0
-    scored = docs.withColumn("_guess", guess(F.col("text")))
-    return scored.where((F.col("_guess.lang") != op4_language.UNKNOWN) & (F.col("_guess.known") >= LEAST_KNOWN * usual)).select(*docs.columns)
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), guess(F.col("text")).alias("g"))
+    return scored.where((F.col("g.lang") != op4_language.UNKNOWN) & (F.col("g.known") >= LEAST_KNOWN * usual)).select("d.*")
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,12 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.where(op5_weak_labels.scorer(spark, linear)(F.col("text")) >= op5_weak_labels.THRESHOLD)
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """`docs`, written once with a number of its own for each row in `_row`, since ids may be null or stand twice."""
-    return scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """`docs`, written once with a number of its own for each row, since ids may be null or stand twice; and the number's name."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return scratch.table(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,20 +51,19 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A document without an id stays only if none of its group has one; ties go by source, language and text.
     Documents without a word are in no group.
     """
-    rows = numbered(docs, Scratch(spark, "rows"))
-    classes = op2_jaccard.similar_classes(spark, rows, Scratch(spark, "dedupe"), id_col="_row", words=NEAR_WORDS, percent=NEAR_PERCENT)
-    classes = classes.select(F.col("doc_id").alias("_row"), "component_id")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", F.xxhash64("text"), F.col("_row").alias("row"))
-    kept = rows.select("_row", rank.alias("rank")).join(classes, "_row").groupBy("component_id").agg(F.min("rank")["row"].alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs, Scratch(spark, "rows"))
+    classes = op2_jaccard.similar_classes(spark, rows, Scratch(spark, "dedupe"), id_col=row, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", F.xxhash64("text"), F.col(row).alias("row"))
+    ranks = rows.select(F.col(row).alias("row"), rank.alias("rank"))
+    kept = ranks.join(classes.select(F.col("doc_id").alias("row"), "component_id"), "row").groupBy("component_id").agg(F.min("rank")["row"].alias("kept"))
+    return rows.join(kept, F.col(row) == F.col("kept"), "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: every document as often as the mix takes it."""
-    scratch = Scratch(spark, "mix")
-    rows = numbered(docs, scratch)
-    plan = op3_mixing.mix(spark, rows, scratch, keep=["_row"])
-    return op3_mixing.repeat(rows, plan, id_col="_row", plan_id_col="_row").select(*docs.columns)
+    rows, row = numbered(docs, Scratch(spark, "rows"))
+    plan = op3_mixing.mix(spark, rows, Scratch(spark, "mix"), keep=[row])
+    return op3_mixing.repeat(rows, plan, id_col=row, plan_id_col=row).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
