@@ -138,7 +138,7 @@ def zero_phase(x: np.ndarray, sections: Sequence[tuple[np.ndarray, np.ndarray]],
 
 
 def bandpass(x: np.ndarray, rate: int, low: float = 150.0, high: float = 8000.0) -> np.ndarray:
-    return zero_phase(x, [biquad("high", low, rate), biquad("low", high, rate)])
+    return zero_phase(x, [biquad("high", low, rate), biquad("low", min(high, rate * 0.45), rate)])
 
 
 def duck(x: np.ndarray, vocal: np.ndarray, rate: int, cut_db: float = -3.5, low: float = 300.0, high: float = 3000.0) -> np.ndarray:

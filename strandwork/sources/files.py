@@ -73,7 +73,8 @@ def read_wav(blob: bytes) -> tuple[int, np.ndarray] | None:
 
 def write_wav(samples: np.ndarray, rate: int) -> bytes:
     """Float WAV bytes of samples x channels."""
-    x = np.ascontiguousarray(samples, "<f4").reshape(len(samples), -1)
+    x = np.ascontiguousarray(samples, "<f4")
+    x = x[:, None] if x.ndim == 1 else x
     fmt = struct.pack("<HHIIHH", 3, x.shape[1], rate, rate * x.shape[1] * 4, x.shape[1] * 4, 32)
     body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", x.nbytes) + x.tobytes()
     return b"RIFF" + struct.pack("<I", len(body)) + body
