@@ -10,12 +10,11 @@ expected cost of index entries and of chance matches is least.
 
 Most sets of a corpus link with nothing, and need no index: of a set's least hashes, one more than may be missing
 from a linked set plus some, that many at least are among the least hashes of another set, or the set is left out.
-Of the others, those with more hashes that no other has than a linked set may lack are left out too. Sets with equal
-entries are candidates. In a few star rounds each set is compared with one other: the
+Of the others, sets with equal entries are candidates. In a few star rounds each set is compared with one other: the
 set that is met most often among those with its entries, which in a family of near copies is what they were copied
 from. What links is one component. Then the sets of different components that share an entry are compared, in blocks
-of bounded size, and only pairs that may link leave a task: those whose 1024-bit parity sketches, sizes and numbers of
-own hashes allow it. Of these common hashes are counted, so the links are exact up to collisions of 64-bit hashes.
+of bounded size, and only pairs that may link leave a task: those whose 1024-bit parity sketches and sizes
+allow it. Of these common hashes are counted, so the links are exact up to collisions of 64-bit hashes.
 Exact copies are one set from the start, and no pair within a component is ever listed.
 """
 
@@ -43,6 +42,8 @@ SKETCH_WORDS = 16
 STARS = 2
 #: Members of an entry in one block, and hashes that are indexed at once.
 BLOCK, INDEX_HASHES = 512, 1 << 18
+#: Rows of 8 bytes that may be sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Pairs whose sketches a task compares at once.
 PAIRS_AT_ONCE = 1 << 16
 _SEGMENT, _LAYOUT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
@@ -225,19 +226,19 @@ def _set_task(batches: Iterator[pa.RecordBatch], n: int, lows: np.ndarray, perce
 
 
 def _near(percent: int) -> F.Column:
-    """Whether sizes, own hashes and parity sketches of a row's sets x and y allow a link: each element that differs flips one bit."""
+    """Whether sizes and parity sketches of a row's sets x and y allow a link: each element that differs flips one bit."""
     c = F.col
     apart = F.aggregate(F.array(*[F.bit_count(c(f"x.w{k}").bitwiseXOR(c(f"y.w{k}"))) for k in range(SKETCH_WORDS)]), F.lit(0), lambda a, b: a + b)
-    return F.greatest(apart, F.abs(c("x.n") - c("y.n")), c("x.own") + c("y.own")) * (100 + percent) <= (c("x.n") + c("y.n")) * (100 - percent)
+    return F.greatest(apart, F.abs(c("x.n") - c("y.n"))) * (100 + percent) <= (c("x.n") + c("y.n")) * (100 - percent)
 
 
 def _block_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, ra, rb): sets of two roots that meet in a group and may link.
 
-    Rows (entry, p, q, block, key, root, n, own, sketch words) come in order of (entry, p, q). A group (entry, p, q) holds
+    Rows (entry, p, q, block, key, root, n, sketch words) come in order of (entry, p, q). A group (entry, p, q) holds
     the members of two blocks of an entry, or of one if p is q, so it is of bounded size; it may span batches.
     """
-    rest = np.zeros((0, 8 + SKETCH_WORDS), np.int64)
+    rest = np.zeros((0, 7 + SKETCH_WORDS), np.int64)
 
     def compared(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(rows):
@@ -254,8 +255,8 @@ def _block_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             at = stop
             other = (rows[left, 5] != rows[right, 5]) & ((rows[left, 1] == rows[left, 2]) | (rows[left, 3] != rows[right, 3]))
             x, y = rows[left[other]], rows[right[other]]
-            apart = np.bitwise_count(x[:, 8:] ^ y[:, 8:]).sum(1, dtype=np.int64)
-            least = np.maximum(np.maximum(apart, np.abs(x[:, 6] - y[:, 6])), x[:, 7] + y[:, 7])
+            apart = np.bitwise_count(x[:, 7:] ^ y[:, 7:]).sum(1, dtype=np.int64)
+            least = np.maximum(apart, np.abs(x[:, 6] - y[:, 6]))
             near = least * (100 + percent) <= (x[:, 6] + y[:, 6]) * (100 - percent)
             x, y = x[near], y[near]
             swap = x[:, 4] > y[:, 4]
@@ -325,22 +326,15 @@ def _able(source: DataFrame, keyed: DataFrame, words: int, percent: int) -> Data
     return sets.join(met, "key").where(F.col("met") >= F.floor(F.floor(smallest * (100 - percent) / 100) / 2) + 1).select("same").distinct()
 
 
-def _with_company(sets: DataFrame, percent: int) -> DataFrame:
-    """Sets that have no more hashes of their own than a linked set may lack, and `own`, their number."""
-    alone = sets.select("key", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c")).where("c = 1")
-    own = alone.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
-    rows = sets.join(own, "key", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-    return rows.where(F.col("own") <= F.floor(F.col("n") * (100 - percent) / 100))
-
-
 def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Scratch, words: int, percent: int, lows: np.ndarray, deletions: int | None) -> DataFrame:
     """(key, root) of the sets that link to another set."""
     able = scratch.table(_able(source, keyed, words, percent), "able")
     sketch = [f"w{k}" for k in range(SKETCH_WORDS)]
-    texts = source.join(able, "same").select("text")
+    few = able.count() <= BROADCAST_ROWS
+    texts = source.join(F.broadcast(able) if few else able, "same").select("text")
     sets = texts.mapInArrow(lambda it: _set_task(it, words, lows, percent), "key long, n long, band int, up boolean, hashes array<long>, " + ", ".join(f"{w} long" for w in sketch)).dropDuplicates(["key"])
-    sets = scratch.table(_with_company(scratch.table(sets, "sets"), percent), "near-sets")
-    scratch.drop("able", "sets")
+    sets = scratch.table(sets, "sets")
+    scratch.drop("able")
     counted: dict[int, int] = {}
     for r in sets.groupBy("band", "up").count().collect():
         for b in (r["band"], *([r["band"] + 1] if r["up"] else [])):
@@ -351,7 +345,7 @@ def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Sc
     members = scratch.table(index.join(shared, "entry"), "members")
     scratch.drop("index")
     rank = scratch.table(members.groupBy("key").agg(F.sum("met").alias("rank")), "rank")
-    about = sets.select("key", "n", "own", *sketch)
+    about = sets.select("key", "n", *sketch)
     roots = spark.createDataFrame([], "node long, root long")
     for turn in range(STARS + 1):
         placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").join(rank, "key")
@@ -370,8 +364,8 @@ def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Sc
             # of a set's hubs the one with most common entries
             near = near.groupBy("a", "ra").agg(F.max_by(F.struct("b", "rb"), F.struct("c", "b")).alias("h")).select("a", "h.b", "ra", "h.rb")
         else:
-            two = a.join(about, "key").select("entry", "block", "key", "root", "n", "own", *sketch, every)
-            two = two.select("entry", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "root", "n", "own", *sketch)
+            two = a.join(about, "key").select("entry", "block", "key", "root", "n", *sketch, every)
+            two = two.select("entry", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "root", "n", *sketch)
             group = ["entry", "p", "q"]
             near = two.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda it: _block_task(it, percent), "a long, b long, ra long, rb long").distinct()
         near = scratch.table(near, f"pairs-{turn}")
