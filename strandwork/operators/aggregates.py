@@ -252,19 +252,28 @@ def ordered_ema(rows: DataFrame, key: Sequence[str], order: Sequence[str], value
     return rows.groupBy(*key).agg(fold.alias("ema"))
 
 
-def dominant_colour(images: DataFrame, key: str, data: str, skip: int = 256, samples: int = 5000, levels: int = 8) -> DataFrame:
-    """(key, colour): the most frequent quantised byte triple of a file body, too dark and too light ones left out."""
+def dominant_colour(images: DataFrame, key: str, data: str, head: int = 256, tail: int = 64, samples: int = 200, levels: int = 8, none: str = "#333333") -> DataFrame:
+    """(key, colour): the most frequent quantised byte triple of a file body, the first of equal ones.
+
+    Too dark and too light colours are passed over where there are others; a body of less than ten triples has `none`.
+    """
     from strandwork.functions.music import quantized
 
-    body = F.length(data) - 2 * skip
-    step = F.greatest(F.lit(3), F.floor(body / samples))
-    places = images.where(F.length(data) > 2 * skip + 3).select(key, data, F.explode(F.sequence(F.lit(skip), F.lit(skip) + body - 3, step.cast("int"))).alias("at"))
-    byte = lambda k: F.conv(F.hex(F.substr(F.col(data), F.col("at") + 1 + k, F.lit(1))), 16, 10).cast("int")
+    n = F.length(data)
+    start = F.least(F.lit(head), F.floor(n / 4))
+    body = F.greatest(start + 3, n - tail) - start
+    taken = F.least(F.lit(samples), F.floor(body / 3))
+    step = 3 * F.greatest(F.lit(1), F.floor(body / F.greatest(F.lit(1), taken * 3)))
+    rows = images.select(key, data, start.alias("start"), F.least(body, n - start).alias("body"), step.alias("step")).where((F.col("body") >= 30) & (F.floor(F.col("body") / 3) >= 10))
+    places = rows.select(key, data, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("body") - 3, F.col("step"))).alias("at"))
+    byte = lambda k: F.conv(F.hex(F.substr(F.col(data), (F.col("at") + 1 + k).cast("int"), F.lit(1))), 16, 10).cast("int")
     rgb = places.select(key, "at", *[quantized(byte(k), levels).alias(c) for k, c in enumerate("rgb")])
-    kept = rgb.where((F.col("r") + F.col("g") + F.col("b")).between(31, 699))
-    counted = kept.groupBy(key, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    best = counted.groupBy(key).agg(F.max_by(F.struct("r", "g", "b"), F.struct("n", (-F.col("first")).alias("f"))).alias("c"))
-    return images.select(key).join(best, key, "left").select(key, F.coalesce(F.format_string("#%02x%02x%02x", "c.r", "c.g", "c.b"), F.lit("#333333")).alias("colour"))
+    total = F.col("r") + F.col("g") + F.col("b")
+    counted = rgb.groupBy(key, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), (-F.min("at")).alias("first"))
+    usual = ((total > 30) & (total < 700)).alias("usual")
+    best = counted.groupBy(key).agg(F.max_by(F.struct("r", "g", "b"), F.struct(usual, "n", "first")).alias("c"))
+    colour = F.when(F.col("c").isNotNull(), F.format_string("#%02x%02x%02x", "c.r", "c.g", "c.b")).otherwise(F.lit(none))
+    return images.select(key).join(best, key, "left").select(key, colour.alias("colour"))
 
 
 def cache_totals(files: DataFrame, key: str, size: str) -> DataFrame:

@@ -243,6 +243,75 @@ def true_peak(x: np.ndarray, factor: int = 4) -> float:
     return float(np.abs(np.fft.irfft(np.pad(f, (0, factor * n // 2 + 1 - len(f))), factor * n) * factor).max())
 
 
+def mastered(x: np.ndarray, rate: int, wanted: float = -12.0, ceiling_db: float = -1.0, headroom_db: float = 3.0, most_db: float = 12.0, lossy_hz: float | None = None) -> np.ndarray:
+    """Low-pass for lossy sources, gain to a wanted loudness that peaks may overshoot by a headroom, then the limiter."""
+    if lossy_hz is not None:
+        x = zero_phase(x, [biquad("low", min(lossy_hz, rate * 0.45), rate)])
+    level = loudness(x, rate)
+    if np.isfinite(level):
+        room = ceiling_db + headroom_db - 20 * np.log10(max(true_peak(x), 1e-12))
+        x = x * 10 ** (max(-most_db, min(most_db, wanted - level, room)) / 20)
+    return limit(x, rate, ceiling_db)
+
+
+def frames_of(x: np.ndarray, size: int = 2048, hop: int = 512) -> np.ndarray:
+    """Magnitudes of Hann-windowed frames around every hop, the signal padded with silence."""
+    padded = np.pad(x, (size // 2, size // 2 + hop))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    return np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, size)[::hop] * window))
+
+
+def onsets(x: np.ndarray, rate: int, hop: int = 512, apart_s: float = 0.03, above: float = 0.07) -> np.ndarray:
+    """Frames at which something begins: local maxima of the rise of the log spectrum, beyond its mean by a share of its range, moved back to where the rise starts."""
+    spectrum_ = np.log1p(1000 * frames_of(x, hop=hop) / 2048)
+    rise = np.r_[0.0, np.maximum(0.0, np.diff(spectrum_, axis=0)).mean(1)]
+    if not rise.any():
+        return np.zeros(0, np.int64)
+    rise = rise / rise.max()
+    wait, found = max(1, round(apart_s * rate / hop)), []
+    around = np.convolve(np.pad(rise, 10, mode="edge"), np.ones(21) / 21, "valid")
+    for k in range(len(rise)):
+        near = rise[max(0, k - wait) : k + wait + 1]
+        if rise[k] == near.max() and rise[k] > around[k] + above and (not found or k - found[-1] > wait):
+            found.append(k)
+    back = []
+    for k in found:
+        while k > 0 and rise[k - 1] < rise[k] and rise[k] > 0:
+            k -= 1
+        back.append(k + 1 if rise[k] == 0 else k)
+    return np.array(back, np.int64)
+
+
+def hit_bands(x: np.ndarray, rate: int, low_hz: float = 200.0, high_hz: float = 2000.0, hop: int = 512) -> np.ndarray:
+    """(frame, low, mid, high) of each onset: summed magnitudes below, between and above two frequencies; silent ones are left out."""
+    at = onsets(x, rate, hop)
+    spectrum_, hz = frames_of(x, hop=hop), np.fft.rfftfreq(2048, 1 / rate)
+    parts = [hz < low_hz, (hz >= low_hz) & (hz < high_hz), hz >= high_hz]
+    rows = np.array([[k, *(spectrum_[k, p].sum() for p in parts)] for k in at]).reshape(-1, 4)
+    return rows[rows[:, 1:].sum(1) >= 1e-6]
+
+
+def chroma(x: np.ndarray, rate: int, low_hz: float = 60.0, high_hz: float = 4000.0) -> np.ndarray:
+    """Mean energy of the twelve pitch classes, C first, of spectra between two frequencies."""
+    energy, hz = (frames_of(x, 8192, 4096) ** 2).mean(0), np.fft.rfftfreq(8192, 1 / rate)
+    inside = (hz >= low_hz) & (hz <= high_hz)
+    pitch = (np.rint(12 * np.log2(hz[inside] / 440.0)).astype(int) + 9) % 12
+    return np.bincount(pitch, energy[inside], 12)
+
+
+def signal_rows(signals: DataFrame, key: str, kernel: Callable[[np.ndarray, int], np.ndarray], names: Sequence[str], rate: str = "rate", samples: str = "samples") -> DataFrame:
+    """(key, names...) of doubles: the rows that a kernel makes of each signal, which is one row; nothing is shuffled."""
+    kind = signals.schema[key].dataType.simpleString()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, hz, x in zip(*(batch.column(k) for k in range(3))):
+                rows = np.asarray(kernel(x.values.to_numpy(zero_copy_only=False).astype(float), hz.as_py()), float).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), batch.column(0).type), *(pa.array(c) for c in rows.T.copy())], [key, *names])
+
+    return signals.where(F.col(samples).isNotNull()).select(key, rate, F.col(samples).cast("array<double>")).mapInArrow(made, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
+
+
 def soft_clip(x: Column, ceiling: float, knee_db: float = 4.0) -> Column:
     """Unchanged below the knee, a tanh curve above it."""
     t = ceiling / 10 ** (knee_db / 20)

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from conftest import SF001
@@ -171,3 +172,50 @@ def test_signals_of_several_chunks_are_gathered_in_order(spark):
 
 def test_interpolation_between_centres():
     assert kernels.spread(np.array([1.0, 3.0]), np.array([2, 6]), 9).tolist() == [1, 1, 1, 1.5, 2, 2.5, 3, 3, 3]
+
+
+def test_mastering_reaches_loudness_under_its_ceiling():
+    rate = 48_000
+    rng = np.random.default_rng(5)
+    quiet = 0.2 * np.repeat(rng.uniform(0.2, 1, 40), rate // 10) * sine(440, 4, 1.0, rate)
+    out = kernels.mastered(quiet, rate, wanted=-20.0)
+    assert abs(kernels.loudness(out, rate) + 20) < 1.0 and np.abs(out).max() <= 10 ** (-1 / 20) * 1.03
+    loud = kernels.mastered(sine(440, 4, 0.99, rate), rate)
+    assert np.abs(loud[rate // 2 :]).max() <= 10 ** (-1 / 20) * 1.02
+    assert not kernels.mastered(np.zeros(rate), rate).any()
+    hiss = kernels.mastered(sine(440, 2, 0.2, rate) + sine(20_000, 2, 0.2, rate), rate, lossy_hz=4000.0)
+    power = np.abs(np.fft.rfft(hiss)) ** 2
+    hz = np.fft.rfftfreq(len(hiss), 1 / rate)
+    assert power[hz > 15_000].sum() < 0.01 * power.sum()
+
+
+def burst(hz, rate, seconds=0.08):
+    t = np.arange(int(seconds * rate)) / rate
+    return np.sin(2 * np.pi * hz * t) * np.exp(-t * 40)
+
+
+def test_onsets_and_their_bands(spark):
+    from strandwork.operators import aggregates as agg
+
+    rate, x = 44_100, np.zeros(4 * 44_100)
+    places = {0.5: 60, 1.0: 8000, 1.5: 60, 2.0: 700, 2.5: 8000, 3.0: 60}
+    for t, hz in places.items():
+        at = int(t * rate)
+        x[at : at + int(0.08 * rate)] += burst(hz, rate)
+    rows = kernels.hit_bands(x, rate)
+    assert len(rows) == len(places) and all(abs(r[0] * 512 / rate - t) < 0.06 for r, t in zip(rows, places))
+    table = spark.createDataFrame([(1, rate, x.tolist()), (2, rate, [0.0] * 5000)], "song int, rate int, samples array<double>")
+    hits = kernels.signal_rows(table, "song", kernels.hit_bands, ["frame", "low", "mid", "high"])
+    got = [tuple(r) for r in agg.hit_classes(hits, ["song"]).collect()]
+    assert len(got) == 1 and got[0][0] == 1 and got[0][1] >= 3 and got[0][3] >= 2 and got[0][4] == 6
+
+
+def test_chroma_of_a_chord_gives_its_key(spark):
+    from strandwork.operators import aggregates as agg
+
+    scale = [261.63, 293.66, 329.63, 349.23, 392.0, 440.0, 493.88]  # C major, the tonic and its fifth louder
+    x = sum(sine(hz, 2, a, 22_050) for hz, a in zip(scale, (0.9, 0.3, 0.6, 0.3, 0.8, 0.3, 0.25)))
+    table = spark.createDataFrame([("s", 22_050, x.tolist())], "song string, rate int, samples array<double>")
+    rows = kernels.signal_rows(table, "song", lambda v, rate: np.stack([np.arange(12), np.sqrt(kernels.chroma(v, rate))], 1), ["pitch", "x"]).withColumn("pitch", F.col("pitch").cast("int"))
+    best = agg.key_by_profile(rows, ["song"], "pitch", "x").first()
+    assert (best["tonic"], best["scale"]) == (0, "major")
