@@ -162,18 +162,18 @@ def first_seen_mode(rows: DataFrame, key: Sequence[str], value: str, order: Sequ
     return counted.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*key, F.col(value).alias("mode"))
 
 
-def upper_median(value: str | Column) -> Column:
-    """The entry at n // 2 of the sorted values: the upper of two middle ones."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, (F.floor(F.count(value) / 2) + 1).cast("int"))
+def upper_median(value: str) -> Column:
+    """The entry at n // 2 of the sorted values, the upper of two middle ones, from counts of the distinct ones."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")
 
 
 def offset_consistency(rows: DataFrame, key: Sequence[str], offset: str, within: float = 3000, largest: float = 5000, share: float = 0.6, least: int = 3) -> DataFrame:
     """(key, median_offset, consistent): upper median, and whether it is small and most offsets lie near it."""
-    stats = rows.groupBy(*key).agg(upper_median(offset).alias("median_offset"), F.collect_list(offset).alias("_o"))
-    near = F.size(F.filter("_o", lambda x: F.abs(x - F.col("median_offset")) < within)) / F.size("_o")
-    enough = F.size("_o") >= least
-    ok = enough & (F.abs("median_offset") < largest) & (near >= share)
+    medians = rows.groupBy(*key).agg(upper_median(offset).alias("median_offset"))
+    near = F.avg((F.abs(F.col(offset) - F.col("median_offset")) < within).cast("double")).alias("_near")
+    stats = rows.where(F.col(offset).isNotNull()).join(medians, list(key)).groupBy(*key).agg(F.first("median_offset").alias("median_offset"), near, F.count(F.lit(1)).alias("_n"))
+    enough = F.col("_n") >= least
+    ok = enough & (F.abs("median_offset") < largest) & (F.col("_near") >= share)
     return stats.select(*key, F.when(enough, F.col("median_offset")).alias("median_offset"), ok.alias("consistent"))
 
 
@@ -278,8 +278,8 @@ def dominant_colour(images: DataFrame, key: str, data: str, head: int = 256, tai
 
 def cache_totals(files: DataFrame, key: str, size: str) -> DataFrame:
     """(key, bytes, share) of each entry of a cache."""
-    total = F.sum("bytes").over(Window.partitionBy())
-    return files.groupBy(key).agg(F.sum(size).alias("bytes")).withColumn("share", F.try_divide(F.col("bytes"), total))
+    entries, total = files.groupBy(key).agg(F.sum(size).alias("bytes")), files.agg(F.sum(size).alias("_total"))
+    return entries.join(F.broadcast(total)).select(key, "bytes", F.try_divide(F.col("bytes"), F.col("_total")).alias("share"))  # one row
 
 
 def counts_of_all(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

@@ -43,26 +43,17 @@ def boundary_candidates(changes: DataFrame, song: Sequence[str], bar: str, facto
     return peaks.select(*song, F.floor((F.col("_a") + F.col("_b")) / 2).cast("int").alias(bar), "change")
 
 
-def spaced_peaks(places: list[int], heights: list[float], distance: int) -> list[int]:
-    """Peaks left when, from the highest on, each removes those nearer than `distance`; of equal heights the later one stays."""
-    kept = set()
-    for i in sorted(range(len(places)), key=lambda i: (heights[i], places[i]), reverse=True):
-        if all(abs(places[i] - places[j]) >= distance for j in kept):
-            kept.add(i)
-    return sorted(places[i] for i in kept)
+def spaced_peaks(peaks: Column, bar: str, distance: int) -> Column:
+    """Sorted places of an array of structs (bar, change) that stay when, from the highest on, each removes those nearer than `distance`; of equal heights the later one stays."""
+    highest = F.sort_array(F.transform(peaks, lambda p: F.struct(p["change"].alias("change"), p[bar].alias("bar"))), asc=False)
+    near = lambda kept, p: F.exists(kept, lambda q: F.abs(q - p["bar"]) < distance)
+    return F.array_sort(F.aggregate(highest, F.array().cast("array<int>"), lambda kept, p: F.when(near(kept, p), kept).otherwise(F.array_append(kept, p["bar"]))))
 
 
 def boundaries(changes: DataFrame, song: Sequence[str], bar: str, distance: int = 4, factor: float = 3.0, floor: float = 0.05) -> DataFrame:
     """(song, bars): peaks of the change signal at least `distance` apart. Few candidates of a song meet in one array."""
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    found = boundary_candidates(changes, song, bar, factor, floor).groupBy(*song).agg(F.array_sort(F.collect_list(F.struct(bar, "change"))).alias("p"))
-
-    @F.udf(ArrayType(IntegerType()))
-    def spaced(peaks):
-        return spaced_peaks([p[0] for p in peaks], [p[1] for p in peaks], distance)
-
-    return found.select(*song, spaced("p").alias("bars"))
+    found = boundary_candidates(changes, song, bar, factor, floor).groupBy(*song).agg(F.collect_list(F.struct(bar, "change")).alias("p"))
+    return found.select(*song, spaced_peaks(F.col("p"), bar, distance).alias("bars"))
 
 
 def to_grid(marks: Column, total: Column, grid: int = 4, least: int = 4) -> Column:

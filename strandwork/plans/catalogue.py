@@ -1060,15 +1060,14 @@ def fallback_layouts(t):
 
 @query()
 def song_sections(t):
-    """Section analysis of a song whose bars are the hours of events and whose stems are event types."""
+    """Section analysis of users as songs, whose bars are the days on which they have events, and whose stems are event types."""
     from strandwork.plans import sections
 
-    names = dict(zip(("view", "click", "purchase", "error", "signup", "login", "logout"), ("vocals", "drums", "bass", "guitar", "piano", "other", "other")))
-    h = hourly(t)
-    first = Window.partitionBy(F.lit(1)).orderBy("bar")
-    grid = h.select("bar").distinct().withColumn("n", F.row_number().over(first) - 1)
-    bars = h.join(grid, "bar").select(F.lit("week").alias("song_id"), rules.lookup(c("event_type"), names, "other").alias("stem"), c("n").alias("bar"), (c("rms") / 100).alias("rms"))
-    return sections.analysed(bars.groupBy("song_id", "stem", "bar").agg(F.max("rms").alias("rms")))
+    names = dict(zip(("view", "click", "purchase", "error", "signup"), ("vocals", "drums", "bass", "guitar", "piano")))
+    day = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / 86400)
+    rows = t("events").groupBy(c("user_id").alias("song_id"), day.alias("day"), rules.lookup(c("event_type"), names, "other").alias("stem")).agg((agg.rms(c("value")) / 100).alias("rms"))
+    bar = F.dense_rank().over(Window.partitionBy("song_id").orderBy("day")) - 1
+    return sections.analysed(rows.select("song_id", "stem", bar.alias("bar"), "rms"))
 
 
 # --- documents, states, streams, kernels ---------------------------------------------------------------------------------------------

@@ -257,10 +257,14 @@ def test_degenerate_songs_are_healed(spark):
     assert [x["label"] for x in sections.healed(old, song_bars(spark)).first()["sections"]] == ["mine"]
 
 
-def test_song_sections_of_events_cover_all_hours(spark):
-    rows = sorted(catalogue.queries()["song_sections"](spark, SF001).collect(), key=lambda r: r["start_bar"])
-    hours = spark.read.parquet(f"{SF001}/events.parquet").select(F.date_trunc("hour", "ts")).distinct().count()
-    assert rows[0]["start_bar"] == 0 and rows[-1]["end_bar"] == hours and all(a["end_bar"] == b["start_bar"] and a["label"] != b["label"] for a, b in itertools.pairwise(rows))
+def test_song_sections_of_users_cover_their_days(spark):
+    found = defaultdict(list)
+    for r in sorted(catalogue.queries()["song_sections"](spark, SF001).collect(), key=lambda r: r["start_bar"]):
+        found[r["song_id"]].append(r)
+    days = {r[0]: r[1] for r in spark.read.parquet(f"{SF001}/events.parquet").groupBy("user_id").agg(F.count_distinct(F.to_date("ts"))).collect()}
+    assert found.keys() == days.keys()
+    for user, rows in found.items():
+        assert rows[0]["start_bar"] == 0 and rows[-1]["end_bar"] == days[user] and all(a["end_bar"] == b["start_bar"] and a["label"] != b["label"] for a, b in itertools.pairwise(rows))
 
 
 # --- names, scales, arrays -------------------------------------------------------------------------------------------------------
