@@ -227,13 +227,13 @@ def coalesce_full(t):
 @query(
     """WITH e AS (SELECT l_orderkey AS song, l_orderkey * 8 + floor(l_quantity / 10)::BIGINT AS band, l_orderkey * 8 + l_linenumber AS part, l_returnflag AS side, l_extendedprice::DOUBLE AS x FROM lineitem),
     p AS (SELECT a.song, a.band, a.part AS part_a, b.part AS part_b, a.x AS value_a, b.x AS value_b, least(a.x, b.x) AS severity FROM e a JOIN e b ON a.band = b.band WHERE a.side = 'R' AND b.side = 'A' AND a.x > 20000 AND b.x > 20000)
-    SELECT band, part_a, part_b, value_a, value_b, severity, row_number() OVER (PARTITION BY song ORDER BY severity DESC, part_a, part_b)::INTEGER AS place FROM p"""
+    SELECT band, part_a, part_b, value_a, value_b, severity, row_number() OVER (PARTITION BY song ORDER BY severity DESC, part_a, part_b, value_a, value_b)::INTEGER AS place FROM p"""
 )
 def theta_conflicts(t):
     """Orders as pairs of songs, lines as their parts on two sides, quantities as bands; conflicts of a pair by severity."""
     e = t("lineitem").select((c("l_orderkey") * 8 + F.floor(c("l_quantity") / 10)).alias("band"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("part"), c("l_extendedprice").cast("double").alias("x"), "l_returnflag")
     out = joins.both_above(e.where("l_returnflag = 'R'").drop("l_returnflag"), e.where("l_returnflag = 'A'").drop("l_returnflag"), "band", "x", 20000.0, ("part", "part"))
-    by_song = Window.partitionBy(F.floor(c("band") / 8)).orderBy(F.desc("severity"), "part_a", "part_b")
+    by_song = Window.partitionBy(F.floor(c("band") / 8)).orderBy(F.desc("severity"), "part_a", "part_b", "value_a", "value_b")
     return out.select("band", "part_a", "part_b", "value_a", "value_b", "severity").withColumn("place", F.row_number().over(by_song))
 
 
