@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandwork.llm.common import Scratch
 from strandwork.llm.components import components
-from strandwork.llm.text import LOWER, U64, chunks, mix, shingles
+from strandwork.llm.text import LOWER, U64, chunks, give_back, mix, shingles
 
 WORDS, PERCENT = 3, 90
 #: Least ratio of a band's largest to its smallest size.
@@ -41,11 +41,11 @@ SKETCH_WORDS = 16
 #: Star rounds before all pairs of different components that are left.
 STARS = 2
 #: Members of an entry in one block, and hashes that are indexed at once.
-BLOCK, INDEX_HASHES = 512, 1 << 18
+BLOCK, INDEX_HASHES = 512, 1 << 17
 #: Rows of 8 bytes that may be sent to all executors; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Pairs whose sketches a task compares at once.
-PAIRS_AT_ONCE = 1 << 16
+PAIRS_AT_ONCE = 1 << 14
 _SEGMENT, _LAYOUT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 
 
@@ -170,6 +170,7 @@ def _index_task(batches: Iterator[pa.RecordBatch], lows: np.ndarray, percent: in
     for b, layout in layouts.items():
         segments[b], deletions[b], slack[b] = layout.segments, layout.deletions, layout.slack
     for batch in batches:
+        give_back()
         sizes, keys = batch.column(1).to_numpy(), batch.column(0).to_numpy()
         at = 0
         while at < len(batch):
@@ -270,7 +271,8 @@ def _block_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         whole = np.flatnonzero((rows[:, :3] != rows[-1:, :3]).any(1))  # the last group may go on
         cut = int(whole[-1]) + 1 if len(whole) else 0
         yield from compared(rows[:cut])
-        rest = rows[cut:]
+        rest = rows[cut:].copy()
+        give_back()
     yield from compared(rest)
 
 
