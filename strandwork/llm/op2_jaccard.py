@@ -256,7 +256,7 @@ def _block_task(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             at = stop
             other = (rows[left, 5] != rows[right, 5]) & ((rows[left, 1] == rows[left, 2]) | (rows[left, 3] != rows[right, 3]))
             x, y = rows[left[other]], rows[right[other]]
-            apart = np.bitwise_count(x[:, 7:] ^ y[:, 7:]).sum(1, dtype=np.int64)
+            apart = np.bitwise_count((x[:, 7:] ^ y[:, 7:]).view(U64)).sum(1, dtype=np.int64)  # of signed integers it would count the absolute value's bits
             least = np.maximum(apart, np.abs(x[:, 6] - y[:, 6]))
             near = least * (100 + percent) <= (x[:, 6] + y[:, 6]) * (100 - percent)
             x, y = x[near], y[near]

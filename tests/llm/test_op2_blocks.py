@@ -41,6 +41,23 @@ def test_blocks_compare_each_pair_of_different_roots_once():
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_blocks_measure_exact_distances_of_random_sketches(percent):
+    import pyarrow as pa
+
+    rng, size, n = np.random.default_rng(percent), 400, 60
+    base = rng.integers(0, 2, op2_jaccard.SKETCH_WORDS * 64)
+    bits = np.stack([base ^ (rng.random(len(base)) < share) for share in rng.uniform(0, 0.12, n)])  # signs of words differ too
+    words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+    sizes = rng.integers(size - 40, size + 40, n)
+    rows = [(0, 0, 0, 0, k, k, int(sizes[k]), *words[k].tolist()) for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [f"c{j}" for j in range(len(rows[0]))])
+    got = {(r["a"], r["b"]) for b in op2_jaccard._block_task(iter([batch]), percent) for r in b.to_pylist()}
+    far = lambda a, b: max(int((bits[a] != bits[b]).sum()), abs(int(sizes[a] - sizes[b])))
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if far(a, b) * (100 + percent) <= int(sizes[a] + sizes[b]) * (100 - percent)}
+    assert got == want and 0 < len(want) < n * (n - 1) // 2
+
+
 def test_many_rows_of_one_id_or_none_take_linear_time(spark):
     rng = random.Random(4)
     text = lambda: " ".join(f"w{rng.randrange(60)}" for _ in range(30))
