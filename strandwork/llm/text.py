@@ -78,9 +78,8 @@ def chunks(array: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
     give_back()
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the index of its first word for each row (one more entry than rows)."""
-    inside = ~IS_SPACE[data]
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each run of bytes that are inside a word, and the index of its first word for each row (one more entry than rows)."""
     before = np.r_[False, inside[:-1]] if len(inside) else inside
     cut = offsets[:-1][np.diff(offsets) > 0]
     before[cut] = False
@@ -91,6 +90,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the index of its first word for each row (one more entry than rows)."""
+    return spans(~IS_SPACE[data], offsets)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every word, equal for equal bytes wherever they stand."""
     power, inverse = _power_tables(len(data))
