@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandwork.llm import op1_ogg, op2_jaccard, op3_mixing, op4_language, op5_weak_labels, op6_html, op7_wavelet, op8_chat, op9_packing, op10_forest, op12_trie, op13_patterns
+from strandwork.llm import op1_ogg, op2_jaccard, op3_mixing, op4_language, op5_weak_labels, op6_html, op7_wavelet, op8_chat, op9_packing, op10_forest, op11_phrases, op12_trie, op13_patterns
 from strandwork.llm.common import Scratch, documents
 
 
@@ -65,6 +65,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_forest.judge(spark, documents(spark, sf_dir), labels, Scratch(spark, "op10"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_phrases.mine(spark, documents(spark, sf_dir), Scratch(spark, "op11"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op12")
     turns = scratch.table(op12_trie.turn_places(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "placed")
@@ -76,7 +80,7 @@ def op13_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = (op1_ogg_media, op2_ngram_jaccard, op3_mixing_sources, op4_language_id, op5_weak_label_quality, op6_html_layout, op7_wavelet_shards, op8_chat_snapshots, op9_packing_windows, op10_quality_rules, op12_prefix_trie, op13_benchmark_leaks)
+QUERIES = (op1_ogg_media, op2_ngram_jaccard, op3_mixing_sources, op4_language_id, op5_weak_label_quality, op6_html_layout, op7_wavelet_shards, op8_chat_snapshots, op9_packing_windows, op10_quality_rules, op11_phrase_mining, op12_prefix_trie, op13_benchmark_leaks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -84,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_sources": op3_mixing.ORACLE_SQL, "op8_chat_snapshots": op8_chat.ORACLE_SQL, "op12_prefix_trie": op12_trie.ORACLE_SQL, "op13_benchmark_leaks": op13_patterns.ORACLE_SQL}
+    return {"op3_mixing_sources": op3_mixing.ORACLE_SQL, "op8_chat_snapshots": op8_chat.ORACLE_SQL, "op11_phrase_mining": op11_phrases.ORACLE_SQL, "op12_prefix_trie": op12_trie.ORACLE_SQL, "op13_benchmark_leaks": op13_patterns.ORACLE_SQL}
