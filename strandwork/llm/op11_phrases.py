@@ -32,11 +32,13 @@ SCORE = "(cast(1000000 as decimal(7,0)) * cast(cast({a} as decimal(15,0)) * cast
 #: Keys in one broadcast table.
 TABLE_KEYS = 1 << 21
 #: Keys that a task gathers before it sorts them, and that one part of their sums may have.
-RUN_KEYS, PART_KEYS = 1 << 21, 1 << 20
+RUN_KEYS, PART_KEYS = 1 << 20, 1 << 20
 #: Slots in one block of counts, and blocks that one step of the tree adds.
 BLOCK, FAN = 1 << 14, 16
 #: Bytes of texts that are cut into words at once, and of words that are compared at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of id arrays that a task works on at once.
+SLICE = 1 << 21
 
 #: Bytes that end a piece, and bytes that stand between words.
 ENDS_PIECE = np.zeros(256, bool)
@@ -148,6 +150,17 @@ def _binary(parts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends * 4].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(parts))]).cast(pa.binary())
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose first column has about SLICE bytes; a long one is a run of its own."""
+    for batch in batches:
+        ends, first = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+        give_back()
+
+
 def _numbers(column: pa.Array) -> np.ndarray:
     """All 32-bit numbers of a binary column."""
     column = column.cast(pa.large_binary())
@@ -212,13 +225,12 @@ def _run_task(batches: Iterator[pa.RecordBatch], keys: Keys, parts: int) -> Iter
         columns = [pa.array(part[cut].astype(np.int32)), pa.array([key[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["part", "keys", "counts"])
 
-    for batch in batches:
+    for batch in _slices(batches):
         held.append(keys([_numbers(c) for c in batch.columns])[1])
         n += len(held[-1])
         if n >= RUN_KEYS:
             yield flushed()
             held, n = [], 0
-            give_back()
     if n:
         yield flushed()
 
@@ -240,6 +252,7 @@ def _merge_task(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             part = p
             keys.append(np.frombuffer(k.as_buffer(), np.int64))
             counts.append(np.frombuffer(c.as_buffer(), "<u4"))
+        give_back()
     if keys:
         yield merged()
 
@@ -255,7 +268,7 @@ def frequent_keys(rows: DataFrame, keys: Keys, words: int, least: int) -> DataFr
 def _lookup_task(batches: Iterator[pa.RecordBatch], keys: Keys, shared, carried: bool) -> Iterator[pa.RecordBatch]:
     """(ids, pairs): the number of the pair that begins at each place; with `carried` the last column has earlier ones."""
     table: KeyTable = shared.value
-    for batch in batches:
+    for batch in _slices(batches):
         columns = [_numbers(c) for c in batch.columns]
         at, key = keys(columns[:1])
         out = columns[1].copy() if carried else np.zeros(len(columns[0]), np.uint32)
@@ -263,7 +276,6 @@ def _lookup_task(batches: Iterator[pa.RecordBatch], keys: Keys, shared, carried:
         out[at[found > 0]] = found[found > 0]
         ends = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64) // 4)
         yield pa.RecordBatch.from_arrays([batch.column(0), _binary(out, ends)], ["ids", "pairs"])
-        give_back()
 
 
 def _number_task(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -288,7 +300,7 @@ def _count_task(batches: Iterator[pa.RecordBatch], shared, ranges: list[tuple[in
 
     table, source = shared.value, TaskContext.get().partitionId()
     counts = [np.zeros(high - low, np.int64) for low, high in ranges]
-    for batch in batches:
+    for batch in _slices(batches):
         columns = [_numbers(c) for c in batch.columns]
         triples = table.ids(_triple_keys(columns)[1])
         for (low, high), total, found in zip(ranges, counts, [*columns, triples]):

@@ -56,7 +56,7 @@ def run(spark, rows, **options):
 
 @pytest.mark.parametrize("seed,options", [(1, {}), (2, {"limit": 7, "least": 4, "top": 30}), (3, {"least": 1, "share": 90})])
 def test_equals_plain_loops(spark, monkeypatch, seed, options):
-    for name, value in (("RUN_KEYS", 50), ("PART_KEYS", 400), ("BLOCK", 4), ("FAN", 2), ("CHUNK", 300)) if seed > 1 else ():
+    for name, value in (("RUN_KEYS", 50), ("PART_KEYS", 400), ("BLOCK", 4), ("FAN", 2), ("CHUNK", 300), ("SLICE", 200)) if seed > 1 else ():
         monkeypatch.setattr(op11_phrases, name, value)
     rows = made(seed, 60 if "limit" in options else 120)
     assert run(spark, rows, **options) == brute(rows, options.get("least", 10), options.get("share", 50), options.get("top", 2000))
