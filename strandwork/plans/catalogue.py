@@ -1043,7 +1043,7 @@ def beat_budgets(t):
 @query()
 def candidates(t):
     """Distinct plans of every order; boundaries are folded in order, so tests compare all with plain loops."""
-    plans = planner.candidates(song_pairs(t), "o_orderkey")
+    plans = planner.candidates(song_pairs(t))
     edges = F.array_join(F.transform("sections", lambda x: x["end_beat"].cast("string")), " ")
     return plans.select("o_orderkey", "family", "variant", "total_beats", F.size("sections").alias("n_sections"), edges.alias("edges"), "hash")
 

@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandwork.functions.keys import structure_key
 from strandwork.functions.music import clamped_transition, material_budget, snapped, target_bpm
+from strandwork.operators.scans import cut
 from strandwork.operators.sequences import rising_marks
 from strandwork.operators.topk import backfilled, first_per
 
 STEMS = ("lead_vocals", "backing_vocals", "drums", "bass", "guitar", "piano", "other")
 VOCAL = ("lead_vocals", "backing_vocals")
 TARGET_S = 210.0
-#: Gains of STEMS by kind of section.
+#: Plans that may be sent to all tasks; more are joined by a shuffle.
+POOL_ROWS = 20_000
+# Gains of STEMS by kind of section.
 PRESETS = {
     "intro": (0.0, 0.0, 0.6, 0.5, 0.3, 0.2, 0.3),
     "outro": (0.0, 0.0, 0.5, 0.5, 0.3, 0.3, 0.4),
@@ -26,7 +29,7 @@ PRESETS = {
     "hook": (1.0, 0.4, 0.6, 0.6, 0.3, 0.3, 0.3),
     "verse": (0.9, 0.3, 0.7, 0.7, 0.5, 0.4, 0.5),
 }
-#: Families: labels of the sections, and per variant the inner boundaries (beats if above 1, else shares), the transition and its beats, and a vocal gain in dB.
+# Families with the labels of their sections, and per variant the inner boundaries (beats if above 1, else shares), the transition and its beats, and a vocal gain in dB.
 FAMILIES = {
     "standard_arc": (("intro", "build", "main", "breakdown", "peak", "outro"), (
         ((16, 0.25, 0.60, 0.72, 0.88), "crossfade", 4, 0),
@@ -86,7 +89,7 @@ def variants(spark: SparkSession) -> DataFrame:
 
 
 def generated(pairs: DataFrame) -> DataFrame:
-    """(plan key columns, family_pos, family, variant, sections) of every family and variant for each pair with a budget."""
+    """(plan key columns, family_pos, family, variant, sections) of every family and variant for each row with a total of beats."""
     rows = pairs.crossJoin(F.broadcast(variants(pairs.sparkSession)))  # 13 variants
     total = F.col("total_beats")
     marks = F.transform("marks", lambda m: F.floor(F.when(m > 1, m).otherwise(total * m)).cast("int"))
@@ -103,14 +106,37 @@ def generated(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("sections", F.transform("labels", section)).select(*pairs.columns, "family_pos", "family", "variant", "sections")
 
 
-def candidates(pairs: DataFrame, key: str, most: int = 12) -> DataFrame:
-    """Distinct plans of each pair in order of family and variant, at most so many, each with its structure key.
+def pool(totals: DataFrame, least: int = 8, most: int = 12, spare: DataFrame | None = None) -> DataFrame:
+    """(total_beats, family_pos, family, variant, sections, hash): the plans of each total, at least and at most so many.
 
-    Plans of a pair are shuffled once, by the pair.
+    Of plans with one structure the first by family and variant stays. Where fewer than `least` are left, `spare` plans (of
+    the same columns, by default the families' own, which add none that is new) fill up, families with fewest plans first. All
+    of a plan but its pair follows from the total, so a pool has as many rows as there are totals and variants.
     """
-    rows = generated(budgets(pairs)).withColumn("hash", structure_key(F.col("sections"))).repartition(key)
     order = ["family_pos", "variant"]
-    return first_per(first_per(rows, [key, "hash"], order), [key], order, most)
+    plans = generated(totals.select("total_beats").distinct()).withColumn("hash", structure_key(F.col("sections")))
+    one = ["total_beats", "hash"]
+    kept = first_per(plans, one, order)
+    if spare is not None:
+        fresh = first_per(spare.select(*plans.columns).join(kept.select(*one), one, "left_anti"), one, order)
+        size = kept.groupBy("total_beats", "family").agg(F.count(F.lit(1)).alias("_c"))
+        room = kept.groupBy("total_beats").agg((F.lit(least) - F.count(F.lit(1))).alias("_room"))
+        ranked = fresh.join(size, ["total_beats", "family"], "left").join(room.where("_room > 0"), "total_beats")
+        place = F.row_number().over(Window.partitionBy("total_beats").orderBy(F.coalesce("_c", F.lit(0)), *order))
+        kept = kept.unionByName(ranked.withColumn("_p", place).where("_p <= _room").select(*plans.columns))
+    return first_per(kept, ["total_beats"], order, most)
+
+
+def candidates(pairs: DataFrame, least: int = 8, most: int = 12, spare: DataFrame | None = None) -> DataFrame:
+    """Distinct plans of each pair in order of family and variant, each with its structure key.
+
+    Plans are made once for each total of beats, and a pool of up to POOL_ROWS plans is sent to the pairs; they are not shuffled.
+    """
+    rows = budgets(pairs)
+    totals = cut(rows.select("total_beats").distinct())
+    plans = pool(totals, least, most, spare)
+    few = totals.count() * sum(len(v) for _, v in FAMILIES.values()) <= POOL_ROWS
+    return rows.join(F.broadcast(plans) if few else plans, "total_beats")
 
 
 def filled(kept: DataFrame, spare: DataFrame, least: int) -> DataFrame:
@@ -125,7 +151,7 @@ def family_counts(plans: DataFrame) -> DataFrame:
     return names.join(plans.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "family", "left").select("family", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-#: Fallback layouts: least beats, labels, shares of the inner boundaries, lead and backing vocals and the instrumental preset of each section.
+# Fallback layouts with least beats, labels, shares of the inner boundaries, lead and backing vocals and the instrumental preset of each section.
 BODY, INTRO, BREAK, OUTRO, BRIDGE = (0.7, 0.7, 0.5, 0.4, 0.5), (0.6, 0.5, 0.3, 0.2, 0.3), (0.1, 0.4, 0.6, 0.7, 0.5), (0.5, 0.5, 0.3, 0.3, 0.4), (0.3, 0.5, 0.7, 0.6, 0.5)
 LAYOUTS = (
     (192, (("intro", 0.0, 0.0, INTRO), ("verse", 0.9, 0.0, BODY), ("drop", 1.0, 0.4, BODY), ("breakdown", 0.3, 0.0, BREAK), ("verse", 0.9, 0.0, BODY), ("drop", 1.0, 0.4, BODY), ("breakdown", 0.5, 0.0, BRIDGE), ("outro", 0.0, 0.0, OUTRO)), (0.08, 0.23, 0.35, 0.43, 0.58, 0.70, 0.82)),
@@ -173,8 +199,3 @@ def explained(plans: DataFrame, key: str) -> DataFrame:
 def chosen(intended: DataFrame, spare: DataFrame, key: str) -> DataFrame:
     """The intended plan of each key, else the fallback, with `used_fallback`."""
     return spare.alias("f").join(intended.alias("i"), key, "left").select(key, F.coalesce("i.sections", "f.sections").alias("sections"), F.col("i.sections").isNull().alias("used_fallback"))
-
-
-def windowed_order(plans: DataFrame, key: str) -> DataFrame:
-    """Plans with their place among their key's, by family and variant."""
-    return plans.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("family_pos", "variant")))

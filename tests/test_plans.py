@@ -91,6 +91,30 @@ def test_candidates_of_all_orders(spark):
         assert sorted(got[r[0]]) == sorted(plain_plans(total)), total
 
 
+def test_pool_is_filled_up_and_capped_for_each_total(spark):
+    totals = spark.createDataFrame([(t,) for t in (32, 32, 64, 400)], "total_beats int")
+    own = {t: plain_plans(t) for t in (32, 64, 400)}
+    plans = planner.pool(totals, most=12)
+    got = defaultdict(set)
+    for r in plans.collect():
+        got[r["total_beats"]].add((r["family"], r["variant"]))
+    assert got == {t: {(f, v) for f, v, _ in ps} for t, ps in own.items()}
+    spare = planner.generated(totals.distinct()).withColumn("variant", F.col("variant") + 50).withColumn("hash", F.concat("family", "variant"))
+    for least, most in ((14, 20), (15, 15), (40, 100), (5, 3)):
+        filled = defaultdict(list)
+        for r in planner.pool(totals, least, most, spare).collect():
+            filled[r["total_beats"]].append((r["family_pos"], r["variant"]))
+        for t in own:
+            n = len({h for h in planned(t)})
+            assert len(filled[t]) == min(most, max(n, min(least, n + 13)))
+    few = planner.pool(totals.where("total_beats = 400"), 14, 20, spare).where("variant >= 50").collect()
+    assert {r["family_pos"] for r in few} <= {1, 2, 3}  # the first family has most plans, so it is filled last
+
+
+def planned(total):
+    return {(f, v) for f, v, _ in plain_plans(total)} | ({("quick_hit", 2)} if len(plain_plans(total)) == 12 else set())
+
+
 def test_fallback_layouts_in_full(spark):
     totals = [32, 40, 44, 48, 64, 92, 96, 128, 188, 192, 256, 400]
     rows = {r["total_beats"]: r["sections"] for r in planner.fallback(spark.createDataFrame([(t,) for t in totals], "total_beats int")).collect()}
