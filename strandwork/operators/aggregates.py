@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandwork.operators import scans
+
 from strandwork.functions.music import energy_class
 from strandwork.functions.rules import first_match
 
@@ -246,10 +248,13 @@ def band_levels(bins: DataFrame, key: Sequence[str], band: str, db: str, silence
 
 
 def ordered_ema(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, start: float, alpha: float) -> DataFrame:
-    """(key, ema): start, then (1 - alpha) * old + alpha * value for each row in order. A key's values are one array."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_x"))))
-    fold = F.aggregate(items, F.lit(float(start)), lambda a, s: (1 - alpha) * a + alpha * s["_x"])
-    return rows.groupBy(*key).agg(fold.alias("ema"))
+    """(key, ema): start, then (1 - alpha) * old + alpha * value for each row in order. A key may have any number of rows."""
+    return scans.affine_last(rows, key, order, F.lit(1 - alpha), alpha * F.col(value).cast("double"), "ema", start)
+
+
+def running_emas(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, start: float, alpha: float, out: str = "ema") -> DataFrame:
+    """Rows with the mean after them, of `ordered_ema`."""
+    return scans.affine_scan(rows, key, order, F.lit(1 - alpha), alpha * F.col(value).cast("double"), out, start)
 
 
 def dominant_colour(images: DataFrame, key: str, data: str, head: int = 256, tail: int = 64, samples: int = 200, levels: int = 8, none: str = "#333333") -> DataFrame:

@@ -41,9 +41,11 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(renamed, on, how).drop(*names.values())
 
 
-def prefix_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+def prefix_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column], parts: int | None = None, whole: Sequence[str] = ()) -> DataFrame:
     """Rows with, for each name of `sums`, the sum of its expression from the first row of the key up to this one.
 
+    Names of `whole` also give `{name}_all`, the sum over the key.
+
     `order` is ascending unless a column says otherwise; rows of equal order follow each other as they are read, and may be
     dealt to several tasks. Null keys are a key. With no keys all rows are one sequence. `parts` ranges (by default
     as many as the session's shuffle partitions) are each one task's share, whatever the keys.
@@ -56,11 +58,13 @@ def prefix_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     dealt = cut(dealt.withColumn(span, F.spark_partition_id()))
     totals = dealt.groupBy(*keys, span).agg(*[F.sum(t).alias(t) for t in terms])
     earlier = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, span, *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_before_{t}") for t in terms])
+    before = totals.select(*keys, span, *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_before_{t}") for t in terms], *[F.col(t).alias(f"_sum_{t}") for t in terms])
+    every = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = before.withColumns({f"{k}_all": F.sum(F.col(f"_sum__term_{k}")).over(every) for k in whole}).drop(*[f"_sum_{t}" for t in terms])
     own = Window.partitionBy(*keys, span).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     running = dealt.withColumns({f"_own_{t}": F.sum(t).over(own) for t in terms})
     joined = _same(running, before, [*keys, span])
-    return joined.select(*rows.columns, *[(F.col(f"_own__term_{k}") + F.col(f"_before__term_{k}")).alias(k) for k in sums])
+    return joined.select(*rows.columns, *[(F.col(f"_own__term_{k}") + F.col(f"_before__term_{k}")).alias(k) for k in sums], *[f"{k}_all" for k in whole])
 
 
 def places(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "place", parts: int | None = None) -> DataFrame:
@@ -68,6 +72,31 @@ def places(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return prefix_sums(rows, keys, order, {out: F.lit(1).cast("long")}, parts)
 
 
+def _levels(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], factor: Column, term: Column, parts: int | None) -> list[DataFrame]:
+    """Blocks (keys, _block, _maps) of the rows' maps, of these blocks' maps, and so on until each key has one block."""
+    placed = places(rows.withColumns({"_a": factor.cast("double"), "_b": term.cast("double")}), keys, order, "_place", parts)
+    level = placed.withColumn("_block", F.floor((F.col("_place") - 1) / FAN))
+    rest = F.struct(F.lit(0), *rows.columns).alias("_row")
+    levels = [cut(level.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("_place", "_a", "_b", rest))).alias("_maps")))]
+    while levels[-1].agg(F.max("_block")).first()[0]:
+        up = levels[-1].select(*keys, "_block", _composed(F.col("_maps")).alias("m"))
+        up = up.select(*keys, F.floor(F.col("_block") / FAN).alias("_up"), F.struct(F.col("_block").alias("_place"), F.col("m.a").alias("_a"), F.col("m.b").alias("_b")).alias("m"))
+        levels.append(cut(up.groupBy(*keys, F.col("_up").alias("_block")).agg(F.sort_array(F.collect_list("m")).alias("_maps"))))
+    return levels
+
+
+def _composed(maps: Column) -> Column:
+    """struct<a, b> of the map that does what these do one after the other."""
+    return F.aggregate(maps, F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), lambda s, m: F.struct((m["_a"] * s["a"]).alias("a"), (m["_a"] * s["b"] + m["_b"]).alias("b")))
+
+
+def affine_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], factor: Column, term: Column, out: str = "y", start: float = 0.0, parts: int | None = None) -> DataFrame:
+    """(keys, y): what `affine_scan` gives for the last row of each key."""
+    top = _levels(rows.select(*keys, *order, factor.alias("_f"), term.alias("_t")), keys, order, F.col("_f"), F.col("_t"), parts)[-1]
+    m = top.select(*keys, _composed(F.col("_maps")).alias("m"))
+    return m.select(*keys, (F.col("m.a") * float(start) + F.col("m.b")).alias(out))
+
+
 def affine_scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], factor: Column, term: Column, out: str = "y", start: float = 0.0, parts: int | None = None) -> DataFrame:
     """Rows with y = factor * (y of the row before) + term, a recurrence over each key in order; y before the first is `start`.
 
@@ -76,16 +105,7 @@ def affine_scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     values from there on. Sums run in the order of the rows within a block; between blocks they differ from a plain loop's in
     the last bits.
     """
-    placed = places(rows.withColumns({"_a": factor.cast("double"), "_b": term.cast("double")}), keys, order, "_place", parts)
-    level = placed.withColumn("_block", F.floor((F.col("_place") - 1) / FAN))
-    rest = F.struct(*rows.columns).alias("_row")
-    level = cut(level.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("_place", "_a", "_b", rest))).alias("_maps")))
-    levels = [level]
-    composed = lambda maps: F.aggregate(maps, F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), lambda s, m: F.struct((m["_a"] * s["a"]).alias("a"), (m["_a"] * s["b"] + m["_b"]).alias("b")))
-    while levels[-1].agg(F.max("_block")).first()[0]:
-        up = levels[-1].select(*keys, "_block", composed(F.col("_maps")).alias("m"))
-        up = up.select(*keys, F.floor(F.col("_block") / FAN).alias("_up"), F.struct(F.col("_block").alias("_place"), F.col("m.a").alias("_a"), F.col("m.b").alias("_b")).alias("m"))
-        levels.append(cut(up.groupBy(*keys, F.col("_up").alias("_block")).agg(F.sort_array(F.collect_list("m")).alias("_maps"))))
+    levels = _levels(rows, keys, order, factor, term, parts)
     begun = levels.pop().withColumn("_start", F.lit(float(start)))
 
     def values(at: DataFrame) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
+from strandwork.operators.scans import places, prefix_sums
+
 
 def by(key: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*key).orderBy(*order)
@@ -188,18 +190,16 @@ def rising_marks(marks: Column, total: Column, grid: int = 4, step: int = 8, lea
 
 
 def evicted(entries: DataFrame, key: Sequence[str], age_order: Sequence[str], size: str, cap: float, protected: str | None = None) -> DataFrame:
-    """The oldest entries that must go until the rest fits a cap; protected ones are passed over."""
-    total = F.sum(size).over(Window.partitionBy(*key))
-    rows = entries.withColumn("_t", total)
-    rows = rows.where(~F.col(protected)) if protected else rows
-    before = F.coalesce(F.sum(size).over(by(key, age_order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_b", before).where(F.col("_t") - F.col("_b") > cap).drop("_t", "_b")
+    """The oldest entries that must go until the rest fits a cap; protected ones are passed over. A key may have any number of entries."""
+    free = ~F.col(protected) if protected else F.lit(True)
+    sums = {"_up": F.when(free, F.col(size)).otherwise(0), "_t": F.col(size)}
+    rows = prefix_sums(entries, key, age_order, sums, whole=["_t"])
+    return rows.where(free & (F.col("_t_all") - (F.col("_up") - F.col(size)) > cap)).select(*entries.columns)
 
 
 def queue_positions(items: DataFrame, queue: Sequence[str], enqueued: Sequence[str], mean_s: float = 600.0) -> DataFrame:
-    """Items with their place in the queue, from 1, and the seconds until their turn."""
-    n = F.row_number().over(by(queue, enqueued))
-    return items.withColumn("position", n).withColumn("eta_s", F.floor(n * mean_s).cast("int"))
+    """Items with their place in the queue, from 1, and the seconds until their turn. A queue may have any number of items."""
+    return places(items, queue, enqueued, "position").withColumn("eta_s", F.floor(F.col("position") * mean_s).cast("long"))
 
 
 def high_water(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandwork.operators.scans import places
+
 
 def first_per(rows: DataFrame, key: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """The first n rows of each key."""
@@ -71,9 +73,9 @@ def reconciled(have: DataFrame, want: DataFrame, key: str, managed: Column) -> D
     return both.select(key, action.alias("action"))
 
 
-def newest_first(rows: DataFrame, added: str, order: str) -> DataFrame:
-    """By text of the time, latest first, stable by `order`."""
-    return rows.orderBy(F.desc(added), order)
+def newest_first(rows: DataFrame, added: str, order: str, out: str = "place") -> DataFrame:
+    """Rows with their place by text of the time, latest first, stable by `order`; no task numbers all rows."""
+    return places(rows, [], [F.desc(added), order], out)
 
 
 def set_report(expected: Column, received: Column) -> Column:

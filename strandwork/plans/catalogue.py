@@ -471,6 +471,15 @@ def ema_ordered(t):
     return agg.ordered_ema(t("events"), ["user_id"], ["ts", "event_id"], "value", 600.0, 0.3).withColumn("ema", F.round("ema", 6))
 
 
+@query(
+    """WITH d AS (SELECT event_id, row_number() OVER w AS k, list(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 150 PRECEDING AND CURRENT ROW) AS v FROM events WINDOW w AS (ORDER BY ts, event_id))
+    SELECT event_id, round(list_reduce(CASE WHEN k <= 151 THEN list_prepend(600.0::DOUBLE, v) ELSE v END, lambda a, x: 0.7 * a + 0.3 * x), 6) AS ema FROM d"""
+)
+def ema_of_all(t):
+    """The mean after each event, over all events as one sequence; the SQL starts anew 150 rows before each, which 0.7 ** 150 forgets."""
+    return agg.running_emas(t("events").select("event_id", "ts", "value"), [], ["ts", "event_id"], "value", 600.0, 0.3).select("event_id", F.round("ema", 6).alias("ema"))
+
+
 @query("SELECT o_custkey, round(sqrt(avg(power((a - b) / 2, 2))) / sqrt(avg(power((a + b) / 2, 2))), 9) AS ratio FROM (SELECT o_custkey, o_totalprice AS a, l_extendedprice AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY 1")
 def side_mid(t):
     rows = t("orders").join(t("lineitem"), c("o_orderkey") == c("l_orderkey")).select("o_custkey", c("o_totalprice").alias("a"), c("l_extendedprice").alias("b"))

@@ -174,9 +174,9 @@ def progress_bands(t):
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS place FROM orders")
 def shelf_order(t):
-    """The order of a shelf, as places; a reader takes the sorted rows as they come."""
+    """The order of a shelf, as places."""
     rows = topk.newest_first(t("orders").select("o_orderkey", c("o_orderdate").cast("string").alias("added")), "added", "o_orderkey")
-    return rows.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("added"), "o_orderkey")).alias("place"))
+    return rows.select("o_orderkey", c("place").cast("int").alias("place"))
 
 
 @query("SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_concat(list(l_returnflag), list(l_linestatus)))), ',') AS notes FROM lineitem GROUP BY 1")
