@@ -257,6 +257,28 @@ def running_emas(rows: DataFrame, key: Sequence[str], order: Sequence[str], valu
     return scans.affine_scan(rows, key, order, F.lit(1 - alpha), alpha * F.col(value).cast("double"), out, start)
 
 
+def sketched_quantiles(rows: DataFrame, key: Sequence[str], value: str, ranks: Sequence[float], size: int = 800) -> DataFrame:
+    """(key, n, quantiles): values near these ranks, from a mergeable sketch of bounded size for each key.
+
+    A task sketches its own rows of a key, and sketches are merged, so a key may have any number of rows and of distinct values. With
+    `size` 800 a rank is off by less than 0.5 % with odds of 99 %, by the sketch's own theory; `ranks_of` measures it. NaN and null values are not counted.
+    """
+    x = F.col(value).cast("double")
+    made = rows.where(x.isNotNull() & ~F.isnan(x)).groupBy(*key).agg(F.kll_sketch_agg_double(x, size).alias("_s"))
+    at = F.array(*[F.lit(float(r)) for r in ranks])
+    return made.select(*key, F.kll_sketch_get_n_double("_s").alias("n"), F.kll_sketch_get_quantile_double("_s", at).alias("quantiles"))
+
+
+def ranks_of(rows: DataFrame, key: Sequence[str], value: str, quantiles: DataFrame) -> DataFrame:
+    """(key, ranks): the least and the greatest share of a key's rows that may stand below each of its quantiles, exactly."""
+    x = F.col(value).cast("double")
+    both = rows.where(x.isNotNull() & ~F.isnan(x)).join(quantiles.select(*key, "quantiles"), list(key))
+    n = quantiles.select(F.max(F.size("quantiles"))).first()[0] or 0
+    share = lambda test: F.avg(test.cast("double"))
+    cuts = [F.struct(share(x < F.get("quantiles", F.lit(k))).alias("below"), share(x <= F.get("quantiles", F.lit(k))).alias("upto")) for k in range(n)]
+    return both.groupBy(*key).agg(F.array(*cuts).alias("ranks"))
+
+
 def dominant_colour(images: DataFrame, key: str, data: str, head: int = 256, tail: int = 64, samples: int = 200, levels: int = 8, none: str = "#333333") -> DataFrame:
     """(key, colour): the most frequent quantised byte triple of a file body, the first of equal ones.
 

@@ -70,15 +70,28 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, l
     return out if limit is None else out.where(F.col("distance") < limit)
 
 
-def in_bands(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Rows beside every band with low <= value < high, by equal buckets of `width` instead of a nested loop.
+def in_bands(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str) -> DataFrame:
+    """Rows beside every band with low <= value < high, without a nested loop, for bands of any length.
 
-    Bands are copied once for each bucket that they touch; choose a width near the usual band's.
+    A band belongs to the level whose cells, of a power of two, are the least that are as long as it; it touches one or two of
+    them. A row looks into its cell of every level that bands are of. So a band is copied twice at most, whatever the mix of lengths,
+    and a row once a level. Bands without a length, and null bounds or values, match nothing.
     """
-    bucket = lambda c: F.floor(c / width).cast("long")
-    spread = bands.withColumn("_b", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    keyed = rows.withColumn("_b", bucket(F.col(value)))
-    return keyed.join(spread, "_b").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_b")
+    length = F.col(high).cast("double") - F.col(low).cast("double")
+    rough = F.ceil(F.log2(length)).cast("int")
+    level = rough + F.when(F.pow(F.lit(2.0), rough) < length, 1).otherwise(0)
+
+    def cell(x: Column, of: Column) -> Column:
+        at = x.cast("double") / F.pow(F.lit(2.0), of)
+        near = F.rint(at)
+        return near - F.when(near > at, 1.0).otherwise(0.0)  # the floor as a double: a long would overflow
+
+    sized = bands.where(length > 0).withColumn("_level", level)
+    spread = sized.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col(low), F.col("_level")), cell(F.col(high), F.col("_level"))))))
+    levels = sized.agg(F.sort_array(F.collect_set("_level")).alias("_levels"))  # at most one for each exponent of a double
+    keyed = rows.join(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).withColumn("_cell", cell(F.col(value), F.col("_level")))
+    near = keyed.drop("_levels").join(spread, ["_level", "_cell"])
+    return near.where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_level", "_cell")
 
 
 def set_membership(rows: DataFrame, keys: Sequence[str], item: str, valid: dict[str, list[list[str]]], kind: Column | None = None) -> DataFrame:

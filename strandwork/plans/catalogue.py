@@ -15,7 +15,7 @@ from strandwork.operators import aggregates as agg, filters, joins, kernels, seq
 from strandwork.plans import dashboard, gains, planner
 from strandwork.sources import documents as docs, logs
 from strandwork.sources.sinks import shared_folder
-from strandwork.streaming import events as stream, state
+from strandwork.streaming import events as stream, state, ttl
 
 #: The fixed time of reports and expiry rules over the test data.
 NOW = "2024-01-31 00:00:00"
@@ -259,7 +259,29 @@ def asof_backward(t):
 @query("SELECT p_partkey, CAST(floor((p_retailprice - 100) / 250) AS INTEGER) AS band FROM part WHERE p_retailprice >= 100 AND p_retailprice < 100 + 250 * 12")
 def range_cover(t):
     bands = t("part").sparkSession.range(12).select(c("id").cast("int").alias("band"), (c("id") * 250 + 100).cast("double").alias("lo"), (c("id") * 250 + 350).cast("double").alias("hi"))
-    return joins.in_bands(t("part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "lo", "hi", 250.0).select("p_partkey", "band")
+    return joins.in_bands(t("part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "lo", "hi").select("p_partkey", "band")
+
+
+_SPANS = "SELECT s_suppkey, s_acctbal / 5 + 900 AS lo, s_acctbal / 5 + 900 + power(10.0, s_suppkey % 7 - 3) AS hi FROM supplier"
+
+
+@query(f"WITH b AS ({_SPANS}) SELECT s_suppkey, p_partkey FROM b JOIN part ON p_retailprice >= lo AND p_retailprice < hi WHERE p_partkey % 3 = s_suppkey % 3")
+def interval_cover(t):
+    """Prices within suppliers' spans, whose lengths are of seven orders of magnitude."""
+    low = c("s_acctbal") / 5 + 900
+    spans = t("supplier").select("s_suppkey", low.alias("lo"), (low + F.pow(F.lit(10.0), c("s_suppkey") % 7 - 3)).alias("hi"))
+    return joins.in_bands(t("part"), spans, "p_retailprice", "lo", "hi").where(c("p_partkey") % 3 == c("s_suppkey") % 3).select("s_suppkey", "p_partkey")
+
+
+@query("SELECT CASE WHEN event_type = 'view' THEN 'view' ELSE 'rest' END AS kind, count(*) AS n, true AS near FROM events GROUP BY 1")
+def quantile_sketches(t):
+    """Whether quantiles of two keys by mergeable sketches are within 1 % of their ranks, measured on all rows."""
+    ranks = (0.1, 0.5, 0.85, 0.99)
+    rows = t("events").select(F.when(c("event_type") == "view", "view").otherwise("rest").alias("kind"), "value")
+    made = agg.sketched_quantiles(rows, ["kind"], "value", ranks)
+    found = agg.ranks_of(rows, ["kind"], "value", made)
+    near = [(F.get("ranks", F.lit(k))["below"] <= r + 0.01) & (F.get("ranks", F.lit(k))["upto"] >= r - 0.01) for k, r in enumerate(ranks)]
+    return made.join(found, "kind").select("kind", "n", (near[0] & near[1] & near[2] & near[3]).alias("near"))
 
 
 @query(
@@ -1137,6 +1159,51 @@ def stream_monotone(t):
     return _streamed(t, "monotone", lambda e: state.monotone(e.select("user_id", "ts", "value"), "user_id", "value"), "append").groupBy("user_id").agg(F.max("value").alias("highest"))
 
 
+_LIVES = {"view": 36_000.0, "click": 86_400.0, "purchase": 604_800.0}  # seconds
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_type AS status, ts, CASE event_type WHEN 'view' THEN INTERVAL 10 HOUR WHEN 'click' THEN INTERVAL 1 DAY WHEN 'purchase' THEN INTERVAL 7 DAY END AS life,
+      lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS after, max(ts) OVER () AS now FROM events)
+    SELECT user_id, status, CAST(date_trunc('millisecond', ts) + life AS TIMESTAMP) AS expired_at FROM e WHERE life IS NOT NULL AND date_trunc('millisecond', coalesce(after, now)) > date_trunc('millisecond', ts) + life"""
+)
+def stream_expirations(t):
+    """States of users that lived out their status's time, by timers of a stream."""
+    out = _streamed(t, "expirations", lambda e: ttl.expirations(e, "user_id", "event_type", _LIVES), "append")
+    return out.select("user_id", "status", c("expired_at").cast("timestamp_ntz").alias("expired_at"))
+
+
+@query(
+    """WITH u AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events),
+    g AS (SELECT user_id FROM events JOIN u USING (user_id), n WHERE ts = last AND date_trunc('millisecond', now) > date_trunc('millisecond', ts) + CASE event_type WHEN 'view' THEN INTERVAL 10 HOUR WHEN 'click' THEN INTERVAL 1 DAY WHEN 'purchase' THEN INTERVAL 7 DAY END)
+    SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM g)"""
+)
+def orphan_sweep(t):
+    """Customers whose state as users has expired for good."""
+    events = t("events").withColumn("ts", c("ts").cast("timestamp"))
+    now = events.select(F.max("ts").alias("now"))
+    last = events.groupBy("user_id").agg(F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_type")).alias("l")).select("user_id", "l.*").join(F.broadcast(now))
+    return ttl.swept(t("customer").select("c_custkey"), ttl.expired(last, "user_id", "event_type", _LIVES, c("now")).withColumnRenamed("user_id", "c_custkey"), "c_custkey")
+
+
+@query(
+    """WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), b AS (SELECT user_id, ts FROM events WHERE event_type IN ('purchase', 'view')),
+    w AS (SELECT least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b)) AS now),
+    f AS (SELECT event_id, a.user_id, a.ts AS asked, min(b.ts) AS ready FROM a LEFT JOIN b ON b.user_id = a.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR GROUP BY ALL)
+    SELECT event_id, user_id, CASE WHEN ready IS NULL THEN 'takeover' ELSE 'waited' END AS outcome, ready FROM f, w WHERE ready IS NOT NULL OR date_trunc('millisecond', asked) + INTERVAL 6 HOUR < date_trunc('millisecond', now)"""
+)
+def stream_waits(t):
+    """Clicks as requests that wait up to six hours for a view or purchase of their user, or take over."""
+
+    def build(e: DataFrame) -> DataFrame:
+        asked = e.where("event_type = 'click'").select("event_id", "user_id", c("ts").alias("asked"))
+        ready = e.where("event_type IN ('purchase', 'view')").select("user_id", c("ts").alias("ready"))
+        return stream.waits(asked, ready, "user_id", "event_id", "asked", "ready", "6 hours")
+
+    out = stream.settled(_streamed(t, "waits", build, "append"), "event_id", "user_id", "asked", "ready")
+    return out.select("event_id", "user_id", "outcome", c("ready").cast("timestamp_ntz").alias("ready"))
+
+
 @query()
 def lease_replay(t):
     """A lease protocol replayed over events has no SQL; tests replay it in a plain loop."""

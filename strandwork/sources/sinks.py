@@ -36,6 +36,12 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def replace_table(rows: DataFrame, path: str, check: Callable[[DataFrame], bool] | None = None) -> None:
     """Write beside a table, check what was written, then put it in the table's place; a failed check leaves the table as it is."""
     spark = rows.sparkSession
