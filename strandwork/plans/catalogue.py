@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandwork.functions import keys, music, rules, text, times, urls
-from strandwork.operators import aggregates as agg, filters, joins, kernels, sequences as seq, topk
+from strandwork.operators import aggregates as agg, filters, joins, kernels, resampling, scans, sequences as seq, topk
 from strandwork.plans import dashboard, gains, planner
 from strandwork.sources import documents as docs, logs
 from strandwork.sources.sinks import shared_folder
@@ -1216,6 +1216,23 @@ def signals(t) -> DataFrame:
     return t("embeddings").select("vec_id", F.lit(0).alias("chunk"), F.lit(8000).alias("rate"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"))
 
 
+@query(
+    """WITH x AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, value FROM events),
+    m AS (SELECT event_type, unnest(range(CAST(ceil(count(*) * 147 / 160) AS BIGINT))) AS m FROM x GROUP BY 1),
+    d AS (SELECT event_type, m, (m * 160) // 147 AS i, ((m * 160) % 147) / 147 AS p, unnest(range(36)) AS tap FROM m),
+    w AS (SELECT event_type, m, i - 17 + tap AS pos, p + 17 - tap AS d FROM d),
+    s AS (SELECT *, CASE WHEN abs(d) < 1e-12 THEN 1 ELSE sin(d * 0.91875 * pi()) / (d * 0.91875 * pi()) END * power(cos(d * pi() / 36), 2) AS w FROM w)
+    SELECT event_type, m AS place, round(sum(w * coalesce(value, 0)) / sum(w), 6) AS y FROM s LEFT JOIN x USING (event_type, pos) GROUP BY 1, 2"""
+)
+def resampled_values(t):
+    """Values of each type of event as a signal at 147 samples for every 160, in chunks."""
+    rows = scans.places(t("events").select("event_type", "ts", "event_id", "value"), ["event_type"], ["ts", "event_id"])
+    chunks = resampling.chunked(rows.withColumn("at", c("place") - 1), ["event_type"], "at", "value", 256)
+    made = resampling.resampled(chunks, ["event_type"], 48000, 44100, 256)
+    out = made.select("event_type", "first", F.posexplode("samples").alias("k", "y"))
+    return out.select("event_type", (c("first") + c("k")).alias("place"), F.round("y", 6).alias("y"))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings")
 def rms_kernel(t):
     return signals(t).select("vec_id", F.round(agg.array_rms(c("samples")), 6).alias("rms"))

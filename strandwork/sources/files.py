@@ -9,7 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from strandwork.operators.resampling import resampled
+from strandwork.sources import posix
+
 LEAST_WAV = 1024
+#: Samples of a channel in one row.
+CHUNK = 1 << 15
 
 
 def stem_files(spark: SparkSession, root: str) -> DataFrame:
@@ -19,6 +24,15 @@ def stem_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(part(3).alias("video_id"), part(2).alias("role"), F.regexp_replace(part(1), r"\.wav$", "").alias("stem"), "length", F.col("modificationTime").alias("modified"), "content")
 
 
+def stem_headers(spark: SparkSession, root: str) -> DataFrame:
+    """(video_id, role, stem, length, content) of root/video/role/stem.wav, of whose content only the header is read.
+
+    `manifests` and `duration_s` need no more. The folder is one that the driver and all executors mount.
+    """
+    part = lambda k: F.element_at(F.split("path", "/"), -k)
+    return posix.file_bytes(spark, root).select(part(3).alias("video_id"), part(2).alias("role"), F.regexp_replace(part(1), r"\.wav$", "").alias("stem"), "length", F.col("bytes").alias("content"))
+
+
 def intact(content: Column, length: Column) -> Column:
     """Whether bytes begin like a WAV file and are long enough to be one."""
     return (length >= LEAST_WAV) & (F.substring(content, 1, 4) == F.unhex(F.lit("52494646"))) & (F.substring(content, 9, 4) == F.unhex(F.lit("57415645")))
@@ -80,18 +94,9 @@ def write_wav(samples: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def resampled(x: np.ndarray, rate: int, wanted: int) -> np.ndarray:
-    """Linear interpolation to another rate."""
-    if rate == wanted or not len(x):
-        return x
-    n = max(1, round(len(x) * wanted / rate))
-    at = np.arange(n) * rate / wanted
-    return np.stack([np.interp(at, np.arange(len(x)), c) for c in x.T], 1).astype(np.float32)
-
-
-def signal_chunks(files: DataFrame, *, rate: int = 44100, mono: bool = False, chunk: int = 1 << 16) -> DataFrame:
-    """(video_id, role, stem, chunk, rate, samples) of stem files at one rate, in chunks; stereo is interleaved, one channel doubled."""
-    schema = "video_id string, role string, stem string, chunk int, rate int, samples array<float>"
+def signal_chunks(files: DataFrame, *, mono: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """(video_id, role, stem, channel, rate, chunk, samples) of stem files at their own rates; one channel is doubled unless `mono`."""
+    schema = "video_id string, role string, stem string, channel int, rate int, chunk long, samples array<double>"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,14 +104,29 @@ def signal_chunks(files: DataFrame, *, rate: int = 44100, mono: bool = False, ch
                 got = read_wav(bytes(r.content))
                 if got is None:
                     continue
-                x = resampled(got[1], got[0], rate)
+                x = got[1].astype(float)
                 x = x.mean(1, keepdims=True) if mono else np.repeat(x[:, :1], 2, 1) if x.shape[1] == 1 else x[:, :2]
                 for k in range(0, len(x), chunk):
-                    yield pd.DataFrame([(r.video_id, r.role, r.stem, k // chunk, rate, x[k : k + chunk].ravel())], columns=["video_id", "role", "stem", "chunk", "rate", "samples"])
+                    rows = [(r.video_id, r.role, r.stem, channel, got[0], k // chunk, x[k : k + chunk, channel]) for channel in range(x.shape[1])]
+                    yield pd.DataFrame(rows, columns=["video_id", "role", "stem", "channel", "rate", "chunk", "samples"])
 
     return files.select("video_id", "role", "stem", "content").mapInPandas(read, schema)
 
 
+def at_rate(chunks: DataFrame, wanted: int = 44100, *, size: int = CHUNK) -> DataFrame:
+    """(video_id, role, stem, channel, rate, chunk, first, samples): the signals of `signal_chunks` at one rate.
+
+    The chunks' own rates are few, and each has its weights; chunks of files that have the rate already are as they were.
+    """
+    keys, out = ["video_id", "role", "stem", "channel"], None
+    for r in chunks.select("rate").distinct().collect():
+        made = resampled(chunks.where(F.col("rate") == r["rate"]), keys, r["rate"], wanted, size)
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        return chunks.select(*keys, "rate", "chunk", F.lit(0).cast("long").alias("first"), "samples")
+    return out.select(*keys, F.lit(wanted).alias("rate"), "chunk", "first", "samples")
+
+
 def duration_s(content: Column) -> Column:
     """Seconds of a WAV file with the usual 44-byte header, from its header alone."""
     le = lambda at, n: F.conv(F.hex(F.reverse(F.hex(F.substring(content, at, n)))), 16, 10)  # noqa: E731,F841

@@ -52,16 +52,17 @@ def test_wav_bytes_round_trip_and_refuse_others():
 
 
 def test_signals_at_one_rate_in_chunks(spark, stems):
-    rows = files.signal_chunks(files.stem_files(spark, str(stems)), rate=44100, chunk=1500).collect()
+    found = files.stem_files(spark, str(stems))
+    rows = files.at_rate(files.signal_chunks(found, chunk=150), 44100, size=150).collect()
     assert {r["video_id"] for r in rows} == {"v1", "v2", "v3"} and not any(r["video_id"] == "v3" and r["stem"] == "back" for r in rows)
-    for r in rows:
-        assert r["rate"] == 44100 and len(r["samples"]) in (3000, 2000)
-    one = np.concatenate([r["samples"] for r in sorted((r for r in rows if r["stem"] == "bass"), key=lambda r: r["chunk"])]).reshape(-1, 2)
-    assert len(one) == 4000 and np.array_equal(one[:, 0], one[:, 1])
+    parts = sorted((r for r in rows if r["stem"] == "bass"), key=lambda r: (r["channel"], r["first"]))
+    one = [np.concatenate([r["samples"] for r in parts if r["channel"] == k]) for k in (0, 1)]
+    assert len(one[0]) == 4000 and np.array_equal(*one) and all(r["rate"] == 44100 for r in rows)
     x = files.read_wav((stems / "v2" / "instrumental" / "bass.wav").read_bytes())[1][:, 0]
-    assert np.allclose(one[::2, 0], x, atol=1e-6) and np.allclose(one[1:-1:2, 0], (x[:-1] + x[1:]) / 2, atol=1e-6)
-    mono = files.signal_chunks(files.stem_files(spark, str(stems)), rate=22050, mono=True).where("stem = 'drums'").first()["samples"]
+    assert np.allclose(one[0][::2], x, atol=1e-9)
+    mono = files.at_rate(files.signal_chunks(found, mono=True), 22050).where("stem = 'drums'").first()["samples"]
     assert np.allclose(mono, files.read_wav((stems / "v2" / "instrumental" / "drums.wav").read_bytes())[1].mean(1), atol=1e-6)
+    assert files.at_rate(files.signal_chunks(found.where("stem = 'none'"))).count() == 0
 
 
 def test_missing_stems_are_silence(spark):
