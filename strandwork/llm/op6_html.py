@@ -44,8 +44,10 @@ SVG_TEXT = frozenset("text foreignobject".split())
 SVG_UNSHOWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
 #: In tables of several columns, running text wraps at this width.
 MAX_COLUMN = 60
-#: A table that alignment would make this many times longer than its text has two spaces between cells instead.
-MOST_PADDING = 200
+#: The columns of a table share this width: what cannot wrap breaks at a column's part of it.
+LINE = 2000
+#: Deeper indents are written as this many spaces and their number, so that a line's is bounded.
+MOST_INDENT = 200
 #: Most Python calls that lay out one level of elements.
 CALLS = 8
 
@@ -188,11 +190,21 @@ def _invisible(node: Node, rules: set[str]) -> bool:
     return bool(rules) and (node.tag in rules or "#" + a.get("id", "") in rules or any("." + c in rules for c in a.get("class", "").split()))
 
 
+def _indent(width: int) -> str:
+    return " " * width if width <= MOST_INDENT else " " * MOST_INDENT + f"[{width}] "
+
+
 class _Flow:
-    """Lines of a run of blocks; `gap` is the number of blank lines wanted before the next."""
+    """Lines of a run of blocks; `gap` is the number of blank lines wanted before the next.
+
+    Blocks inside others write to the same lines, each once: `indent` is what stands before a line, `marks` what list items
+    that have no line yet put before the next one (from column `marks_at` on, `marks_len` long). A scope that is
+    `fresh` has no line yet; `lead` blank lines come before its first.
+    """
 
     def __init__(self, rules: set[str]):
         self.rules, self.lines, self.gap, self.words, self.kept, self.tables = rules, [], 0, [], [], 0
+        self.indent, self.fresh, self.lead, self.marks, self.marks_at, self.marks_len = 0, True, 0, [], 0, 0
 
     def space(self, gap: int) -> None:
         self.flush()
@@ -202,8 +214,7 @@ class _Flow:
         if self.kept:
             lines = [line.rstrip() for line in "".join(self.kept).replace("\r", "").expandtabs(8).split("\n")]
             self.kept = []
-            self.lines += [""] * (self.gap if self.lines else 0) + lines[: len(lines) - (not lines[-1])]
-            self.gap = 0
+            self.add(lines[: len(lines) - (not lines[-1])])
         if self.words:
             text = "".join(self.words)
             self.words = []
@@ -215,7 +226,42 @@ class _Flow:
     def put(self, lines: list[str]) -> None:
         first = next((i for i, line in enumerate(lines) if line), len(lines))
         if first < len(lines):
-            self.lines += [""] * (self.gap if self.lines else 0) + lines[first:]
+            self.add(lines[first:])
+
+    def add(self, lines: list[str]) -> None:
+        if not lines:
+            return
+        self.lines += [""] * (self.lead if self.fresh else self.gap)
+        self.gap, self.fresh = 0, False
+        if self.marks:
+            before = _indent(self.marks_at) + "".join(self.marks) + " " * (self.indent - self.marks_at - self.marks_len)
+            self.lines.append((before + lines[0]).rstrip())
+            self.marks, lines = [], lines[1:]
+        before = _indent(self.indent)
+        self.lines += [before + line if line else "" for line in lines] if before else lines
+
+    def scope(self, node: Node, width: int = 0, mark: str = "") -> None:
+        """The children of a node, indented by `width`, the first line behind `mark`; no blank lines at either end."""
+        self.flush()
+        count, gap, fresh, lead = len(self.lines), self.gap, self.fresh, self.lead
+        held, at, length = len(self.marks), self.marks_at, self.marks_len
+        if not fresh:
+            self.fresh, self.lead = True, gap
+        self.gap = 0
+        if mark:
+            if not held:
+                self.marks_at, self.marks_len = self.indent, 0
+            pad = self.indent - self.marks_at - self.marks_len
+            self.marks += [" " * pad, mark]
+            self.marks_len += pad + len(mark)
+        self.indent += width
+        self.children(node)
+        self.flush()
+        self.indent -= width
+        if len(self.lines) == count:  # nothing to see
+            del self.marks[held:]
+            self.gap, self.fresh, self.lead, self.marks_at, self.marks_len = gap, fresh, lead, at, length
+        else:
             self.gap = 0
 
     def inner(self, node: Node, pre: bool = False) -> list[str]:
@@ -246,7 +292,7 @@ class _Flow:
             self.drawing(node)
         elif tag == "table":
             self.space(1)
-            self.put(_table(node, self))
+            _table(node, self)
             self.gap = 1
         elif tag in ("ul", "ol", "menu", "dir"):
             self.space(1)
@@ -254,9 +300,9 @@ class _Flow:
             self.space(1)
         elif tag in ("blockquote", "dd"):
             self.space(tag == "blockquote")
-            self.put([("  " + x).rstrip() for x in self.inner(node)])
+            self.scope(node, 2)
             self.space(tag == "blockquote")
-        elif tag == "pre" or tag == "textarea":
+        elif (tag == "pre" or tag == "textarea") and not pre:
             self.space(1)
             lines = self.inner(Node("pre", children=node.children), True)
             while lines and not lines[-1]:
@@ -298,9 +344,7 @@ class _Flow:
             self.flush()
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            lines = self.inner(child)
-            if lines:
-                self.put([mark + lines[0], *[(" " * len(mark) + x).rstrip() for x in lines[1:]]])
+            self.scope(child, len(mark), mark)
 
 
 def _span(cell: Node, name: str) -> int:
@@ -310,8 +354,8 @@ def _span(cell: Node, name: str) -> int:
     return min(1000, number) or 1 if name == "colspan" else min(65534, number or 65534)
 
 
-def _wrapped(lines: list[str], width: int) -> list[str]:
-    """Running text in lines of at most `width` where it can break; preformatted and aligned lines as they stand."""
+def _wrapped(lines: list[str], width: int, most: int) -> list[str]:
+    """Running text in lines of at most `width` where it can break; what cannot, and preformatted and aligned lines, in pieces of `most`."""
     out: list[str] = []
     for line in lines:
         body = line.lstrip(" ")
@@ -326,13 +370,15 @@ def _wrapped(lines: list[str], width: int) -> list[str]:
                     line += " " + word
             line = indent + line
         out.append(line)
-    return out
+    if max(map(len, out), default=0) <= most:
+        return out
+    return [piece for line in out for piece in ([line[k : k + most].rstrip() for k in range(0, len(line), most)] or [""])]
 
 
-def _table(table: Node, flow: _Flow) -> list[str]:
+def _table(table: Node, flow: _Flow) -> None:
     flow.tables += 1
     rows: list[list[Node]] = []
-    before, after = [], []
+    before, after = [], []  # texts and elements beside the rows
 
     def collect(node: Node) -> None:
         for child in node.children:
@@ -346,9 +392,19 @@ def _table(table: Node, flow: _Flow) -> list[str]:
             elif child.tag == "tr":
                 rows.append([c if not isinstance(c, str) else Node("td", children=[c]) for c in child.children if not isinstance(c, str) and not _invisible(c, flow.rules) or isinstance(c, str) and c.strip()])
             else:
-                (before if child.tag == "caption" or not rows else after).extend(flow.inner(child))
+                (before if child.tag == "caption" or not rows else after).append(child)
+
+    def beside(found: list[str | Node]) -> None:
+        for x in found:
+            flow.put([x]) if isinstance(x, str) else flow.scope(Node("div", children=[x]))
 
     collect(table)
+    beside(before)
+    if all(len(row) < 2 and all(_span(cell, "colspan") == 1 and "rowspan" not in cell.attrs for cell in row) for row in rows):  # one column
+        for row in rows:
+            for cell in row:
+                flow.scope(cell)
+        return beside(after)
     grid: list[list[tuple[int, int, list[str]]]] = []
     taken: list[list[int]] = []  # columns that cells above still cover, in order: first, end, first row below
     for number, row in enumerate(rows):
@@ -370,9 +426,9 @@ def _table(table: Node, flow: _Flow) -> list[str]:
                 else:
                     taken.append([a, z, until])
         grid.append(cells)
-    if any(column + width > 1 for cells in grid for column, width, _ in cells):
-        grid = [[(column, width, _wrapped(lines, MAX_COLUMN * width)) for column, width, lines in cells] for cells in grid]
     lasts = sorted({column + width - 1 for cells in grid for column, width, _ in cells})  # the columns that have a width
+    most = max(1, LINE // len(lasts))
+    grid = [[(column, width, _wrapped(lines, min(MAX_COLUMN, most) * width, most)) for column, width, lines in cells] for cells in grid]
     widths = [0] * len(lasts)
     for span in (True, False):
         for cells in grid:
@@ -385,21 +441,20 @@ def _table(table: Node, flow: _Flow) -> list[str]:
         edges.append(at)
         at += width + 2 * bool(width)
     starts = {column: edges[bisect_left(lasts, column)] for cells in grid for column, _, _ in cells}
-    out = list(before)
-    held = sum(len(line) + 2 for cells in grid for *_, lines in cells for line in lines)
-    padded = sum((starts[cells[-1][0]] if cells else 0) * max((len(lines) for *_, lines in cells), default=0) for cells in grid)
-    aligned = padded <= MOST_PADDING * held
+    out: list[str] = []
     for cells in grid:
         height = max((len(lines) for *_, lines in cells), default=0)
         for k in range(height):
             line, end = [], 0
             for column, _, lines in cells:
                 if k < len(lines) and lines[k]:
-                    gap = max(starts[column] - end if aligned else 0, 2 * bool(line))
+                    gap = max(starts[column] - end, 2 * bool(line))
                     line.append(" " * gap + lines[k])
                     end += gap + len(lines[k])
             out.append("".join(line).rstrip())
-    return out + after
+    flow.put(out)
+    flow.gap = 0
+    beside(after)
 
 
 def render(page: str | None) -> tuple[str, int]:
@@ -424,8 +479,11 @@ def extract(page: Column) -> Column:
     """struct<text, tables> of a column of HTML pages.
 
     Null and empty pages give an empty text. Equal pages give equal texts. Pages are read whole, at any depth of
-    elements, in time that grows with their length. A tag that the page ends in is dropped, with an open quote in it,
-    as browsers do. Spans keep the bounds of HTML: 1000 columns, and the rows that there are. A table whose padding
-    would be MOST_PADDING times its text is not aligned, so that memory stays in proportion to the page.
+    elements, and each line is written once with its indent. A tag that the page ends in is dropped, with an open quote in it,
+    as browsers do. Spans keep the bounds of HTML: 1000 columns, and the rows that there are. Tables are always
+    aligned: running text wraps at MAX_COLUMN, and what cannot wrap breaks where the columns would share more than LINE
+    characters, so a row is that long, and a gap for each of its columns, at most. An indent beyond MOST_INDENT is written as
+    so many spaces and its number in brackets. Time and text thus stay within a constant times the page, but for tables of
+    several columns in cells of others, whose lines are laid out once more for each table around them.
     """
     return F.arrow_udf(_render_column, "text string, tables int")(page.cast("string"))

@@ -71,6 +71,14 @@ PAGES = {
     "one preformatted line": "<pre>" + "a<b>b</b>" * 100_000,
     "style without rules": "<style>" + "/*" * 200_000 + "a" * 400_000,
     "spans": "<table><tr>" + "<td colspan=1000 rowspan=9>x" * 20_000,
+    "quotes in quotes": "<blockquote>x" * 80_000,
+    "lists in lists": "<ul><li>x" * 110_000,
+    "lists in lists, text inside": "<ul><li>" * 120_000 + "x",
+    "answers in answers": "<dl><dd>x" * 110_000,
+    "tables in tables": "<table><tr><td>x" * 60_000,
+    "preformatted in preformatted": "<pre>x" * 160_000,
+    "tables beside rows": "<table><div>x" * 70_000,
+    "a wide head over a long table": "<table><tr>" + f"<td>{'x' * 60} y" * 500 + "<tr><td colspan=499>a<td>b" * 3_000,
     "a long word in a long table": "<table>" + f"<tr><td>{'x' * 300_000}<td>y" + "<tr><td>a<td>b" * 20_000,
 }
 
@@ -82,6 +90,27 @@ def test_long_pages_take_time_in_proportion(name):
     assert time.perf_counter() - start < 20 and len(text) < 300 * len(PAGES[name])
 
 
+def test_deep_indents_are_a_number():
+    lines = op6_html.render("<blockquote>x" * 200)[0].split("\n")
+    shown = [x for x in lines if x]
+    assert len(shown) == 200 and [len(x) - 1 for x in shown[:101]] == [2 * k for k in range(1, 102)][:100] + [len(shown[100]) - 1]
+    assert shown[0] == "  x" and shown[99] == " " * 200 + "x" and shown[199] == " " * 200 + "[400] x"
+
+
+def test_marks_stand_before_the_first_line_of_nested_items():
+    page = "<ul><li><ol start=9><li><blockquote>a<p>b</blockquote><li>c</ol><li><p hidden>no</p><li>d<p>e<table><tr><td>f<td>g</table></ul>h"
+    assert op6_html.render(page)[0] == "- 9.   a\n\n       b\n  10. c\n- d\n\n  e\n\n  f  g\n\nh"
+    assert op6_html.render("<ul><li><li>  <li>x</ul>")[0] == "- x" and op6_html.render("<p>a<table><tr><td><p>b<p>c<tr><td>d</table>e")[0] == "a\n\nb\n\nc\nd\n\ne"
+
+
+def test_columns_are_aligned_whatever_their_widths():
+    word = "x" * 5000
+    lines = op6_html.render(f"<table><tr><td>{word}<td>one" + "<tr><td>a<td>two" * 2000 + "</table>")[0].split("\n")
+    at = lines[0].index("one")
+    assert at == op6_html.LINE // 2 + 2 and all(x.index("two") == at for x in lines[-2000:])
+    assert "".join(lines[:5]).replace("one", "").replace(" ", "") == word
+
+
 def test_open_tags_are_no_text():
     assert op6_html.render('<p class="a>text</p>')[0] == "" and op6_html.render("yes<b")[0] == "yes"
     assert op6_html.render("1 < 2 <3 a<b>c</b>")[0] == "1 < 2 <3 ac"
