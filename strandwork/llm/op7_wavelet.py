@@ -209,13 +209,14 @@ def write_shards(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_c
 
     Texts are encoded once into a scratch table, range-partitioned by id and cut into shards of about
     `shard_tokens` ids; a document is never split. Null texts are empty, null ids come first, rows with equal
-    ids follow each other, an empty table gives no shards. Returns the table read back.
+    ids follow each other by a hash of their tokens, an empty table gives no shards. Returns the table read back.
     """
     encoded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _encode_task(it, tokenizer_path, end_id), "doc_id long, ids binary")
     encoded = scratch.table(encoded, "encoded")
     total = encoded.agg(F.sum(F.length("ids")) / 2).first()[0] or 0
     parts = max(8, int(total // (4 * shard_tokens)) + 1)
-    by_id = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    order = [F.col("doc_id"), F.xxhash64("ids"), F.col("ids")]  # many rows of one id, or of none, are not one task's
+    by_id = encoded.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     shards = scratch.table(by_id.mapInArrow(lambda it: _shard_task(it, shard_tokens), SHARD_SCHEMA), "shards")
     scratch.drop("encoded")
     return shards

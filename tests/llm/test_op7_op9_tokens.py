@@ -80,6 +80,17 @@ def test_shards_round_trip(spark, shard_tokens):
     assert rows == want
 
 
+def test_many_rows_of_one_id_or_none_are_many_tasks(spark):
+    rng = random.Random(7)
+    rows = [(None if k % 3 else 8, " ".join(rng.choice(["red", "blue", "green"]) for _ in range(8)), "x", 1.0) for k in range(900)] + [(99, "last", "x", 1.0)]
+    shards = op7_wavelet.write_shards(spark, spark.createDataFrame(rows, DOC).repartition(4), Scratch(spark, "t7"), shard_tokens=64)
+    per_part = [r["count"] for r in shards.groupBy("part").count().collect()]
+    got = sorted(map(tuple, op7_wavelet.read_digests(shards).collect()), key=lambda r: r[1])
+    assert len(per_part) >= 6 and max(per_part) < 0.4 * sum(per_part)
+    assert [r[0] for r in got] == [None] * 600 + [8] * 300 + [99] and sorted(r[3] for r in got) == sorted(crc(expected(t)) for _, t, *_ in rows)
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got[:-1])]).tolist()
+
+
 def test_shards_of_nothing(spark):
     shards = op7_wavelet.write_shards(spark, spark.createDataFrame([], DOC), Scratch(spark, "t7"))
     assert op7_wavelet.read_digests(shards).count() == 0
