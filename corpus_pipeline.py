@@ -17,12 +17,21 @@ LEAST_KNOWN, LEARNT_BELOW = 0.5, 0.05
 #: Words of a shingle and least similarity, in percent, of near copies; the query of op2 has its own.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
+#: Bytes of texts that go to a Python worker at once: by rows alone, long texts would fill it and Spark's own buffers.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold BATCH_BYTES at most, or one row."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or in none of the learned languages, go.
+    """Language ID: documents without a letter, or in none of the learned languages, go. An empty table stays empty, as in all stages.
 
     The limit is on how much of a text its language explains, so it does not depend on the number of languages.
     """
+    bounded_batches(spark)
     learnt = docs.where(~F.coalesce(op4_language.remainder(F.col("doc_id")) == 2, F.lit(False)))
     guess = op4_language.predict(spark, op4_language.fit(learnt))
     known = learnt.where("lang is not null").select(guess(F.col("text")).alias("g")).where(F.col("g.lang") != op4_language.UNKNOWN)
@@ -33,6 +42,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that score below its threshold go."""
+    bounded_batches(spark)
     _, linear = op5_weak_labels.fit(docs)
     return docs.where(op5_weak_labels.scorer(spark, linear)(F.col("text")) >= op5_weak_labels.THRESHOLD)
 
@@ -51,6 +61,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A document without an id stays only if none of its group has one; ties go by source, language and text.
     Documents without a word are in no group.
     """
+    bounded_batches(spark)
     rows, row = numbered(docs, Scratch(spark, "rows"))
     classes = op2_jaccard.similar_classes(spark, rows, Scratch(spark, "dedupe"), id_col=row, words=NEAR_WORDS, percent=NEAR_PERCENT)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", F.xxhash64("text"), F.col(row).alias("row"))
@@ -61,6 +72,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: every document as often as the mix takes it."""
+    bounded_batches(spark)
     rows, row = numbered(docs, Scratch(spark, "rows"))
     plan = op3_mixing.mix(spark, rows, Scratch(spark, "mix"), keep=[row])
     return op3_mixing.repeat(rows, plan, id_col=row, plan_id_col=row).select(*docs.columns)
@@ -68,6 +80,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: token pieces of all documents in windows."""
+    bounded_batches(spark)
     return op9_packing.pack(docs)
 
 
