@@ -60,105 +60,6 @@ def compress(x: np.ndarray, rate: int, threshold_db: float = -18.0, ratio: float
     return x * spread(10 ** (gain_db / 20), np.arange(len(db)) * length + length // 2, len(x))
 
 
-def auto_level(x: np.ndarray, rate: int, window_s: float = 2.0, boost_db: float = 6.0, cut_db: float = 4.0, percentile: float = 50.0, floor_db: float = -45.0) -> np.ndarray:
-    """Slow gain towards a percentile of the active levels of overlapping windows; quiet windows are never boosted."""
-    window = int(window_s * rate)
-    hop = max(1, window // 4)
-    n = max(1, (len(x) - window) // hop + 1)
-    level = np.array([np.sqrt((x[i * hop : i * hop + window] ** 2).mean() + 1e-20) for i in range(n)]) if len(x) else np.zeros(0)
-    floor = 10 ** (floor_db / 20)
-    if not (level > floor).any():
-        return x
-    db = 20 * np.log10(np.percentile(level[level > floor], percentile) / np.maximum(level, 1e-20))
-    gain = np.clip(db, -cut_db, np.where(level < floor, 0.0, boost_db))
-    return x * spread(10 ** (gain / 20), np.arange(n) * hop + window // 2, len(x))
-
-
-def limit(x: np.ndarray, rate: int, ceiling_db: float = -1.0, lookahead_ms: float = 5.0, release_ms: float = 50.0, attack_ms: float = 1.0, block: int = 64) -> np.ndarray:
-    """Look-ahead limiter on block peaks."""
-    if not len(x):
-        return x
-    n = -(-len(x) // block)
-    peak = np.abs(np.pad(x, (0, n * block - len(x)))).reshape(n, block).max(1)
-    gain = np.minimum(1.0, 10 ** (ceiling_db / 20) / np.maximum(peak, 1e-12))
-    ahead = max(1, int(lookahead_ms * rate / 1000) // block)
-    low = np.lib.stride_tricks.sliding_window_view(np.pad(gain, (0, ahead), constant_values=1.0), ahead + 1).min(1)
-    attack, release = (np.exp(-block / (ms * rate / 1000)) if ms > 0 else 0.0 for ms in (attack_ms, release_ms))
-    return x * np.repeat(follow(low, attack, release), block)[: len(x)]
-
-
-def biquad(kind: str, hz: float, rate: int, q: float = 2**-0.5, gain_db: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a second-order section: low, high or peak (the usual bilinear forms)."""
-    w = 2 * np.pi * hz / rate
-    c, alpha, a = np.cos(w), np.sin(w) / (2 * q), 10 ** (gain_db / 40)
-    if kind == "peak":
-        b, d = np.array([1 + alpha * a, -2 * c, 1 - alpha * a]), np.array([1 + alpha / a, -2 * c, 1 - alpha / a])
-    else:
-        k = (1 - c) / 2 if kind == "low" else (1 + c) / 2
-        b, d = np.array([k, 2 * k if kind == "low" else -2 * k, k]), np.array([1 + alpha, -2 * c, 1 - alpha])
-    return b / d[0], d / d[0]
-
-
-def filtered(x: np.ndarray, b: np.ndarray, a: np.ndarray, block: int = 256) -> np.ndarray:
-    """A second-order section over a signal, a block at a time.
-
-    A block's output is its input convolved with the section's impulse response, and what the two values of state before
-    it ring on to; only the state goes from block to block.
-    """
-    n = -(-len(x) // block)
-    impulse, ring = np.zeros(block), np.zeros((2, block))
-    for out, (v, z1, z2) in ((impulse, (1.0, 0.0, 0.0)), (ring[0], (0.0, 1.0, 0.0)), (ring[1], (0.0, 0.0, 1.0))):
-        for i in range(block):
-            y = b[0] * v + z1
-            z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
-            out[i], v = y, 0.0
-    lag = np.subtract.outer(np.arange(block), np.arange(block))
-    rows = np.pad(x.astype(float), (0, n * block - len(x))).reshape(n, block)
-    forced = rows @ np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0).T
-    z1 = z2 = 0.0
-    for k in range(n):
-        forced[k] += z1 * ring[0] + z2 * ring[1]
-        (x1, x2), (y1, y2) = rows[k, :-3:-1], forced[k, :-3:-1]
-        z2 = b[2] * x1 - a[2] * y1
-        z1 = b[1] * x1 - a[1] * y1 + b[2] * x2 - a[2] * y2
-    return forced.ravel()[: len(x)]
-
-
-def zero_phase(x: np.ndarray, sections: Sequence[tuple[np.ndarray, np.ndarray]], pad: int = 300) -> np.ndarray:
-    """Sections forwards and backwards over a signal that is extended by its odd reflection."""
-    pad = min(pad, len(x) - 1)
-    if pad < 1:
-        return x
-    y = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]
-    for _ in range(2):
-        for b, a in sections:
-            y = filtered(y, b, a)
-        y = y[::-1]
-    return y[pad : len(y) - pad]
-
-
-def bandpass(x: np.ndarray, rate: int, low: float = 150.0, high: float = 8000.0) -> np.ndarray:
-    return zero_phase(x, [biquad("high", low, rate), biquad("low", min(high, rate * 0.45), rate)])
-
-
-def duck(x: np.ndarray, vocal: np.ndarray, rate: int, cut_db: float = -3.5, low: float = 300.0, high: float = 3000.0) -> np.ndarray:
-    """Lower the middle band of a signal while vocals sound (hysteresis on 50 ms levels, 4 and 2 times the noise floor)."""
-    n, length = min(len(x), len(vocal)), int(0.05 * rate)
-    if n < max(length, 4):
-        return x
-    level = frame_rms(zero_phase(vocal[:n], [biquad("high", 300, rate), biquad("low", min(3500, rate * 0.45), rate)]), length)
-    floor = np.percentile(level, 10)
-    on, active = False, np.zeros(len(level))
-    for i, v in enumerate(level):
-        on = v >= max(2 * floor, 5e-6) if on else v > max(4 * floor, 1e-5)
-        active[i] = on
-    mask = np.pad(np.repeat(active, length), (0, n))[:n]
-    one = lambda m, s: filtered(m, np.array([1 - np.exp(-1 / (s * rate)), 0, 0]), np.array([1, -np.exp(-1 / (s * rate)), 0]))
-    soft = np.maximum(one(mask, 0.03), one(mask[::-1], 0.15)[::-1])
-    band = zero_phase(x, [biquad("high", low, rate), biquad("low", min(high, rate * 0.45), rate)])
-    return x - band * (1 - 10 ** (cut_db / 20)) * np.pad(soft, (0, len(x) - n))
-
-
 #: Centres of third-octave bands in Hz (ISO 266), 20 Hz to 20 kHz.
 BANDS = (20, 25, 31.5, 40, 50, 63, 80, 100, 125, 160, 200, 250, 315, 400, 500, 630, 800, 1000, 1250, 1600, 2000, 2500, 3150, 4000, 5000, 6300, 8000, 10000, 12500, 16000, 20000)
 
@@ -211,107 +112,6 @@ def band_profiles(signals: DataFrame, key: str, rate: str = "rate", samples: str
     return signals.select(key, rate, F.col(samples).cast("array<double>")).mapInArrow(levels, f"{key} {kind}, band int, db double, relative_db double")
 
 
-def loudness(x: np.ndarray, rate: int) -> float:
-    """Integrated loudness in LUFS of samples (x channels) after ITU-R BS.1770: K-weighting, 400 ms blocks, two gates."""
-    x = x.reshape(len(x), -1)
-    size, hop = int(0.4 * rate), int(0.1 * rate)
-    if len(x) < size:
-        return float("-inf")
-    w = np.tan(np.pi * 1681.974450955533 / rate)
-    vh, vb, q = 10 ** (3.999843853973347 / 20), (10 ** (3.999843853973347 / 20)) ** 0.4996667741545416, 0.7071752369554196
-    a0 = 1 + w / q + w * w
-    shelf = np.array([vh + vb * w / q + w * w, 2 * (w * w - vh), vh - vb * w / q + w * w]) / a0, np.array([a0, 2 * (w * w - 1), 1 - w / q + w * w]) / a0
-    w, q = np.tan(np.pi * 38.13547087602444 / rate), 0.5003270373238773
-    a0 = 1 + w / q + w * w
-    high = np.array([1.0, -2.0, 1.0]), np.array([a0, 2 * (w * w - 1), 1 - w / q + w * w]) / a0
-    y = np.stack([filtered(filtered(c, *shelf), *high) for c in x.T], 1)
-    power = np.array([(y[i : i + size] ** 2).mean(0).sum() for i in range(0, len(y) - size + 1, hop)])
-    level = lambda p: -0.691 + 10 * np.log10(np.maximum(p, 1e-30))
-    loud = power[level(power) > -70]
-    if not len(loud):
-        return float("-inf")
-    loud = loud[level(loud) > level(loud.mean()) - 10]
-    return float(level(loud.mean())) if len(loud) else float("-inf")
-
-
-def true_peak(x: np.ndarray, factor: int = 4) -> float:
-    """Largest absolute value of the signal at four times its rate, by zero-padding its spectrum."""
-    if not len(x):
-        return 0.0
-    n = len(x)
-    f = np.fft.rfft(x)
-    return float(np.abs(np.fft.irfft(np.pad(f, (0, factor * n // 2 + 1 - len(f))), factor * n) * factor).max())
-
-
-def mastered(x: np.ndarray, rate: int, wanted: float = -12.0, ceiling_db: float = -1.0, headroom_db: float = 3.0, most_db: float = 12.0, lossy_hz: float | None = None) -> np.ndarray:
-    """Low-pass for lossy sources, gain to a wanted loudness that peaks may overshoot by a headroom, then the limiter."""
-    if lossy_hz is not None:
-        x = zero_phase(x, [biquad("low", min(lossy_hz, rate * 0.45), rate)])
-    level = loudness(x, rate)
-    if np.isfinite(level):
-        room = ceiling_db + headroom_db - 20 * np.log10(max(true_peak(x), 1e-12))
-        x = x * 10 ** (max(-most_db, min(most_db, wanted - level, room)) / 20)
-    return limit(x, rate, ceiling_db)
-
-
-def frames_of(x: np.ndarray, size: int = 2048, hop: int = 512) -> np.ndarray:
-    """Magnitudes of Hann-windowed frames around every hop, the signal padded with silence."""
-    padded = np.pad(x, (size // 2, size // 2 + hop))
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-    return np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, size)[::hop] * window))
-
-
-def onsets(x: np.ndarray, rate: int, hop: int = 512, apart_s: float = 0.03, above: float = 0.07) -> np.ndarray:
-    """Frames at which something begins: local maxima of the rise of the log spectrum, beyond its mean by a share of its range, moved back to where the rise starts."""
-    spectrum_ = np.log1p(1000 * frames_of(x, hop=hop) / 2048)
-    rise = np.r_[0.0, np.maximum(0.0, np.diff(spectrum_, axis=0)).mean(1)]
-    if not rise.any():
-        return np.zeros(0, np.int64)
-    rise = rise / rise.max()
-    wait, found = max(1, round(apart_s * rate / hop)), []
-    around = np.convolve(np.pad(rise, 10, mode="edge"), np.ones(21) / 21, "valid")
-    for k in range(len(rise)):
-        near = rise[max(0, k - wait) : k + wait + 1]
-        if rise[k] == near.max() and rise[k] > around[k] + above and (not found or k - found[-1] > wait):
-            found.append(k)
-    back = []
-    for k in found:
-        while k > 0 and rise[k - 1] < rise[k] and rise[k] > 0:
-            k -= 1
-        back.append(k + 1 if rise[k] == 0 else k)
-    return np.array(back, np.int64)
-
-
-def hit_bands(x: np.ndarray, rate: int, low_hz: float = 200.0, high_hz: float = 2000.0, hop: int = 512) -> np.ndarray:
-    """(frame, low, mid, high) of each onset: summed magnitudes below, between and above two frequencies; silent ones are left out."""
-    at = onsets(x, rate, hop)
-    spectrum_, hz = frames_of(x, hop=hop), np.fft.rfftfreq(2048, 1 / rate)
-    parts = [hz < low_hz, (hz >= low_hz) & (hz < high_hz), hz >= high_hz]
-    rows = np.array([[k, *(spectrum_[k, p].sum() for p in parts)] for k in at]).reshape(-1, 4)
-    return rows[rows[:, 1:].sum(1) >= 1e-6]
-
-
-def chroma(x: np.ndarray, rate: int, low_hz: float = 60.0, high_hz: float = 4000.0) -> np.ndarray:
-    """Mean energy of the twelve pitch classes, C first, of spectra between two frequencies."""
-    energy, hz = (frames_of(x, 8192, 4096) ** 2).mean(0), np.fft.rfftfreq(8192, 1 / rate)
-    inside = (hz >= low_hz) & (hz <= high_hz)
-    pitch = (np.rint(12 * np.log2(hz[inside] / 440.0)).astype(int) + 9) % 12
-    return np.bincount(pitch, energy[inside], 12)
-
-
-def signal_rows(signals: DataFrame, key: str, kernel: Callable[[np.ndarray, int], np.ndarray], names: Sequence[str], rate: str = "rate", samples: str = "samples") -> DataFrame:
-    """(key, names...) of doubles: the rows that a kernel makes of each signal, which is one row; nothing is shuffled."""
-    kind = signals.schema[key].dataType.simpleString()
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, hz, x in zip(*(batch.column(k) for k in range(3))):
-                rows = np.asarray(kernel(x.values.to_numpy(zero_copy_only=False).astype(float), hz.as_py()), float).reshape(-1, len(names))
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), batch.column(0).type), *(pa.array(c) for c in rows.T.copy())], [key, *names])
-
-    return signals.where(F.col(samples).isNotNull()).select(key, rate, F.col(samples).cast("array<double>")).mapInArrow(made, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
-
-
 def soft_clip(x: Column, ceiling: float, knee_db: float = 4.0) -> Column:
     """Unchanged below the knee, a tanh curve above it."""
     t = ceiling / 10 ** (knee_db / 20)

@@ -14,22 +14,6 @@ TERMINAL = ("complete", "error")
 LEASE_S, FAILED_TTL_S, MOST_ATTEMPTS = 90.0, 86_400.0, 5
 
 
-def bounded_queue(events: Iterable[tuple[str, str]], capacity: int = 100) -> tuple[list[str], int]:
-    """(event ids left, number dropped) of (op, id, ...): `put` of a full queue is dropped, a terminal one first drops the oldest; `get` takes one."""
-    queue: list[str] = []
-    dropped = 0
-    for op, event, *rest in events:
-        if op == "get":
-            queue = queue[1:]
-        elif len(queue) < capacity:
-            queue.append(event)
-        elif rest and rest[0]:
-            queue, dropped = [*queue[1:], event], dropped + 1
-        else:
-            dropped += 1
-    return queue, dropped
-
-
 def lease_step(state: dict, event: dict) -> tuple[dict, str]:
     """State after an event (op, token, t) and its outcome.
 
@@ -164,16 +148,6 @@ def merged_events(events: DataFrame, key: str, order: str, progress: str, step:
     return rows.where(rising | new | F.col(step).isin(*terminal)).select(key, order, step, shown.alias(progress))
 
 
-def ticker(start: float, end: float, n: int, share: float = 0.12, decay: float = 0.8) -> list[float]:
-    """n synthetic progress values between two steps: each moves a decaying share of the range on, below the end by 0.01."""
-    out, at, step = [], start, (end - start) * share
-    for _ in range(n):
-        at = min(at + step, end - 0.01)
-        step *= decay
-        out.append(at)
-    return out
-
-
 def in_band(share, low: float, high: float):
     """A source's own progress (0 to 1) as a place in its band of the whole."""
     return F.lit(low) + (high - low) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))

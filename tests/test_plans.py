@@ -391,12 +391,6 @@ def test_leases_equal_another_telling(spark):
     assert len({o for x in got.values() for o in x}) >= 9
 
 
-def test_progress_of_a_ticker():
-    steps = state.ticker(0.2, 0.5, 40)
-    assert abs(steps[0] - (0.2 + 0.3 * 0.12)) < 1e-12 and abs(steps[1] - steps[0] - 0.3 * 0.12 * 0.8) < 1e-12
-    assert all(a <= b for a, b in itertools.pairwise(steps)) and max(steps) <= 0.49
-
-
 def test_queues_drop_the_oldest_for_a_terminal_event():
     puts = [("put", str(k)) for k in range(6)]
     assert state.bounded_queue(puts, 4) == (["0", "1", "2", "3"], 2)

@@ -21,13 +21,6 @@ def test_progress_keeps_only_rises():
     assert state.progress_step(2.0, [1, 3, 3, 2, 5]) == (5, [3, 5])
 
 
-def test_full_queue_drops_by_rule():
-    puts = [("put", str(k)) for k in range(4)]
-    assert state.bounded_queue(puts, 3) == (["0", "1", "2"], 1)
-    assert state.bounded_queue([*puts, ("put", "end", True)], 3) == (["1", "2", "end"], 2)
-    assert state.bounded_queue([*puts, ("get", "")], 3) == (["1", "2"], 1)
-
-
 def test_leases():
     steps = [("acquire", "a", 0), ("acquire", "b", 10), ("renew", "a", 80), ("acquire", "b", 169), ("acquire", "b", 171), ("ready", "a", 172), ("fail", "b", 180), ("acquire", "a", 190), ("acquire", "a", 300)]
     s, seen = {}, []
