@@ -389,10 +389,3 @@ def test_leases_equal_another_telling(spark):
     for key in got:
         assert got[key] == plain_leases([r[1:] for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[3], r[1], r[2]))])
     assert len({o for x in got.values() for o in x}) >= 9
-
-
-def test_queues_drop_the_oldest_for_a_terminal_event():
-    puts = [("put", str(k)) for k in range(6)]
-    assert state.bounded_queue(puts, 4) == (["0", "1", "2", "3"], 2)
-    assert state.bounded_queue([*puts, ("put", "end", True)], 4) == (["1", "2", "3", "end"], 3)
-    assert state.bounded_queue([*puts, ("get", ""), ("put", "x")], 4) == (["1", "2", "3", "x"], 2)
