@@ -1256,4 +1256,4 @@ def spectrum_kernel(t):
     return kernels.band_profiles(signals(t), "vec_id").select("vec_id", "band", F.round("db", 3).alias("db"), F.round("relative_db", 3).alias("relative_db"))
 
 
-from strandwork.plans import catalogue_rules  # noqa: E402,F401  (registers its queries)
+from strandwork.plans import catalogue_files, catalogue_rules  # noqa: E402,F401  (registers its queries)

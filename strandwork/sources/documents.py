@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,6 +22,7 @@ SONG = (
 )
 LYRICS = "struct<artist:string,title:string,source:string,is_synced:boolean,lines:array<struct<text:string,timestamp_seconds:double>>,raw_text:string,lookup_duration_ms:double>"
 SHELF = "struct<records:array<struct<id:string,youtube_url:string,title:string,artist:string,thumbnail_url:string,sleeve_image_url:string,added_at:string,is_curated:boolean>>>"
+RECORD = ("id", "youtube_url", "title", "artist", "thumbnail_url", "sleeve_image_url", "added_at", "is_curated")
 STATE = "struct<video_id:string,role:string,status:string,owner_token:string,started_at:string,updated_at:string,lease_expires_at:string,completed_at:string,failed_at:string,retry_after:string,attempt:int,path:string,manifest:array<string>>"
 
 
@@ -57,6 +59,31 @@ def seeds(spark: SparkSession, links: list[tuple[str, str, str]], base: str) ->
     return spark.createDataFrame(rows, "place int, youtube_url string, title string, artist string, id string").select("id", "youtube_url", "title", "artist", added.alias("added_at"), F.lit(True).alias("is_curated"))
 
 
+def seed_records(links: list[tuple[str, str, str]], base: datetime.datetime) -> Column:
+    """The rows of `seeds` as one array of shelf records."""
+
+    def one(i: int, link: tuple[str, str, str]) -> Column:
+        url, title, artist = link
+        known = {"id": str(uuid.uuid5(uuid.NAMESPACE_URL, url)), "youtube_url": url, "title": title, "artist": artist, "added_at": f"{base - datetime.timedelta(minutes=i):%Y-%m-%dT%H:%M:%S}+00:00", "is_curated": True}
+        return F.struct(*[F.lit(known.get(n)).alias(n) for n in RECORD])
+
+    return F.array(*[one(i, link) for i, link in enumerate(links)]).cast(SHELF[len("struct<records:") : -1])
+
+
+def in_step(records: Column, seeds: Column) -> Column:
+    """struct<records, changed>: a shelf without links of curated records that are no seeds, then the seeds that it lacks, in their order.
+
+    A record without a link stays. A shelf that cannot be read (null) gives null. Lookups go through the shelf's own arrays, so
+    time grows with its records times its stale links and the seeds.
+    """
+    link = lambda r: r["youtube_url"]
+    among = lambda r, links: F.coalesce(F.array_contains(links, link(r)), F.lit(False))
+    wanted, had = F.transform(seeds, link), F.transform(records, link)
+    stale = F.array_distinct(F.transform(F.filter(records, lambda r: F.coalesce(r["is_curated"], F.lit(False)) & ~among(r, wanted)), link))
+    kept, missing = F.filter(records, lambda r: ~among(r, stale)), F.filter(seeds, lambda s: ~among(s, had))
+    return F.when(records.isNotNull(), F.struct(F.concat(kept, missing).alias("records"), ((F.size(missing) > 0) | (F.size(kept) < F.size(records))).alias("changed")))
+
+
 def state_fields(state: Column) -> Column:
     """A cache state as the map of strings that stands on the wire: null fields are empty, lists are JSON."""
     names = [f.split(":")[0] for f in STATE[len("struct<") : -1].split(",")]

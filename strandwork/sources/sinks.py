@@ -42,6 +42,17 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Files and folders in a folder; none if there is no such folder."""
+    p, fs = _fs(spark, path)
+    return [str(f.getPath()) for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def replace_table(rows: DataFrame, path: str, check: Callable[[DataFrame], bool] | None = None) -> None:
     """Write beside a table, check what was written, then put it in the table's place; a failed check leaves the table as it is."""
     spark = rows.sparkSession
