@@ -292,9 +292,10 @@ def dominant_colour(images: DataFrame, key: str, data: str, head: int = 256, tai
     taken = F.least(F.lit(samples), F.floor(body / 3))
     step = 3 * F.greatest(F.lit(1), F.floor(body / F.greatest(F.lit(1), taken * 3)))
     rows = images.select(key, data, start.alias("start"), F.least(body, n - start).alias("body"), step.alias("step")).where((F.col("body") >= 30) & (F.floor(F.col("body") / 3) >= 10))
-    places = rows.select(key, data, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("body") - 3, F.col("step"))).alias("at"))
-    byte = lambda k: F.conv(F.hex(F.substr(F.col(data), (F.col("at") + 1 + k).cast("int"), F.lit(1))), 16, 10).cast("int")
-    rgb = places.select(key, "at", *[quantized(byte(k), levels).alias(c) for k, c in enumerate("rgb")])
+    byte = lambda at, k: F.conv(F.hex(F.substr(F.col(data), (at + 1 + k).cast("int"), F.lit(1))), 16, 10).cast("int")
+    triple = lambda at: F.struct(at.alias("at"), *[quantized(byte(at, k), levels).alias(c) for k, c in enumerate("rgb")])
+    places = F.transform(F.sequence(F.col("start"), F.col("start") + F.col("body") - 3, F.col("step")), triple)
+    rgb = rows.select(key, F.explode(places).alias("p")).select(key, "p.*")  # the bytes stay behind
     total = F.col("r") + F.col("g") + F.col("b")
     counted = rgb.groupBy(key, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"), (-F.min("at")).alias("first"))
     usual = ((total > 30) & (total < 700)).alias("usual")

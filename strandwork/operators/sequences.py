@@ -256,40 +256,39 @@ def stretched_grid(redetected: Column, scaled: Column, end_beat: Column) -> Colu
     return F.when((F.size(redetected) > 10) & (end_beat <= 1.2 * F.size(redetected)), redetected).otherwise(scaled)
 
 
-def absorbed(sections: list[tuple[int, int, int]], least: int = 4) -> list[tuple[int, int, int]]:
-    """(start, end, rank) after sections shorter than `least` join their louder neighbour, the left one on ties, until none does.
+def absorbed(sections: Column, least: int = 4) -> Column:
+    """Sections (an array of structs with start, end, rank and any further fields, in order) after those shorter than `least` join
+    their louder neighbour, the left one on ties, until none does or one is left.
 
-    Neighbours' ranks are those before the pass; what is merged to the left joins what the pass has already made of it.
+    The greater rank and the outer bounds hold; further fields are those of the neighbour. Neighbours' ranks are those
+    before the pass; what is merged to the left joins what the pass has already made of it. Each pass that changes
+    anything shortens the array, so as many passes as it has entries are enough; a pass without short sections changes nothing.
     """
-    changed = True
-    while changed and len(sections) > 1:
-        changed, out, i = False, [], 0
-        while i < len(sections):
-            start, end, rank = sections[i]
-            left = sections[i - 1][2] if i else -1
-            right = sections[i + 1][2] if i + 1 < len(sections) else -1
-            if end - start >= least or left < right and right < 0:
-                out.append(sections[i])
-            elif i and left >= right:
-                out[-1], changed = (out[-1][0], end, max(out[-1][2], rank)), True
-            elif right >= 0:
-                out.append((start, sections[i + 1][1], max(rank, sections[i + 1][2])))
-                changed, i = True, i + 1
-            else:
-                out.append(sections[i])
-            i += 1
-        sections = out
-    return sections
+    short = lambda s: s["end"] - s["start"] < least
+    joined = lambda into, start, end, other: into.withField("start", start).withField("end", end).withField("rank", F.greatest(into["rank"], other["rank"]))
 
+    def one(now: Column) -> Column:
+        nothing = F.filter(now, lambda _: F.lit(False))
 
-def absorb_short(sections: DataFrame, key: Sequence[str], start: str, end: str, rank: str, least: int = 4) -> DataFrame:
-    """(key, start, end, rank) of sections after `absorbed`; a song's sections are one group."""
-    import pandas as pd
+        def step(state: Column, i: Column) -> Column:
+            out, s = state["out"], F.get(now, i)
+            left, right = F.coalesce(F.get(now, i - 1)["rank"], F.lit(-1)), F.coalesce(F.get(now, i + 1)["rank"], F.lit(-1))
+            last, after = F.try_element_at(out, F.lit(-1)), F.get(now, i + 1)
+            to_left = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined(last, last["start"], s["end"], s)))
+            to_right = F.array_append(out, joined(after, s["start"], after["end"], s))
+            keeps = ~short(s) | (F.size(now) == 1)
+            made = F.when(keeps, F.struct(F.array_append(out, s).alias("out"), F.lit(False).alias("skip")))
+            made = made.when((i > 0) & (left >= right), F.struct(to_left.alias("out"), F.lit(False).alias("skip"))).otherwise(F.struct(to_right.alias("out"), F.lit(True).alias("skip")))
+            return F.when(state["skip"], F.struct(out.alias("out"), F.lit(False).alias("skip"))).otherwise(made)
+
+        pass_ = F.aggregate(F.sequence(F.lit(0), F.size(now) - 1), F.struct(nothing.alias("out"), F.lit(False).alias("skip")), step, lambda state: state["out"])
+        return F.when((F.size(now) > 1) & F.exists(now, short), pass_).otherwise(now)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(start)
-        out = absorbed(list(zip(rows[start].tolist(), rows[end].tolist(), rows[rank].tolist())), least)
-        return pd.DataFrame([(*[rows[k].iloc[0] for k in key], *s) for s in out], columns=[*key, start, end, rank])
+    return F.aggregate(F.sequence(F.lit(0), F.size(sections)), sections, lambda acc, _: one(acc))
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in sections.select(*key, start, end, rank).schema.fields]
-    return sections.select(*key, start, end, rank).groupBy(*key).applyInPandas(one, ", ".join(fields))
+
+def absorb_short(sections: DataFrame, key: Sequence[str], start: str, end: str, rank: str, least: int = 4) -> DataFrame:
+    """(key, start, end, rank) of sections after `absorbed`. A song's sections meet in one array."""
+    rows = sections.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("start"), F.col(end).alias("end"), F.col(rank).alias("rank")))).alias("_s"))
+    out = rows.select(*key, F.explode(absorbed(F.col("_s"), least)).alias("_s"))
+    return out.select(*key, F.col("_s.start").alias(start), F.col("_s.end").alias(end), F.col("_s.rank").alias(rank))

@@ -192,6 +192,68 @@ def sorted_keys(t):
     return counts.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", "n"))), lambda e: F.concat_ws("=", e["day"], e["n"].cast("string"))), ",").alias("days"))
 
 
+# --- marks, bars, colours -------------------------------------------------------------------------------------------------------------
+@query(
+    """WITH RECURSIVE m AS (SELECT l_orderkey, (count(*) * 25 + l_orderkey % 4)::INTEGER AS total, list_sort(list_distinct(list((round_even(l_partkey % 450 / 16.0, 0) * 4)::INTEGER))) AS marks FROM lineitem GROUP BY 1),
+    p AS (SELECT l_orderkey, total, list_filter(marks, lambda b: b > 0 AND b < total) AS v, 0 AS pass FROM m
+      UNION ALL SELECT l_orderkey, total, w, pass + 1 FROM (SELECT *, list_filter(v, lambda b, i: b - CASE WHEN i = 1 THEN 0 ELSE v[i - 1] END >= 12 AND CASE WHEN i = len(v) THEN total ELSE v[i + 1] END - b >= 12) AS w FROM p) WHERE len(w) < len(v))
+    SELECT l_orderkey, array_to_string(arg_max(v, pass), ',') AS marks FROM p GROUP BY 1"""
+)
+def grid_marks(t):
+    """Parts of an order as marks on a grid of four, twelve apart at least."""
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(c("l_partkey") % 450 / 4).alias("m"), (F.count(F.lit(1)) * 25).alias("n"))
+    return rows.select("l_orderkey", F.array_join(seq.to_grid(c("m"), c("n") + c("l_orderkey") % 4, 4, 12), ",").alias("marks"))
+
+
+@query(
+    """WITH RECURSIVE m AS (SELECT l_orderkey, 30 + l_orderkey % 50 AS total, list(l_partkey % 60 ORDER BY l_linenumber, l_partkey % 60) AS marks FROM lineitem GROUP BY 1),
+    r AS (SELECT l_orderkey, total, marks, 0 AS place, 0::BIGINT AS mark FROM m
+      UNION ALL SELECT l_orderkey, total, marks, place + 1, CASE WHEN b < total - 4 THEN b WHEN low <= mark THEN mark + 4 ELSE low END FROM (SELECT *, CASE WHEN marks[place + 1] // 4 * 4 <= mark THEN (mark + 8) // 4 * 4 ELSE marks[place + 1] // 4 * 4 END AS b, (total - 8) // 4 * 4 AS low FROM r WHERE place < len(marks)))
+    SELECT l_orderkey, place::INTEGER AS place, mark::INTEGER AS mark FROM r WHERE place > 0"""
+)
+def rising_boundaries(t):
+    """Parts of an order as boundaries that are made to rise."""
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", (c("l_partkey") % 60).cast("int").alias("m")))).alias("l"))
+    marks = seq.rising_marks(F.transform("l", lambda x: x["m"]), (c("l_orderkey") % 50 + 30).cast("int"))
+    return rows.select("l_orderkey", F.posexplode(marks).alias("place", "mark")).withColumn("place", c("place") + 1)
+
+
+@query(
+    """WITH u AS (SELECT user_id, (2000000 + user_id)::INTEGER AS n, CASE WHEN user_id % 3 <> 0 THEN list(epoch_us(ts) % 100000000 / 1e6) ELSE [] END AS down, list(event_id % 5000 ORDER BY ts, event_id) AS beats FROM events GROUP BY 1),
+    f AS (SELECT user_id, n, CASE WHEN len(down) >= 2 THEN list_transform(down, lambda x: round_even(x * 22050, 0)::INTEGER) WHEN len(beats) >= 4 THEN list_transform(list_filter(beats, lambda b, i: i % 4 = 1), lambda b: (b * 512)::INTEGER) ELSE [0] END AS found FROM u)
+    SELECT user_id, array_to_string(list_append(list_sort(list_distinct(list_filter(found, lambda x: x >= 0 AND x < n))), n), ',') AS bars FROM f"""
+)
+def bar_places(t):
+    """Bars of users as songs, by downbeats where they have any, else by every fourth beat."""
+    e = F.struct("ts", "event_id")
+    rows = t("events").groupBy("user_id").agg(F.sort_array(F.collect_list(e)).alias("e"))
+    down = F.when(c("user_id") % 3 != 0, F.transform("e", lambda x: F.unix_micros(x["ts"].cast("timestamp")) % 100000000 / 1e6)).otherwise(F.array().cast("array<double>"))
+    bars = seq.bar_grid(down, F.transform("e", lambda x: x["event_id"] % 5000), (c("user_id") + 2000000).cast("int"))
+    return rows.select("user_id", F.array_join(bars, ",").alias("bars"))
+
+
+@query()
+def absorbed_sections(t):
+    """Lines of an order as sections after short ones joined their louder neighbours. Passes until nothing changes have no SQL here; tests compare all with a plain loop."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("l"))
+    ends = F.transform("l", lambda _, i: F.aggregate(F.slice("l", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["l_partkey"] % 7 + 1))
+    made = F.transform("l", lambda x, i: F.struct((F.get("ends", i) - x["l_partkey"] % 7 - 1).alias("start"), F.get("ends", i).alias("end"), (x["l_suppkey"] % 5).alias("rank"), x["l_returnflag"].alias("label")))
+    return rows.withColumn("ends", ends).select("l_orderkey", F.explode(seq.absorbed(made)).alias("s")).select("l_orderkey", "s.*")
+
+
+@query(
+    """WITH b AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n, least(256, strlen(text) // 4) AS s FROM documents), w AS (SELECT *, greatest(s + 3, n - 64) - s AS body FROM b),
+    p AS (SELECT doc_id, h, unnest(range(s, s + least(body, n - s) - 2, 3 * greatest(1, body // greatest(1, least(200, body // 3) * 3)))) AS pos FROM w WHERE least(body, n - s) >= 30),
+    q AS (SELECT doc_id, pos, list_transform([0, 2, 4], lambda k: least(255, ('0x' || substr(h, 2 * pos + k + 1, 2))::INTEGER // 32 * 32 + 16)) AS rgb FROM p), g AS (SELECT doc_id, rgb, count(*) AS n, min(pos) AS first FROM q GROUP BY 1, 2),
+    f AS (SELECT doc_id, rgb FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY list_sum(rgb) > 30 AND list_sum(rgb) < 700 DESC, n DESC, first) = 1)
+    SELECT doc_id, coalesce(printf('#%02x%02x%02x', rgb[1], rgb[2], rgb[3]), '#333333') AS colour FROM documents LEFT JOIN f USING (doc_id)"""
+)
+def dominant_colours(t):
+    """Texts' bytes as images."""
+    return agg.dominant_colour(t("documents").select("doc_id", F.encode("text", "utf-8").alias("data")), "doc_id", "data")
+
+
 # --- names, links, messages ---------------------------------------------------------------------------------------------------------
 @query(
     """SELECT doc_id, CASE WHEN lang = 'en' THEN 'A ' || doc_id WHEN lang = 'de' THEN 'Tagged' ELSE '' END AS artist, CASE WHEN lang = 'en' THEN 'B - C' WHEN lang = 'de' THEN 'Song' ELSE 'name ' || doc_id END AS title, CASE WHEN lang = 'en' THEN 'filename' WHEN lang = 'de' THEN 'tags' ELSE 'stem' END AS source FROM documents"""

@@ -249,6 +249,30 @@ def test_short_sections_are_absorbed(spark):
         assert sorted(got[song]) == plain_absorbed([r[1:] for r in rows if r[0] == song])
 
 
+def test_short_sections_of_all_orders(spark):
+    lines = defaultdict(list)
+    for r in spark.read.parquet(f"{SF001}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").collect():
+        lines[r[0]].append(tuple(r[1:]))
+    got = defaultdict(list)
+    for r in catalogue.queries()["absorbed_sections"](spark, SF001).collect():
+        got[r["l_orderkey"]].append((r["start"], r["end"], r["rank"], r["label"]))
+    assert set(got) == set(lines)
+    merges = 0
+    for order, rows in lines.items():
+        at, songs = 0, []
+        for _, part, supplier, flag in sorted(rows):
+            songs.append((at, at + part % 7 + 1, supplier % 5, flag))
+            at += part % 7 + 1
+        want = plain_absorbed([s[:3] for s in songs])
+        assert [s[:3] for s in sorted(got[order])] == want
+        assert {s[3] for s in got[order]} <= {s[3] for s in songs}
+        merges += len(songs) - len(want)
+        if len(songs) == 2 and len(want) == 1:  # the label of the one that absorbs
+            first, second = songs
+            assert got[order][0][3] == (second if first[1] - first[0] < 4 else first)[3]
+    assert merges > 100
+
+
 def song_bars(spark):
     """A quiet start, a sung loud middle, an end without vocals."""
     level = lambda bar: 0.05 if bar < 8 else 0.9 if bar < 24 else 0.1
