@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from strandwork.plans import lyrics
 from strandwork.plans.catalogue import NOW, c, query
-from strandwork.sources import caches, documents as docs, logs, sinks
+from strandwork.sources import caches, documents as docs, files, logs, sinks
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -141,3 +141,44 @@ def step_log(t):
     field = lambda n, kind: F.try_variant_get("j", F.lit(f"$.{n}"), kind).alias(n)
     return read.select("day", field("level", "string"), field("took_s", "double"), field("ratio", "double")).groupBy("day", "level").agg(
         F.count(F.lit(1)).alias("n"), F.count("took_s").alias("timed"), F.round(F.sum("took_s"), 4).alias("took_s"), F.round(F.sum("ratio"), 4).alias("ratio"))
+
+
+def stem_folder(t) -> str:
+    """A new folder of WAV files: users as videos of two roles, types of events as stems, values as samples, each 64 times."""
+    e = t("events").select("user_id", "event_type", F.struct("ts", "event_id", "value").alias("e"))
+    rows = e.groupBy("user_id", "event_type").agg(F.flatten(F.transform(F.sort_array(F.collect_list("e")), lambda x: F.array_repeat(x["value"] / 1024, 64))).alias("samples"))
+    role = F.when(c("user_id") % 2 == 0, "vocal").otherwise("instrumental")
+    path = _folder(e.sparkSession, "stems")
+    files.write_stems(rows.select(F.concat(F.lit("v"), "user_id").alias("video_id"), role.alias("role"), c("event_type").alias("stem"), "samples"), path, 22050)
+    return path
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS manifest, bool_and(44 + n * 256 >= 1024) AS intact, round(sum(n * 64 / 22050), 9) AS seconds FROM s GROUP BY 1),
+    complete AS (SELECT * FROM m WHERE intact AND manifest = 'click,error,purchase,signup,view'), odd AS (SELECT count(*) AS n FROM complete WHERE user_id % 2 = 1)
+    SELECT 'v' || user_id AS video_id, CASE WHEN user_id % 2 = 0 THEN 'vocal' ELSE 'instrumental' END AS role, manifest, intact, seconds, CASE WHEN user_id % 2 = 0 AND user_id IN (SELECT user_id FROM complete) THEN (SELECT n FROM odd) ELSE 0 END AS ready FROM m"""
+)
+def stem_manifests(t):
+    """Manifests of stem files by their headers alone, with their length, and with how many complete instrumental videos a complete vocal one is ready to meet."""
+    path = stem_folder(t)
+    spark = t("events").sparkSession
+    headers = files.stem_headers(spark, path)
+    manifest = files.manifests(headers)
+    seconds = headers.groupBy("video_id", "role").agg(F.round(F.sum(files.duration_s(c("content"))), 9).alias("seconds"))
+    names = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
+    whole = manifest.where(c("intact") & (c("manifest") == names)).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    met = F.coalesce(whole.where("role = 'instrumental'").select("n").scalar(), F.lit(0))
+    ready = F.when((c("role") == "vocal") & c("intact") & (c("manifest") == names), met).otherwise(0)
+    return manifest.join(seconds, ["video_id", "role"]).select("video_id", "role", F.array_join("manifest", ",").alias("manifest"), "intact", "seconds", ready.cast("long").alias("ready"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_type, (value / 1024)::FLOAT::DOUBLE AS x FROM events)
+    SELECT 'v' || user_id AS video_id, event_type AS stem, unnest([0, 1])::INTEGER AS channel, count(*) * 64 AS n, round(sqrt(sum(x * x) / count(*)), 6) AS rms FROM s GROUP BY 1, 2"""
+)
+def stem_levels(t):
+    """Levels of stem files, read in chunks, one channel doubled."""
+    path = stem_folder(t)
+    chunks = files.signal_chunks(files.stem_files(t("events").sparkSession, path), chunk=1000)
+    sums = chunks.select("video_id", "stem", "channel", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x).alias("e"))
+    return sums.groupBy("video_id", "stem", "channel").agg(F.sum("n").alias("n"), F.round(F.sqrt(F.sum("e") / F.sum("n")), 6).alias("rms"))

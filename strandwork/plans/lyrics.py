@@ -22,5 +22,6 @@ def looked_up(songs: DataFrame, song: str, name: Column, tag_artist: Column, tag
     timed = F.col("raw_text").rlike(r"\[\d{1,2}:\d{2}")
     plain = F.transform(text.plain_lines(F.col("raw_text")), lambda x: F.struct(x.alias("text"), F.lit(None).cast("double").alias("seconds")))
     lines = F.when(timed, text.lyric_lines(F.col("raw_text"))).otherwise(plain)
-    out = found.withColumn("is_synced", timed).withColumn("lines", lines).where(F.size("lines") > 0)
+    once = F.explode(F.array(lines)).alias("lines")  # keeps the optimizer from parsing a text again for each line that is taken
+    out = found.select("*", timed.alias("is_synced"), once).where(F.size("lines") > 0)
     return out.select(song, "artist", "title", "source", "is_synced", text.even_sample(F.col("lines"), most).alias("lines"), "raw_text")

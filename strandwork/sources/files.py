@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +96,28 @@ def write_wav(samples: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def write_stems(signals: DataFrame, root: str, rate: int) -> None:
+    """Write (video_id, role, stem, samples) as root/video/role/stem.wav, one channel each.
+
+    The folder is one that all machines mount. A file is written beside its place and put there whole, so a task that runs again
+    replaces it by the same bytes.
+    """
+    folder = root.removeprefix("file://")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                to = os.path.join(folder, r.video_id, r.role)
+                os.makedirs(to, exist_ok=True)
+                part = os.path.join(to, f".{uuid.uuid4().hex}")
+                with open(part, "wb") as f:
+                    f.write(write_wav(np.asarray(r.samples), rate))
+                os.replace(part, os.path.join(to, f"{r.stem}.wav"))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    signals.select("video_id", "role", "stem", "samples").mapInPandas(write, "n long").agg(F.sum("n")).first()
+
+
 def signal_chunks(files: DataFrame, *, mono: bool = False, chunk: int = CHUNK) -> DataFrame:
     """(video_id, role, stem, channel, rate, chunk, samples) of stem files at their own rates; one channel is doubled unless `mono`."""
     schema = "video_id string, role string, stem string, channel int, rate int, chunk long, samples array<double>"
