@@ -149,7 +149,8 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
     and no anomaly. Null texts have no words. Null ids and repeated rows are judged by their text; labels with a
     null id, or an id twice, count as they stand. The statistics of all texts are measured once; all documents that
     pass the base rules span the box, about `sample_docs` of them that are labelled good (or, without any, of all)
-    fill the trees, and all labelled ones set the threshold. An empty table gives no rows.
+    fill the trees, and all labelled ones set the threshold. An empty table gives no rows. Texts are read whole, whatever
+    their length. Other columns of `docs` and `labels` are not read, so their names do not matter.
     """
     s = lambda f: F.col(f"s.{f}")
     measured = docs.select(F.col(id_col).alias("doc_id"), rule_statistics(F.col(text_col)).alias("s"))

@@ -43,6 +43,10 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     return sources.select("source_key", "source_size", target.alias("target"))
 
 
+#: Columns that the mix makes.
+OWN = {"doc_id", "source", "source_key", "source_size", "size", "turn", "part", "part_size", "part_start", "start", "target", "whole", "extra", "taken"}
+
+
 def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, whole, extra, taken) of every document.
 
@@ -50,19 +54,21 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_col: str =
     of its first words are taken once more, `taken` = whole * size + extra <= max_epochs * size. The taken words of
     a source differ from its target by less than one word. A null source is a source of its own and sorts last;
     null ids are allowed; rows with equal ids are documents of their own; an empty table gives no rows; a source
-    without words has target 0. Columns `keep` follow and settle ties; other columns are not read. The seeded hash makes reruns agree.
+    without words has target 0. Columns `keep` follow and settle ties; one that is called like a column of the mix
+    gets `_kept` at its end. Other columns are not read. The seeded hash makes reruns agree.
 
     A source may hold any share of the rows: sums are partial before they are shuffled, and its running sum is
     split by leading digits of the hash.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = [f"{k}_kept" if k in OWN else k for k in keep]
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("source_key"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("turn"),
-        *keep,
+        *[F.col(f"`{k}`").alias(n) for k, n in zip(keep, kept)],
     ).withColumn("part", F.substring("turn", 1, SPLIT_DIGITS))
     sized = scratch.table(sized, "sized")
     targets = source_targets(sized, weights, max_epochs)
@@ -70,14 +76,14 @@ def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, id_col: str =
     parts = sized.groupBy("source_key", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.select("source_key", "part", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("part_start"))
     parts = parts.join(targets, "source_key")
-    within = Window.partitionBy("source_key", "part").orderBy("turn", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_key", "part").orderBy("turn", "size", *[F.col(f"`{n}`") for n in kept]).rowsBetween(Window.unboundedPreceding, -1)
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
     placed = sized.join(parts, ["source_key", "part"]).withColumn("start", F.col("part_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     room = F.round("target").cast("long") - F.col("whole") * F.col("source_size") - F.col("start")
     return (
         placed.withColumn("whole", whole)
         .withColumn("extra", F.greatest(F.lit(0), F.least("size", room)))
-        .select("doc_id", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), *keep)
+        .select("doc_id", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"), *[F.col(f"`{n}`") for n in kept])
     )
 
 

@@ -185,7 +185,9 @@ def predict(spark: SparkSession, model: LanguageModel) -> Callable[[Column], Col
 def identify(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, learnt from the rows that are not held out.
 
-    Rows with a null id are learnt from and count as not held out. Repeated rows are predicted alike.
+    Rows with a null id are learnt from and count as not held out. Repeated rows are predicted alike. Texts are read
+    whole, whatever their length; null and empty ones are `und` with score 0. An empty table gives no rows. Other
+    columns are not read, so their names do not matter.
     """
     held = F.coalesce(remainder(F.col(id_col)) == 2, F.lit(False))
     model = fit(docs.where(~held), id_col=id_col, text_col=text_col, lang_col=lang_col)

@@ -119,3 +119,14 @@ def test_ties_and_null_turn_numbers_equal_plain_sorting(spark):
     assert out[1]["n_turns"] == 7000 and out[2]["rendered"].startswith("<|im_start|>user\nn<|im_end|>") and len(out[2]["rendered"]) > 300_000
     again = {r["conv_id"]: r["rendered"] for r in op8_chat.render(turns.repartition(3)).collect()}
     assert again == {k: r["rendered"] for k, r in out.items()}
+
+
+def test_kept_columns_may_have_any_name(spark):
+    rows = [(k, f"s{k % 2}", "a b c " * (k + 1), k * 10, -k, "x") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size long, start long, `a.b` string")
+    out = op3_mixing.mix(spark, docs, Scratch(spark, "clash"), keep=["size", "start", "source", "a.b"])
+    assert out.columns == ["doc_id", "size", "source_size", "target", "whole", "extra", "taken", "size_kept", "start_kept", "source_kept", "a.b"]
+    plain = {r["doc_id"]: r["taken"] for r in op3_mixing.mix(spark, docs, Scratch(spark, "clash")).collect()}
+    for r in out.collect():
+        assert (r["size_kept"], r["start_kept"], r["source_kept"], r["a.b"]) == (r["doc_id"] * 10, -r["doc_id"], f"s{r['doc_id'] % 2}", "x")
+        assert r["size"] == 3 * (r["doc_id"] + 1) and r["taken"] == plain[r["doc_id"]]
