@@ -665,7 +665,7 @@ def interval_repair(t):
     FROM (SELECT o_orderkey, CAST(o_totalprice / 300 AS INTEGER) AS beats, 60 + o_orderkey % 120 AS bpm, 100.0 + o_orderkey % 200 AS m, CAST(o_totalprice / 300 AS INTEGER) * 60.0 / (60 + o_orderkey % 120) AS s FROM orders)"""
 )
 def duration_gate(t):
-    rows = t("orders").select("o_orderkey", F.round(c("o_totalprice") / 300).cast("int").alias("beats"), (60 + c("o_orderkey") % 120).alias("bpm"), (100.0 + c("o_orderkey") % 200).alias("m"))
+    rows = t("orders").select("o_orderkey", F.rint(c("o_totalprice") / 300).cast("int").alias("beats"), (60 + c("o_orderkey") % 120).alias("bpm"), (100.0 + c("o_orderkey") % 200).alias("m"))
     return seq.duration_gate(rows, "beats", "bpm", "m").select("o_orderkey", "verdict", "max_beats")
 
 
