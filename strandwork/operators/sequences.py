@@ -142,12 +142,12 @@ def merged_runs(sections: DataFrame, key: Sequence[str], order: str, label: str,
     return marked.groupBy(*key, "_run", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged"), *best).withColumnRenamed("_run", order)
 
 
-def repaired(intervals: DataFrame, key: Sequence[str], start: str, end: str, least: int = 4, transition: str | None = None, grid: int = 4) -> DataFrame:
-    """Intervals in order of start: overlaps cut and gaps above 1 closed at the next start, short ones dropped, the last end rounded up.
+def repaired(intervals: DataFrame, key: Sequence[str], start: str, end: str, least: int = 4, transition: str | None = None, grid: int = 4, ties: Sequence[str] = ()) -> DataFrame:
+    """Intervals in order of start, end and `ties`: overlaps cut and gaps above 1 closed at the next start, short ones dropped, the last end rounded up.
 
     Ends are set before short intervals are dropped, so a dropped one leaves a hole. A transition is at most half of its interval.
     """
-    w = by(key, [start, end])
+    w = by(key, [start, end, *ties])
     nxt = F.lead(start).over(w)
     fixed = F.when((F.col(end) > nxt) | (nxt - F.col(end) > 1), nxt).otherwise(F.col(end))
     rows = intervals.withColumn("_e", fixed).where(F.col("_e") - F.col(start) >= least)

@@ -656,7 +656,7 @@ _SPANS = "WITH s AS (SELECT o_custkey AS plan, o_orderkey AS id, (epoch(o_orderd
 def interval_repair(t):
     day = F.floor(F.unix_seconds(c("o_orderdate").cast("timestamp")) / 86400)
     rows = t("orders").select(c("o_custkey").alias("plan"), c("o_orderkey").alias("id"), day.alias("a"), (day + c("o_orderkey") % 200).alias("b"), F.lit(60).cast("bigint").alias("t"))
-    return seq.repaired(rows, ["plan"], "a", "b", 4, "t")
+    return seq.repaired(rows, ["plan"], "a", "b", 4, "t", ties=["id"])
 
 
 @query(
