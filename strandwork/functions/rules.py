@@ -127,7 +127,7 @@ def run_flags(c) -> Column:
         [
             (c("intro_beats") > LONG_INTRO, "long_intro"),
             ((c("start_b") == 0) & (c("duration_b") > LONG_SONG), "zero_start_instrumental"),
-            (c("stretch_pct") > HIGH_STRETCH, F.format_string("high_stretch_%.0f%%", c("stretch_pct"))),
+            (c("stretch_pct") > HIGH_STRETCH, F.concat(F.lit("high_stretch_"), F.rint(c("stretch_pct")).cast("long"), F.lit("%"))),
             (F.abs(c("inst_semitones")) > HIGH_SHIFT, "high_key_shift"),
             (c("grid") == "scaled_fallback", "beat_grid_fallback"),
             (borderline, "borderline_stem"),

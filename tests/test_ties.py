@@ -34,3 +34,9 @@ def test_beats_are_rounded_half_even(spark, tmp_path):
 def test_equal_spans_are_repaired_by_id(spark, tmp_path):
     made = [(k, plan, "F", 1.0, DAY + datetime.timedelta(days=d), "1") for plan in range(20) for d, ids in ((0, (405 + plan, 205 + plan)), (300, (430, 630, 30))) for k in ids]
     equal_to_sql(spark, tmp_path, "interval_repair", orders=(ORDERS, made))
+
+
+def test_stretch_is_named_half_even(spark, tmp_path):
+    made = [(k, 1, "F", 255_000.0 + 5000 * k, DAY, "1") for k in range(12)]
+    found = equal_to_sql(spark, tmp_path, "red_flags", orders=(ORDERS, made))
+    assert any("high_stretch_26%" in r for r in found)
