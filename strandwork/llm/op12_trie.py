@@ -41,12 +41,15 @@ def turn_places(conversations: DataFrame, *, id_col: str = "conv_id", turn_col:
     return placed.select("conv", "place", F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit("second"), F.struct("text", "role")).alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-def beside(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+def beside(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, most: int | None = None) -> DataFrame:
     """Rows of a key that `table` has, with its columns; its `n` is how many rows a key has, `total` the sum of all.
 
     At most HOT_KEYS keys have more than `hot` rows, so these are broadcast and no task gets more than `hot` rows of a key.
+    Where `most`, the greatest `n`, is known and no key has so many, there is nothing to broadcast.
     """
     hot = max(HOT_ROWS, total // HOT_KEYS)
+    if most is not None and most <= hot:
+        return rows.join(table, keys).select(*rows.columns, *[c for c in table.columns if c not in keys])
     rest = [c for c in table.columns if c not in keys]
     many = table.where(F.col(n) > hot).select(*keys, F.struct(*rest).alias("_many"))
     tried = rows.join(F.broadcast(many), keys, "left")
@@ -133,7 +136,7 @@ def trie(spark: SparkSession, turns: DataFrame, lengths: DataFrame, scratch: Scr
     `turns` has (conv, depth from 1 without gaps, h1, h2, n_bytes), `lengths` (conv, length) with a row for each
     conversation, also one without a turn. Turns are equal if both hashes are. The root has depth 0 and no parent; with no
     conversation there is no node. A node of one conversation is alone, its ends digest is of that id or of none. Each level is
-    written as a table, so a lost executor costs its tasks alone.
+    written as a table, so a lost executor costs its tasks alone, and no plan holds more than one level's joins, however many levels there are.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     turns = scratch.table(turns.repartitionByRange(parts, "depth", "conv").sortWithinPartitions("depth", "conv"), "turns")
@@ -142,22 +145,22 @@ def trie(spark: SparkSession, turns: DataFrame, lengths: DataFrame, scratch: Scr
     if not top["n"]:
         return spark.createDataFrame([], SCHEMA)
     root = spark.createDataFrame([(0, None, top["node"], top["n"], 0, 0)], "depth long, parent long, node long, n long, n_bytes long, length long")
-    live = lengths.select("conv", F.lit(top["node"]).cast("long").alias("node"), "length")
-    ends = [live.where("length = 0").select(F.lit(0).cast("long").alias("depth"), "node", "conv")]
+    live = scratch.table(lengths.select("conv", F.lit(top["node"]).cast("long").alias("node"), "length", F.lit(0).cast("long").alias("depth")), "live-0")
     levels, depth = [root], 0
     while True:
         depth += 1
         now = turns.where(F.col("depth") == depth).drop("depth")
-        step = scratch.table(live.where(F.col("length") >= depth).join(now, "conv").withColumnRenamed("node", "parent"), f"step-{depth}")
+        step = scratch.table(live.where(F.col("length") >= depth).drop("depth").join(now, "conv").withColumnRenamed("node", "parent"), f"step-{depth}")
         nodes = step.groupBy("parent", "h1", "h2").agg(F.min("conv").alias("node"), F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("n_bytes"), F.max("length").alias("length"))
         nodes = scratch.table(nodes.withColumn("depth", F.lit(depth).cast("long")), f"nodes-{depth}")
         levels.append(nodes.select(*root.columns))
         shared = nodes.where("n > 1").select("parent", "h1", "h2", "node", "n")
-        total = shared.agg(F.sum("n")).first()[0]
+        total, most = shared.agg(F.sum("n"), F.max("n")).first()
         if not total:
             break
-        live = beside(step.select("conv", "parent", "h1", "h2", "length"), shared, ["parent", "h1", "h2"], "n", total).select("conv", "node", "length")
-        ends.append(live.where(F.col("length") == depth).select(F.lit(depth).cast("long").alias("depth"), "node", "conv"))
+        live = beside(step.select("conv", "parent", "h1", "h2", "length"), shared, ["parent", "h1", "h2"], "n", total, most)
+        live = scratch.table(live.select("conv", "node", "length", F.lit(depth).cast("long").alias("depth")), f"live-{depth}")
+        scratch.drop(f"step-{depth}")
     last = "n_leaves", "saved"
     below = levels[depth].select("parent", F.lit(1).cast("long").alias(last[0]), F.lit(0).cast("long").alias(last[1]))  # the deepest level has no shared node
     rolled = []
@@ -170,9 +173,7 @@ def trie(spark: SparkSession, turns: DataFrame, lengths: DataFrame, scratch: Scr
         rolled.append(scratch.table(whole, f"rolled-{d}"))
         alone = levels[d].where("n = 1").select("parent", F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved"))
         below = rolled[-1].select("parent", *last).unionByName(alone) if d else None
-    ended = ends[0]
-    for e in ends[1:]:
-        ended = ended.unionByName(e)
+    ended = spark.read.schema(live.schema).parquet(*[f"{scratch.root}/live-{d}" for d in range(depth)]).where(F.col("length") == F.col("depth"))
     digests = scratch.table(end_digests(ended, parts), "ends")
     shared = spark.read.schema(rolled[0].schema).parquet(*[f"{scratch.root}/rolled-{d}" for d in range(depth)]).join(digests, ["depth", "node"], "left")
     shared = shared.select(F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("ends", F.lit(NO_IDS)).alias("ends_sha256"))

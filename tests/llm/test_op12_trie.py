@@ -87,3 +87,18 @@ def test_deep_copies_share_all_levels(spark):
     rows = [(c, t, "user", str(t)) for c in (11, 12) for t in range(25)]
     got = run(spark, rows)
     assert got == brute(rebuilt(rows)) and max(r[1] for r in got if r[3] == 2) >= 9
+
+
+def test_no_plan_holds_the_joins_of_all_levels(spark, monkeypatch):
+    made, table = {}, Scratch.table
+
+    def noted(self, df, name):
+        made[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return table(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", noted)
+    rows = spark.createDataFrame([(c, t, "user", "same" if t < 6 else f"own {c}") for c in range(0, 30, 5) for t in range(8)], "conv_id long, turn long, role string, text string")
+    scratch = Scratch(spark, "op12-plans")
+    turns, lengths = op12_trie.rebuilt(scratch.table(op12_trie.turn_places(rows), "placed"), scratch)
+    assert op12_trie.trie(spark, turns, lengths, scratch).count() == 1 + 6 + 6 * 2
+    assert made["ends"] == 0 and max(n for name, n in made.items() if name.startswith("step-")) == 1
