@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandwork.operators.resampling import resampled
@@ -17,6 +18,8 @@ from strandwork.sources import posix
 LEAST_WAV = 1024
 #: Samples of a channel in one row.
 CHUNK = 1 << 15
+#: Samples of an Arrow batch of chunks, as far as whole chunks allow.
+BATCH = 1 << 18
 
 
 def stem_files(spark: SparkSession, root: str) -> DataFrame:
@@ -122,19 +125,33 @@ def signal_chunks(files: DataFrame, *, mono: bool = False, chunk: int = CHUNK) -
     """(video_id, role, stem, channel, rate, chunk, samples) of stem files at their own rates; one channel is doubled unless `mono`."""
     schema = "video_id string, role string, stem string, channel int, rate int, chunk long, samples array<double>"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                got = read_wav(bytes(r.content))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for video, role, stem, content in zip(*batch.columns):
+                got = read_wav(content.as_py())
                 if got is None:
                     continue
                 x = got[1].astype(float)
                 x = x.mean(1, keepdims=True) if mono else np.repeat(x[:, :1], 2, 1) if x.shape[1] == 1 else x[:, :2]
                 for k in range(0, len(x), chunk):
-                    rows = [(r.video_id, r.role, r.stem, channel, got[0], k // chunk, x[k : k + chunk, channel]) for channel in range(x.shape[1])]
-                    yield pd.DataFrame(rows, columns=["video_id", "role", "stem", "channel", "rate", "chunk", "samples"])
-
-    return files.select("video_id", "role", "stem", "content").mapInPandas(read, schema)
+                    rows += [(video.as_py(), role.as_py(), stem.as_py(), channel, got[0], k // chunk, x[k : k + chunk, channel]) for channel in range(x.shape[1])]
+                    held += x[k : k + chunk].size
+                    if held >= BATCH:
+                        yield _chunk_batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _chunk_batch(rows)
+
+    return files.select("video_id", "role", "stem", "content").mapInArrow(read, schema)
+
+
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    *parts, samples = zip(*rows)
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
+    ends = np.cumsum([0, *map(len, samples)]).astype(np.int32)
+    arrays = [pa.array(p, k) for p, k in zip(parts, kinds)] + [pa.ListArray.from_arrays(ends, np.concatenate(samples))]
+    return pa.RecordBatch.from_arrays(arrays, ["video_id", "role", "stem", "channel", "rate", "chunk", "samples"])
 
 
 def at_rate(chunks: DataFrame, wanted: int = 44100, *, size: int = CHUNK) -> DataFrame:

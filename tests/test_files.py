@@ -168,3 +168,14 @@ def test_lines_of_a_growing_folder(spark, tmp_path):
     query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["2024-01-01T00:00:00"]
+
+
+def test_chunks_of_many_files_leave_in_few_arrow_batches(spark):
+    made = [(f"v{k}", "vocal", "drums", files.write_wav(np.full(10, k / 8), 8000)) for k in range(5)]
+    rows = spark.createDataFrame([(v, r, s, bytearray(b)) for v, r, s, b in made], "video_id string, role string, stem string, content binary").coalesce(1)
+    chunks = files.signal_chunks(rows, chunk=4)
+    assert "MapInArrow" in chunks._jdf.queryExecution().optimizedPlan().toString()
+    got = {(c.video_id, c.channel, c.chunk): (c.rate, list(c.samples)) for c in chunks.collect()}
+    assert got == {(f"v{k}", channel, n): (8000, [k / 8] * (4 if n < 2 else 2)) for k in range(5) for channel in range(2) for n in range(3)}
+    batch = files._chunk_batch([("v", "vocal", "drums", c, 8000, 0, np.ones(3 + c)) for c in range(2)])
+    assert batch.num_rows == 2 and batch.column("samples").to_pylist() == [[1.0] * 3, [1.0] * 4]
