@@ -25,6 +25,11 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def shares(rows: DataFrame, share: int) -> int:
+    """Tasks that hold about `share` of these rows each, at least as many as the session's shuffle partitions."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // share))
+
+
 def _free(rows: DataFrame, name: str) -> str:
     while name in rows.columns:
         name += "_"

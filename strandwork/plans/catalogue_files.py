@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession, functions as F
 
+from strandwork.operators import scans
 from strandwork.plans import lyrics
 from strandwork.plans.catalogue import NOW, c, query
 from strandwork.sources import caches, documents as docs, files, logs, sinks
@@ -17,6 +18,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 LINK = "https://x.example/"
+#: Lines that one task joins or sorts.
+LINES_A_TASK = 500_000
 
 
 @query(
@@ -73,8 +76,10 @@ def stem_publication(t):
     path = _folder(lines.sparkSession, "stems")
     sinks.replace_table(lines.where("l_linestatus = 'O'"), path)
     read = lines.sparkSession.read.parquet(path)
-    sinks.replace_table(caches.published(read, lines.where("l_linestatus = 'F'"), ["l_orderkey"], "l_returnflag", ["A", "N"]), path)
-    held = lines.sparkSession.read.parquet(path)
+    n = scans.shares(lines, LINES_A_TASK)
+    staged = lines.where("l_linestatus = 'F'").repartition(n, "l_orderkey")
+    sinks.replace_table(caches.published(read.repartition(n, "l_orderkey"), staged, ["l_orderkey"], "l_returnflag", ["A", "N"]), path)
+    held = lines.sparkSession.read.parquet(path).repartition(n, "l_orderkey")
     return held.groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
 
 

@@ -64,3 +64,19 @@ def test_recurrence_of_an_empty_table_and_of_single_rows(spark):
     half = lambda rows: scans.affine_scan(rows, ["k"], ["at"], F.lit(0.5), F.col("x"))
     assert sorted((r["k"], r["y"]) for r in half(frame).collect()) == [("a", 5.0), ("b", None)]
     assert half(frame.where("at > 1")).count() == 0
+
+
+def test_tasks_grow_with_the_rows(spark):
+    from strandwork.operators import scans
+
+    assert scans.shares(spark.range(1000), 10) == 100 and scans.shares(spark.range(0), 10) == scans.shares(spark.range(39), 10) == 4
+
+
+def test_stem_publication_deals_lines_by_their_number(spark, monkeypatch):
+    from conftest import SF001
+    from strandwork.plans import catalogue, catalogue_files
+
+    monkeypatch.setattr(catalogue_files, "LINES_A_TASK", 500)
+    plan = catalogue.queries()["stem_publication"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    n = -(-spark.read.parquet(f"{SF001}/lineitem.parquet").count() // 500)
+    assert "hashpartitioning(l_orderkey#" in plan and f", {n})" in plan
