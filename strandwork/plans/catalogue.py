@@ -20,6 +20,9 @@ from strandwork.streaming import events as stream, state, ttl
 #: The fixed time of reports and expiry rules over the test data.
 NOW = "2024-01-31 00:00:00"
 
+#: Events whose songs one task analyses.
+EVENTS_A_TASK = 100_000
+
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
@@ -1096,7 +1099,9 @@ def song_sections(t):
 
     names = dict(zip(("view", "click", "purchase", "error", "signup"), ("vocals", "drums", "bass", "guitar", "piano")))
     day = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / 86400)
-    rows = t("events").groupBy(c("user_id").alias("song_id"), day.alias("day"), rules.lookup(c("event_type"), names, "other").alias("stem")).agg((agg.rms(c("value")) / 100).alias("rms"))
+    events = t("events").select("user_id", "ts", "event_type", "value")
+    events = events.repartition(scans.shares(events, EVENTS_A_TASK), "user_id")  # all that follows is by song
+    rows = events.groupBy(c("user_id").alias("song_id"), day.alias("day"), rules.lookup(c("event_type"), names, "other").alias("stem")).agg((agg.rms(c("value")) / 100).alias("rms"))
     bar = F.dense_rank().over(Window.partitionBy("song_id").orderBy("day")) - 1
     return sections.analysed(rows.select("song_id", "stem", bar.alias("bar"), "rms"))
 

@@ -413,3 +413,10 @@ def test_leases_equal_another_telling(spark):
     for key in got:
         assert got[key] == plain_leases([r[1:] for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[3], r[1], r[2]))])
     assert len({o for x in got.values() for o in x}) >= 9
+
+
+def test_song_sections_deal_songs_by_the_number_of_events(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "EVENTS_A_TASK", 40)
+    plan = catalogue.queries()["song_sections"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    n = -(-spark.read.parquet(f"{SF001}/events.parquet").count() // 40)
+    assert f", {n})" in plan and "hashpartitioning(user_id#" in plan
