@@ -6,6 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandwork.operators.scans import shares
+
+#: Rows that one task compares with bands.
+BAND_ROWS = 20_000
+
 
 def role_pairs(rows: DataFrame, keys: Sequence[str], role: str, first: str, second: str) -> DataFrame:
     """Rows of one role beside rows of another with equal keys; the other columns get _a and _b."""
@@ -70,12 +75,13 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, l
     return out if limit is None else out.where(F.col("distance") < limit)
 
 
-def in_bands(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str) -> DataFrame:
-    """Rows beside every band with low <= value < high, without a nested loop, for bands of any length.
+def in_bands(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str, on: Sequence[str] = ()) -> DataFrame:
+    """Rows beside every band with low <= value < high, without a nested loop, for bands of any length; columns `on` are equal.
 
     A band belongs to the level whose cells, of a power of two, are the least that are as long as it; it touches one or two of
     them. A row looks into its cell of every level that bands are of. So a band is copied twice at most, whatever the mix of lengths,
-    and a row once a level. Bands without a length, and null bounds or values, match nothing.
+    and a row once a level. Bands without a length, and null bounds or values, match nothing. Rows may meet many bands each, so they
+    are dealt by their number, BAND_ROWS a task, not by the splits of their file.
     """
     length = F.col(high).cast("double") - F.col(low).cast("double")
     rough = F.ceil(F.log2(length)).cast("int")
@@ -89,8 +95,9 @@ def in_bands(rows: DataFrame, bands: DataFrame, value: str, low: str, high: str)
     sized = bands.where(length > 0).withColumn("_level", level)
     spread = sized.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col(low), F.col("_level")), cell(F.col(high), F.col("_level"))))))
     levels = sized.agg(F.sort_array(F.collect_set("_level")).alias("_levels"))  # at most one for each exponent of a double
-    keyed = rows.join(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).withColumn("_cell", cell(F.col(value), F.col("_level")))
-    near = keyed.drop("_levels").join(spread, ["_level", "_cell"])
+    dealt = rows.repartition(shares(rows, BAND_ROWS))
+    keyed = dealt.join(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).withColumn("_cell", cell(F.col(value), F.col("_level")))
+    near = keyed.drop("_levels").join(spread, ["_level", "_cell", *on])
     return near.where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_level", "_cell")
 
 

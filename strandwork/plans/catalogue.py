@@ -273,7 +273,8 @@ def interval_cover(t):
     """Prices within suppliers' spans, whose lengths are of seven orders of magnitude."""
     low = c("s_acctbal") / 5 + 900
     spans = t("supplier").select("s_suppkey", low.alias("lo"), (low + F.pow(F.lit(10.0), c("s_suppkey") % 7 - 3)).alias("hi"))
-    return joins.in_bands(t("part"), spans, "p_retailprice", "lo", "hi").where(c("p_partkey") % 3 == c("s_suppkey") % 3).select("s_suppkey", "p_partkey")
+    parts = t("part").select("p_partkey", "p_retailprice", (c("p_partkey") % 3).alias("third"))
+    return joins.in_bands(parts, spans.withColumn("third", c("s_suppkey") % 3), "p_retailprice", "lo", "hi", on=["third"]).select("s_suppkey", "p_partkey")
 
 
 @query("SELECT CASE WHEN event_type = 'view' THEN 'view' ELSE 'rest' END AS kind, count(*) AS n, true AS near FROM events GROUP BY 1")

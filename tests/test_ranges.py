@@ -40,3 +40,14 @@ def test_sketches_of_a_skewed_key_are_near_and_merge(spark):
         assert all(x["below"] - 0.01 <= want <= x["upto"] + 0.01 for want, x in zip(ranks, r["ranks"]))
     exact = frame.where("k = 'hot' and x is not null and not isnan(x)").agg(F.percentile("x", F.lit(0.5))).first()[0]
     assert abs(got["hot"][1][1] / exact - 1) < 0.05
+
+
+def test_rows_are_dealt_by_their_number_and_meet_bands_of_equal_columns(spark, monkeypatch):
+    from strandwork.operators import joins
+
+    monkeypatch.setattr(joins, "BAND_ROWS", 10)
+    rows = spark.range(100).coalesce(1).selectExpr("id", "cast(id as double) AS x", "id % 3 AS third")
+    bands = spark.range(9).selectExpr("id AS band", "id * 10.0 AS lo", "id * 10.0 + 15 AS hi", "id % 3 AS third")
+    made = joins.in_bands(rows, bands, "x", "lo", "hi", on=["third"])
+    assert sorted((r["id"], r["band"]) for r in made.collect()) == sorted((x, b) for x in range(100) for b in range(9) if b * 10 <= x < b * 10 + 15 and x % 3 == b % 3)
+    assert "RoundRobinPartitioning(10)" in made._jdf.queryExecution().executedPlan().toString()
