@@ -3,12 +3,14 @@
 The tokenizer of `word_bpe_49k.json` collapses white space before it splits, lower-cases code point by code
 point, and no rule of it spans a space. So a text's ids are the ids of its space-separated words in order.
 Each distinct word is encoded once per worker by the library; words are found again by a 64-bit hash (two of a
-million words share one with odds of about 3e-8).
+million words share one with odds of about 3e-8). Most texts' words are new to a worker, so plain ones are encoded
+many at a time, joined by spaces, and told apart by the ids that end a part of a word.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +23,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Slots of a worker's word table; it starts anew when half of them are taken.
 SLOTS = 1 << 21
+#: New words that are encoded at once.
+WORDS = 1024
+#: Visible ASCII without an apostrophe, and the parts into which the tokenizer cuts it; an apostrophe may begin a part or be inside one.
+PLAIN, PARTS = re.compile(r"[!-&(-~]+"), re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 
 
 @lru_cache(maxsize=2)
@@ -44,6 +50,13 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
 
 
+def _parts(word: str) -> int:
+    """Parts into which the tokenizer cuts a word, 0 if only it can tell; letters are taken for one."""
+    if word.isalpha():
+        return 1
+    return len(PARTS.findall(word)) if PLAIN.fullmatch(word) and "<|" not in word else 0
+
+
 class Encoder:
     """Encodes texts to unsigned 16-bit ids, each document closed by `end_id`."""
 
@@ -51,6 +64,8 @@ class Encoder:
         self.tokenizer, self.slots, self.end_id = tokenizer(path or default_path()), slots, end_id
         if max(self.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
+        self.closes = np.zeros(1 << 16, bool)  # ids that end a part of a word
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -60,11 +75,13 @@ class Encoder:
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat = np.zeros(1024, np.uint16)
         comma, stop = (e.ids for e in self.tokenizer.encode_batch_fast([",", "."], add_special_tokens=False))
-        self._append([[], [self.end_id], comma, stop])
+        self._append_lists([[], [self.end_id], comma, stop])
 
-    def _append(self, ids: list[list[int]]) -> None:
+    def _append_lists(self, ids: list[list[int]]) -> None:
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for word in ids for i in word), np.uint16, int(length.sum()))
+        self._append(length, np.fromiter((i for word in ids for i in word), np.uint16, int(length.sum())))
+
+    def _append(self, length: np.ndarray, flat: np.ndarray) -> None:
         words, used = self.words + len(length), self.used + len(flat)
         self.start, self.length, self.flat = _room(self.start, words), _room(self.length, words), _room(self.flat, used)
         self.start[self.words : words] = self.used + np.cumsum(length) - length
@@ -85,7 +102,11 @@ class Encoder:
         return found
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        index = np.arange(self.words, self.words + len(words), dtype=np.int32)
+        parts = np.fromiter(map(_parts, words), np.int64, len(words))
+        order = np.argsort(parts == 0, kind="stable")  # those of unknown parts last
+        plain, index = np.count_nonzero(parts), np.empty(len(words), np.int32)
+        index[order] = np.arange(self.words, self.words + len(words), dtype=np.int32)
+        words, parts = [words[k] for k in order.tolist()], parts[order]
         at = (hashes & U64(self.slots - 1)).astype(np.int64)
         left = np.arange(len(hashes))
         while len(left):
@@ -95,8 +116,21 @@ class Encoder:
             self.word[at[left[won]]] = index[left[won]]
             left = left[~won]
             at[left] = (at[left] + 1) & (self.slots - 1)
-        for k in range(0, len(words), 4096):
-            self._append([e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)])
+        for k in range(0, plain, WORDS):
+            self._append_joined(words[k : min(k + WORDS, plain)], parts[k : min(k + WORDS, plain)])
+        for k in range(plain, len(words), WORDS):
+            self._append_lists([e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + WORDS], add_special_tokens=False)])
+
+    def _append_joined(self, words: list[str], parts: np.ndarray) -> None:
+        """Words of known numbers of parts, encoded as one text. A word of letters that the library cuts after all has more parts
+        than one and none has fewer, so the sum tells; then they are encoded one by one."""
+        (joined,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        flat = np.array(joined.ids, np.uint16)
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) == parts.sum() and ends[-1] == len(flat):
+            self._append(np.diff(ends[np.cumsum(parts) - 1], prepend=0), flat)
+        else:
+            self._append_lists([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a buffer, and where each row's begin (one more entry than rows)."""

@@ -38,6 +38,38 @@ def test_encoder_equals_the_library():
         assert ids.tolist() == expected(text), text
 
 
+class Counted:
+    """The library's tokenizer, counting the texts that it is given."""
+
+    def __init__(self):
+        self.found, self.texts = tokens.tokenizer(tokens.default_path()), 0
+
+    def __getattr__(self, name):
+        return getattr(self.found, name)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.found.encode_batch_fast(texts, **more)
+
+
+def test_new_plain_words_are_encoded_together():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdef", k=9)) + rng.choice(["", "é", "!!", ".%", "7", ";a"]) for _ in range(5000)]
+    raw, encoder = np.frombuffer(" ".join(words).encode(), np.uint8), tokens.Encoder()
+    encoder.tokenizer = counted = Counted()
+    ids, _ = encoder.encode(raw, np.array([0, len(raw)]))
+    assert ids.tolist() == expected(" ".join(words))
+    assert counted.texts <= 5
+
+
+@pytest.mark.parametrize("odd", ["İx", "a'sb", "'s", "(\"'s", "it's''re", "x'", "<|", "|>", "ａ１", "²x", "x²", "Ǆ", "ﬁ", "각", "ᄀ", "a\x00b", "~\x7f", "ªº", "\u0378x", "x\U0001e030"])
+def test_odd_words_among_plain_ones(odd):
+    text = f"plain {odd} words {odd}. and more!! {odd}x 1{odd}2"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ids, _ = tokens.Encoder().encode(raw, np.array([0, len(raw)]))
+    assert ids.tolist() == expected(text)
+
+
 def test_encoder_starts_anew_when_full():
     small = tokens.Encoder(slots=16)
     texts = [f"w{i} v{i}x" for i in range(3)] * 2
