@@ -105,11 +105,9 @@ def song_documents(t):
     path = _folder(rows.sparkSession, "songs")
     sinks.append_absent(rows.where("l_orderkey % 2 = 0"), path, "l_orderkey")
     sinks.append_absent(rows, path, "l_orderkey")
-    songs = rows.sparkSession.read.parquet(path).select("l_orderkey", docs.decoded(c("json"), docs.SONG).alias("doc")).where("doc is not null")
-    held = docs.exploded_bars(songs, "l_orderkey").select("l_orderkey", F.lit("bar").alias("kind"), c("stem").alias("name"), c("bar").alias("place"), c("rms").alias("value"))
-    parts = docs.exploded_sections(songs, "l_orderkey").where("annotations[0] = 'n'").select("l_orderkey", F.lit("section"), "label", "idx", "start_time")
-    words = songs.select("l_orderkey", F.posexplode("doc.word_alignment.words").alias("place", "w")).select("l_orderkey", F.lit("word"), "w.text", "place", c("w.start_ms").cast("double"))
-    return held.union(parts).union(words)
+    songs = docs.with_decoded(rows.sparkSession.read.parquet(path), "json", docs.SONG).where("doc is not null")
+    held = songs.select("l_orderkey", F.explode(docs.facts()).alias("f")).where((c("f.kind") != "section") | (F.get("f.annotations", F.lit(0)) == "n"))
+    return held.select("l_orderkey", "f.kind", "f.name", "f.place", "f.value")
 
 
 @query(

@@ -31,6 +31,11 @@ def decoded(text: Column, schema: str) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema, {"mode": "PERMISSIVE"}))
 
 
+def with_decoded(rows: DataFrame, text: str, schema: str, name: str = "doc") -> DataFrame:
+    """Rows with the document of a column of text, which is parsed once a row, however many later columns read it."""
+    return rows.withColumn(name, F.explode(F.array(decoded(F.col(text), schema))))
+
+
 def encoded(document: Column) -> Column:
     """JSON of a document without its null fields."""
     return F.to_json(document)
@@ -46,6 +51,23 @@ def exploded_sections(songs: DataFrame, song_id: str, document: str = "doc") ->
     return songs.select(song_id, F.posexplode(f"{document}.song_structure.sections").alias("idx", "_s")).select(song_id, "idx", "_s.*")
 
 
+def facts(document: str = "doc") -> Column:
+    """Array of (kind, name, place, value): the bars of a song document's stems, its sections (and their annotations) and its words,
+    from one pass over it. What a document lacks gives none."""
+    doc = F.col(document)
+    kind = "array<struct<kind:string,name:string,place:int,value:double,annotations:array<string>>>"
+    none = F.array().cast("array<string>")
+
+    def some(found: Column) -> Column:
+        return F.coalesce(found.cast(kind), F.array().cast(kind))
+
+    stem = lambda e: F.coalesce(F.transform(e["value"], lambda rms, bar: F.struct(F.lit("bar"), e["key"], bar, rms, none)).cast(kind), F.array().cast(kind))
+    bars = F.flatten(F.transform(F.map_entries(doc["stem_analysis"]["bar_rms"]), stem))
+    sections = F.transform(doc["song_structure"]["sections"], lambda s, i: F.struct(F.lit("section"), s["label"], i, s["start_time"], s["annotations"]))
+    words = F.transform(doc["word_alignment"]["words"], lambda w, i: F.struct(F.lit("word"), w["text"], i, w["start_ms"].cast("double"), none))
+    return F.concat(some(bars), some(sections), some(words))
+
+
 def shelf(spark: SparkSession, path: str) -> DataFrame:
     """Records of shelf documents, with their place."""
     docs = spark.read.text(path, wholetext=True).select(decoded(F.col("value"), SHELF).alias("d"))

@@ -82,10 +82,9 @@ def append_absent(new: DataFrame, path: str, key: str) -> None:
     """Append rows whose key a table lacks: a checkpoint that may be repeated."""
     spark = new.sparkSession
     p, fs = _fs(spark, path)
-    rows = new.dropDuplicates([key])
     if fs.exists(p):
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-    rows.write.mode("append").parquet(path)
+        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
+    new.dropDuplicates([key]).write.mode("append").parquet(path)
 
 
 def in_order(first: Callable[[DataFrame, int], None], second: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

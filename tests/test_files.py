@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF001
 from strandwork.functions import keys
-from strandwork.plans import dashboard
+from strandwork.plans import catalogue, dashboard
 from strandwork.sources import documents, files, logs, sinks
 
 def now():
@@ -148,6 +149,23 @@ def test_name_based_ids(spark):
     assert [r[0] for r in out] == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
 
 
+def test_song_documents_are_parsed_once(spark):
+    plan = catalogue.queries()["song_documents"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("parseJson") == 1
+
+
+def test_facts_of_a_song_equal_its_exploded_parts(spark):
+    song = {"stem_analysis": {"bar_rms": {"drums": [0.1, None], "bass": [], "piano": None}}, "song_structure": {"sections": [{"label": "a", "start_time": 1.5, "annotations": ["n", "m"]}, {"label": "b", "annotations": []}, {}]}, "word_alignment": {"words": [{"text": "x", "start_ms": 7}, {"start_ms": 8}]}}
+    texts = [("s", json.dumps(song)), ("old", '{"bpm": 90}'), ("words", '{"word_alignment": {"words": [{"text": "y"}]}, "song_structure": {"sections": null}}'), ("bad", "{"), ("null", None)]
+    songs = documents.with_decoded(spark.createDataFrame(texts, "id string, json string"), "json", documents.SONG)
+    assert {r["id"]: r["doc"] is None for r in songs.collect()} == {"s": False, "old": False, "words": False, "bad": True, "null": True}
+    rows = songs.select("id", F.explode(documents.facts()).alias("f")).select("id", "f.*").collect()
+    bars = [("s", "bar", *r[1:], []) for r in documents.exploded_bars(songs, "id").collect()]
+    sections = [("s", "section", r["label"], r["idx"], r["start_time"], r["annotations"]) for r in documents.exploded_sections(songs, "id").collect()]
+    words = [("s", "word", "x", 0, 7.0, []), ("s", "word", None, 1, 8.0, []), ("words", "word", "y", 0, None, [])]
+    assert len(bars) == 2 and len(sections) == 3 and sorted(map(repr, map(tuple, rows))) == sorted(map(repr, bars + sections + words))
+
+
 def test_songs_as_documents(spark):
     song = {"bpm": 120.0, "key": "C", "stem_analysis": {"bar_rms": {"drums": [0.1, 0.2], "bass": [0.3]}, "bucket_thresholds": {"p10": 0.1}}, "song_structure": {"sections": [{"start_bar": 0, "end_bar": 4, "label": "intro", "annotations": ["x"]}, {"start_bar": 4, "end_bar": 8, "label": "verse"}], "total_bars": 8}}
     rows = spark.createDataFrame([("s", json.dumps(song)), ("old", '{"bpm": 90}'), ("bad", "{")], "song_id string, json string").withColumn("doc", documents.decoded(F.col("json"), documents.SONG))
