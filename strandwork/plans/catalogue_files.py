@@ -39,10 +39,12 @@ def shelf_sync(t):
     shelves = shelves.select("l_orderkey", F.to_json(F.struct(F.transform("r", lambda e: F.struct(F.concat(F.lit(LINK), e["u"]).alias("youtube_url"), e["cur"].alias("is_curated"))).alias("records"))).alias("json"))
     sinks.replace_table(shelves.withColumn("json", F.when(c("l_orderkey") % 13 == 0, F.expr("left(json, 9)")).otherwise(c("json"))), path)
     seeds = docs.seed_records([(f"{LINK}{2 * k}", f"Title {k}", f"Artist {k}") for k in range(7)], datetime.datetime.fromisoformat(NOW))
-    read = spark.read.parquet(path).withColumn("s", docs.in_step(docs.decoded(c("json"), docs.SHELF)["records"], seeds))
-    synced = read.select("l_orderkey", F.when(c("s.changed"), F.to_json(F.struct("s.records"))).otherwise(c("json")).alias("json"))
+    read = docs.with_decoded(spark.read.parquet(path), "json", docs.SHELF)
+    stepped = read.withColumn("s", F.explode(F.array(docs.in_step(c("doc.records"), seeds))))  # once, for both columns that read it
+    synced = stepped.select("l_orderkey", F.when(c("s.changed"), F.to_json(F.struct("s.records"))).otherwise(c("json")).alias("json"))
     sinks.replace_table(synced, path, lambda staged: staged.where("json is null").isEmpty())
-    records = spark.read.parquet(path).select("l_orderkey", F.posexplode(docs.decoded(c("json"), docs.SHELF)["records"]).alias("place", "r"))
+    held = docs.with_decoded(spark.read.parquet(path), "json", docs.SHELF)
+    records = held.select("l_orderkey", F.posexplode("doc.records").alias("place", "r"))
     return records.select("l_orderkey", "place", "r.youtube_url", "r.is_curated", "r.added_at")
 
 

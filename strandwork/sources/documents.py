@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -92,18 +93,35 @@ def seed_records(links: list[tuple[str, str, str]], base: datetime.datetime) ->
     return F.array(*[one(i, link) for i, link in enumerate(links)]).cast(SHELF[len("struct<records:") : -1])
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, also where it is used in lambdas, which compute their text for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def in_step(records: Column, seeds: Column) -> Column:
     """struct<records, changed>: a shelf without links of curated records that are no seeds, then the seeds that it lacks, in their order.
 
-    A record without a link stays. A shelf that cannot be read (null) gives null. Lookups go through the shelf's own arrays, so
-    time grows with its records times its stale links and the seeds.
+    A record without a link stays. A shelf that cannot be read (null) gives null. Lookups go through the shelf's own arrays, each made
+    once, so time grows with its records times its stale links and the seeds.
     """
     link = lambda r: r["youtube_url"]
     among = lambda r, links: F.coalesce(F.array_contains(links, link(r)), F.lit(False))
-    wanted, had = F.transform(seeds, link), F.transform(records, link)
-    stale = F.array_distinct(F.transform(F.filter(records, lambda r: F.coalesce(r["is_curated"], F.lit(False)) & ~among(r, wanted)), link))
-    kept, missing = F.filter(records, lambda r: ~among(r, stale)), F.filter(seeds, lambda s: ~among(s, had))
-    return F.when(records.isNotNull(), F.struct(F.concat(kept, missing).alias("records"), ((F.size(missing) > 0) | (F.size(kept) < F.size(records))).alias("changed")))
+
+    def stale(x: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(x["records"], lambda r: F.coalesce(r["is_curated"], F.lit(False)) & ~among(r, x["wanted"])), link))
+
+    def parted(x: Column, gone: Column) -> Column:
+        kept, missing = F.filter(x["records"], lambda r: ~among(r, gone)), F.filter(seeds, lambda s: ~among(s, x["had"]))
+        return F.struct(kept.alias("kept"), missing.alias("missing"), F.size(x["records"]).alias("n"))
+
+    def joined(y: Column) -> Column:
+        return F.struct(F.concat(y["kept"], y["missing"]).alias("records"), ((F.size(y["missing"]) > 0) | (F.size(y["kept"]) < y["n"])).alias("changed"))
+
+    def stepped(held: Column) -> Column:
+        links = F.struct(held.alias("records"), F.transform(seeds, link).alias("wanted"), F.transform(held, link).alias("had"))
+        return F.when(held.isNotNull(), _once(links, lambda x: _once(_once(stale(x), lambda gone: parted(x, gone)), joined)))
+
+    return _once(records, stepped)
 
 
 def state_fields(state: Column) -> Column:

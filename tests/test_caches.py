@@ -55,6 +55,15 @@ def test_shelf_in_step_with_seeds(spark):
     assert [(r["id"], r["title"], r["artist"], r["added_at"]) for r in table] == [(r["id"], r["title"], r["artist"], r["added_at"]) for r in out["empty"]["records"]]
 
 
+def test_shelves_are_parsed_once_and_brought_in_step_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    seeds = documents.seed_records([("s1", "T1", "A1")], datetime.datetime(2024, 1, 1))
+    rows = documents.with_decoded(spark.createDataFrame([("{}",)], "json string"), "json", documents.SHELF)
+    assert plan(rows.select(documents.in_step(F.col("doc.records"), seeds))).count("from_json") == 1
+    many = plan(spark.createDataFrame([("{}",)], "json string").select(documents.in_step(documents.decoded(F.col("json"), documents.SHELF)["records"], seeds)))
+    assert many.count("from_json") <= 2
+
+
 def test_sets_are_published_whole(spark):
     table = lambda *r: spark.createDataFrame(list(r), "k int, name string, v int")
     current = table((1, "a", 0), (2, "a", 0), (3, "z", 0), (4, "a", 0))
