@@ -20,8 +20,8 @@ from strandwork.streaming import events as stream, state, ttl
 #: The fixed time of reports and expiry rules over the test data.
 NOW = "2024-01-31 00:00:00"
 
-#: Events whose songs one task analyses.
-EVENTS_A_TASK = 100_000
+#: Events whose songs one task analyses, and lines of which one task makes seven stems each.
+EVENTS_A_TASK, STEM_LINES_A_TASK = 100_000, 200_000
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -1019,13 +1019,15 @@ def level_gains(t):
 
 # --- plans ---------------------------------------------------------------------------------------------------------------------------
 def intents(t) -> DataFrame:
-    """Orders as plans: lines as sections, flags and quantities as roles."""
+    """Orders as plans: lines as sections, flags and quantities as roles. Lines are dealt by plan, and stems are made of them where they lie."""
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = lines.repartition(scans.shares(lines, STEM_LINES_A_TASK), "l_orderkey")
     label = F.get(F.array(*map(F.lit, ("intro", "verse", "chorus", "breakdown", "drop", "bridge", "outro"))), (c("l_linenumber") - 1) % 7)
     energy = F.get(F.array(*map(F.lit, ("low", "medium", "high", "peak"))), (c("l_suppkey") % 4).cast("int"))
     role = lambda k: F.get(F.array(*map(F.lit, ("lead", "support", "silent", "texture", "silent", "background"))), ((c("l_partkey") + c("l_linenumber") * k + k * k) % 6).cast("int"))
     roles = F.create_map(*[x for k, s in enumerate(gains.STEMS) for x in (F.lit(s), role(k))])
     idx = F.row_number().over(seq.by(["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]))
-    return t("lineitem").select(c("l_orderkey").alias("plan_id"), idx.alias("idx"), label.alias("label"), energy.alias("energy"), roles.alias("stem_roles"))
+    return lines.select(c("l_orderkey").alias("plan_id"), idx.alias("idx"), label.alias("label"), energy.alias("energy"), roles.alias("stem_roles"))
 
 
 def intent_rows(t) -> DataFrame:

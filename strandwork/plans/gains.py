@@ -42,6 +42,11 @@ def _instrumental() -> F.Column:
     return F.col("stem").isin(*INSTRUMENTAL)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with `n_instrumental`, the instrumental entries of their plan. As the first window it deals rows by plan, if they do not lie so yet."""
+    return rows.withColumn("n_instrumental", F.count_if(_instrumental()).over(Window.partitionBy("plan_id")))
+
+
 def least_active(rows: DataFrame) -> DataFrame:
     """Sections but intro and outro: the quietest inactive instrumental stems come up until three are active."""
     section = Window.partitionBy("plan_id", "idx")
@@ -61,10 +66,10 @@ def none_muted(rows: DataFrame) -> DataFrame:
 
 
 def muting_budget(rows: DataFrame) -> DataFrame:
-    """At most 15 % of instrumental entries stay silent: those in sections of most energy come up first."""
+    """At most 15 % of instrumental entries stay silent: those in sections of most energy come up first. Rows are `numbered`."""
     plan = Window.partitionBy("plan_id")
     zero = _instrumental() & (F.col("gain") == 0)
-    excess = F.count_if(zero).over(plan) - F.floor(F.count_if(_instrumental()).over(plan) * MOST_MUTED)
+    excess = F.count_if(zero).over(plan) - F.floor(F.col("n_instrumental") * MOST_MUTED)
     turn = F.row_number().over(plan.orderBy(F.when(zero, 0).otherwise(1), F.desc(lookup(F.col("energy"), ENERGY_RANK, 0)), "idx", "pos"))
     return rows.withColumn("gain", F.when(zero & (turn <= excess), F.lit(UNMUTE)).otherwise(F.col("gain")))
 
@@ -78,8 +83,9 @@ def energy_budget(rows: DataFrame) -> DataFrame:
 
 
 def gains(rows: DataFrame) -> DataFrame:
-    """All steps in order; later constraints see what earlier ones have changed. Rows of a plan are shuffled once: each window's key holds the plan."""
-    return energy_budget(muting_budget(none_muted(least_active(base_gains(rows.repartition("plan_id"))))))
+    """All steps in order; later constraints see what earlier ones have changed. Each window's key holds the plan, so rows are shuffled
+    once, by plan, and not at all if they lie so already."""
+    return energy_budget(muting_budget(none_muted(least_active(numbered(base_gains(rows)))))).drop("n_instrumental")
 
 
 def assembled(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from strandwork.functions import music, text
 from strandwork.operators import aggregates as agg, sequences as seq, topk
-from strandwork.plans import catalogue, planner, sections
+from strandwork.plans import catalogue, gains, planner, sections
 from strandwork.streaming import state
 
 
@@ -420,3 +420,11 @@ def test_song_sections_deal_songs_by_the_number_of_events(spark, monkeypatch):
     plan = catalogue.queries()["song_sections"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     n = -(-spark.read.parquet(f"{SF001}/events.parquet").count() // 40)
     assert f", {n})" in plan and "hashpartitioning(user_id#" in plan
+
+
+def test_stems_are_made_where_their_plan_lies(spark):
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert dealt(catalogue.queries()["gain_constraints"](spark, SF001)) == 1
+    rows = spark.createDataFrame([(1, 1, "verse", "high", 2, "drums", "lead", None)], "plan_id int, idx int, label string, energy string, pos int, stem string, role string, lufs double")
+    out = gains.gains(rows)
+    assert dealt(out) == 1 and "n_instrumental" not in out.columns and out.first()["gain"] == 1.0
