@@ -34,8 +34,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     bounded_batches(spark)
     learnt = docs.where(~F.coalesce(op4_language.remainder(F.col("doc_id")) == 2, F.lit(False)))
     guess = op4_language.predict(spark, op4_language.fit(learnt))
-    known = learnt.where("lang is not null").select(guess(F.col("text")).alias("g")).where(F.col("g.lang") != op4_language.UNKNOWN)
-    usual = known.agg(F.percentile_approx("g.known", LEARNT_BELOW, 10_000)).first()[0] or 0.0
+    # one expression: a filter would stand between two guesses, and each task would hold two Python workers
+    g = guess(F.col("text"))
+    known = learnt.where("lang is not null").select(F.when(g["lang"] != op4_language.UNKNOWN, g["known"]).alias("known"))
+    usual = known.agg(F.percentile_approx("known", LEARNT_BELOW, 10_000)).first()[0] or 0.0
     scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), guess(F.col("text")).alias("g"))
     return scored.where((F.col("g.lang") != op4_language.UNKNOWN) & (F.col("g.known") >= LEAST_KNOWN * usual)).select("d.*")
 

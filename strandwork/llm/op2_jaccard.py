@@ -348,7 +348,7 @@ def _roots(spark: SparkSession, source: DataFrame, keyed: DataFrame, scratch: Sc
     scratch.drop("index")
     rank = scratch.table(members.groupBy("key").agg(F.sum("met").alias("rank")), "rank")
     about = sets.select("key", "n", *sketch)
-    roots = spark.createDataFrame([], "node long, root long")
+    roots = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))  # a list's frame would start Python workers of its own
     for turn in range(STARS + 1):
         placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").join(rank, "key")
         placed = scratch.table(placed.select("entry", "key", "rank", F.coalesce("root", "key").alias("root"), F.ceil(F.col("met") / BLOCK).alias("blocks")), f"placed-{turn}")

@@ -21,6 +21,15 @@ def test_small_blocks_equal_brute_force(spark, monkeypatch, seed, stars, percent
     assert sorted(map(tuple, out.collect())) == sorted(brute(rows, percent=percent))
 
 
+def test_no_frame_is_made_of_a_list(spark, monkeypatch):
+    """Its rows would pass through Python workers beside those of the Arrow tasks."""
+    rows = made(23, n_families=6)
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], DOC).repartition(3)
+    monkeypatch.setattr(spark, "createDataFrame", None)
+    out = op2_jaccard.similar_classes(spark, docs, Scratch(spark, "t2"))
+    assert sorted(map(tuple, out.collect())) == sorted(brute(rows))
+
+
 def test_blocks_compare_each_pair_of_different_roots_once():
     import pyarrow as pa
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandwork.llm import op4_language, op5_weak_labels
@@ -117,6 +118,28 @@ def test_stages_equal_plain_versions(spark, seed):
     check_packing([(k, r[1]) for k, r in enumerate(rows4)], last, 2048)
 
 
+def test_language_stage_guesses_once_for_the_limit_and_once_for_the_verdict(spark, monkeypatch):
+    guessed, predict = spark.sparkContext.accumulator(0), op4_language.predict
+
+    def counted(session, model):
+        guess = predict(session, model)
+
+        @F.arrow_udf("string")
+        def seen(texts: pa.Array) -> pa.Array:
+            guessed.add(len(texts))
+            return texts
+
+        return lambda text: guess(seen(text))
+
+    docs = documents(spark, 5)
+    want = Counter(collected(corpus_pipeline.keep_known_languages(spark, docs, "")))
+    monkeypatch.setattr(op4_language, "predict", counted)
+    kept = corpus_pipeline.keep_known_languages(spark, docs, "")
+    learnt = docs.where("lang is not null and not (doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 = 2)").count()
+    assert guessed.value == learnt
+    assert Counter(collected(kept)) == want and guessed.value == learnt + docs.count()
+
+
 def test_stages_keep_columns_whatever_their_names(spark):
     plain, wide = documents(spark, 3), documents(spark, 3, clashing=True)
     for _, stage in corpus_pipeline.STAGES[:-1]:
