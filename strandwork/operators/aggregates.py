@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.window import WindowSpec
 
 from strandwork.operators import scans
 
@@ -72,14 +73,27 @@ def summed_above(value: Column, floor: float = 0.001) -> Column:
     return F.sum(F.when(value < floor, F.lit(0.0)).otherwise(value))
 
 
-def normalised_buckets(rows: DataFrame, key: Sequence[str], value: str, floor: float = 0.02) -> DataFrame:
+#: Normalised values below this are noise.
+NOISE = 0.02
+
+
+def norm_of(value: Column, p99: Column) -> Column:
+    """A value over the 99th percentile of its key, 0 at least; where that is missing or not positive, the value itself."""
+    return F.greatest(F.lit(0.0), F.coalesce(F.try_divide(value, F.when(p99 > 0, p99)), value))
+
+
+def buckets_of(norm: Column, w: WindowSpec, floor: float = NOISE) -> Column:
+    """The 10th, 50th and 85th percentiles of the norms at or above the floor in a window; null without any."""
+    return F.percentile(F.when(norm >= floor, norm), F.array(F.lit(0.10), F.lit(0.50), F.lit(0.85))).over(w)
+
+
+def normalised_buckets(rows: DataFrame, key: Sequence[str], value: str, floor: float = NOISE) -> DataFrame:
     """Rows with `norm` (value over the 99th percentile of the positive ones), and p10, p50, p85 of the norms at or above the floor.
 
     Percentiles are exact and per key; without values they are 0.
     """
     top = rows.groupBy(*key).agg(F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(0.99)).alias("_p99"))
-    norm = F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col(value), F.when(F.col("_p99") > 0, F.col("_p99"))), F.col(value)))
-    scaled = rows.join(top, list(key)).withColumn("norm", norm).drop("_p99")
+    scaled = rows.join(top, list(key)).withColumn("norm", norm_of(F.col(value), F.col("_p99"))).drop("_p99")
     active = F.when(F.col("norm") >= floor, F.col("norm"))
     parts = scaled.groupBy(*key).agg(*[F.coalesce(F.percentile(active, F.lit(p)), F.lit(0.0)).alias(n) for n, p in (("p10", 0.10), ("p50", 0.50), ("p85", 0.85))])
     return scaled.join(parts, list(key)).withColumn("noise_floor", F.lit(floor))
@@ -93,17 +107,26 @@ def classified(rows: DataFrame, value: str = "norm") -> DataFrame:
 def thirds(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """Rows of each key with `third` (1, 2, 3; the last takes what is left over) and `in_last` (the last third by length)."""
     w = Window.partitionBy(*key)
-    n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(order))
+    third, in_last = third_of(F.row_number().over(w.orderBy(order)), F.count(F.lit(1)).over(w))
+    return rows.withColumn("third", third).withColumn("in_last", in_last)
+
+
+def third_of(k: Column, n: Column) -> tuple[Column, Column]:
+    """The third in which row k of n, from 1, stands, and whether it is in the last third by length."""
     size = F.greatest(F.lit(1), F.floor(n / 3))
-    return rows.withColumn("third", F.least(F.lit(3), F.floor((k - 1) / size) + 1).cast("int")).withColumn("in_last", k > n - size)
+    return F.least(F.lit(3), F.floor((k - 1) / size) + 1).cast("int"), k > n - size
 
 
 def activity_status(segments: DataFrame, key: Sequence[str], active: str, order: str) -> DataFrame:
     """vox:yes, vox:fading or vox:no of each segment: more than half active, and whether only its first third is."""
     x = F.col(active).cast("double")
     stats = thirds(segments, key, order).groupBy(*key).agg(F.avg(x).alias("mean"), F.avg(F.when(F.col("third") == 1, x)).alias("head"), F.avg(F.when(F.col("in_last"), x)).alias("tail"))
-    status = first_match([((F.col("mean") > 0.5) & (F.col("head") > 0.5) & (F.col("tail") < 0.5), "vox:fading"), (F.col("mean") > 0.5, "vox:yes")], "vox:no")
-    return stats.select(*key, status.alias("vocal_status"))
+    return stats.select(*key, status_of(F.col("mean"), F.col("head"), F.col("tail")).alias("vocal_status"))
+
+
+def status_of(mean: Column, head: Column, tail: Column) -> Column:
+    """vox:yes, vox:fading or vox:no by the active shares of a segment and of its first and last thirds."""
+    return first_match([((mean > 0.5) & (head > 0.5) & (tail < 0.5), "vox:fading"), (mean > 0.5, "vox:yes")], "vox:no")
 
 
 def density(rows: DataFrame, song: Sequence[str], segment: str, stem: str, value: str) -> DataFrame:
@@ -112,8 +135,12 @@ def density(rows: DataFrame, song: Sequence[str], segment: str, stem: str, value
     own = rows.groupBy(*song, stem).agg(F.percentile(positive, F.lit(0.25)).alias("_p25"), F.percentile(positive, F.lit(0.90)).alias("_p90"))
     seg = rows.groupBy(*song, segment, stem).agg(F.avg(value).alias("_mean"), F.max(value).alias("_max"))
     both = seg.join(own, [*song, stem]).groupBy(*song, segment).agg(F.count_if(F.col("_mean") > F.col("_p25")).alias("active"), F.coalesce(F.bool_or(F.col("_max") > F.col("_p90")), F.lit(False)).alias("peak"))
-    label = first_match([((F.col("active") >= 5) & F.col("peak"), "full+extra"), (F.col("active") >= 5, "full"), (F.col("active") >= 3, "mid")], "sparse")
-    return both.select(*song, segment, "active", label.alias("density"))
+    return both.select(*song, segment, "active", density_of(F.col("active"), F.col("peak")).alias("density"))
+
+
+def density_of(active: Column, peak: Column) -> Column:
+    """sparse, mid, full or full+extra by the number of active stems and whether one peaks."""
+    return first_match([((active >= 5) & peak, "full+extra"), (active >= 5, "full"), (active >= 3, "mid")], "sparse")
 
 
 def trajectory(rows: DataFrame, key: Sequence[str], order: str, value: str = "norm") -> DataFrame:
@@ -123,7 +150,12 @@ def trajectory(rows: DataFrame, key: Sequence[str], order: str, value: str = "no
     c = F.col
     levels = means.select(*key, "third", energy_class(c("_m"), *[c(x) for x in limits]).alias("_l"))
     parts = levels.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("third", "_l"))), lambda x: x["_l"]).alias("_p"))
-    return parts.select(*key, F.array_join(F.filter("_p", lambda x, i: (i == 0) | (x != F.get(F.col("_p"), i - 1))), "->").alias("trajectory"))
+    return parts.select(*key, way(F.col("_p")).alias("trajectory"))
+
+
+def way(levels: Column) -> Column:
+    """`low->high` of an array of classes: equal neighbours once."""
+    return F.array_join(F.filter(levels, lambda x, i: (i == 0) | (x != F.get(levels, i - 1))), "->")
 
 
 def prominence(rows: DataFrame, key: Sequence[str], stem: str, active: str, value: str, vocal: str = "vocals", least_active: int = 1) -> DataFrame:
@@ -136,8 +168,12 @@ def prominence(rows: DataFrame, key: Sequence[str], stem: str, active: str, valu
     n = F.count_if(is_vocal)
     v, other = F.try_divide(F.sum(F.when(is_vocal, F.col(value)).otherwise(F.lit(0.0))), n), F.try_divide(F.sum(F.when(~is_vocal, F.col(value)).otherwise(F.lit(0.0))), n)
     out = on.groupBy(*key).agg(n.alias("_n"), v.alias("_v"), other.alias("_o"))
-    db = F.when((F.col("_n") >= least_active) & (F.col("_v") >= 1e-10) & (F.col("_o") >= 1e-10), 20 * F.log10(F.col("_v") / F.col("_o")))
-    return out.select(*key, db.alias("prominence_db"))
+    return out.select(*key, prominence_of(F.col("_n"), F.col("_v"), F.col("_o"), least_active).alias("prominence_db"))
+
+
+def prominence_of(n: Column, v: Column, other: Column, least_active: int = 1) -> Column:
+    """dB of a mean over another of n bars; null if either is silent or bars are few."""
+    return F.when((n >= least_active) & (v >= 1e-10) & (other >= 1e-10), 20 * F.log10(v / other))
 
 
 def energy_profile(rows: DataFrame, key: Sequence[str], value: str, floor: float = 0.02) -> DataFrame:

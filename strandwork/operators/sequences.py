@@ -24,19 +24,22 @@ def smoothed(value: str, w: WindowSpec, width: int = 4) -> Column:
     return F.sum(value).over(w.rowsBetween(-(width // 2), width - 1 - width // 2)) / width
 
 
+def steps(rows: DataFrame, key: Sequence[str], order: str, value: str, out: str, width: int = 4) -> DataFrame:
+    """Rows with how far the smoothed value is from that of the row before; null in the first of each key."""
+    w = by(key, [order])
+    return rows.withColumn("_s", smoothed(value, w, width)).withColumn(out, F.abs(F.col("_s") - F.lag("_s").over(w))).drop("_s")
+
+
 def change_signal(rows: DataFrame, song: Sequence[str], bar: str, series: str, value: str, width: int = 4) -> DataFrame:
     """(song, bar, change): for each bar but the first, the largest step of any smoothed series."""
-    w = by([*song, series], [bar])
-    s = rows.withColumn("_s", smoothed(value, w, width))
-    d = s.withColumn("_d", F.abs(F.col("_s") - F.lag("_s").over(w))).where("_d is not null")
+    d = steps(rows, [*song, series], bar, value, "_d", width).where("_d is not null")
     return d.groupBy(*song, bar).agg(F.max("_d").alias("change"))
 
 
 def boundary_candidates(changes: DataFrame, song: Sequence[str], bar: str, factor: float = 3.0, floor: float = 0.05) -> DataFrame:
     """Local maxima of the change signal at or above max(factor * median, floor); a flat top counts once, in its middle."""
-    limit = changes.groupBy(*song).agg(F.greatest(F.percentile("change", F.lit(0.5)) * factor, F.lit(floor)).alias("_limit"))
     w = by(song, [bar])
-    rows = changes.join(limit, list(song))
+    rows = changes.dropna(subset=list(song)).withColumn("_limit", F.greatest(F.percentile("change", F.lit(0.5)).over(Window.partitionBy(*song)) * factor, F.lit(floor)))
     new = F.coalesce(F.lag("change").over(w) != F.col("change"), F.lit(True))
     runs = rows.withColumn("_run", F.sum(new.cast("int")).over(w)).groupBy(*song, "_run").agg(F.min(bar).alias("_a"), F.max(bar).alias("_b"), F.first("change").alias("change"), F.first("_limit").alias("_limit"))
     wr = by(song, ["_run"])
@@ -119,7 +122,12 @@ def builds(rows: DataFrame, key: Sequence[str], order: str, value: str, floor: f
     q = F.greatest(F.lit(1), F.floor(n / 4))
     parts = rows.withColumn("_h", k <= q).withColumn("_t", k > n - q).withColumn("_n", n)
     stats = parts.groupBy(*key).agg(F.avg(F.when(F.col("_h"), F.col(value))).alias("first_quarter"), F.avg(F.when(F.col("_t"), F.col(value))).alias("_last"), F.first("_n").alias("_n"))
-    return stats.select(*key, ((F.col("_n") >= least) & (F.col("first_quarter") > floor) & (F.col("_last") > F.col("first_quarter") * ratio)).alias("is_build"), "first_quarter")
+    return stats.select(*key, builds_up(F.col("_n"), F.col("first_quarter"), F.col("_last"), floor, ratio, least).alias("is_build"), "first_quarter")
+
+
+def builds_up(n: Column, first: Column, last: Column, floor: float = 0.01, ratio: float = 1.5, least: int = 4) -> Column:
+    """Whether the last quarter of n bars is much louder than the first."""
+    return (n >= least) & (first > floor) & (last > first * ratio)
 
 
 def sessions(rows: DataFrame, key: Sequence[str], time: Column, order: Sequence[str], gap: float, out: str = "session") -> DataFrame:

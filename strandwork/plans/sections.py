@@ -9,23 +9,33 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandwork.functions.music import ENERGY_RANK, energy_class, rank_of
 from strandwork.functions.rules import first_match
-from strandwork.operators import aggregates as agg, sequences as seq
+from strandwork.operators import aggregates as agg, scans, sequences as seq
 
 SONG = ["song_id"]
 SEGMENT = ["song_id", "segment"]
+SPAN = ("segment", "total", "start_bar", "end_bar")
+BUCKETS = ("p10", "p50", "p85")
 
 
 def bar_states(bars: DataFrame, vocal: str = "vocals") -> DataFrame:
-    """(song_id, bar, energy, norm, noise_floor, p10, p50, p85, energy_class, vocal_rms, vocal_active) of every bar."""
-    energy = bars.groupBy("song_id", "bar").agg(agg.summed_above(F.col("rms")).alias("energy"), F.coalesce(F.max(F.when(F.col("stem") == vocal, F.col("rms"))), F.lit(0.0)).alias("vocal_rms"))
-    states = agg.classified(agg.normalised_buckets(energy, SONG, "energy"))
-    return seq.activity(states, SONG, "bar", "vocal_rms").withColumnRenamed("active", "vocal_active")
+    """(song_id, bar, energy, norm, noise_floor, p10, p50, p85, energy_class, vocal_rms, vocal_active, change) of every bar.
 
-
-def segments(bars: DataFrame, states: DataFrame) -> DataFrame:
-    """(song_id, segment, start_bar, end_bar): boundaries of the change signal on the four-bar grid; end exclusive."""
-    series = bars.select("song_id", "stem", "bar", "rms").unionByName(states.select("song_id", F.lit("*").alias("stem"), "bar", F.col("norm").alias("rms")))
-    found = seq.boundaries(seq.change_signal(series, SONG, "bar", "stem", "rms"), SONG, "bar")
+    Levels and percentiles of a song are windows over its bars, which are few, so that bars are made once. `change` is the
+    largest step of the smoothed stems and of the smoothed norm, null in the first bar.
+    """
+    c, song = F.col, Window.partitionBy(*SONG)
+    stepped = seq.steps(bars.dropna(subset=SONG), ["song_id", "stem"], "bar", "rms", "_d")
+    energy = stepped.groupBy("song_id", "bar").agg(agg.summed_above(c("rms")).alias("energy"), F.coalesce(F.max(F.when(c("stem") == vocal, c("rms"))), F.lit(0.0)).alias("vocal_rms"), F.max("_d").alias("_d"))
+    p99 = F.percentile(F.when(c("energy") > 0, c("energy")), F.lit(0.99)).over(song)
+    scaled = energy.withColumn("_p99", p99).withColumn("norm", agg.norm_of(c("energy"), c("_p99"))).withColumn("_p", agg.buckets_of(c("norm"), song))
+    states = agg.classified(scaled.select("song_id", "bar", "energy", "norm", F.lit(agg.NOISE).alias("noise_floor"), *[F.coalesce(F.get("_p", F.lit(k)), F.lit(0.0)).alias(p) for k, p in enumerate(BUCKETS)], "vocal_rms", "_d"))
+    active = seq.activity(seq.steps(states, SONG, "bar", "norm", "_n"), SONG, "bar", "vocal_rms").withColumnRenamed("active", "vocal_active")
+    return active.withColumn("change", F.greatest("_d", "_n")).drop("_d", "_n")
+
+
+def segments(states: DataFrame) -> DataFrame:
+    """(song_id, segment, total, start_bar, end_bar): boundaries of the change signal on the four-bar grid; end exclusive."""
+    found = seq.boundaries(states.where("change is not null").select("song_id", "bar", "change"), SONG, "bar")
     totals = states.groupBy("song_id").agg((F.max("bar") + 1).alias("total"))
     marks = totals.join(found, "song_id", "left").withColumn("m", seq.to_grid(F.coalesce("bars", F.array().cast("array<int>")), F.col("total")))
     edges = F.concat(F.array(F.lit(0)), "m", F.array(F.col("total").cast("int")))
@@ -33,30 +43,56 @@ def segments(bars: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def within(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Bars with the segment that covers them: the last that starts at or before, by one ordered pass and no range join."""
-    starts = spans.select("song_id", F.col("start_bar").alias("bar"), F.lit(0).alias("_o"), F.struct("segment", "start_bar", "end_bar").alias("_s"))
+    """Bars with the segment that covers them, and its bounds: the last that starts at or before, by one ordered pass and no range join."""
+    starts = spans.select("song_id", F.col("start_bar").alias("bar"), F.lit(0).alias("_o"), F.struct(*SPAN).alias("_s"))
     names = [c for c in rows.columns if c not in ("song_id", "bar")]
     both = starts.withColumn("_r", F.lit(None).cast(rows.select(F.struct(*names).alias("r")).schema["r"].dataType)).unionByName(rows.select("song_id", "bar", F.lit(1).alias("_o"), F.lit(None).cast(starts.schema["_s"].dataType).alias("_s"), F.struct(*names).alias("_r")))
     w = Window.partitionBy("song_id").orderBy("bar", "_o").rowsBetween(Window.unboundedPreceding, 0)
     covered = both.withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where(F.col("_o") == 1)
-    return covered.select("song_id", "bar", "_s.segment", *[F.col(f"_r.{c}").alias(c) for c in names])
+    return covered.select("song_id", "bar", *[F.col(f"_s.{c}").alias(c) for c in SPAN], *[F.col(f"_r.{c}").alias(c) for c in names])
+
+
+def told_by_bars(rows: DataFrame) -> DataFrame:
+    """Segments with their bounds and what the states of their bars tell, in one grouping."""
+    c, w = F.col, Window.partitionBy(*SEGMENT)
+    placed = rows.where("segment is not null").withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy("bar")))
+    third, in_last = agg.third_of(c("_k"), c("_n"))
+    quarter, active = F.greatest(F.lit(1), F.floor(c("_n") / 4)), c("vocal_active").cast("double")
+    mean = lambda test, value: F.avg(F.when(test, value))
+    kept = [F.first(x).alias(x) for x in (*SPAN[1:], "noise_floor", *BUCKETS, "vocal_peak")]
+    stats = placed.withColumn("_t", third).groupBy(*SEGMENT).agg(
+        *kept, F.first("_n").alias("_n"), F.avg("norm").alias("mean"), F.bool_or("vocal_active").alias("has_vocals"), F.min_by("norm", "bar").alias("first_norm"), F.max_by("norm", "bar").alias("last_norm"), F.max("vocal_rms").alias("loudest_vocal"),
+        F.avg(active).alias("_active"), mean(c("_t") == 1, active).alias("_head"), mean(in_last, active).alias("_tail"), mean(c("_k") <= quarter, c("norm")).alias("first_quarter"), mean(c("_k") > c("_n") - quarter, c("norm")).alias("_last"), *[mean(c("_t") == k, c("norm")).alias(f"_m{k}") for k in (1, 2, 3)],
+    )
+    levels = F.array_compact(F.array(*[F.when(c(m).isNotNull(), energy_class(c(m), c("noise_floor"), *map(c, BUCKETS))) for m in ("_m1", "_m2", "_m3")]))
+    out = stats.withColumn("_levels", levels).withColumn("trajectory", agg.way(c("_levels"))).withColumn("vocal_status", agg.status_of(c("_active"), c("_head"), c("_tail"))).withColumn("is_build", seq.builds_up(c("_n"), c("first_quarter"), c("_last")))
+    return out.drop("_n", "_active", "_head", "_tail", "_last", "_m1", "_m2", "_m3", "_levels")
+
+
+def told_by_stems(bars: DataFrame, rows: DataFrame, drums: str, vocal: str) -> DataFrame:
+    """(song_id, segment, density, prominence_db, drum_mean, drum_p25) from the stems' bars, grouped by stem and then by segment."""
+    c, line = F.col, Window.partitionBy("song_id", "stem")
+    positive = F.when((c("rms") > 0) & c("stem").isNotNull(), c("rms"))
+    own = bars.join(rows.select("song_id", "bar", "segment", "vocal_active"), ["song_id", "bar"])
+    own = own.withColumn("_p", F.percentile(positive, F.array(F.lit(0.25), F.lit(0.90))).over(line)).withColumn("_p25", F.get("_p", F.lit(0))).withColumn("_p90", F.get("_p", F.lit(1))).where("segment is not null")
+    stems = own.groupBy(*SEGMENT, "stem").agg(F.avg("rms").alias("_mean"), F.max("rms").alias("_max"), F.first("_p25").alias("_p25"), F.first("_p90").alias("_p90"), F.count_if("vocal_active").alias("_n"), F.sum(F.when(c("vocal_active"), c("rms"))).alias("_sum"))
+    of = lambda name, value: F.max(F.when(c("stem") == name, value))
+    total = lambda test: F.coalesce(F.sum(F.when(test, c("_sum"))), F.lit(0.0))
+    stats = stems.groupBy(*SEGMENT).agg(
+        F.count_if(c("_mean") > c("_p25")).alias("_active"), F.coalesce(F.bool_or(c("_max") > c("_p90")), F.lit(False)).alias("_peak"), of(drums, c("_mean")).alias("drum_mean"), of(drums, c("_p25")).alias("drum_p25"),
+        of(vocal, c("_n")).alias("_n"), total(c("stem") == vocal).alias("_v"), total(c("stem") != vocal).alias("_o"),
+    )
+    db = agg.prominence_of(c("_n"), F.try_divide("_v", "_n"), F.try_divide("_o", "_n"), 3)
+    return stats.select(*SEGMENT, agg.density_of(c("_active"), c("_peak")).alias("density"), db.alias("prominence_db"), "drum_mean", "drum_p25")
 
 
 def labelled(bars: DataFrame, states: DataFrame, spans: DataFrame, drums: str = "drums", vocal: str = "vocals") -> DataFrame:
     """Sections with energy level, trajectory, density, vocal status, prominence, build and drop, and a label by the first rule that holds."""
-    rows = within(states, spans)
-    own = within(bars.join(states.select("song_id", "bar", "vocal_active"), ["song_id", "bar"]), spans)
-    stats = rows.groupBy(*SEGMENT).agg(F.avg("norm").alias("mean"), F.bool_or("vocal_active").alias("has_vocals"), *[F.first(c).alias(c) for c in ("noise_floor", "p10", "p50", "p85")], F.min_by("norm", "bar").alias("first_norm"), F.max_by("norm", "bar").alias("last_norm"), F.max("vocal_rms").alias("loudest_vocal"))
-    drum_limit = bars.where((F.col("stem") == drums) & (F.col("rms") > 0)).groupBy("song_id").agg(F.percentile("rms", F.lit(0.25)).alias("drum_p25"))
-    drum_mean = own.where(F.col("stem") == drums).groupBy(*SEGMENT).agg(F.avg("rms").alias("drum_mean"))
-    peak = states.groupBy("song_id").agg(F.max("vocal_rms").alias("vocal_peak"))
-    parts = [agg.activity_status(rows, SEGMENT, "vocal_active", "bar"), agg.density(own, SONG, "segment", "stem", "rms").drop("active"), agg.trajectory(rows, SEGMENT, "bar"), seq.builds(rows, SEGMENT, "bar", "norm"), agg.prominence(own, SEGMENT, "stem", "vocal_active", "rms", vocal, 3), drum_mean]
-    joined = spans.join(stats, SEGMENT)
-    for p in parts:
-        joined = joined.join(p, SEGMENT, "left")
-    joined = joined.join(drum_limit, "song_id", "left").join(peak, "song_id")
+    peak = F.max("vocal_rms").over(Window.partitionBy(*SONG))
+    rows = scans.cut(within(states.select("song_id", "bar", "norm", "noise_floor", *BUCKETS, "vocal_rms", "vocal_active", peak.alias("vocal_peak")), spans))
+    joined = told_by_bars(rows).join(told_by_stems(bars, rows, drums, vocal), SEGMENT, "left")
     c = F.col
-    buckets = [c(x) for x in ("noise_floor", "p10", "p50", "p85")]
+    buckets = [c(x) for x in ("noise_floor", *BUCKETS)]
     level = energy_class(c("mean"), *buckets)
     calm_start = ~energy_class(c("first_quarter"), *buckets).isin("high", "peak")
     build = F.coalesce(c("is_build") & calm_start, F.lit(False))
@@ -97,14 +133,14 @@ def merged(sections: DataFrame) -> DataFrame:
 
 
 def analysed(bars: DataFrame) -> DataFrame:
-    """Merged sections of all songs from their bar energies."""
-    states = bar_states(bars)
-    return merged(labelled(bars, states, segments(bars, states)))
+    """Merged sections of all songs from their bar energies. States and covered bars are written once, as several steps read them."""
+    states = scans.cut(bar_states(bars).drop("energy", "energy_class"))
+    return merged(labelled(bars, states, segments(states)))
 
 
 def enriched(bars: DataFrame, given: DataFrame) -> DataFrame:
     """Sections of another source (song_id, start_bar, end_bar, label), told by their bars: label and bounds stay, level, trajectory, density, vocals and notes are ours."""
-    states = bar_states(bars)
+    states = scans.cut(bar_states(bars).drop("energy", "energy_class"))
     totals = states.groupBy("song_id").agg((F.max("bar") + 1).alias("total"))
     spans = given.withColumn("segment", F.row_number().over(Window.partitionBy("song_id").orderBy("start_bar")) - 1).join(totals, "song_id")
     told = labelled(bars, states, spans.select("song_id", "segment", "total", "start_bar", "end_bar")).drop("label")

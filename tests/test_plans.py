@@ -428,3 +428,31 @@ def test_stems_are_made_where_their_plan_lies(spark):
     rows = spark.createDataFrame([(1, 1, "verse", "high", 2, "drums", "lead", None)], "plan_id int, idx int, label string, energy string, pos int, stem string, role string, lufs double")
     out = gains.gains(rows)
     assert dealt(out) == 1 and "n_instrumental" not in out.columns and out.first()["gain"] == 1.0
+
+
+def test_song_sections_make_bars_once_a_step(spark):
+    plan = catalogue.queries()["song_sections"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Join") == 2
+
+
+def test_segments_told_in_one_grouping_are_as_told_by_each_operator(spark):
+    rng = random.Random(5)
+    stems = ("vocals", "drums", "bass", "guitar", "piano")
+    rows = [(song, stem, bar, rng.choice([0.0, 0.0005, rng.random(), rng.random()])) for song in range(6) for bar in range(5 + 7 * song) for stem in stems if rng.random() < 0.8 or stem == "bass"]
+    bars = spark.createDataFrame([*rows, (None, "bass", 0, 1.0)], "song_id long, stem string, bar int, rms double").cache()
+    states = sections.bar_states(bars).cache()
+    spans = sections.segments(states)
+    assert {r["song_id"] for r in states.select("song_id").distinct().collect()} == set(range(6))
+    covered = sections.within(states.withColumn("vocal_peak", F.lit(1.0)), spans).cache()
+    own = bars.join(covered.select("song_id", "bar", "segment", "vocal_active"), ["song_id", "bar"])
+    same = lambda a, b: [[f"{x:.9g}" if isinstance(x, float) else x for x in r] for r in sorted(a.collect())] == [[f"{x:.9g}" if isinstance(x, float) else x for x in r] for r in sorted(b.collect())]
+    key = sections.SEGMENT
+    want = agg.activity_status(covered, key, "vocal_active", "bar").join(agg.trajectory(covered, key, "bar"), key).join(seq.builds(covered, key, "bar", "norm"), key)
+    assert same(sections.told_by_bars(covered).select(*key, "vocal_status", "trajectory", "is_build", "first_quarter"), want.select(*key, "vocal_status", "trajectory", "is_build", "first_quarter"))
+    want = agg.density(own, sections.SONG, "segment", "stem", "rms").join(own.where("stem = 'drums'").groupBy(*key).agg(F.avg("rms").alias("drum_mean")), key, "left").join(agg.prominence(own, key, "stem", "vocal_active", "rms", "vocals", 3), key, "left")
+    got = sections.told_by_stems(bars, covered, "drums", "vocals").fillna(-1.0)
+    assert same(got.select(*key, "density", "drum_mean", "prominence_db"), want.fillna(-1.0).select(*key, "density", "drum_mean", "prominence_db"))
+    series = bars.where("song_id is not null").select("song_id", "stem", "bar", "rms").unionByName(states.select("song_id", F.lit("*").alias("stem"), "bar", F.col("norm").alias("rms")))
+    assert same(seq.change_signal(series, sections.SONG, "bar", "stem", "rms"), states.where("change is not null").select("song_id", "bar", "change"))
+    whole = agg.normalised_buckets(states.select("song_id", "bar", "energy"), sections.SONG, "energy")
+    assert same(whole.select("song_id", "bar", "norm", "p10", "p50", "p85"), states.select("song_id", "bar", "norm", "p10", "p50", "p85"))
