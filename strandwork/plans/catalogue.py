@@ -1103,10 +1103,11 @@ def song_sections(t):
     names = dict(zip(("view", "click", "purchase", "error", "signup"), ("vocals", "drums", "bass", "guitar", "piano")))
     day = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / 86400)
     events = t("events").select("user_id", "ts", "event_type", "value")
-    events = events.repartition(scans.shares(events, EVENTS_A_TASK), "user_id")  # all that follows is by song
+    tasks = scans.shares(events, EVENTS_A_TASK)
+    events = events.repartition(tasks, "user_id")  # all that follows is by song
     rows = events.groupBy(c("user_id").alias("song_id"), day.alias("day"), rules.lookup(c("event_type"), names, "other").alias("stem")).agg((agg.rms(c("value")) / 100).alias("rms"))
     bar = F.dense_rank().over(Window.partitionBy("song_id").orderBy("day")) - 1
-    return sections.analysed(rows.select("song_id", "stem", bar.alias("bar"), "rms"))
+    return sections.analysed(rows.select("song_id", "stem", bar.alias("bar"), "rms"), tasks)
 
 
 # --- documents, states, streams, kernels ---------------------------------------------------------------------------------------------

@@ -69,11 +69,21 @@ def told_by_bars(rows: DataFrame) -> DataFrame:
     return out.drop("_n", "_active", "_head", "_tail", "_last", "_m1", "_m2", "_m3", "_levels")
 
 
+def placed(bars: DataFrame, rows: DataFrame) -> DataFrame:
+    """Bars (song_id, stem, bar, rms) with `segment` and `vocal_active` of the covered bar; by one pass, as a join by two keys would deal songs anew."""
+    kinds = {f.name: f.dataType for f in [*bars.schema, *rows.schema]}
+    gone = lambda *names: [F.lit(None).cast(kinds[n]).alias(n) for n in names]
+    given = rows.select("song_id", *gone("stem"), "bar", *gone("rms"), "segment", "vocal_active", F.lit(False).alias("_own"))
+    both = bars.dropna(subset=["song_id", "bar"]).select("song_id", "stem", "bar", "rms", *gone("segment", "vocal_active"), F.lit(True).alias("_own")).unionByName(given)
+    w = Window.partitionBy("song_id", "bar")
+    return both.withColumns({n: F.max(n).over(w) for n in ("segment", "vocal_active")}).where("_own").drop("_own")
+
+
 def told_by_stems(bars: DataFrame, rows: DataFrame, drums: str, vocal: str) -> DataFrame:
     """(song_id, segment, density, prominence_db, drum_mean, drum_p25) from the stems' bars, grouped by stem and then by segment."""
     c, line = F.col, Window.partitionBy("song_id", "stem")
     positive = F.when((c("rms") > 0) & c("stem").isNotNull(), c("rms"))
-    own = bars.join(rows.select("song_id", "bar", "segment", "vocal_active"), ["song_id", "bar"])
+    own = placed(bars, rows)
     own = own.withColumn("_p", F.percentile(positive, F.array(F.lit(0.25), F.lit(0.90))).over(line)).withColumn("_p25", F.get("_p", F.lit(0))).withColumn("_p90", F.get("_p", F.lit(1))).where("segment is not null")
     stems = own.groupBy(*SEGMENT, "stem").agg(F.avg("rms").alias("_mean"), F.max("rms").alias("_max"), F.first("_p25").alias("_p25"), F.first("_p90").alias("_p90"), F.count_if("vocal_active").alias("_n"), F.sum(F.when(c("vocal_active"), c("rms"))).alias("_sum"))
     of = lambda name, value: F.max(F.when(c("stem") == name, value))
@@ -86,10 +96,15 @@ def told_by_stems(bars: DataFrame, rows: DataFrame, drums: str, vocal: str) -> D
     return stats.select(*SEGMENT, agg.density_of(c("_active"), c("_peak")).alias("density"), db.alias("prominence_db"), "drum_mean", "drum_p25")
 
 
-def labelled(bars: DataFrame, states: DataFrame, spans: DataFrame, drums: str = "drums", vocal: str = "vocals") -> DataFrame:
+def written(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """The rows written once for all that reads them, and dealt by song again, since a checkpoint does not tell how its rows lie."""
+    return scans.cut(rows).repartition(*([tasks] if tasks else []), "song_id")
+
+
+def labelled(bars: DataFrame, states: DataFrame, spans: DataFrame, drums: str = "drums", vocal: str = "vocals", tasks: int | None = None) -> DataFrame:
     """Sections with energy level, trajectory, density, vocal status, prominence, build and drop, and a label by the first rule that holds."""
     peak = F.max("vocal_rms").over(Window.partitionBy(*SONG))
-    rows = scans.cut(within(states.select("song_id", "bar", "norm", "noise_floor", *BUCKETS, "vocal_rms", "vocal_active", peak.alias("vocal_peak")), spans))
+    rows = written(within(states.select("song_id", "bar", "norm", "noise_floor", *BUCKETS, "vocal_rms", "vocal_active", peak.alias("vocal_peak")), spans), tasks)
     joined = told_by_bars(rows).join(told_by_stems(bars, rows, drums, vocal), SEGMENT, "left")
     c = F.col
     buckets = [c(x) for x in ("noise_floor", *BUCKETS)]
@@ -132,15 +147,15 @@ def merged(sections: DataFrame) -> DataFrame:
     ).withColumnRenamed("run", "section")
 
 
-def analysed(bars: DataFrame) -> DataFrame:
-    """Merged sections of all songs from their bar energies. States and covered bars are written once, as several steps read them."""
-    states = scans.cut(bar_states(bars).drop("energy", "energy_class"))
-    return merged(labelled(bars, states, segments(states)))
+def analysed(bars: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Merged sections of all songs from their bar energies; bars that are dealt by song to so many `tasks` are not dealt again."""
+    states = written(bar_states(bars).drop("energy", "energy_class"), tasks)
+    return merged(labelled(bars, states, segments(states), tasks=tasks))
 
 
 def enriched(bars: DataFrame, given: DataFrame) -> DataFrame:
     """Sections of another source (song_id, start_bar, end_bar, label), told by their bars: label and bounds stay, level, trajectory, density, vocals and notes are ours."""
-    states = scans.cut(bar_states(bars).drop("energy", "energy_class"))
+    states = written(bar_states(bars).drop("energy", "energy_class"), None)
     totals = states.groupBy("song_id").agg((F.max("bar") + 1).alias("total"))
     spans = given.withColumn("segment", F.row_number().over(Window.partitionBy("song_id").orderBy("start_bar")) - 1).join(totals, "song_id")
     told = labelled(bars, states, spans.select("song_id", "segment", "total", "start_bar", "end_bar")).drop("label")
