@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from strandwork.operators import scans
 from strandwork.plans import lyrics
-from strandwork.plans.catalogue import NOW, c, query
+from strandwork.plans.catalogue import EVENTS_A_TASK, NOW, c, query
 from strandwork.sources import caches, documents as docs, files, logs, sinks
 
 
@@ -151,7 +151,8 @@ def step_log(t):
 def stem_folder(t) -> str:
     """A new folder of WAV files: users as videos of two roles, types of events as stems, values as samples, each 64 times."""
     e = t("events").select("user_id", "event_type", F.struct("ts", "event_id", "value").alias("e"))
-    rows = e.groupBy("user_id", "event_type").agg(F.flatten(F.transform(F.sort_array(F.collect_list("e")), lambda x: F.array_repeat(x["value"] / 1024, 64))).alias("samples"))
+    e = e.repartition(scans.shares(e, EVENTS_A_TASK), "user_id")
+    rows = e.groupBy("user_id", "event_type").agg(F.flatten(F.transform(F.sort_array(F.collect_list("e")), lambda x: F.array_repeat((x["value"] / 1024).cast("float"), 64))).alias("samples"))
     role = F.when(c("user_id") % 2 == 0, "vocal").otherwise("instrumental")
     path = _folder(e.sparkSession, "stems")
     files.write_stems(rows.select(F.concat(F.lit("v"), "user_id").alias("video_id"), role.alias("role"), c("event_type").alias("stem"), "samples"), path, 22050)

@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,11 +21,21 @@ CHUNK = 1 << 15
 BATCH = 1 << 18
 
 
-def stem_files(spark: SparkSession, root: str) -> DataFrame:
-    """(video_id, role, stem, length, modified, content) of root/video/role/stem.wav."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(root)
+def _stems(found: DataFrame, *columns: Column | str) -> DataFrame:
     part = lambda k: F.element_at(F.split("path", "/"), -k)
-    return files.select(part(3).alias("video_id"), part(2).alias("role"), F.regexp_replace(part(1), r"\.wav$", "").alias("stem"), "length", F.col("modificationTime").alias("modified"), "content")
+    return found.select(part(3).alias("video_id"), part(2).alias("role"), F.regexp_replace(part(1), r"\.wav$", "").alias("stem"), "length", *columns)
+
+
+def stem_files(spark: SparkSession, root: str) -> DataFrame:
+    """(video_id, role, stem, length, modified, content) of root/video/role/stem.wav.
+
+    A folder that all machines mount is listed and read by tasks, whatever the number of its files; in a store that only Spark
+    reads, the driver lists the files.
+    """
+    if "://" in root and not root.startswith("file://"):
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(root)
+        return _stems(found, F.col("modificationTime").alias("modified"), "content")
+    return _stems(posix.file_bytes(spark, root, "whole"), "modified", F.col("bytes").alias("content"))
 
 
 def stem_headers(spark: SparkSession, root: str) -> DataFrame:
@@ -34,8 +43,7 @@ def stem_headers(spark: SparkSession, root: str) -> DataFrame:
 
     `manifests` and `duration_s` need no more. The folder is one that the driver and all executors mount.
     """
-    part = lambda k: F.element_at(F.split("path", "/"), -k)
-    return posix.file_bytes(spark, root).select(part(3).alias("video_id"), part(2).alias("role"), F.regexp_replace(part(1), r"\.wav$", "").alias("stem"), "length", F.col("bytes").alias("content"))
+    return _stems(posix.file_bytes(spark, root), F.col("bytes").alias("content"))
 
 
 def intact(content: Column, length: Column) -> Column:
@@ -107,18 +115,27 @@ def write_stems(signals: DataFrame, root: str, rate: int) -> None:
     """
     folder = root.removeprefix("file://")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                to = os.path.join(folder, r.video_id, r.role)
-                os.makedirs(to, exist_ok=True)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for (video, role, stem), samples in zip(names, batch.column(3)):
+                to = os.path.join(folder, video, role)
                 part = os.path.join(to, f".{uuid.uuid4().hex}")
-                with open(part, "wb") as f:
-                    f.write(write_wav(np.asarray(r.samples), rate))
-                os.replace(part, os.path.join(to, f"{r.stem}.wav"))
-            yield pd.DataFrame({"n": [len(pdf)]})
+                with _opened(part) as f:
+                    f.write(write_wav(samples.values.to_numpy(zero_copy_only=False), rate))
+                os.replace(part, os.path.join(to, f"{stem}.wav"))
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    signals.select("video_id", "role", "stem", "samples").mapInArrow(write, "n long").agg(F.sum("n")).first()
+
 
-    signals.select("video_id", "role", "stem", "samples").mapInPandas(write, "n long").agg(F.sum("n")).first()
+def _opened(path: str):
+    """A new file, whose folder is made if it is missing."""
+    try:
+        return open(path, "wb")
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, "wb")
 
 
 def signal_chunks(files: DataFrame, *, mono: bool = False, chunk: int = CHUNK) -> DataFrame:

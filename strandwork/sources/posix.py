@@ -12,29 +12,38 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-#: Bytes of a header, files whose headers one task reads, and bytes of a file that one task reads.
-HEADER, FILES_A_TASK, RANGE = 44, 256, 8 << 20
+from strandwork.operators.scans import shares
+
+#: Bytes of a header, entries of a folder that one task walks, bytes of a file that one task reads, and bytes of an Arrow batch.
+HEADER, ENTRIES_A_TASK, RANGE, BATCH = 44, 512, 8 << 20, 4 << 20
+#: Ranges that one task reads, one after the other.
+RANGES_A_TASK = 16
 
 
 def _local(path: str) -> str:
     return path.removeprefix("file://")
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith((".", "_"))
+
+
 @dataclass
-class Span(InputPartition):
-    """Ranges (path, length of the file, first byte, stop) that one task reads."""
+class Entries(InputPartition):
+    """Names in the folder that one task walks."""
 
-    ranges: list[tuple[str, int, int, int]]
+    names: list[str]
 
 
 class FileBytes(DataSource):
-    """Format `file_bytes`: (path, length, start, bytes) of files below a folder, in byte ranges.
+    """Format `file_bytes`: (path, length, start, bytes, modified) of files below a folder.
 
     Options: `path`; `suffix` of the files; `part`, either `listing` (no byte of a file is read), `header` (the first `bytes` of
-    each) or `content` (all of each, in ranges of `bytes`). A file that is gone when its task runs has no row.
+    each) or `whole`; `tasks` wanted. The driver reads the names in the folder itself; what lies below them is listed by the
+    tasks that read it. A file that is gone when its task comes to it has no row.
     """
 
     @classmethod
@@ -42,7 +51,7 @@ class FileBytes(DataSource):
         return "file_bytes"
 
     def schema(self) -> str:
-        return "path string, length long, start long, bytes binary"
+        return "path string, length long, start long, bytes binary, modified timestamp"
 
     def reader(self, schema) -> DataSourceReader:
         return _FileReader(dict(self.options))
@@ -51,39 +60,61 @@ class FileBytes(DataSource):
 class _FileReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.suffix, self.part = _local(options["path"]), options.get("suffix", ""), options.get("part", "header")
-        self.bytes = int(options.get("bytes", RANGE if self.part == "content" else HEADER))
-        if self.part not in ("listing", "header", "content"):
+        self.bytes, self.tasks = int(options.get("bytes", HEADER)), int(options.get("tasks", 1))
+        if self.part not in ("listing", "header", "whole"):
             raise ValueError(f"no such part: {self.part}")
 
-    def partitions(self) -> list[Span]:
-        found = []
-        for folder, _, names in os.walk(self.root):
-            for n in names:
-                if n.endswith(self.suffix) and not n.startswith((".", "_")):
-                    path = os.path.join(folder, n)
-                    found.append((path, os.stat(path).st_size))
-        found.sort()
-        if self.part == "content":
-            return [Span([(p, size, at, min(size, at + self.bytes))]) for p, size in found for at in range(0, max(size, 1), self.bytes)] or [Span([])]
-        stop = self.bytes if self.part == "header" else 0
-        rows = [(p, size, 0, min(size, stop)) for p, size in found]
-        return [Span(rows[k : k + FILES_A_TASK]) for k in range(0, len(rows), FILES_A_TASK)] or [Span([])]
-
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for path, length, start, stop in partition.ranges:
-            body = None
-            if stop > start or self.part != "listing":
-                try:
-                    with open(path, "rb", buffering=0) as f:
-                        f.seek(start)
-                        body = b"".join(iter(lambda: f.read(min(1 << 20, stop - f.tell())), b""))
-                except FileNotFoundError:
-                    continue
-            rows.append((path, length, start, body))
-        columns = list(zip(*rows)) or [(), (), (), ()]
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "length", "start", "bytes"])
+    def partitions(self) -> list[Entries]:
+        names = sorted(os.listdir(self.root)) if os.path.isdir(self.root) else []
+        step = max(1, min(ENTRIES_A_TASK, -(-len(names) // self.tasks)))
+        return [Entries(names[k : k + step]) for k in range(0, len(names), step)] or [Entries([])]
+
+    def _files(self, names: list[str]) -> Iterator[str]:
+        for name in names:
+            top = os.path.join(self.root, name)
+            if not os.path.isdir(top):
+                folders = [(self.root, [], [name])]
+            else:
+                folders = [] if os.path.islink(top) else os.walk(top)
+            for folder, _, found in folders:
+                yield from (os.path.join(folder, n) for n in sorted(found) if n.endswith(self.suffix) and not _hidden(n))
+
+    def read(self, partition: Entries) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path in self._files(partition.names):
+            try:
+                found, body = os.stat(path), None
+                if self.part != "listing":
+                    body = _span(path, 0, min(found.st_size, self.bytes) if self.part == "header" else found.st_size)
+            except FileNotFoundError:
+                continue
+            rows.append((path, found.st_size, 0, body, found.st_mtime_ns // 1_000_000 * 1000))
+            held += len(path) + len(body or b"")
+            if held >= BATCH:
+                yield _file_batch(rows)
+                rows, held = [], 0
+        yield _file_batch(rows)
+
+
+def _span(path: str, start: int, stop: int) -> bytes:
+    with open(path, "rb", buffering=0) as f:
+        f.seek(start)
+        return b"".join(iter(lambda: f.read(min(1 << 20, stop - f.tell())), b""))
+
+
+def _file_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.timestamp("us", "UTC"))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "length", "start", "bytes", "modified"])
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, length, start, modified in zip(*(batch.column(n).to_pylist() for n in ("path", "length", "start", "modified"))):
+            try:
+                yield _file_batch([(path, length, start, _span(path, start, min(length, start + size)), modified)])
+            except FileNotFoundError:
+                continue
 
 
 @dataclass
@@ -211,9 +242,16 @@ class _LogReader(DataSourceStreamReader):
 
 
 def file_bytes(spark: SparkSession, root: str, part: str = "header", suffix: str = ".wav", **options: str) -> DataFrame:
-    """(path, length, start, bytes) of the files below a folder; see `FileBytes`."""
+    """(path, length, start, bytes, modified) of the files below a folder; see `FileBytes`. With `content` each comes in ranges of `bytes`, dealt to tasks."""
     spark.dataSource.register(FileBytes)
-    return spark.read.format("file_bytes").options(path=root, part=part, suffix=suffix, **options).load()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = spark.read.format("file_bytes").options(path=root, part="listing" if part == "content" else part, suffix=suffix, tasks=str(tasks), **options).load()
+    if part != "content":
+        return source
+    size = int(options.get("bytes", RANGE))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long"))
+    ranges = source.select("path", "length", F.explode(starts).alias("start"), "bytes", "modified")
+    return ranges.repartition(shares(ranges, RANGES_A_TASK)).mapInArrow(lambda batches: _read_ranges(batches, size), source.schema)
 
 
 def rotating_log(spark: SparkSession, folder: str, prefix: str, **options: str) -> DataFrame:

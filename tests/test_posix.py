@@ -126,3 +126,40 @@ def test_ranges_of_a_log_share_no_line(tmp_path, monkeypatch):
     with pytest.raises(FileNotFoundError):
         list(reader.read(parts[0]))
     assert list(posix._LogReader({"path": str(tmp_path), "prefix": "app.log", "missing": "skip"}).read(parts[0])) == []
+
+
+def test_the_driver_reads_no_more_than_the_names_in_the_folder(spark, stems, monkeypatch):
+    (stems / "v2" / "instrumental" / "_bass.wav").write_bytes(b"hidden")
+    (stems / "top.wav").write_bytes(files.write_wav(np.zeros(3), 8000))
+    reader = posix._FileReader({"path": str(stems), "suffix": ".wav", "part": "listing", "tasks": "2"})
+    with monkeypatch.context() as m:
+        for name in ("walk", "scandir"):
+            m.setattr(os, name, None)
+        parts = reader.partitions()
+    assert [p.names for p in parts] == [["top.wav", "v1"], ["v2"]] and "lead" not in repr(parts)
+    found = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert [os.path.relpath(r["path"], stems) for r in found] == ["top.wav", "v1/vocal/back.wav", "v1/vocal/lead.wav", "v2/instrumental/drums.wav"]
+    assert all(r["length"] == os.path.getsize(r["path"]) and r["bytes"] is None for r in found)
+
+
+def test_stem_files_are_listed_and_read_by_tasks(spark, stems, monkeypatch):
+    monkeypatch.setattr(posix, "ENTRIES_A_TASK", 1)
+    found = files.stem_files(spark, f"file://{stems}")
+    assert "binaryFile" not in found._jdf.queryExecution().optimizedPlan().toString() and found.rdd.getNumPartitions() == 2
+    rows = {(r.video_id, r.role, r.stem): r for r in found.collect()}
+    assert set(rows) == {("v1", "vocal", "lead"), ("v1", "vocal", "back"), ("v2", "instrumental", "drums")}
+    for (video, role, stem), r in rows.items():
+        path = stems / video / role / f"{stem}.wav"
+        assert bytes(r.content) == path.read_bytes() and r.length == path.stat().st_size
+    seen = found.select("stem", F.unix_millis("modified").alias("ms")).where("stem = 'drums'").first()
+    assert seen.ms == (stems / "v2" / "instrumental" / "drums.wav").stat().st_mtime_ns // 1_000_000
+    assert files.stem_files(spark, str(stems / "none")).count() == 0
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(stems)).select(F.unix_millis("modificationTime").alias("ms"), "length")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, found.select(F.unix_millis("modified"), "length").collect()))
+
+
+def test_whole_files_leave_in_batches_of_bounded_bytes(stems, monkeypatch):
+    monkeypatch.setattr(posix, "BATCH", 100_000)
+    reader = posix._FileReader({"path": str(stems), "suffix": ".wav", "part": "whole"})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert [b.num_rows for b in batches] == [1, 1, 1] and sum(len(x) for b in batches for x in b.column("bytes").to_pylist()) > 300_000
