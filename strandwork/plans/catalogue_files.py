@@ -151,7 +151,7 @@ def step_log(t):
 def stem_folder(t) -> str:
     """A new folder of WAV files: users as videos of two roles, types of events as stems, values as samples, each 64 times."""
     e = t("events").select("user_id", "event_type", F.struct("ts", "event_id", "value").alias("e"))
-    e = e.repartition(scans.shares(e, EVENTS_A_TASK), "user_id")
+    e = e.repartition(scans.shares(e, EVENTS_A_TASK), "user_id", "event_type")
     rows = e.groupBy("user_id", "event_type").agg(F.flatten(F.transform(F.sort_array(F.collect_list("e")), lambda x: F.array_repeat((x["value"] / 1024).cast("float"), 64))).alias("samples"))
     role = F.when(c("user_id") % 2 == 0, "vocal").otherwise("instrumental")
     path = _folder(e.sparkSession, "stems")
